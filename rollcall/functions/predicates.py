@@ -1,0 +1,20 @@
+"""Optional-predicate composition (O-12/O-13/O-14): each filter applies only
+when its parameter is given; Catalyst folds the literals."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def all_of(preds: list[Column | None]) -> Column:
+    preds = [p for p in preds if p is not None]
+    if not preds:
+        return F.lit(True)
+    return functools.reduce(lambda a, b: a & b, preds)
+
+
+def eq_if_given(col: str, value) -> Column | None:
+    return None if value is None else (F.col(col) == F.lit(value))
