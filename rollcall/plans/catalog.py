@@ -272,6 +272,246 @@ def q_corrections_list(spark, sf_dir):
     return corrections_list(i.corrections, i.students, status="pending")
 
 
+# ---------------------------------------------------------------- tasks
+
+from ..functions.text import JS_TRIM_RE  # noqa: E402
+from ..operators import tasks as tk  # noqa: E402
+
+_TASK_BASE = (O.STUDENTS, O.TASKS, O.ASSIGNMENTS, O.COMMENTS)
+_ASSIGNEES_SQL = """
+assignees AS (
+  SELECT p.task_id, count(*) AS n_assignees,
+         to_json(list({'student_id': s.student_id, 'full_name': s.full_name}
+                      ORDER BY s.full_name)) AS assignees
+  FROM (SELECT DISTINCT task_id, student_id FROM task_assignments
+        WHERE unassigned_at IS NULL) p
+  JOIN students s ON s.student_id = p.student_id
+  GROUP BY p.task_id
+),
+last_comment AS (
+  SELECT task_id, max(created_at) AS last_comment_at FROM task_comments GROUP BY task_id
+),
+last_assign AS (
+  SELECT task_id, max(assigned_at) AS last_assigned_at FROM task_assignments
+  WHERE unassigned_at IS NULL GROUP BY task_id
+)"""
+_LAST_ACTIVITY = """greatest(t.updated_at,
+                coalesce(lc.last_comment_at, TIMESTAMP '1970-01-01 00:00:00'),
+                coalesce(la.last_assigned_at, TIMESTAMP '1970-01-01 00:00:00'))"""
+_RANK_SQL = """CASE t.status WHEN 'todo' THEN 1 WHEN 'in_progress' THEN 2 WHEN 'blocked' THEN 3
+                     WHEN 'done' THEN 4 ELSE 5 END"""
+
+
+@query("assignments_dedup", O.with_(O.ASSIGNMENTS) + f"""
+SELECT task_id, student_id, assigned_at,
+       CASE WHEN rn > 1 THEN {O.TASK_AS_OF} END AS unassigned_at
+FROM (SELECT *, row_number() OVER (
+        PARTITION BY task_id, student_id
+        ORDER BY assigned_at DESC, l_partkey DESC, l_linenumber DESC, l_quantity DESC,
+                 l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
+                 l_linestatus DESC) AS rn
+      FROM task_assignments WHERE unassigned_at IS NULL)
+UNION ALL
+SELECT task_id, student_id, assigned_at, unassigned_at FROM task_assignments
+WHERE unassigned_at IS NOT NULL""")
+def q_assignments_dedup(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.assignments_dedup(i.assignments, V.TASK_AS_OF).drop("id")
+
+
+_VALID_TASK_EVENTS = """
+valid_task_events AS (
+  SELECT * FROM task_events
+  WHERE NOT (kind IN ('join', 'assign', 'clock_in')
+             AND (student_id IS NULL
+                  OR student_id NOT IN (SELECT student_id FROM students WHERE is_active)))
+    AND NOT (kind = 'create' AND (coalesce(trim(title), '') = '' OR coalesce(trim(subteam), '') = ''))
+)"""
+
+
+@query("assignment_intervals", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, """
+ev AS (
+  SELECT task_id, student_id, "at", seq, kind <> 'leave' AS opens FROM valid_task_events
+  WHERE kind IN ('join', 'assign', 'clock_in', 'leave') AND student_id IS NOT NULL
+),
+ch AS (
+  SELECT *, coalesce(lag(opens) OVER (PARTITION BY task_id, student_id ORDER BY "at", seq),
+                     false) AS prev_open
+  FROM ev
+),
+c2 AS (
+  SELECT *, lead("at") OVER (PARTITION BY task_id, student_id ORDER BY "at", seq) AS nxt
+  FROM ch WHERE prev_open <> opens
+)""") + """
+SELECT task_id, student_id, "at" AS assigned_at, nxt AS unassigned_at FROM c2 WHERE opens""")
+def q_assignment_intervals(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    valid, _ = tk.validate_task_events(i.task_events, i.students)
+    return tk.assignment_intervals(valid)
+
+
+@query("task_last_comment", O.with_(O.COMMENTS) + """
+SELECT task_id, max(created_at) AS last_comment_at FROM task_comments GROUP BY task_id""")
+def q_task_last_comment(spark, sf_dir):
+    return tk.task_last_comment(Inputs(spark, sf_dir).comments)
+
+
+@query("task_last_assignment", O.with_(O.ASSIGNMENTS) + """
+SELECT task_id, max(assigned_at) AS last_assigned_at FROM task_assignments
+WHERE unassigned_at IS NULL GROUP BY task_id""")
+def q_task_last_assignment(spark, sf_dir):
+    return tk.task_last_assignment(Inputs(spark, sf_dir).assignments)
+
+
+@query("task_assignees", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + """
+SELECT task_id, n_assignees, CAST(assignees AS VARCHAR) AS assignees FROM assignees""")
+def q_task_assignees(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    a = tk.task_assignees(i.assignments, i.students)
+    return a.select("task_id", "n_assignees", tk.assignees_json("assignees").alias("assignees"))
+
+
+@query("task_staleness", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + f"""
+SELECT t.id AS task_id, {_LAST_ACTIVITY} AS last_activity_at,
+       {_LAST_ACTIVITY} < {O.TASK_AS_OF} - INTERVAL 3 DAY AS is_stale
+FROM tasks t
+LEFT JOIN last_comment lc ON lc.task_id = t.id
+LEFT JOIN last_assign la ON la.task_id = t.id""")
+def q_task_staleness(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.task_staleness(i.tasks, i.comments, i.assignments, V.TASK_AS_OF)
+
+
+@query("task_board", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + f"""
+SELECT t.id, t.title, t.subteam, t.status, t.description, t.archived, t.created_at,
+       t.updated_at, {_LAST_ACTIVITY} AS last_activity_at,
+       {_LAST_ACTIVITY} < {O.TASK_AS_OF} - INTERVAL 3 DAY AS is_stale,
+       coalesce(CAST(a.assignees AS VARCHAR), '[]') AS assignees,
+       {_RANK_SQL} AS status_rank
+FROM tasks t
+LEFT JOIN last_comment lc ON lc.task_id = t.id
+LEFT JOIN last_assign la ON la.task_id = t.id
+LEFT JOIN assignees a ON a.task_id = t.id
+WHERE NOT t.archived""")
+def q_task_board(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.task_board(i.tasks, i.assignments, i.comments, i.students, V.TASK_AS_OF)
+
+
+@query("task_column_counts", O.with_(O.TASKS) + """
+SELECT c.col AS "column", c.position, coalesce(n.n_tasks, 0) AS n_tasks
+FROM (VALUES ('todo', 1), ('in_progress', 2), ('blocked', 3), ('done', 4)) c(col, position)
+LEFT JOIN (
+  SELECT CASE WHEN status IN ('todo', 'in_progress', 'blocked', 'done') THEN status
+              ELSE 'todo' END AS col, count(*) AS n_tasks
+  FROM tasks WHERE NOT archived GROUP BY 1
+) n ON n.col = c.col""")
+def q_task_column_counts(spark, sf_dir):
+    return tk.task_column_counts(Inputs(spark, sf_dir).tasks)
+
+
+@query("my_tasks", O.with_(O.TASKS, O.ASSIGNMENTS) + """
+SELECT DISTINCT a.task_id, a.student_id, t.title, t.subteam, t.status, t.archived,
+       '[' || t.subteam || '] ' || t.title || ' (' || replace(t.status, '_', ' ') || ')' AS label
+FROM task_assignments a JOIN tasks t ON t.id = a.task_id
+WHERE a.unassigned_at IS NULL""")
+def q_my_tasks(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.my_tasks(i.assignments, i.tasks)
+
+
+_COMMENT_REQUESTS = f"""
+comment_requests AS (
+  SELECT conv_id * 100 + turn AS id, conv_id AS task_id, {O.COMMENT_TIME} AS "at",
+         CASE WHEN role = 'user' THEN conv_id * 10 + turn END AS student_id,
+         role AS author_type,
+         CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '   ' END
+           AS author_label,
+         text AS comment
+  FROM conversations
+),
+judged AS (
+  SELECT r.*, s.full_name,
+         CASE WHEN r.comment IS NULL OR regexp_replace(r.comment, '{JS_TRIM_RE}', '', 'g') = ''
+                THEN 'Missing comment'
+              WHEN r.student_id IS NOT NULL AND s.student_id IS NULL THEN 'Student not found'
+         END AS reject_reason
+  FROM comment_requests r LEFT JOIN students s ON s.student_id = r.student_id
+)"""
+
+
+@query("comment_attribute", O.with_(O.STUDENTS, _COMMENT_REQUESTS) + f"""
+SELECT id, task_id,
+       CASE WHEN student_id IS NOT NULL THEN 'student' ELSE 'mentor' END AS author_type,
+       CASE WHEN student_id IS NOT NULL THEN full_name
+            ELSE coalesce(nullif(regexp_replace(coalesce(author_label, ''), '{JS_TRIM_RE}', '', 'g'), ''),
+                          'Mentor') END AS author_label,
+       regexp_replace(comment, '{JS_TRIM_RE}', '', 'g') AS comment,
+       "at" AS created_at
+FROM judged WHERE reject_reason IS NULL""")
+def q_comment_attribute(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[0]
+
+
+@query("comment_rejects", O.with_(O.STUDENTS, _COMMENT_REQUESTS) + """
+SELECT id, task_id, "at", student_id, author_type, author_label, comment, reject_reason
+FROM judged WHERE reject_reason IS NOT NULL""")
+def q_comment_rejects(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[1]
+
+
+@query("comment_feed", O.with_(O.COMMENTS) + """
+SELECT id, task_id, author_type, author_label, comment, created_at FROM task_comments""")
+def q_comment_feed(spark, sf_dir):
+    return tk.comment_feed(Inputs(spark, sf_dir).comments)
+
+
+def _last(cond, value):
+    return (f"struct_extract(arg_max({{'v': {value}}}, (\"at\", seq)) "
+            f"FILTER (WHERE {cond}), 'v')")
+
+
+_VALID_ST = "status IN ('todo', 'in_progress', 'blocked', 'done')"
+_ST_WRITE = f"(kind = 'create' OR (kind = 'patch' AND {_VALID_ST}))"
+
+
+@query("task_fold", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, """
+first_create AS (
+  SELECT task_id, "at" AS c_at, seq AS c_seq FROM (
+    SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY "at", seq) AS rn
+    FROM valid_task_events WHERE kind = 'create') WHERE rn = 1
+),
+live AS (
+  SELECT v.* FROM valid_task_events v JOIN first_create f ON f.task_id = v.task_id
+  WHERE v."at" > f.c_at OR (v."at" = f.c_at AND v.seq >= f.c_seq)
+)""", f"""
+folded AS (
+  SELECT task_id,
+    min("at") FILTER (WHERE kind = 'create') AS created_at,
+    {_last("kind = 'create' OR (kind = 'patch' AND coalesce(trim(title), '') <> '')", "trim(title)")} AS title,
+    {_last("kind = 'create' OR (kind = 'patch' AND coalesce(trim(subteam), '') <> '')", "trim(subteam)")} AS subteam,
+    {_last("kind = 'create' OR (kind = 'patch' AND description IS NOT NULL)",
+           "CASE WHEN kind = 'create' THEN trim(coalesce(description, '')) ELSE description END")} AS description,
+    {_last(_ST_WRITE, f"CASE WHEN {_VALID_ST} THEN status ELSE 'todo' END")} AS st,
+    max(("at", seq)) FILTER (WHERE {_ST_WRITE}) AS st_at,
+    max(("at", seq)) FILTER (WHERE kind = 'clock_in') AS promote_at,
+    coalesce({_last("kind IN ('archive', 'unarchive')", "kind = 'archive'")}, false) AS archived,
+    max("at") AS updated_at
+  FROM live GROUP BY task_id
+)""") + """
+SELECT task_id AS id, title, subteam,
+       CASE WHEN st = 'todo' AND promote_at IS NOT NULL AND promote_at > st_at
+            THEN 'in_progress' ELSE st END AS status,
+       description, archived, created_at, updated_at
+FROM folded""")
+def q_task_fold(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    valid, _ = tk.validate_task_events(i.task_events, i.students)
+    return tk.task_fold(valid, V.TASK_AS_OF)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

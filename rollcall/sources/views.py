@@ -189,8 +189,8 @@ def comment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _comment_time().alias("at"),
         F.when(F.col("role") == "user", F.col("conv_id") * 10 + F.col("turn")).alias("student_id"),
         F.col("role").alias("author_type"),
-        F.when(F.col("role") == "system", F.lit("   ")).otherwise(F.initcap("role"))
-         .alias("author_label"),
+        F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant")
+         .otherwise(F.lit("   ")).alias("author_label"),
         F.col("text").alias("comment"),
     )
 
