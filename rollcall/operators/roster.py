@@ -14,3 +14,74 @@ def roster_active(students: DataFrame) -> DataFrame:
 def roster_all(students: DataFrame) -> DataFrame:
     """O-02: every student with the active flag."""
     return students.select("student_id", "full_name", "subteam", "is_active")
+
+
+# ------------------------------------------------------------ maintenance
+
+from ..functions.text import blank_to_null, js_trim  # noqa: E402
+from .sessions import last_write  # noqa: E402
+
+ID_MASK = 0x7FFFFFFFFFFFFFFF
+
+
+def new_student_id(full_name) -> "F.Column":
+    """Spark has no sequences: a new student's id is a 63-bit hash of the
+    (unique) name -- deterministic, computed where the row lives, and
+    independent of how many other names arrive in the same batch."""
+    return F.xxhash64(full_name).bitwiseAND(F.lit(ID_MASK))
+
+
+def roster_upsert(students: DataFrame, requests: DataFrame, reactivate: bool = False):
+    """O-66 (``reactivate=False``) and the seed load O-05
+    (``reactivate=True``), contract C-4.
+
+    Requests ``(at, seq, full_name, subteam)`` are collapsed per trimmed name
+    (last one wins), then full-outer-joined to the roster by name: a new name
+    is inserted (active); an existing one gets the requested subteam (blank
+    -> NULL) and, for the seed, is reactivated.  Returns ``(roster, rejects)``;
+    the roster is a new snapshot -- write it to a new path."""
+    name = js_trim(F.coalesce(F.col("full_name"), F.lit("")))
+    req = requests.withColumn("full_name", name)
+    rejects = req.where(F.col("full_name") == "").withColumn(
+        "reject_reason", F.lit("Missing full_name"))
+    ok = req.where(F.col("full_name") != "")
+    sub = blank_to_null(js_trim(F.col("subteam")))
+    last = ok.groupBy("full_name").agg(
+        last_write(F.lit(True), sub).alias("_req_subteam"),
+        F.min("at").alias("_first_at"))
+    cur = students.select("student_id", "full_name", "subteam", "is_active", "created_at")
+    j = cur.join(last, "full_name", "full_outer")
+    is_new = F.col("student_id").isNull()
+    hit = F.col("_first_at").isNotNull()
+    roster = j.select(
+        F.when(is_new, new_student_id(F.col("full_name"))).otherwise(F.col("student_id"))
+         .alias("student_id"),
+        "full_name",
+        F.when(hit, F.col("_req_subteam")).otherwise(F.col("subteam")).alias("subteam"),
+        (F.when(is_new, F.lit(True)).when(hit, F.lit(True) if reactivate else F.col("is_active"))
+         .otherwise(F.col("is_active"))).alias("is_active"),
+        F.when(is_new, F.col("_first_at")).otherwise(F.col("created_at")).alias("created_at"),
+        is_new.alias("is_new"))
+    return roster, rejects
+
+
+def roster_patch(students: DataFrame, patches: DataFrame):
+    """O-64/O-65: per student id, the latest non-empty trimmed name, the
+    latest non-NULL subteam (an empty string is kept as ''), the latest
+    non-NULL active flag.  Unknown ids are rejected.  Returns
+    ``(roster, rejects)``."""
+    name = js_trim(F.col("full_name"))
+    per = patches.groupBy("student_id").agg(
+        last_write(F.coalesce(name, F.lit("")) != "", name).alias("_name"),
+        last_write(F.col("subteam").isNotNull(), F.col("subteam")).alias("_subteam"),
+        last_write(F.col("is_active").isNotNull(), F.col("is_active")).alias("_active"))
+    rejects = patches.join(students.select("student_id"), "student_id", "left_anti") \
+        .withColumn("reject_reason", F.lit("Student not found"))
+    j = students.join(per, "student_id", "left")
+    roster = j.select(
+        "student_id",
+        F.coalesce("_name", "full_name").alias("full_name"),
+        F.coalesce("_subteam", "subteam").alias("subteam"),
+        F.coalesce("_active", "is_active").alias("is_active"),
+        "created_at")
+    return roster, rejects

@@ -78,12 +78,18 @@ def session_fold(punches: DataFrame, as_of=None) -> DataFrame:
     """
     ev = punches if as_of is None else punches_until(punches, as_of)
     ev = with_meeting_date(ev)
+    return ev.groupBy(*SESSION_KEY).agg(*fold_aggregates()).select(*SESSION_COLUMNS)
+
+
+def fold_aggregates() -> list[Column]:
+    """The C-1 aggregates over one session's events (shared by the batch
+    fold and the streaming fold)."""
     kind = F.col("kind")
     out_value = (F.when(kind == "clock_out", F.col("at"))
                  .when(kind.isin("set_out", "set_both"), F.col("set_out")))
     help_, task_ = kind == "need_help", kind == "need_task"
     val = F.coalesce(F.col("value"), F.lit(False))
-    return ev.groupBy(*SESSION_KEY).agg(
+    return [
         F.coalesce(last_write(kind.isin("set_in", "set_both"), F.col("set_in")),
                    F.min(F.when(kind == "clock_in", F.col("at")))).alias("clock_in_at"),
         last_write(kind.isin("clock_in", "clock_out", "set_out", "set_both"),
@@ -99,7 +105,7 @@ def session_fold(punches: DataFrame, as_of=None) -> DataFrame:
         last_write((kind == "clock_in") & F.col("task_id").isNotNull(),
                    F.col("task_id")).alias("task_id"),
         F.max("at").alias("updated_at"),
-    ).select(*SESSION_COLUMNS)
+    ]
 
 
 def auto_close(sessions: DataFrame, as_of) -> DataFrame:

@@ -512,6 +512,263 @@ def q_task_fold(spark, sf_dir):
     return tk.task_fold(valid, V.TASK_AS_OF)
 
 
+# ---------------------------------------------------------------- manual entry
+
+from ..operators import corrections as corr  # noqa: E402
+
+_MANUAL_SQL = f"""
+manual_raw AS (
+  SELECT user_id AS student_id, ts + INTERVAL 3 DAY AS "at", event_id AS seq,
+         strftime({O.eastern_date('ts')}, '%Y-%m-%d') AS meeting_date,
+         CASE WHEN event_id % 2 = 0 THEN '16:00' ELSE '' END AS clock_in_time,
+         CASE WHEN event_id % 3 <> 0 THEN '18:15' ELSE '' END AS clock_out_time,
+         CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Build' END AS subteam,
+         CASE WHEN event_id % 7 = 0 THEN '' ELSE 'paper log' END AS working_on
+  FROM events WHERE event_type = 'purchase' AND event_id % 23 = 0
+),
+manual_ok AS (
+  SELECT *, CAST(meeting_date AS DATE) AS d FROM manual_raw
+  WHERE student_id IN (SELECT student_id FROM students WHERE is_active)
+)"""
+
+
+def _manual_events_sql(policy):
+    if policy == "patch":
+        kind = """CASE WHEN clock_in_time <> '' AND clock_out_time <> '' THEN 'set_both'
+                       WHEN clock_in_time <> '' THEN 'set_in'
+                       WHEN clock_out_time <> '' THEN 'set_out' ELSE 'update' END"""
+        where, wo = "", "working_on"
+    else:
+        kind, where, wo = "'set_both'", "WHERE clock_in_time <> ''", "nullif(working_on, '')"
+    tin = O.local_to_utc("d + CAST(clock_in_time AS TIME)")
+    tout = O.local_to_utc("d + CAST(clock_out_time AS TIME)")
+    return f"""
+SELECT student_id, "at", seq, {kind} AS kind, d AS meeting_date, subteam, {wo} AS working_on,
+       CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS BOOLEAN) AS value,
+       CASE WHEN clock_in_time <> '' THEN {tin} END AS set_in,
+       CASE WHEN clock_out_time <> '' THEN {tout} END AS set_out
+FROM manual_ok {where}"""
+
+
+@query("manual_attendance", O.with_(O.STUDENTS, _MANUAL_SQL) + _manual_events_sql("patch"))
+def q_manual_attendance(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")[0]
+
+
+@query("manual_attendance_replace", O.with_(O.STUDENTS, _MANUAL_SQL)
+       + _manual_events_sql("replace"))
+def q_manual_attendance_replace(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "replace")[0]
+
+
+@query("manual_rejects", O.with_(O.STUDENTS, _MANUAL_SQL) + """
+SELECT *, 'Student not found' AS reject_reason FROM manual_raw
+WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
+def q_manual_rejects(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")[1]
+
+
+@query("sessions_with_manual", O.with_(
+    *_ATT_BASE, _MANUAL_SQL,
+    "\nmanual_events AS (" + _manual_events_sql("patch") + ")",
+    "\nfull_log AS (SELECT * FROM all_punches UNION ALL SELECT * FROM manual_events)",
+    O.session_fold("full_log", O.ATT_AS_OF),
+    O.auto_close("sessions_raw", O.ATT_AS_OF)) + """
+SELECT * FROM sessions""")
+def q_sessions_with_manual(spark, sf_dir):
+    """The full C-1 log: punches, approved corrections and manual entries."""
+    i = Inputs(spark, sf_dir)
+    manual, _ = corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")
+    return ses.daily_sessions(i.all_punches.unionByName(manual), V.ATTENDANCE_AS_OF)
+
+
+# ---------------------------------------------------------------- roster maintenance
+
+from ..operators import roster as ro  # noqa: E402
+
+_ROSTER_REQ_SQL = f"""
+roster_requests AS (
+  SELECT TIMESTAMP '2024-02-01 00:00:00' + to_seconds(s_suppkey) AS "at", s_suppkey AS seq,
+         ' ' || s_name || ' ' AS full_name, n_name AS subteam
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL
+  SELECT TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 2 DAY, s_suppkey, s_name, 'Programming'
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0
+  UNION ALL
+  SELECT TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 DAY, c_custkey, c_name,
+         CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE 'Build' END
+  FROM customer WHERE c_nationkey = 0
+),
+req_last AS (
+  SELECT trim(full_name) AS full_name,
+         struct_extract(arg_max({{'v': nullif(trim(subteam), '')}}, ("at", seq)), 'v') AS req_subteam,
+         min("at") AS first_at
+  FROM roster_requests WHERE trim(coalesce(full_name, '')) <> '' GROUP BY 1
+),
+students_full AS (
+  SELECT *, TIMESTAMP '2023-09-01 00:00:00' AS created_at FROM students
+)"""
+
+
+def _upsert_sql(reactivate):
+    active = "true" if reactivate else "s.is_active"
+    return f"""
+SELECT coalesce(s.full_name, r.full_name) AS full_name,
+       CASE WHEN r.full_name IS NOT NULL THEN r.req_subteam ELSE s.subteam END AS subteam,
+       CASE WHEN s.student_id IS NULL THEN true
+            WHEN r.full_name IS NOT NULL THEN {active} ELSE s.is_active END AS is_active,
+       CASE WHEN s.student_id IS NULL THEN r.first_at ELSE s.created_at END AS created_at,
+       s.student_id IS NULL AS is_new
+FROM students_full s FULL OUTER JOIN req_last r ON r.full_name = s.full_name"""
+
+
+@query("roster_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(False))
+def q_roster_upsert(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=False)
+    return r.drop("student_id")
+
+
+@query("roster_seed_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(True))
+def q_roster_seed_upsert(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=True)
+    return r.drop("student_id")
+
+
+_PATCH_SQL = """
+roster_patches AS (
+  SELECT TIMESTAMP '2024-02-01 00:00:00' AS "at", c_custkey AS seq,
+         CASE WHEN c_nationkey = 4 THEN c_custkey + 1000000000 ELSE c_custkey END AS student_id,
+         CASE WHEN c_nationkey = 3 THEN '   ' END AS full_name,
+         CASE WHEN c_nationkey = 2 THEN '' END AS subteam,
+         CASE WHEN c_nationkey = 1 AND c_acctbal < 0 THEN true
+              WHEN c_nationkey = 4 THEN false END AS is_active
+  FROM customer WHERE c_nationkey IN (1, 2, 3, 4)
+),
+per AS (
+  SELECT student_id,
+    struct_extract(arg_max({'v': trim(full_name)}, ("at", seq)) FILTER (WHERE coalesce(trim(full_name), '') <> ''), 'v') AS n,
+    struct_extract(arg_max({'v': subteam}, ("at", seq)) FILTER (WHERE subteam IS NOT NULL), 'v') AS st,
+    struct_extract(arg_max({'v': is_active}, ("at", seq)) FILTER (WHERE is_active IS NOT NULL), 'v') AS act
+  FROM roster_patches GROUP BY student_id
+)"""
+
+
+@query("roster_patch", O.with_(O.STUDENTS, _PATCH_SQL) + """
+SELECT s.student_id, coalesce(p.n, s.full_name) AS full_name, coalesce(p.st, s.subteam) AS subteam,
+       coalesce(p.act, s.is_active) AS is_active,
+       TIMESTAMP '2023-09-01 00:00:00' AS created_at
+FROM students s LEFT JOIN per p ON p.student_id = s.student_id""")
+def q_roster_patch(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[0]
+
+
+@query("roster_patch_rejects", O.with_(O.STUDENTS, _PATCH_SQL) + """
+SELECT *, 'Student not found' AS reject_reason FROM roster_patches
+WHERE student_id NOT IN (SELECT student_id FROM students)""")
+def q_roster_patch_rejects(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[1]
+
+
+# ---------------------------------------------------------------- audits
+
+from ..operators import audits as au  # noqa: E402
+
+
+def _audit_tables(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return {"students": i.students, "tasks": i.tasks, "task_assignments": i.assignments,
+            "task_comments": i.comments,
+            "daily_sessions": ses.session_fold(i.all_punches, V.ATTENDANCE_AS_OF),
+            "attendance_corrections": i.corrections}
+
+
+_AUDIT_BASE = (*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF), O.TASKS, O.ASSIGNMENTS,
+               O.COMMENTS)
+
+
+def _dup_sql(table, cols, where=""):
+    key = " || ',' || ".join(f"coalesce(CAST({c} AS VARCHAR), '∅')" for c in cols)
+    return f"""SELECT '{table}' AS table_name, '{",".join(cols)}' AS key_columns,
+       {key} AS key_value, count(*) AS n_rows
+FROM {table} {where} GROUP BY {", ".join(cols)} HAVING count(*) > 1"""
+
+
+@query("audit_unique", O.with_(*_AUDIT_BASE, "\ndaily_sessions AS (SELECT * FROM sessions_raw)",
+                               "\nattendance_corrections AS (SELECT * FROM corrections)") + "\n"
+       + "\nUNION ALL\n".join([
+           _dup_sql("students", ["student_id"]), _dup_sql("students", ["full_name"]),
+           _dup_sql("daily_sessions", ["student_id", "meeting_date"]),
+           _dup_sql("task_assignments", ["task_id", "student_id"], "WHERE unassigned_at IS NULL"),
+           _dup_sql("tasks", ["id"]), _dup_sql("task_comments", ["id"]),
+           _dup_sql("attendance_corrections", ["id"])]))
+def q_audit_unique(spark, sf_dir):
+    return au.audit_unique(_audit_tables(spark, sf_dir))
+
+
+def _fk_sql(child, col, parent, key, policy):
+    return f"""SELECT '{child}' AS table_name, '{col}' AS fk_column, '{parent}' AS parent_table,
+       c.{col} AS fk_value, '{policy}' AS on_delete, count(*) AS n_rows
+FROM {child} c WHERE c.{col} IS NOT NULL AND c.{col} NOT IN (SELECT {key} FROM {parent})
+GROUP BY c.{col}"""
+
+
+@query("audit_fk", O.with_(*_AUDIT_BASE, "\ndaily_sessions AS (SELECT * FROM sessions_raw)",
+                           "\nattendance_corrections AS (SELECT * FROM corrections)") + "\n"
+       + "\nUNION ALL\n".join(_fk_sql(*fk) for fk in au.FOREIGN_KEYS))
+def q_audit_fk(spark, sf_dir):
+    return au.audit_fk(_audit_tables(spark, sf_dir))
+
+
+def _domain_sql(table, col, allowed):
+    if allowed is None:
+        bad, rule = f"{col} IS NULL", "not null"
+    else:
+        vals = ", ".join(f"'{v}'" for v in allowed)
+        bad, rule = f"{col} IS NULL OR {col} NOT IN ({vals})", "check"
+    return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, '{rule}' AS rule,
+       CAST({col} AS VARCHAR) AS bad_value, count(*) AS n_rows
+FROM {table} WHERE {bad} GROUP BY {col}"""
+
+
+@query("audit_domain", O.with_(*_AUDIT_BASE, "\nattendance_corrections AS (SELECT * FROM corrections)")
+       + "\n" + "\nUNION ALL\n".join(_domain_sql(*c) for c in au.DOMAIN_CHECKS))
+def q_audit_domain(spark, sf_dir):
+    return au.audit_domain(_audit_tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("session_stream", O.with_(
+    O.STUDENTS, O.PUNCHES, O.session_fold("punches", "TIMESTAMP '9999-12-31 00:00:00'"),
+    f"""
+wm AS (
+  SELECT max(timezone('America/New_York', timezone('UTC', "at"))) - INTERVAL 25 HOUR AS w
+  FROM punches
+)""") + """
+SELECT s.* FROM sessions_raw s, wm
+WHERE CAST(s.meeting_date AS TIMESTAMP) + INTERVAL 1 DAY <= wm.w""")
+def q_session_stream(spark, sf_dir):
+    """The streaming fold drained over the events file; returns what the
+    append-mode sink holds (every day the watermark has closed)."""
+    import uuid
+
+    from ..operators.gate import gate_active
+    from ..session import checkpoint_root
+    from ..streaming.sessions_stream import run_session_stream
+    i = Inputs(spark, sf_dir)
+    run = f"{checkpoint_root(spark).rstrip('/')}/rollcall-stream-{uuid.uuid4().hex}"
+    stream = gate_active(V.punches_stream(spark, sf_dir), i.students)
+    run_session_stream(spark, stream, f"{run}/sink", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/sink")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

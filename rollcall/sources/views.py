@@ -53,24 +53,7 @@ def _kind(event_type):
 
 
 def punches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
-    kind = _kind(F.col("event_type"))
-    k = F.get_json_object(F.col("props"), "$.k").cast("long")
-    is_need = kind.isin("need_help", "need_task")
-    carries_work = kind.isin("clock_in", "update")
-    return e.where(kind.isNotNull()).select(
-        F.col("user_id").alias("student_id"),
-        F.col("ts").alias("at"),
-        F.col("event_id").alias("seq"),
-        kind.alias("kind"),
-        F.lit(None).cast("date").alias("meeting_date"),
-        F.lit(None).cast("string").alias("subteam"),
-        F.when(carries_work, F.concat(F.lit("k"), k.cast("string"))).alias("working_on"),
-        F.when(kind == "clock_in", k).alias("task_id"),
-        F.when(is_need, (k % 2) == 0).alias("value"),
-        F.lit(None).cast("timestamp_ntz").alias("set_in"),
-        F.lit(None).cast("timestamp_ntz").alias("set_out"),
-    )
+    return punches_from_events(read_table(spark, sf_dir, "events"))
 
 
 def _correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,3 +220,105 @@ def task_events(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame
         none_s.alias("description"))
     ev = create.unionByName(archive).unionByName(join).unionByName(leave).unionByName(comment)
     return ev.where(F.col("at") <= ts_lit(as_of))
+
+
+UPSERT_AT = dt.datetime(2024, 2, 1, 0, 0, 0)
+
+
+def roster_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roster upload rows: every supplier as a new name (padded with spaces,
+    subteam = its nation), nation-0 customers re-sent (even keys with a blank
+    subteam), and suppliers with a negative balance sent again later."""
+    s = read_table(spark, sf_dir, "supplier")
+    n = read_table(spark, sf_dir, "nation")
+    c = read_table(spark, sf_dir, "customer")
+    sn = s.join(n, s["s_nationkey"] == n["n_nationkey"], "left")
+    base = ts_lit(UPSERT_AT)
+    new = sn.select(
+        (base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("s_suppkey").cast("int")))
+        .alias("at"),
+        F.col("s_suppkey").alias("seq"),
+        F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("full_name"),
+        F.col("n_name").alias("subteam"))
+    again = sn.where(F.col("s_acctbal") < 0).select(
+        (base + F.expr("INTERVAL 2 DAYS")).alias("at"),
+        F.col("s_suppkey").alias("seq"),
+        F.col("s_name").alias("full_name"),
+        F.lit("Programming").alias("subteam"))
+    old = c.where(F.col("c_nationkey") == 0).select(
+        (base + F.expr("INTERVAL 1 DAY")).alias("at"),
+        F.col("c_custkey").alias("seq"),
+        F.col("c_name").alias("full_name"),
+        F.when((F.col("c_custkey") % 2) == 0, F.lit("  ")).otherwise(F.lit("Build"))
+         .alias("subteam"))
+    return new.unionByName(again).unionByName(old)
+
+
+def roster_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roster edits: nation-1 inactive customers reactivated, nation-2
+    customers given an empty subteam, nation-3 names sent blank (ignored),
+    and nation-4 edits aimed at ids that do not exist."""
+    c = read_table(spark, sf_dir, "customer")
+    base = ts_lit(UPSERT_AT)
+    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    nk = F.col("c_nationkey")
+    return c.where(nk.isin(1, 2, 3, 4)).select(
+        base.alias("at"),
+        F.col("c_custkey").alias("seq"),
+        F.when(nk == 4, F.col("c_custkey") + 1000000000).otherwise(F.col("c_custkey"))
+         .alias("student_id"),
+        F.when(nk == 3, F.lit("   ")).otherwise(none_s).alias("full_name"),
+        F.when(nk == 2, F.lit("")).otherwise(none_s).alias("subteam"),
+        F.when((nk == 1) & (F.col("c_acctbal") < 0), F.lit(True))
+         .when(nk == 4, F.lit(False)).otherwise(none_b).alias("is_active"))
+
+
+EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                 "value double, props string")
+
+
+def punches_from_events(e: DataFrame) -> DataFrame:
+    """The punch mapping for any events DataFrame (batch or streaming)."""
+    kind = _kind(F.col("event_type"))
+    k = F.get_json_object(F.col("props"), "$.k").cast("long")
+    is_need = kind.isin("need_help", "need_task")
+    carries_work = kind.isin("clock_in", "update")
+    return e.where(kind.isNotNull()).select(
+        F.col("user_id").alias("student_id"),
+        F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"),
+        kind.alias("kind"),
+        F.lit(None).cast("date").alias("meeting_date"),
+        F.lit(None).cast("string").alias("subteam"),
+        F.when(carries_work, F.concat(F.lit("k"), k.cast("string"))).alias("working_on"),
+        F.when(kind == "clock_in", k).alias("task_id"),
+        F.when(is_need, (k % 2) == 0).alias("value"),
+        F.lit(None).cast("timestamp_ntz").alias("set_in"),
+        F.lit(None).cast("timestamp_ntz").alias("set_out"),
+    )
+
+
+def punches_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a file stream (a glob naming the one file)."""
+    e = (spark.readStream.schema(EVENTS_SCHEMA)
+         .option("maxFilesPerTrigger", 1)
+         .parquet(f"{sf_dir.rstrip('/')}/events.parq[u]et"))
+    return punches_from_events(e)
+
+
+def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper-record backfills: every 23rd purchase event becomes a mentor
+    entry for the student's Eastern day, three days later, with a mix of
+    missing times, blank subteams and cleared notes."""
+    e = read_table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    pick = e.where((F.col("event_type") == "purchase") & ((eid % 23) == 0))
+    return pick.select(
+        F.col("user_id").alias("student_id"),
+        (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("at"),
+        eid.alias("seq"),
+        F.date_format(eastern_date("ts"), "yyyy-MM-dd").alias("meeting_date"),
+        F.when((eid % 2) == 0, F.lit("16:00")).otherwise(F.lit("")).alias("clock_in_time"),
+        F.when((eid % 3) != 0, F.lit("18:15")).otherwise(F.lit("")).alias("clock_out_time"),
+        F.when((eid % 5) == 0, F.lit("")).otherwise(F.lit("Build")).alias("subteam"),
+        F.when((eid % 7) == 0, F.lit("")).otherwise(F.lit("paper log")).alias("working_on"))
