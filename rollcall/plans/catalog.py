@@ -35,14 +35,14 @@ def query(name: str, sql: str | None = None):
 SELECT student_id, full_name, subteam FROM students WHERE is_active""")
 def q_roster_active(spark, sf_dir):
     from ..operators.roster import roster_active
-    return roster_active(Inputs(spark, sf_dir).students)
+    return roster_active(Inputs.of(spark, sf_dir).students)
 
 
 @query("roster_all", O.with_(O.STUDENTS) + """
 SELECT student_id, full_name, subteam, is_active FROM students""")
 def q_roster_all(spark, sf_dir):
     from ..operators.roster import roster_all
-    return roster_all(Inputs(spark, sf_dir).students)
+    return roster_all(Inputs.of(spark, sf_dir).students)
 
 
 # ---------------------------------------------------------------- gate
@@ -50,14 +50,14 @@ def q_roster_all(spark, sf_dir):
 @query("gate_active", O.with_(O.STUDENTS, O.PUNCHES) + """
 SELECT * FROM punches""")
 def q_gate_active(spark, sf_dir):
-    return Inputs(spark, sf_dir).punches
+    return Inputs.of(spark, sf_dir).punches
 
 
 @query("gate_rejects", O.with_(O.STUDENTS, O.PUNCHES) + """
 SELECT *, 'Student not found' AS reject_reason FROM punches_all
 WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
 def q_gate_rejects(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return gate_rejects(i.raw_punches, i.students)
 
 
@@ -69,14 +69,14 @@ _ATT_BASE = (O.STUDENTS, O.PUNCHES, O.CORRECTIONS, O.ALL_PUNCHES)
 @query("session_fold", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF)) + """
 SELECT * FROM sessions_raw""")
 def q_session_fold(spark, sf_dir):
-    return ses.session_fold(Inputs(spark, sf_dir).all_punches, V.ATTENDANCE_AS_OF)
+    return ses.session_fold(Inputs.of(spark, sf_dir).all_punches, V.ATTENDANCE_AS_OF)
 
 
 @query("auto_close", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF),
                              O.auto_close("sessions_raw", O.ATT_AS_OF)) + """
 SELECT * FROM sessions""")
 def q_auto_close(spark, sf_dir):
-    return ses.daily_sessions(Inputs(spark, sf_dir).all_punches, V.ATTENDANCE_AS_OF)
+    return ses.daily_sessions(Inputs.of(spark, sf_dir).all_punches, V.ATTENDANCE_AS_OF)
 
 
 _STATE_SQL = """CASE WHEN clock_in_at IS NOT NULL AND clock_out_at IS NULL THEN 'clocked_in'
@@ -88,7 +88,7 @@ _STATE_SQL = """CASE WHEN clock_in_at IS NOT NULL AND clock_out_at IS NULL THEN
                               O.auto_close("sessions_raw", O.BOARD_AS_OF)) + f"""
 SELECT student_id, meeting_date, {_STATE_SQL} AS status FROM sessions""")
 def q_clock_state(spark, sf_dir):
-    s = ses.daily_sessions(Inputs(spark, sf_dir).all_punches, V.BOARD_AS_OF)
+    s = ses.daily_sessions(Inputs.of(spark, sf_dir).all_punches, V.BOARD_AS_OF)
     return ses.session_states(s)
 
 
@@ -99,7 +99,7 @@ def q_clock_state(spark, sf_dir):
 SELECT student_id, meeting_date, need_help, need_help_at, need_task, need_task_at
 FROM sessions_raw""")
 def q_need_state(spark, sf_dir):
-    return ses.need_state(Inputs(spark, sf_dir).punches, V.BOARD_AS_OF)
+    return ses.need_state(Inputs.of(spark, sf_dir).punches, V.BOARD_AS_OF)
 
 
 _BOARD_SQL = O.with_(*_ATT_BASE, O.session_fold("all_punches", O.BOARD_AS_OF),
@@ -120,7 +120,7 @@ board AS (
 
 
 def _board(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return att.status_board(i.students, i.all_punches, V.BOARD_AS_OF)
 
 
@@ -160,7 +160,7 @@ FROM students s
 LEFT JOIN sessions ds ON ds.student_id = s.student_id AND ds.meeting_date = {O.BOARD_DAY}
 WHERE s.is_active""")
 def q_student_today(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return att.student_today(i.students, i.all_punches, V.BOARD_AS_OF)
 
 
@@ -176,7 +176,7 @@ SELECT * FROM (
   FROM students st JOIN sessions ds ON ds.student_id = st.student_id
 ) WHERE recent_rank <= 30""")
 def q_student_history(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return att.student_history(i.students,
                                ses.daily_sessions(i.all_punches, V.ATTENDANCE_AS_OF))
 
@@ -208,7 +208,7 @@ SELECT t.student_id, t.full_name, t.subteam, t.days_clocked_in, t.last_day,
             AS DOUBLE) / 100.0 AS hours_total
 FROM totals t LEFT JOIN hours h ON h.student_id = t.student_id""")
 def q_attendance_report(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     sessions = ses.sessions_for_days(i.all_punches, V.REPORT_START, V.REPORT_END,
                                      V.ATTENDANCE_AS_OF)
     return att.attendance_report(i.students, sessions, V.REPORT_START, V.REPORT_END)
@@ -223,20 +223,20 @@ _CORR_BASE = (O.STUDENTS, O.CORRECTIONS)
 SELECT id, student_id, meeting_date, requested_clock_in, requested_clock_out, reason,
        status, created_at FROM valid_requests""")
 def q_correction_requests(spark, sf_dir):
-    return Inputs(spark, sf_dir).validated_corrections[0]
+    return Inputs.of(spark, sf_dir).validated_corrections[0]
 
 
 @query("correction_rejects", O.with_(*_CORR_BASE) + """
 SELECT *, 'Student not found' AS reject_reason FROM correction_requests
 WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
 def q_correction_rejects(spark, sf_dir):
-    return Inputs(spark, sf_dir).validated_corrections[1]
+    return Inputs.of(spark, sf_dir).validated_corrections[1]
 
 
 @query("correction_decide", O.with_(*_CORR_BASE) + """
 SELECT * FROM corrections""")
 def q_correction_decide(spark, sf_dir):
-    return Inputs(spark, sf_dir).corrections
+    return Inputs.of(spark, sf_dir).corrections
 
 
 @query("decision_rejects", O.with_(*_CORR_BASE, """
@@ -252,13 +252,13 @@ FROM all_dec a LEFT JOIN corrections c ON c.id = a.correction_id
 WHERE a.st NOT IN ('approved', 'denied') OR a.rc IS NULL OR a."at" < a.rc
    OR (a."at", a.seq) <> (c.decided_at, c.decision_seq)""")
 def q_decision_rejects(spark, sf_dir):
-    return Inputs(spark, sf_dir).decided_corrections[1]
+    return Inputs.of(spark, sf_dir).decided_corrections[1]
 
 
 @query("correction_apply", O.with_(*_CORR_BASE) + """
 SELECT * FROM set_events""")
 def q_correction_apply(spark, sf_dir):
-    return Inputs(spark, sf_dir).set_events
+    return Inputs.of(spark, sf_dir).set_events
 
 
 @query("corrections_list", O.with_(*_CORR_BASE) + """
@@ -268,7 +268,7 @@ WHERE c.status = 'pending'
 ORDER BY c.created_at DESC, c.id DESC LIMIT 200""")
 def q_corrections_list(spark, sf_dir):
     from ..operators.corrections import corrections_list
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return corrections_list(i.corrections, i.students, status="pending")
 
 
@@ -315,7 +315,7 @@ UNION ALL
 SELECT task_id, student_id, assigned_at, unassigned_at FROM task_assignments
 WHERE unassigned_at IS NOT NULL""")
 def q_assignments_dedup(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.assignments_dedup(i.assignments, V.TASK_AS_OF).drop("id")
 
 
@@ -345,7 +345,7 @@ c2 AS (
 )""") + """
 SELECT task_id, student_id, "at" AS assigned_at, nxt AS unassigned_at FROM c2 WHERE opens""")
 def q_assignment_intervals(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     valid, _ = tk.validate_task_events(i.task_events, i.students)
     return tk.assignment_intervals(valid)
 
@@ -353,20 +353,20 @@ def q_assignment_intervals(spark, sf_dir):
 @query("task_last_comment", O.with_(O.COMMENTS) + """
 SELECT task_id, max(created_at) AS last_comment_at FROM task_comments GROUP BY task_id""")
 def q_task_last_comment(spark, sf_dir):
-    return tk.task_last_comment(Inputs(spark, sf_dir).comments)
+    return tk.task_last_comment(Inputs.of(spark, sf_dir).comments)
 
 
 @query("task_last_assignment", O.with_(O.ASSIGNMENTS) + """
 SELECT task_id, max(assigned_at) AS last_assigned_at FROM task_assignments
 WHERE unassigned_at IS NULL GROUP BY task_id""")
 def q_task_last_assignment(spark, sf_dir):
-    return tk.task_last_assignment(Inputs(spark, sf_dir).assignments)
+    return tk.task_last_assignment(Inputs.of(spark, sf_dir).assignments)
 
 
 @query("task_assignees", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + """
 SELECT task_id, n_assignees, CAST(assignees AS VARCHAR) AS assignees FROM assignees""")
 def q_task_assignees(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     a = tk.task_assignees(i.assignments, i.students)
     return a.select("task_id", "n_assignees", tk.assignees_json("assignees").alias("assignees"))
 
@@ -378,7 +378,7 @@ FROM tasks t
 LEFT JOIN last_comment lc ON lc.task_id = t.id
 LEFT JOIN last_assign la ON la.task_id = t.id""")
 def q_task_staleness(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.task_staleness(i.tasks, i.comments, i.assignments, V.TASK_AS_OF)
 
 
@@ -394,7 +394,7 @@ LEFT JOIN last_assign la ON la.task_id = t.id
 LEFT JOIN assignees a ON a.task_id = t.id
 WHERE NOT t.archived""")
 def q_task_board(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.task_board(i.tasks, i.assignments, i.comments, i.students, V.TASK_AS_OF)
 
 
@@ -407,7 +407,7 @@ LEFT JOIN (
   FROM tasks WHERE NOT archived GROUP BY 1
 ) n ON n.col = c.col""")
 def q_task_column_counts(spark, sf_dir):
-    return tk.task_column_counts(Inputs(spark, sf_dir).tasks)
+    return tk.task_column_counts(Inputs.of(spark, sf_dir).tasks)
 
 
 @query("my_tasks", O.with_(O.TASKS, O.ASSIGNMENTS) + """
@@ -416,7 +416,7 @@ SELECT DISTINCT a.task_id, a.student_id, t.title, t.subteam, t.status, t.archive
 FROM task_assignments a JOIN tasks t ON t.id = a.task_id
 WHERE a.unassigned_at IS NULL""")
 def q_my_tasks(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.my_tasks(i.assignments, i.tasks)
 
 
@@ -450,7 +450,7 @@ SELECT id, task_id,
        "at" AS created_at
 FROM judged WHERE reject_reason IS NULL""")
 def q_comment_attribute(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[0]
 
 
@@ -458,14 +458,14 @@ def q_comment_attribute(spark, sf_dir):
 SELECT id, task_id, "at", student_id, author_type, author_label, comment, reject_reason
 FROM judged WHERE reject_reason IS NOT NULL""")
 def q_comment_rejects(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[1]
 
 
 @query("comment_feed", O.with_(O.COMMENTS) + """
 SELECT id, task_id, author_type, author_label, comment, created_at FROM task_comments""")
 def q_comment_feed(spark, sf_dir):
-    return tk.comment_feed(Inputs(spark, sf_dir).comments)
+    return tk.comment_feed(Inputs.of(spark, sf_dir).comments)
 
 
 def _last(cond, value):
@@ -507,7 +507,7 @@ SELECT task_id AS id, title, subteam,
        description, archived, created_at, updated_at
 FROM folded""")
 def q_task_fold(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     valid, _ = tk.validate_task_events(i.task_events, i.students)
     return tk.task_fold(valid, V.TASK_AS_OF)
 
@@ -552,14 +552,14 @@ FROM manual_ok {where}"""
 
 @query("manual_attendance", O.with_(O.STUDENTS, _MANUAL_SQL) + _manual_events_sql("patch"))
 def q_manual_attendance(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")[0]
 
 
 @query("manual_attendance_replace", O.with_(O.STUDENTS, _MANUAL_SQL)
        + _manual_events_sql("replace"))
 def q_manual_attendance_replace(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "replace")[0]
 
 
@@ -567,7 +567,7 @@ def q_manual_attendance_replace(spark, sf_dir):
 SELECT *, 'Student not found' AS reject_reason FROM manual_raw
 WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
 def q_manual_rejects(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")[1]
 
 
@@ -580,7 +580,7 @@ def q_manual_rejects(spark, sf_dir):
 SELECT * FROM sessions""")
 def q_sessions_with_manual(spark, sf_dir):
     """The full C-1 log: punches, approved corrections and manual entries."""
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     manual, _ = corr.manual_attendance(V.manual_entries(spark, sf_dir), i.students, "patch")
     return ses.daily_sessions(i.all_punches.unionByName(manual), V.ATTENDANCE_AS_OF)
 
@@ -627,14 +627,14 @@ FROM students_full s FULL OUTER JOIN req_last r ON r.full_name = s.full_name"""
 
 @query("roster_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(False))
 def q_roster_upsert(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=False)
     return r.drop("student_id")
 
 
 @query("roster_seed_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(True))
 def q_roster_seed_upsert(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=True)
     return r.drop("student_id")
 
@@ -664,7 +664,7 @@ SELECT s.student_id, coalesce(p.n, s.full_name) AS full_name, coalesce(p.st, s.s
        TIMESTAMP '2023-09-01 00:00:00' AS created_at
 FROM students s LEFT JOIN per p ON p.student_id = s.student_id""")
 def q_roster_patch(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[0]
 
 
@@ -672,7 +672,7 @@ def q_roster_patch(spark, sf_dir):
 SELECT *, 'Student not found' AS reject_reason FROM roster_patches
 WHERE student_id NOT IN (SELECT student_id FROM students)""")
 def q_roster_patch_rejects(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[1]
 
 
@@ -682,7 +682,7 @@ from ..operators import audits as au  # noqa: E402
 
 
 def _audit_tables(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     return {"students": i.students, "tasks": i.tasks, "task_assignments": i.assignments,
             "task_comments": i.comments,
             "daily_sessions": ses.session_fold(i.all_punches, V.ATTENDANCE_AS_OF),
@@ -762,7 +762,7 @@ def q_session_stream(spark, sf_dir):
     from ..operators.gate import gate_active
     from ..session import checkpoint_root
     from ..streaming.sessions_stream import run_session_stream
-    i = Inputs(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir)
     run = f"{checkpoint_root(spark).rstrip('/')}/rollcall-stream-{uuid.uuid4().hex}"
     stream = gate_active(V.punches_stream(spark, sf_dir), i.students)
     run_session_stream(spark, stream, f"{run}/sink", f"{run}/checkpoint")

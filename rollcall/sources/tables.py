@@ -24,13 +24,37 @@ DOMAIN_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+# Declared schemas of the shared source tables: reads never infer (no
+# footer round trip on the driver, and a drifted file fails loudly).
+SOURCE_SCHEMAS: dict[str, str] = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+              "value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
+def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    r = spark.read
+    if schema is not None:
+        r = r.schema(schema)
+    return r.parquet(path)
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """``<base_dir>/<name>.parquet`` (file or directory)."""
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    """``<base_dir>/<name>.parquet`` (file or directory), with its declared
+    schema when one is known."""
+    return read_parquet(spark, f"{base_dir.rstrip('/')}/{name}.parquet",
+                        SOURCE_SCHEMAS.get(name) or DOMAIN_SCHEMAS.get(name))
 
 
 def load_tables(spark: SparkSession, base_dir: str, names=None) -> dict[str, DataFrame]:
