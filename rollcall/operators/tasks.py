@@ -64,23 +64,51 @@ def assignments_dedup(assignments: DataFrame, as_of) -> DataFrame:
     return fixed.unionByName(closed)
 
 
-def assignment_intervals(task_events: DataFrame) -> DataFrame:
+def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None) -> DataFrame:
     """O-54..O-56: join / assign / clock-in-with-task open an assignment
     unless one is open; leave closes the open one (a no-op otherwise).
 
     Per (task, student) in ``(at, seq)`` order, keep only the events that
     change the state (open vs closed, starting closed); the openings are the
-    intervals and the following change is their ``unassigned_at``."""
+    intervals and the following change is their ``unassigned_at``.
+
+    Skew: the log is range-partitioned on ``(task, student, at, seq)``, so a
+    pair with a huge log is split into consecutive segments on several
+    tasks.  ``lag``/``lead`` run inside each (range, pair) segment; what
+    crosses a segment boundary is carried by per-segment summaries (one row
+    per range and pair) -- a two-level prefix scan with no unbounded group.
+    """
     ev = task_events.where(F.col("kind").isin(*OPENING_KINDS, "leave")
                            & F.col("student_id").isNotNull())
-    ev = ev.withColumn("_opens", F.col("kind") != "leave")
-    w = Window.partitionBy("task_id", "student_id").orderBy("at", "seq")
-    changes = (ev.withColumn("_prev", F.coalesce(F.lag("_opens").over(w), F.lit(False)))
-               .where(F.col("_prev") != F.col("_opens")))
-    return (changes.withColumn("_next", F.lead("at").over(w))
-            .where(F.col("_opens"))
+    ev = ev.select("task_id", "student_id", "at", "seq",
+                   (F.col("kind") != "leave").alias("_opens"))
+    n = num_ranges or int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = ["task_id", "student_id"]
+    seg_key = ["_range"] + pair
+    ev = (ev.repartitionByRange(n, *pair, "at", "seq")
+          .withColumn("_range", F.spark_partition_id()))
+    w_seg = Window.partitionBy(*seg_key).orderBy("at", "seq")
+    w_pair = Window.partitionBy(*pair).orderBy("_range")
+
+    # 1. State before each event: the previous event of its segment, else the
+    #    last state of the pair's previous segment, else closed.
+    ev = ev.withColumn("_prev_local", F.lag("_opens").over(w_seg))
+    seg = (ev.groupBy(*seg_key).agg(F.max(F.struct("at", "seq", "_opens")).alias("_last"))
+           .withColumn("_carry", F.lag(F.col("_last._opens")).over(w_pair))
+           .select(*seg_key, "_carry"))
+    ev = ev.join(seg, seg_key, "left")
+    prev = F.coalesce(F.col("_prev_local"), F.col("_carry"), F.lit(False))
+    changes = ev.where(prev != F.col("_opens")).select(*seg_key, "at", "seq", "_opens")
+
+    # 2. Changes alternate open/close: an opening ends at the next change --
+    #    in its segment, else the first change of the next segment that has one.
+    changes = changes.withColumn("_next_local", F.lead("at").over(w_seg))
+    cseg = (changes.groupBy(*seg_key).agg(F.min(F.struct("at", "seq")).alias("_first"))
+            .withColumn("_carry_next", F.lead(F.col("_first.at")).over(w_pair))
+            .select(*seg_key, "_carry_next"))
+    return (changes.where(F.col("_opens")).join(cseg, seg_key, "left")
             .select("task_id", "student_id", F.col("at").alias("assigned_at"),
-                    F.col("_next").alias("unassigned_at")))
+                    F.coalesce("_next_local", "_carry_next").alias("unassigned_at")))
 
 
 # ------------------------------------------------------------ per-task facts

@@ -137,3 +137,24 @@ def test_assignment_intervals_match_sequential_handlers(spark, seed):
                   for r in tk.assignment_intervals(df).collect()),
                  key=lambda x: (x[0], x[1], x[2]))
     assert got == interpret_intervals(events)
+
+
+def test_assignment_intervals_hot_pair_split_over_ranges(spark):
+    """One (task, student) pair holding most of the log is split across many
+    range partitions; the carried state must stitch the segments."""
+    rng = random.Random(9)
+    base = dt.datetime(2024, 1, 1)
+    events = []
+    for i in range(900):
+        hot = rng.random() < 0.8
+        events.append(dict(task_id=1 if hot else rng.randint(2, 4),
+                           student_id=1 if hot else rng.randint(1, 3),
+                           at=base + dt.timedelta(minutes=rng.randint(0, 5000)), seq=i,
+                           kind=rng.choice(["join", "join", "leave", "assign", "leave"])))
+    rows = [tuple(e.get(f.name) for f in schemas.TASK_EVENTS.fields) for e in events]
+    df = spark.createDataFrame(rows, schemas.TASK_EVENTS)
+    for n in (1, 7, 16):
+        got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
+                      for r in tk.assignment_intervals(df, num_ranges=n).collect()),
+                     key=lambda x: (x[0], x[1], x[2]))
+        assert got == interpret_intervals(events), n
