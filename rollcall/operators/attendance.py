@@ -128,3 +128,22 @@ def attendance_report(students: DataFrame, sessions: DataFrame, start, end) -> D
 def order_by_name(df: DataFrame) -> DataFrame:
     """O-33: the sink order used by every roster-shaped result."""
     return df.orderBy(F.col("full_name").asc_nulls_last(), F.col("student_id"))
+
+
+def board_display(board: DataFrame) -> DataFrame:
+    """O-38n/O-38o/O-09: the board cards as text -- ``name (subteam)``, the
+    badge, Eastern in/out times (an em dash when missing), the meeting day
+    as MM/dd/yyyy ('' when none) and the flags as labels."""
+    from ..functions.format import fmt_date, fmt_time
+    from ..functions.text import name_with_subteam
+    flags = F.concat_ws(" ", F.when(F.col("need_help"), F.lit("HELP")),
+                        F.when(F.col("need_task"), F.lit("TASK")))
+    return board.select(
+        "student_id",
+        name_with_subteam("full_name", "subteam").alias("label"),
+        "badge",
+        fmt_date("meeting_date").alias("day"),
+        fmt_time("clock_in_at").alias("in_time"),
+        fmt_time("clock_out_at").alias("out_time"),
+        F.coalesce(F.col("working_on"), F.lit("")).alias("working_on"),
+        flags.alias("flags"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, js_trim
 from ..functions.timez import (HHMM_RE, ISO_DATE_RE, hhmm_minutes, local_date_time,
                                parse_iso_date)
-from .gate import active_ids
+from .gate import active_ids, checked_broadcast
 
 LIST_LIMIT = 200          # fixed value: newest corrections shown to mentors
 NOTE_MAX = 500            # fixed value: note length kept by the older route
@@ -30,7 +30,7 @@ def _first_failure(rules):
 
 def _with_active_flag(df: DataFrame, students: DataFrame) -> DataFrame:
     act = active_ids(students).withColumn("_active", F.lit(True))
-    return df.join(act, "student_id", "left")
+    return df.join(checked_broadcast(act), "student_id", "left")
 
 
 def validate_corrections(requests: DataFrame, students: DataFrame):

@@ -150,6 +150,27 @@ def q_needs_queue(spark, sf_dir):
     return att.needs_queue(_board(spark, sf_dir))
 
 
+def _fmt_time_sql(col):
+    return (f"coalesce(strftime(timezone('America/New_York', timezone('UTC', {col})), "
+            f"'%I:%M %p'), '—')")
+
+
+@query("board_display", _BOARD_SQL + f"""
+SELECT student_id,
+       CASE WHEN coalesce(subteam, '') = '' THEN full_name
+            ELSE full_name || ' (' || subteam || ')' END AS label,
+       badge,
+       coalesce(strftime(meeting_date, '%m/%d/%Y'), '') AS day,
+       {_fmt_time_sql('clock_in_at')} AS in_time,
+       {_fmt_time_sql('clock_out_at')} AS out_time,
+       coalesce(working_on, '') AS working_on,
+       concat_ws(' ', CASE WHEN need_help THEN 'HELP' END,
+                 CASE WHEN need_task THEN 'TASK' END) AS flags
+FROM board""")
+def q_board_display(spark, sf_dir):
+    return att.board_display(_board(spark, sf_dir))
+
+
 @query("student_today", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.BOARD_AS_OF),
                                 O.auto_close("sessions_raw", O.BOARD_AS_OF)) + f"""
 SELECT s.student_id, {O.BOARD_DAY} AS day,
