@@ -17,10 +17,18 @@ from pyspark.sql import functions as F
 ROSTER_BROADCAST_MAX_ROWS = 5_000_000
 
 
+_COUNTS: dict = {}
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = ROSTER_BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
-    ``df`` unchanged.  The count runs once on the (small) dimension side."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    ``df`` unchanged.  The count runs on the (small) dimension side, once
+    per logical plan and session."""
+    key = (id(df.sparkSession), df.semanticHash())
+    n = _COUNTS.get(key)
+    if n is None:
+        n = _COUNTS[key] = df.count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def active_ids(students: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, is_blank, js_trim, task_label
 from ..functions.timez import STALE_DAYS, ts_lit
 from ..schemas import TASK_STATUSES
+from ..session import checkpoint_root
 from .gate import checked_broadcast
 from .sessions import last_write
 
@@ -86,8 +87,12 @@ def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None)
     n = num_ranges or int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = ["task_id", "student_id"]
     seg_key = ["_range"] + pair
+    # Range numbers come from the physical partition, so fix them (and cut
+    # the lineage) with a reliable checkpoint in the shared checkpoint dir.
+    checkpoint_root(ev.sparkSession)
     ev = (ev.repartitionByRange(n, *pair, "at", "seq")
-          .withColumn("_range", F.spark_partition_id()))
+          .withColumn("_range", F.spark_partition_id())
+          .checkpoint(eager=True))
     w_seg = Window.partitionBy(*seg_key).orderBy("at", "seq")
     w_pair = Window.partitionBy(*pair).orderBy("_range")
 
