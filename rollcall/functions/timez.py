@@ -62,8 +62,8 @@ def hhmm_minutes(s) -> Column:
 
     PostgreSQL's ``time`` accepts 24:00 (the next midnight), so do we."""
     s = _c(s)
-    hh = F.substring(s, 1, 2).cast("int")
-    mm = F.substring(s, 4, 2).cast("int")
+    hh = F.substring(s, 1, 2).try_cast("int")
+    mm = F.substring(s, 4, 2).try_cast("int")
     ok = s.rlike(HHMM_RE) & (mm <= 59) & ((hh <= 23) | ((hh == 24) & (mm == 0)))
     return F.when(ok, hh * 60 + mm)
 

@@ -90,7 +90,7 @@ def student_history(students: DataFrame, sessions: DataFrame,
     WindowGroupLimit on both sides of the shuffle, so a student with a very
     long history sends at most ``limit`` rows per input partition."""
     w = Window.partitionBy("student_id").orderBy(F.col("meeting_date").desc())
-    recent = (sessions.withColumn("recent_rank", F.row_number().over(w))
+    recent = (sessions.withColumn("recent_rank", F.row_number().over(w).cast("long"))
               .where(F.col("recent_rank") <= limit))
     header = students.select("student_id", "full_name",
                              F.col("subteam").alias("student_subteam"))

@@ -190,6 +190,11 @@ def conform(df: DataFrame, schema: T.StructType,
     for field in schema.fields:
         if field.name in present:
             c = F.col(field.name)
+            # A file written before the column existed reads back as NULL
+            # under the declared schema: the declared default applies.
+            if defaults.get(field.name) is not None:
+                d = defaults[field.name]
+                c = F.coalesce(c, d if isinstance(d, Column) else F.lit(d))
         else:
             d = defaults.get(field.name)
             c = d if isinstance(d, Column) else F.lit(d)

@@ -34,3 +34,15 @@ def test_board_prunes_events_scan(spark):
 def test_corrections_list_is_top_k(spark):
     df = E.queries()["corrections_list"](spark, SF)
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roster_joins_are_broadcast(spark):
+    for name in ("gate_active", "attendance_report", "status_board"):
+        p = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in p, name
+
+
+def test_fold_pre_aggregates_before_shuffle(spark):
+    p = E.queries()["session_fold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # partial aggregate below the exchange, final above it
+    assert p.count("SortAggregate") >= 2 or p.count("HashAggregate") >= 2
