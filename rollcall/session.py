@@ -37,13 +37,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this must already be set (a shared filesystem every executor
     can reach).  Only when it is unset -- local tests -- do we pick a fresh
-    scratch folder and register it.
-    """
+    scratch folder and register it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext
+        sc = None
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="rollcall-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir() or path
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
