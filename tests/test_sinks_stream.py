@@ -73,3 +73,33 @@ def test_stream_equals_batch_on_closed_days(spark):
     assert got.select(*batch.columns).exceptAll(batch).count() == 0
     assert batch.where("meeting_date <= date'2024-01-10'").exceptAll(
         got.select(*batch.columns)).count() == 0
+
+
+def test_correction_stream_refreshes_only_touched_days(spark):
+    from rollcall import schemas
+    from rollcall.streaming.corrections_stream import run_correction_stream
+    rows = [dict(student_id=1, at=T("2024-01-10 15:00"), seq=1, kind="clock_in"),
+            dict(student_id=1, at=T("2024-01-10 16:00"), seq=2, kind="clock_out"),
+            dict(student_id=2, at=T("2024-01-11 15:00"), seq=3, kind="clock_in"),
+            dict(student_id=2, at=T("2024-01-11 17:00"), seq=4, kind="clock_out")]
+    punch_log, set_log = fresh(spark, "punch-log"), fresh(spark, "set-log")
+    sessions_path = fresh(spark, "sessions")
+    punches_df(spark, rows).write.parquet(punch_log)
+    from rollcall.sources.sinks import overwrite_session_days
+    overwrite_session_days(ses.session_fold(punches_df(spark, rows)), sessions_path)
+    # an empty set-event log to start from
+    spark.createDataFrame([], schemas.PUNCHES).write.parquet(set_log)
+    late = [dict(student_id=1, at=T("2024-01-12 09:00"), seq=10, kind="set_both",
+                 meeting_date=dt.date(2024, 1, 10), set_in=T("2024-01-10 14:00"),
+                 set_out=T("2024-01-10 18:00")),
+            dict(student_id=3, at=T("2024-01-12 09:05"), seq=11, kind="set_in",
+                 meeting_date=dt.date(2024, 1, 9), set_in=T("2024-01-09 22:00"))]
+    src = fresh(spark, "late")
+    punches_df(spark, late).write.parquet(src)
+    run = fresh(spark, "corr-stream")
+    stream = spark.readStream.schema(schemas.PUNCHES).parquet(src)
+    run_correction_stream(spark, stream, punch_log, set_log, sessions_path, f"{run}/ckpt")
+    got = spark.read.parquet(sessions_path)
+    want = ses.session_fold(punches_df(spark, rows + late))
+    assert got.select(*want.columns).exceptAll(want).count() == 0
+    assert want.exceptAll(got.select(*want.columns)).count() == 0
