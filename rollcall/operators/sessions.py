@@ -81,31 +81,38 @@ def session_fold(punches: DataFrame, as_of=None) -> DataFrame:
     return ev.groupBy(*SESSION_KEY).agg(*fold_aggregates()).select(*SESSION_COLUMNS)
 
 
+def last_write_sql(cond: str, value: str) -> str:
+    """SQL text of ``last_write`` (one JVM call to build, same plan)."""
+    return f"max_by(struct({value} AS v), CASE WHEN {cond} THEN struct(`at`, seq) END).v"
+
+
+_SET_IN = "kind IN ('set_in', 'set_both')"
+_WRITES_OUT = "kind IN ('clock_in', 'clock_out', 'set_out', 'set_both')"
+_OUT_VALUE = ("CASE WHEN kind = 'clock_out' THEN `at` "
+              "WHEN kind IN ('set_out', 'set_both') THEN set_out END")
+_HELP, _TASK = "kind = 'need_help'", "kind = 'need_task'"
+_FLAG = "coalesce(value, false)"
+_FLAG_AT = "CASE WHEN coalesce(value, false) THEN `at` END"
+
+_FOLD_SQL = [
+    ("clock_in_at", f"coalesce({last_write_sql(_SET_IN, 'set_in')}, "
+                    "min(CASE WHEN kind = 'clock_in' THEN `at` END))"),
+    ("clock_out_at", last_write_sql(_WRITES_OUT, _OUT_VALUE)),
+    ("subteam", last_write_sql("coalesce(subteam, '') <> ''", "subteam")),
+    ("working_on", f"coalesce({last_write_sql('working_on IS NOT NULL', 'working_on')}, '')"),
+    ("need_help", f"coalesce({last_write_sql(_HELP, _FLAG)}, false)"),
+    ("need_help_at", last_write_sql(_HELP, _FLAG_AT)),
+    ("need_task", f"coalesce({last_write_sql(_TASK, _FLAG)}, false)"),
+    ("need_task_at", last_write_sql(_TASK, _FLAG_AT)),
+    ("task_id", last_write_sql("kind = 'clock_in' AND task_id IS NOT NULL", "task_id")),
+    ("updated_at", "max(`at`)"),
+]
+
+
 def fold_aggregates() -> list[Column]:
     """The C-1 aggregates over one session's events (shared by the batch
     fold and the streaming fold)."""
-    kind = F.col("kind")
-    out_value = (F.when(kind == "clock_out", F.col("at"))
-                 .when(kind.isin("set_out", "set_both"), F.col("set_out")))
-    help_, task_ = kind == "need_help", kind == "need_task"
-    val = F.coalesce(F.col("value"), F.lit(False))
-    return [
-        F.coalesce(last_write(kind.isin("set_in", "set_both"), F.col("set_in")),
-                   F.min(F.when(kind == "clock_in", F.col("at")))).alias("clock_in_at"),
-        last_write(kind.isin("clock_in", "clock_out", "set_out", "set_both"),
-                   out_value).alias("clock_out_at"),
-        last_write(F.coalesce(F.col("subteam"), F.lit("")) != "",
-                   F.col("subteam")).alias("subteam"),
-        F.coalesce(last_write(F.col("working_on").isNotNull(), F.col("working_on")),
-                   F.lit("")).alias("working_on"),
-        F.coalesce(last_write(help_, val), F.lit(False)).alias("need_help"),
-        last_write(help_, F.when(val, F.col("at"))).alias("need_help_at"),
-        F.coalesce(last_write(task_, val), F.lit(False)).alias("need_task"),
-        last_write(task_, F.when(val, F.col("at"))).alias("need_task_at"),
-        last_write((kind == "clock_in") & F.col("task_id").isNotNull(),
-                   F.col("task_id")).alias("task_id"),
-        F.max("at").alias("updated_at"),
-    ]
+    return [F.expr(sql).alias(name) for name, sql in _FOLD_SQL]
 
 
 def auto_close(sessions: DataFrame, as_of) -> DataFrame:

@@ -279,22 +279,22 @@ EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type stri
 
 def punches_from_events(e: DataFrame) -> DataFrame:
     """The punch mapping for any events DataFrame (batch or streaming)."""
-    kind = _kind(F.col("event_type"))
-    k = F.get_json_object(F.col("props"), "$.k").cast("long")
-    is_need = kind.isin("need_help", "need_task")
-    carries_work = kind.isin("clock_in", "update")
-    return e.where(kind.isNotNull()).select(
-        F.col("user_id").alias("student_id"),
-        F.col("ts").alias("at"),
-        F.col("event_id").alias("seq"),
-        kind.alias("kind"),
-        F.lit(None).cast("date").alias("meeting_date"),
-        F.lit(None).cast("string").alias("subteam"),
-        F.when(carries_work, F.concat(F.lit("k"), k.cast("string"))).alias("working_on"),
-        F.when(kind == "clock_in", k).alias("task_id"),
-        F.when(is_need, (k % 2) == 0).alias("value"),
-        F.lit(None).cast("timestamp_ntz").alias("set_in"),
-        F.lit(None).cast("timestamp_ntz").alias("set_out"),
+    kind = "CASE event_type " + " ".join(
+        f"WHEN '{et}' THEN '{k}'" for et, k in EVENT_KIND.items()) + " END"
+    k = "CAST(get_json_object(props, '$.k') AS BIGINT)"
+    return e.where(F.col("event_type").isin(*EVENT_KIND)).selectExpr(
+        "user_id AS student_id",
+        "ts AS `at`",
+        "event_id AS seq",
+        f"{kind} AS kind",
+        "CAST(NULL AS DATE) AS meeting_date",
+        "CAST(NULL AS STRING) AS subteam",
+        f"CASE WHEN event_type IN ('signup', 'view') THEN concat('k', CAST({k} AS STRING)) END"
+        " AS working_on",
+        f"CASE WHEN event_type = 'signup' THEN {k} END AS task_id",
+        f"CASE WHEN event_type IN ('click', 'error') THEN {k} % 2 = 0 END AS value",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS set_in",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS set_out",
     )
 
 
