@@ -281,8 +281,12 @@ def punches_from_events(e: DataFrame) -> DataFrame:
     """The punch mapping for any events DataFrame (batch or streaming)."""
     kind = "CASE event_type " + " ".join(
         f"WHEN '{et}' THEN '{k}'" for et, k in EVENT_KIND.items()) + " END"
-    k = "CAST(get_json_object(props, '$.k') AS BIGINT)"
-    return e.where(F.col("event_type").isin(*EVENT_KIND)).selectExpr(
+    k = "_k"
+    # Parse the payload once per row (a non-trivial expression referenced
+    # three times is not inlined back by the optimizer).
+    e = e.where(F.col("event_type").isin(*EVENT_KIND)).withColumn(
+        "_k", F.get_json_object("props", "$.k").cast("long"))
+    return e.selectExpr(
         "user_id AS student_id",
         "ts AS `at`",
         "event_id AS seq",
