@@ -26,6 +26,7 @@ def test_history_uses_window_group_limit(spark):
 
 
 def test_board_prunes_events_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     df = E.queries()["status_board"](spark, SF)
     txt = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in txt and "LessThan(ts" in txt
