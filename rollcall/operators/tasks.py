@@ -66,7 +66,13 @@ def assignments_dedup(assignments: DataFrame, as_of) -> DataFrame:
     return fixed.unionByName(closed)
 
 
-def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None) -> DataFrame:
+# Fixed value: the longest (task, student) log one task folds with a plain
+# window; longer logs take the segmented path.
+HOT_PAIR_ROWS = 2_000_000
+
+
+def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None,
+                         hot_pair_rows: int | None = HOT_PAIR_ROWS) -> DataFrame:
     """O-54..O-56: join / assign / clock-in-with-task open an assignment
     unless one is open; leave closes the open one (a no-op otherwise).
 
@@ -74,16 +80,38 @@ def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None)
     change the state (open vs closed, starting closed); the openings are the
     intervals and the following change is their ``unassigned_at``.
 
-    Skew: the log is range-partitioned on ``(task, student, at, seq)``, so a
-    pair with a huge log is split into consecutive segments on several
-    tasks.  ``lag``/``lead`` run inside each (range, pair) segment; what
-    crosses a segment boundary is carried by per-segment summaries (one row
-    per range and pair) -- a two-level prefix scan with no unbounded group.
+    Skew: one pre-aggregated count finds the longest pair log.  When every
+    pair is under ``hot_pair_rows`` a plain window per pair is used.
+    Otherwise (or with ``hot_pair_rows=None``) the segmented path runs: the
+    log is range-partitioned on ``(task, student, at, seq)`` so a hot pair
+    is split into consecutive segments on several tasks, ``lag``/``lead`` run
+    inside each (range, pair) segment, and what crosses a segment boundary
+    is carried by per-segment summaries (one row per range and pair).
     """
     ev = task_events.where(F.col("kind").isin(*OPENING_KINDS, "leave")
                            & F.col("student_id").isNotNull())
     ev = ev.select("task_id", "student_id", "at", "seq",
                    (F.col("kind") != "leave").alias("_opens"))
+    pair = ["task_id", "student_id"]
+    if hot_pair_rows is not None:
+        longest = (ev.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
+                   .agg(F.max("_n").alias("m")).first()["m"])
+        if longest is None or longest <= hot_pair_rows:
+            return _intervals_by_pair_window(ev)
+    return _intervals_segmented(ev, num_ranges)
+
+
+def _intervals_by_pair_window(ev: DataFrame) -> DataFrame:
+    w = Window.partitionBy("task_id", "student_id").orderBy("at", "seq")
+    changes = (ev.withColumn("_prev", F.coalesce(F.lag("_opens").over(w), F.lit(False)))
+               .where(F.col("_prev") != F.col("_opens")))
+    return (changes.withColumn("_next", F.lead("at").over(w))
+            .where(F.col("_opens"))
+            .select("task_id", "student_id", F.col("at").alias("assigned_at"),
+                    F.col("_next").alias("unassigned_at")))
+
+
+def _intervals_segmented(ev: DataFrame, num_ranges: int | None) -> DataFrame:
     n = num_ranges or int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = ["task_id", "student_id"]
     seg_key = ["_range"] + pair

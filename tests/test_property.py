@@ -133,10 +133,11 @@ def test_assignment_intervals_match_sequential_handlers(spark, seed):
                            kind=rng.choice(["join", "assign", "clock_in", "leave", "leave"])))
     rows = [tuple(e.get(f.name) for f in schemas.TASK_EVENTS.fields) for e in events]
     df = spark.createDataFrame(rows, schemas.TASK_EVENTS).repartition(3)
-    got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
-                  for r in tk.assignment_intervals(df).collect()),
-                 key=lambda x: (x[0], x[1], x[2]))
-    assert got == interpret_intervals(events)
+    for hot in (tk.HOT_PAIR_ROWS, None):
+        got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
+                      for r in tk.assignment_intervals(df, hot_pair_rows=hot).collect()),
+                     key=lambda x: (x[0], x[1], x[2]))
+        assert got == interpret_intervals(events), hot
 
 
 def test_assignment_intervals_hot_pair_split_over_ranges(spark):
@@ -155,6 +156,7 @@ def test_assignment_intervals_hot_pair_split_over_ranges(spark):
     df = spark.createDataFrame(rows, schemas.TASK_EVENTS)
     for n in (1, 7, 16):
         got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
-                      for r in tk.assignment_intervals(df, num_ranges=n).collect()),
+                      for r in tk.assignment_intervals(df, num_ranges=n,
+                                                       hot_pair_rows=100).collect()),
                      key=lambda x: (x[0], x[1], x[2]))
         assert got == interpret_intervals(events), n
