@@ -156,6 +156,8 @@ def manual_attendance(entries: DataFrame, students: DataFrame, policy: str = "pa
     (``policy='replace'``).  Returns ``(events, rejects)``; events feed the
     session fold.
 
+    A NULL subteam takes the student's roster subteam (the form's default).
+
     patch:   each time only if non-empty; subteam if non-empty; working_on
              if non-NULL (an empty string clears it).
     replace: clock-in required; clock-out overwritten even by NULL; the
@@ -167,6 +169,11 @@ def manual_attendance(entries: DataFrame, students: DataFrame, policy: str = "pa
     has_in = tin.isNotNull() & (tin != "")
     has_out = tout.isNotNull() & (tout != "")
     df = _with_active_flag(entries, students)
+    # O-22c: the entry form starts from the roster subteam; an entry that
+    # does not name one (NULL, not '') carries that default.
+    roster = checked_broadcast(students.select(
+        "student_id", F.col("subteam").alias("_roster_subteam")))
+    df = df.join(roster, "student_id", "left")
     in_rule = ((~F.coalesce(tin.rlike(HHMM_RE), F.lit(False))) if policy == "replace"
                else (has_in & ~tin.rlike(HHMM_RE)))
     reason = _first_failure([
@@ -191,11 +198,11 @@ def manual_attendance(entries: DataFrame, students: DataFrame, policy: str = "pa
     events = ok.select(
         "student_id", "at", "seq", kind.alias("kind"),
         F.col("_d").alias("meeting_date"),
-        F.col("subteam"),
+        F.coalesce(F.col("subteam"), F.col("_roster_subteam")).alias("subteam"),
         working_on.alias("working_on"),
         F.lit(None).cast("long").alias("task_id"),
         F.lit(None).cast("boolean").alias("value"),
         F.when(has_in, local_date_time("_d", tin)).alias("set_in"),
         F.when(has_out, local_date_time("_d", tout)).alias("set_out"))
-    rejects = df.where(F.col("reject_reason").isNotNull()).drop("_active")
+    rejects = df.where(F.col("reject_reason").isNotNull()).drop("_active", "_roster_subteam")
     return events, rejects

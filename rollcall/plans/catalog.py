@@ -578,13 +578,16 @@ manual_raw AS (
          strftime({O.eastern_date('ts')}, '%Y-%m-%d') AS meeting_date,
          CASE WHEN event_id % 2 = 0 THEN '16:00' ELSE '' END AS clock_in_time,
          CASE WHEN event_id % 3 <> 0 THEN '18:15' ELSE '' END AS clock_out_time,
-         CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Build' END AS subteam,
+         CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL
+              ELSE 'Build' END AS subteam,
          CASE WHEN event_id % 7 = 0 THEN '' ELSE 'paper log' END AS working_on
   FROM events WHERE event_type = 'purchase' AND event_id % 23 = 0
 ),
 manual_ok AS (
-  SELECT *, CAST(meeting_date AS DATE) AS d FROM manual_raw
-  WHERE student_id IN (SELECT student_id FROM students WHERE is_active)
+  SELECT m.* REPLACE (coalesce(m.subteam, s.subteam) AS subteam),
+         CAST(m.meeting_date AS DATE) AS d
+  FROM manual_raw m JOIN students s ON s.student_id = m.student_id
+  WHERE s.is_active
 )"""
 
 

@@ -324,5 +324,6 @@ def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(eastern_date("ts"), "yyyy-MM-dd").alias("meeting_date"),
         F.when((eid % 2) == 0, F.lit("16:00")).otherwise(F.lit("")).alias("clock_in_time"),
         F.when((eid % 3) != 0, F.lit("18:15")).otherwise(F.lit("")).alias("clock_out_time"),
-        F.when((eid % 5) == 0, F.lit("")).otherwise(F.lit("Build")).alias("subteam"),
+        F.when((eid % 5) == 0, F.lit("")).when((eid % 11) == 0, F.lit(None).cast("string"))
+         .otherwise(F.lit("Build")).alias("subteam"),
         F.when((eid % 7) == 0, F.lit("")).otherwise(F.lit("paper log")).alias("working_on"))

@@ -131,3 +131,12 @@ def test_manual_rejects(spark):
     assert [r["kind"] for r in ev.collect()] == ["update"]
     _, rej_r = corr.manual_attendance(manual(spark, rows), st, "replace")
     assert {r["seq"] for r in rej_r.collect()} == {1, 2, 3}
+
+
+def test_manual_entry_defaults_subteam_from_roster(spark):
+    st = students_df(spark, STUDENTS)
+    rows = [(1, T("2024-01-10"), 1, "2024-01-08", "16:00", "", None, None),
+            (1, T("2024-01-10"), 2, "2024-01-09", "16:00", "", "", None)]
+    ev, _ = corr.manual_attendance(manual(spark, rows), st, "patch")
+    got = {r["seq"]: r["subteam"] for r in ev.collect()}
+    assert got == {1: "Build", 2: ""}
