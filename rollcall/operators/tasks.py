@@ -263,6 +263,16 @@ def task_column_counts(tasks: DataFrame, subteam: str | None = None,
         "column", "position", F.coalesce("n_tasks", F.lit(0)).cast("long").alias("n_tasks"))
 
 
+def task_column_pivot(tasks: DataFrame, include_archived: bool = False) -> DataFrame:
+    """O-31 as one row per subteam with a count per kanban column: a pivot
+    over the fixed column list (no pass to discover the values)."""
+    t = task_filter(tasks, None, None, include_archived)
+    p = (t.withColumn("_col", board_column()).groupBy("subteam")
+         .pivot("_col", TASK_STATUSES).agg(F.count(F.lit(1))))
+    return p.select("subteam", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                                 for c in TASK_STATUSES])
+
+
 def my_tasks(assignments: DataFrame, tasks: DataFrame) -> DataFrame:
     """O-22b: for each student, the tasks they are currently on."""
     pairs = open_assignments(assignments).select("task_id", "student_id").distinct()

@@ -141,6 +141,19 @@ def q_status_tiles(spark, sf_dir):
     return att.status_tiles(_board(spark, sf_dir))
 
 
+@query("status_tiles_by_subteam", _BOARD_SQL + """
+SELECT subteam,
+       count(*) FILTER (WHERE clock_in_at IS NOT NULL AND clock_out_at IS NULL) AS clocked_in,
+       count(*) FILTER (WHERE clock_in_at IS NOT NULL AND clock_out_at IS NOT NULL) AS clocked_out,
+       count(*) FILTER (WHERE clock_in_at IS NULL) AS not_clocked_in,
+       count(*) FILTER (WHERE need_help) AS need_help,
+       count(*) FILTER (WHERE need_task) AS need_task,
+       count(*) FILTER (WHERE need_help) + count(*) FILTER (WHERE need_task) AS help_or_task
+FROM board GROUP BY subteam""")
+def q_status_tiles_by_subteam(spark, sf_dir):
+    return att.status_tiles(_board(spark, sf_dir), by_subteam=True)
+
+
 @query("needs_queue", _BOARD_SQL + """
 SELECT 'help' AS kind, student_id, full_name, subteam, working_on, need_help_at AS requested_at
 FROM board WHERE need_help
@@ -466,6 +479,17 @@ def q_task_column_counts(spark, sf_dir):
     return tk.task_column_counts(Inputs.of(spark, sf_dir).tasks)
 
 
+@query("task_column_pivot", O.with_(O.TASKS) + """
+SELECT subteam,
+       count(*) FILTER (WHERE coalesce(status, '') NOT IN ('in_progress', 'blocked', 'done')) AS todo,
+       count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
+       count(*) FILTER (WHERE status = 'blocked') AS blocked,
+       count(*) FILTER (WHERE status = 'done') AS done
+FROM tasks WHERE NOT archived GROUP BY subteam""")
+def q_task_column_pivot(spark, sf_dir):
+    return tk.task_column_pivot(Inputs.of(spark, sf_dir).tasks)
+
+
 @query("my_tasks", O.with_(O.TASKS, O.ASSIGNMENTS) + """
 SELECT DISTINCT a.task_id, a.student_id, t.title, t.subteam, t.status, t.archived,
        '[' || t.subteam || '] ' || t.title || ' (' || replace(t.status, '_', ' ') || ')' AS label
