@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import blank_to_null, js_trim
+from .sessions import last_write
+
 
 def roster_active(students: DataFrame) -> DataFrame:
     """O-01: active students for the sign-in list (sort at the sink)."""
@@ -18,13 +21,11 @@ def roster_all(students: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ maintenance
 
-from ..functions.text import blank_to_null, js_trim  # noqa: E402
-from .sessions import last_write  # noqa: E402
 
 ID_MASK = 0x7FFFFFFFFFFFFFFF
 
 
-def new_student_id(full_name) -> "F.Column":
+def new_student_id(full_name) -> Column:
     """Spark has no sequences: a new student's id is a 63-bit hash of the
     (unique) name -- deterministic, computed where the row lives, and
     independent of how many other names arrive in the same batch."""

@@ -18,27 +18,17 @@ def csv_cell(col) -> "F.Column":
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def csv_lines(df: DataFrame, order_by: list | None = None) -> DataFrame:
+def csv_lines(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """The export as text lines: an unquoted header of the column names,
-    then one line per row with every value quoted.  Rows keep ``order_by``
-    (a distributed range sort); the header sorts first."""
+    then one line per row with every value quoted.  Rows follow
+    ``order_by`` (a distributed range sort); the header sorts first."""
+    order_by = order_by or []
     cols = df.columns
-    body = df.select(*(order_by or []),
+    body = df.select(F.lit(1).alias("_part"), *order_by,
                      F.concat_ws(",", *[csv_cell(c) for c in cols]).alias("value"))
-    spark = df.sparkSession
-    header = spark.createDataFrame([(",".join(cols),)], "value string")
-    if order_by:
-        body = body.withColumn("_part", F.lit(1))
-        header = header.withColumn("_part", F.lit(0))
-        for c in order_by:
-            name = c if isinstance(c, str) else None
-            if name is not None:
-                header = header.withColumn(name, F.lit(None).cast(df.schema[name].dataType))
-        both = header.unionByName(body, allowMissingColumns=True)
-        return both.orderBy(F.col("_part"), *[F.col(c).asc_nulls_last() for c in order_by]) \
-            .select("value")
-    return header.withColumn("_part", F.lit(0)).unionByName(
-        body.withColumn("_part", F.lit(1))).orderBy("_part").select("value")
+    header = df.sparkSession.createDataFrame([(0, ",".join(cols))], "_part int, value string")
+    both = header.unionByName(body, allowMissingColumns=True)
+    return both.orderBy("_part", *[F.col(c).asc_nulls_last() for c in order_by]).select("value")
 
 
 def format_report(report: DataFrame) -> DataFrame:
