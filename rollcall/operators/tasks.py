@@ -345,10 +345,10 @@ def task_fold(task_events: DataFrame, as_of=None) -> DataFrame:
     status; every event touches ``updated_at``.  Tasks never created are
     dropped."""
     ev = task_events if as_of is None else task_events.where(F.col("at") <= ts_lit(as_of))
-    # Events before a task's first create cannot touch it (no row yet).
-    first = ev.where(F.col("kind") == "create").groupBy("task_id").agg(
-        F.min(F.struct("at", "seq")).alias("_created"))
-    ev = ev.join(first, "task_id", "inner").where(F.struct("at", "seq") >= F.col("_created"))
+    # Events before a task's create cannot touch it (there is no row yet).
+    # No join is needed for that: the create writes every field (archived
+    # included) later than any such event, so no last-writer aggregate can
+    # pick one, and their times are below the create's.
     kind = F.col("kind")
     is_create, is_patch = kind == "create", kind == "patch"
     valid_st = F.col("status").isin(*TASK_STATUSES)
@@ -368,7 +368,7 @@ def task_fold(task_events: DataFrame, as_of=None) -> DataFrame:
         .alias("_status"),
         F.max(F.when(st_write, order)).alias("_status_at"),
         F.max(F.when(kind == "clock_in", order)).alias("_promote_at"),
-        F.coalesce(last_write(kind.isin("archive", "unarchive"), kind == "archive"),
+        F.coalesce(last_write(kind.isin("create", "archive", "unarchive"), kind == "archive"),
                    F.lit(False)).alias("archived"),
         F.max("at").alias("updated_at"))
     promoted = ((F.col("_status") == "todo") & F.col("_promote_at").isNotNull()

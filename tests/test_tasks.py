@@ -85,12 +85,17 @@ def test_task_fold_patch_archive_and_promotion(spark):
         (4, T("2024-01-01"), 10, "create", None, "   ", "Build", "todo", None),
         (5, T("2024-01-01"), 11, "patch", None, "Ghost", None, "done", None),
         (1, T("2024-01-05"), 12, "join", 3, None, None, None, None),
+        (6, T("2023-12-30"), 13, "archive", None, None, None, None, None),
+        (6, T("2023-12-30"), 14, "patch", None, "Early", None, "done", None),
+        (6, T("2024-01-01"), 15, "create", None, "Late", "Build", "blocked", None),
     ])
     valid, rejects = tk.validate_task_events(ev, st)
     assert {r["seq"]: r["reject_reason"] for r in rejects.collect()} == {
         10: "Missing title", 12: "Student not found"}
     f = by_key(tk.task_fold(valid, T("2024-02-01")), "id")
-    assert set(f) == {(1,), (2,), (3,)}
+    assert set(f) == {(1,), (2,), (3,), (6,)}
+    assert f[(6,)]["archived"] is False and f[(6,)]["title"] == "Late"
+    assert f[(6,)]["status"] == "blocked" and f[(6,)]["updated_at"] == T("2024-01-01")
     assert f[(1,)]["title"] == "Arm" and f[(1,)]["subteam"] == "Build"
     assert f[(1,)]["status"] == "in_progress" and f[(1,)]["description"] == "d"
     assert f[(2,)]["status"] == "done" and f[(2,)]["archived"] is True
