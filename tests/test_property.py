@@ -160,3 +160,29 @@ def test_assignment_intervals_hot_pair_split_over_ranges(spark):
                                                        hot_pair_rows=100).collect()),
                      key=lambda x: (x[0], x[1], x[2]))
         assert got == interpret_intervals(events), n
+
+
+def test_fold_is_idempotent_under_replay(spark):
+    """Re-delivered events (a retried micro-batch) do not change the fold."""
+    rng = random.Random(11)
+    events = random_log(rng, n_students=30)
+    as_of = dt.datetime(2024, 1, 12, 6, 0)
+    once = ses.daily_sessions(punches_df(spark, events), as_of)
+    twice = ses.daily_sessions(punches_df(spark, events + events[::3]), as_of)
+    assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def test_roster_upsert_is_idempotent(spark):
+    from conftest import students_df
+
+    from rollcall.operators import roster as ro
+    st = students_df(spark, [(1, "Ada Quill", "Build", True), (2, "Bo Fenn", None, False)])
+    req = spark.createDataFrame(
+        [(dt.datetime(2024, 2, 1), 1, None, "Cy Moor", "CAD/CAM", None),
+         (dt.datetime(2024, 2, 1), 2, None, "Bo Fenn", "Build", None)], schemas.ROSTER_CHANGES)
+    first, _ = ro.roster_upsert(st, req)
+    first = first.drop("is_new").cache()
+    second, _ = ro.roster_upsert(first, req)
+    second = second.drop("is_new")
+    assert first.exceptAll(second).count() == 0 and second.exceptAll(first).count() == 0
+    first.unpersist()
