@@ -163,3 +163,28 @@ def need_state(punches: DataFrame, as_of) -> DataFrame:
     ev = punches.where(F.col("kind").isin("need_help", "need_task"))
     return session_fold(ev, as_of).select(
         "student_id", "meeting_date", "need_help", "need_help_at", "need_task", "need_task_at")
+
+
+# ------------------------------------------------------------ stored table
+
+def store_sessions(punches: DataFrame, path: str) -> str:
+    """Write the raw fold (no auto-close) as a table partitioned by
+    ``meeting_date`` -- the date index of the source system becomes
+    partition pruning.  Written to a new path; later corrections replace
+    single days with ``rollcall.sources.sinks.overwrite_session_days``."""
+    (session_fold(punches).write.mode("errorifexists")
+     .partitionBy("meeting_date").parquet(path))
+    return path
+
+
+def load_sessions(spark, path: str, as_of, first=None, last=None) -> DataFrame:
+    """Read a stored session table at ``as_of``: only the partitions of
+    meeting days ``first..last`` are listed and read, then the auto-close
+    is applied."""
+    from .. import schemas
+    df = spark.read.schema(schemas.DAILY_SESSIONS).parquet(path)
+    if first is not None:
+        df = df.where(F.col("meeting_date") >= F.lit(as_date(first).isoformat()).cast("date"))
+    if last is not None:
+        df = df.where(F.col("meeting_date") <= F.lit(as_date(last).isoformat()).cast("date"))
+    return auto_close(df.select(*SESSION_COLUMNS), as_of)

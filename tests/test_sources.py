@@ -61,3 +61,21 @@ def test_tiles_by_subteam(spark):
     t = {r["subteam"]: (r["clocked_in"], r["not_clocked_in"])
          for r in att.status_tiles(board, by_subteam=True).collect()}
     assert t == {"Build": (1, 1), None: (0, 1)}
+
+
+def test_stored_session_table_prunes_days_and_matches(spark):
+    from rollcall.plans.inputs import Inputs
+    from rollcall.sources import views as V
+    sf = "/root/testdata/sf0.001"
+    i = Inputs.of(spark, sf)
+    path = ses.store_sessions(i.all_punches, fresh(spark, "stored"))
+    stored = ses.load_sessions(spark, path, V.ATTENDANCE_AS_OF, V.REPORT_START, V.REPORT_END)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(meeting_date" in plan
+    direct = ses.sessions_for_days(i.all_punches, V.REPORT_START, V.REPORT_END,
+                                   V.ATTENDANCE_AS_OF)
+    a = att.attendance_report(i.students, stored, V.REPORT_START, V.REPORT_END)
+    b = att.attendance_report(i.students, direct, V.REPORT_START, V.REPORT_END)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
