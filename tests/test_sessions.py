@@ -185,3 +185,25 @@ def test_student_history_keeps_newest_thirty(spark):
     h = att.student_history(st, ses.daily_sessions(punches_df(spark, rows), T("2024-03-01")))
     dates = sorted(r["meeting_date"] for r in h.collect())
     assert len(dates) == 30 and dates[0] == D("2024-01-06")
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    rows = [dict(student_id=1, at=T("2024-01-11 04:30"), seq=1, kind="clock_in"),   # 23:30 EST
+            dict(student_id=1, at=T("2024-03-10 06:30"), seq=2, kind="clock_in"),   # 01:30 EST
+            dict(student_id=1, at=T("2024-11-03 05:30"), seq=3, kind="clock_in")]   # 01:30 EST
+    st = students_df(spark, [(1, "Ada Quill", None, True)])
+
+    def run():
+        s = ses.daily_sessions(punches_df(spark, rows), T("2024-12-01"))
+        rep = att.attendance_report(st, s, "2024-01-01", "2024-12-31")
+        return sorted(map(tuple, s.collect())), sorted(map(tuple, rep.collect()))
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        base = run()
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        assert run() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    days = [r[1] for r in base[0]]
+    assert days == [D("2024-01-10"), D("2024-03-10"), D("2024-11-03")]
