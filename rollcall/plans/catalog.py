@@ -221,30 +221,25 @@ def q_student_history(spark, sf_dir):
 
 @query("attendance_report", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF),
                                     O.auto_close("sessions_raw", O.ATT_AS_OF), f"""
-range_sessions AS (
-  SELECT s.student_id, s.full_name, s.subteam, ds.meeting_date, ds.clock_in_at, ds.clock_out_at
-  FROM students s
-  LEFT JOIN sessions ds
-    ON ds.student_id = s.student_id
-   AND ds.meeting_date BETWEEN {O.REPORT_START} AND {O.REPORT_END}
-  WHERE s.is_active
-),
-totals AS (
-  SELECT student_id, full_name, subteam,
-         count(meeting_date) FILTER (WHERE clock_in_at IS NOT NULL) AS days_clocked_in,
-         max(meeting_date) FILTER (WHERE clock_in_at IS NOT NULL) AS last_day
-  FROM range_sessions GROUP BY student_id, full_name, subteam
+worked AS (
+  SELECT student_id, meeting_date,
+         date_diff('microsecond', clock_in_at, coalesce(clock_out_at, clock_in_at)) AS us
+  FROM sessions
+  WHERE clock_in_at IS NOT NULL
+    AND meeting_date >= {O.REPORT_START} AND meeting_date <= {O.REPORT_END}
 ),
-hours AS (
-  SELECT student_id,
-         CAST(sum(date_diff('microsecond', clock_in_at, coalesce(clock_out_at, clock_in_at)))
-              AS BIGINT) AS micros
-  FROM range_sessions WHERE clock_in_at IS NOT NULL GROUP BY student_id
+per_student AS (
+  SELECT r.student_id, r.full_name, r.subteam,
+         count(w.meeting_date) AS days_clocked_in, max(w.meeting_date) AS last_day,
+         CAST(coalesce(sum(w.us), 0) AS BIGINT) AS us_total
+  FROM (SELECT * FROM students WHERE is_active) r
+  LEFT JOIN worked w USING (student_id)
+  GROUP BY r.student_id, r.full_name, r.subteam
 )""") + """
-SELECT t.student_id, t.full_name, t.subteam, t.days_clocked_in, t.last_day,
-       CAST(sign(coalesce(h.micros, 0)) * ((abs(coalesce(h.micros, 0)) + 18000000) // 36000000)
-            AS DOUBLE) / 100.0 AS hours_total
-FROM totals t LEFT JOIN hours h ON h.student_id = t.student_id""")
+SELECT student_id, full_name, subteam, days_clocked_in, last_day,
+       CAST(sign(us_total) * ((abs(us_total) + 18000000) // 36000000) AS DOUBLE) / 100.0
+         AS hours_total
+FROM per_student""")
 def q_attendance_report(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     sessions = ses.sessions_for_days(i.all_punches, V.REPORT_START, V.REPORT_END,
@@ -349,25 +344,25 @@ def q_corrections_list(spark, sf_dir):
 
 _TASK_BASE = (O.STUDENTS, O.TASKS, O.ASSIGNMENTS, O.COMMENTS)
 _ASSIGNEES_SQL = """
-assignees AS (
-  SELECT p.task_id, count(*) AS n_assignees,
-         to_json(list({'student_id': s.student_id, 'full_name': s.full_name}
-                      ORDER BY s.full_name)) AS assignees
-  FROM (SELECT DISTINCT task_id, student_id FROM task_assignments
-        WHERE unassigned_at IS NULL) p
-  JOIN students s ON s.student_id = p.student_id
-  GROUP BY p.task_id
+assignee_lists AS (
+  SELECT o.task_id, count(*) AS n_assignees,
+         to_json(list({'student_id': r.student_id, 'full_name': r.full_name}
+                      ORDER BY r.full_name)) AS assignees
+  FROM (SELECT task_id, student_id FROM task_assignments
+        WHERE unassigned_at IS NULL GROUP BY task_id, student_id) o
+  JOIN students r ON r.student_id = o.student_id
+  GROUP BY o.task_id
 ),
-last_comment AS (
+comment_max AS (
   SELECT task_id, max(created_at) AS last_comment_at FROM task_comments GROUP BY task_id
 ),
-last_assign AS (
+open_max AS (
   SELECT task_id, max(assigned_at) AS last_assigned_at FROM task_assignments
   WHERE unassigned_at IS NULL GROUP BY task_id
 )"""
 _LAST_ACTIVITY = """greatest(t.updated_at,
-                coalesce(lc.last_comment_at, TIMESTAMP '1970-01-01 00:00:00'),
-                coalesce(la.last_assigned_at, TIMESTAMP '1970-01-01 00:00:00'))"""
+                coalesce(cm.last_comment_at, TIMESTAMP '1970-01-01 00:00:00'),
+                coalesce(om.last_assigned_at, TIMESTAMP '1970-01-01 00:00:00'))"""
 _RANK_SQL = """CASE t.status WHEN 'todo' THEN 1 WHEN 'in_progress' THEN 2 WHEN 'blocked' THEN 3
                      WHEN 'done' THEN 4 ELSE 5 END"""
 
@@ -434,7 +429,7 @@ def q_task_last_assignment(spark, sf_dir):
 
 
 @query("task_assignees", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + """
-SELECT task_id, n_assignees, CAST(assignees AS VARCHAR) AS assignees FROM assignees""")
+SELECT task_id, n_assignees, CAST(assignees AS VARCHAR) AS assignees FROM assignee_lists""")
 def q_task_assignees(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     a = tk.task_assignees(i.assignments, i.students)
@@ -445,8 +440,8 @@ def q_task_assignees(spark, sf_dir):
 SELECT t.id AS task_id, {_LAST_ACTIVITY} AS last_activity_at,
        {_LAST_ACTIVITY} < {O.TASK_AS_OF} - INTERVAL 3 DAY AS is_stale
 FROM tasks t
-LEFT JOIN last_comment lc ON lc.task_id = t.id
-LEFT JOIN last_assign la ON la.task_id = t.id""")
+LEFT JOIN comment_max cm ON cm.task_id = t.id
+LEFT JOIN open_max om ON om.task_id = t.id""")
 def q_task_staleness(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     return tk.task_staleness(i.tasks, i.comments, i.assignments, V.TASK_AS_OF)
@@ -459,9 +454,9 @@ SELECT t.id, t.title, t.subteam, t.status, t.description, t.archived, t.created_
        coalesce(CAST(a.assignees AS VARCHAR), '[]') AS assignees,
        {_RANK_SQL} AS status_rank
 FROM tasks t
-LEFT JOIN last_comment lc ON lc.task_id = t.id
-LEFT JOIN last_assign la ON la.task_id = t.id
-LEFT JOIN assignees a ON a.task_id = t.id
+LEFT JOIN comment_max cm ON cm.task_id = t.id
+LEFT JOIN open_max om ON om.task_id = t.id
+LEFT JOIN assignee_lists a ON a.task_id = t.id
 WHERE NOT t.archived""")
 def q_task_board(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
