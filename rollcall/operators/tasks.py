@@ -23,6 +23,7 @@ EPOCH = "1970-01-01 00:00:00"
 # Board column order, unknown statuses rank last.
 STATUS_RANK = {"todo": 1, "in_progress": 2, "blocked": 3, "done": 4}
 OPENING_KINDS = ["join", "assign", "clock_in"]
+FIELD_KINDS = ["create", "patch", "archive", "unarchive", "clock_in"]
 
 
 def status_rank(status: Column | str = "status") -> Column:
@@ -355,7 +356,12 @@ def task_fold(task_events: DataFrame, as_of=None) -> DataFrame:
     title_t, sub_t = js_trim(F.col("title")), js_trim(F.col("subteam"))
     st_write = is_create | (is_patch & valid_st)
     order = F.struct("at", "seq")
-    folded = ev.groupBy("task_id").agg(
+    # Pure touches (join, leave, assign, comment) only move updated_at: a
+    # hash aggregate reduces them; only field-writing events go through the
+    # sort-based last-writer aggregate.  Both results are keyed by task.
+    writes_fields = kind.isin(*FIELD_KINDS)
+    touched = ev.where(~writes_fields).groupBy("task_id").agg(F.max("at").alias("_touched_at"))
+    folded = ev.where(writes_fields).groupBy("task_id").agg(
         F.min(F.when(is_create, F.col("at"))).alias("created_at"),
         last_write(is_create | (is_patch & (F.coalesce(title_t, F.lit("")) != "")),
                    title_t).alias("title"),
@@ -370,10 +376,13 @@ def task_fold(task_events: DataFrame, as_of=None) -> DataFrame:
         F.max(F.when(kind == "clock_in", order)).alias("_promote_at"),
         F.coalesce(last_write(kind.isin("create", "archive", "unarchive"), kind == "archive"),
                    F.lit(False)).alias("archived"),
-        F.max("at").alias("updated_at"))
+        F.max("at").alias("_written_at"))
+    folded = (folded.where(F.col("created_at").isNotNull())
+              .join(touched, "task_id", "left")
+              .withColumn("updated_at", F.greatest("_written_at", "_touched_at")))
     promoted = ((F.col("_status") == "todo") & F.col("_promote_at").isNotNull()
                 & (F.col("_promote_at") > F.col("_status_at")))
-    return folded.where(F.col("created_at").isNotNull()).select(
+    return folded.select(
         F.col("task_id").alias("id"), "title", "subteam",
         F.when(promoted, F.lit("in_progress")).otherwise(F.col("_status")).alias("status"),
         "description", "archived", "created_at", "updated_at")
