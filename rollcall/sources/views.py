@@ -79,24 +79,24 @@ def correction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correction_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentor decisions: id % 3 = 1 approved, = 2 denied (a day after the
     request); ids also divisible by 5 get a second, contrary decision a day
-    later, which must be refused as already decided."""
+    later, which must be refused as already decided.  One scan: each event
+    yields one or two decisions."""
     e = _correction_events(spark, sf_dir)
-    r = F.col("event_id") % 3
-    first = e.where(r != 0).select(
-        F.col("event_id").alias("correction_id"),
+    eid, r = F.col("event_id"), F.col("event_id") % 3
+    first = F.struct(
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("at"),
-        (F.col("event_id") * 10).alias("seq"),
+        (eid * 10).alias("seq"),
         F.when(r == 1, "approved").otherwise("DENIED").alias("status"),
-        F.when(r == 1, F.lit("  ok  ")).otherwise(F.lit("")).alias("note"),
-    )
-    second = e.where((r != 0) & ((F.col("event_id") % 5) == 0)).select(
-        F.col("event_id").alias("correction_id"),
+        F.when(r == 1, F.lit("  ok  ")).otherwise(F.lit("")).alias("note"))
+    second = F.when((eid % 5) == 0, F.struct(
         (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("at"),
-        (F.col("event_id") * 10 + 1).alias("seq"),
+        (eid * 10 + 1).alias("seq"),
         F.when(r == 1, "denied").otherwise("approved").alias("status"),
-        F.lit("second look").alias("note"),
-    )
-    return first.unionByName(second)
+        F.lit("second look").alias("note")))
+    both = F.filter(F.array(first, second), lambda d: d.isNotNull())
+    return (e.where(r != 0)
+            .select(eid.alias("correction_id"), F.explode(both).alias("d"))
+            .select("correction_id", "d.at", "d.seq", "d.status", "d.note"))
 
 
 def _task_status(priority):
