@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, js_trim
+from ..functions.text import js_trim
 from .sessions import last_write
 
 
@@ -38,15 +38,20 @@ def roster_upsert(students: DataFrame, requests: DataFrame, reactivate: bool = F
 
     Requests ``(at, seq, full_name, subteam)`` are collapsed per trimmed name
     (last one wins), then full-outer-joined to the roster by name: a new name
-    is inserted (active); an existing one gets the requested subteam (blank
-    -> NULL) and, for the seed, is reactivated.  Returns ``(roster, rejects)``;
-    the roster is a new snapshot -- write it to a new path."""
-    name = js_trim(F.coalesce(F.col("full_name"), F.lit("")))
-    req = requests.withColumn("full_name", name)
-    rejects = req.where(F.col("full_name") == "").withColumn(
-        "reject_reason", F.lit("Missing full_name"))
-    ok = req.where(F.col("full_name") != "")
-    sub = blank_to_null(js_trim(F.col("subteam")))
+    is inserted (active); an existing one gets the requested subteam and,
+    for the seed, is reactivated.  Returns ``(roster, rejects)``; the roster
+    is a new snapshot -- write it to a new path.
+
+    As in the source's handler, only a missing or empty name is refused; a
+    name of spaces passes the check and is stored trimmed ('').  Likewise a
+    missing or empty subteam becomes NULL, while one of spaces is stored
+    trimmed ('')."""
+    raw = F.col("full_name")
+    missing = raw.isNull() | (raw == "")
+    rejects = requests.where(missing).withColumn("reject_reason", F.lit("Missing full_name"))
+    ok = requests.where(~missing).withColumn("full_name", js_trim(raw))
+    st = F.col("subteam")
+    sub = F.when(st.isNotNull() & (st != ""), js_trim(st))
     last = ok.groupBy("full_name").agg(
         last_write(F.lit(True), sub).alias("_req_subteam"),
         F.min("at").alias("_first_at"))

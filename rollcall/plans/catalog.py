@@ -679,9 +679,10 @@ roster_requests AS (
 ),
 req_last AS (
   SELECT trim(full_name) AS full_name,
-         struct_extract(arg_max({{'v': nullif(trim(subteam), '')}}, ("at", seq)), 'v') AS req_subteam,
+         struct_extract(arg_max({{'v': CASE WHEN subteam <> '' THEN trim(subteam) END}},
+                                ("at", seq)), 'v') AS req_subteam,
          min("at") AS first_at
-  FROM roster_requests WHERE trim(coalesce(full_name, '')) <> '' GROUP BY 1
+  FROM roster_requests WHERE full_name <> '' GROUP BY 1
 ),
 students_full AS (
   SELECT *, TIMESTAMP '2023-09-01 00:00:00' AS created_at FROM students

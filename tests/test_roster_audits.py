@@ -18,14 +18,19 @@ def test_upsert_by_name(spark):
     req = changes(spark, [(T("2024-02-01"), 1, None, " Bo Fenn ", "  ", None),
                           (T("2024-02-01"), 2, None, "Cy Moor", "CAD/CAM", None),
                           (T("2024-02-02"), 3, None, "Cy Moor", "Programming", None),
-                          (T("2024-02-02"), 4, None, "   ", "Build", None)])
+                          (T("2024-02-02"), 4, None, "", "Build", None),
+                          (T("2024-02-02"), 5, None, None, "Build", None)])
     r, rej = ro.roster_upsert(st, req)
     got = by_key(r, "full_name")
-    assert got[("Bo Fenn",)]["subteam"] is None and got[("Bo Fenn",)]["is_active"] is False
+    # a subteam of spaces is stored trimmed (''), not as NULL
+    assert got[("Bo Fenn",)]["subteam"] == "" and got[("Bo Fenn",)]["is_active"] is False
     assert got[("Cy Moor",)]["subteam"] == "Programming" and got[("Cy Moor",)]["is_new"]
     assert got[("Cy Moor",)]["student_id"] > 0
     assert got[("Ada Quill",)]["subteam"] == "Build"
-    assert [x["reject_reason"] for x in rej.collect()] == ["Missing full_name"]
+    assert [x["reject_reason"] for x in rej.collect()] == ["Missing full_name"] * 2
+    spaced, _ = ro.roster_upsert(st, changes(spark, [(T("2024-02-03"), 6, None, "   ", "", None)]))
+    blank = by_key(spaced, "full_name")[("",)]
+    assert blank["is_new"] and blank["subteam"] is None
     seeded = by_key(ro.roster_upsert(st, req, reactivate=True)[0], "full_name")
     assert seeded[("Bo Fenn",)]["is_active"] is True
 
