@@ -47,3 +47,20 @@ def test_fold_pre_aggregates_before_shuffle(spark):
     p = E.queries()["session_fold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # partial aggregate below the exchange, final above it
     assert p.count("SortAggregate") >= 2 or p.count("HashAggregate") >= 2
+
+
+# Bounded single-task steps: a one-row global aggregate (one partial row per
+# input partition reaches it) and the top-200 list.
+SINGLE_TASK_OK = {"status_tiles": "SinglePartition",
+                  "corrections_list": "TakeOrderedAndProject"}
+
+
+@pytest.mark.parametrize("name", [n for n in E.queries() if n != "session_stream"])
+def test_nothing_whole_through_one_task(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    p = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    found = {k for k in ("SinglePartition", "TakeOrderedAndProject", "CollectLimit") if k in p}
+    allowed = {SINGLE_TASK_OK[name]} if name in SINGLE_TASK_OK else set()
+    assert found <= allowed, (name, found)
+    if name == "status_tiles":
+        assert "partial_count" in p
