@@ -85,7 +85,7 @@ def _bytes_of(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), width)
 
 
-def _build_shard(key, table: pa.Table) -> pa.Table:
+def _build_shard(key, table):
     digests = _bytes_of(table["digest"], 32)
     keys = _keys(digests)
     sizes, bits = build_mphf(keys)
@@ -100,7 +100,7 @@ def _build_shard(key, table: pa.Table) -> pa.Table:
         "locators": pa.array([take("keep")], pa.binary()), "counts": pa.array([take("n")], pa.binary())})
 
 
-def _lookup_shard(incoming: pa.Table, index: pa.Table) -> pa.Table:
+def _lookup_shard(incoming, index):
     keep = incoming["keep"].to_numpy().astype(np.int64, copy=True)
     n = incoming["n"].to_numpy().astype(np.int64, copy=True)
     if incoming.num_rows and index.num_rows:
