@@ -49,9 +49,8 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            out = common.mix64(out * _STEP + hashes[k: len(hashes) - width + 1 + k])
-        if width < SHINGLE:
-            out = common.mix64(out + np.uint64(width))
+            out = out * _STEP + hashes[k: len(hashes) - width + 1 + k]
+        out = common.mix64(out + np.uint64(width))
     return np.unique(out)
 
 
@@ -83,8 +82,9 @@ def _class_rows(batches):
 def _bucket_rows(batches):
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for _, grams in _sets(batch.column("text")):
-            np.add.at(counts, (grams % np.uint64(BUCKETS)).astype(np.int64), 1)
+        held = [grams for _, grams in _sets(batch.column("text"))]
+        if held:
+            counts += np.bincount((np.concatenate(held) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     some = np.flatnonzero(counts)
     yield pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
 
