@@ -67,16 +67,18 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
     return out
 
 
-def _pack_shard(key, table):
-    size = table["size"].to_numpy()
-    source, cluster = table["source_key"].to_numpy(), table["cluster"].to_numpy()
-    ids = table["doc_id"].fill_null(LAST_ID).to_numpy()
-    order = np.lexsort((table["piece"].to_numpy(), ids, cluster, -size))
-    bins = np.empty(len(order), np.int64)
-    bins[order] = pack(size[order], source[order], cluster[order])
-    return pa.table({"doc_id": table["doc_id"].combine_chunks(), "piece": table["piece"].combine_chunks(),
-                     "offset": table["offset"].combine_chunks(), "size": table["size"].combine_chunks(),
-                     "shard": pa.array(np.full(len(order), key[0].as_py(), np.int32)), "bin": pa.array(bins)})
+def _pack_shard(capacity: int):
+    def shard(key, table):
+        size = table["size"].to_numpy()
+        source, cluster = table["source_key"].to_numpy(), table["cluster"].to_numpy()
+        ids = table["doc_id"].fill_null(LAST_ID).to_numpy()
+        order = np.lexsort((table["piece"].to_numpy(), ids, cluster, -size))
+        bins = np.empty(len(order), np.int64)
+        bins[order] = pack(size[order], source[order], cluster[order], capacity)
+        return pa.table({"doc_id": table["doc_id"].combine_chunks(), "piece": table["piece"].combine_chunks(),
+                         "offset": table["offset"].combine_chunks(), "size": table["size"].combine_chunks(),
+                         "shard": pa.array(np.full(len(order), key[0].as_py(), np.int32)), "bin": pa.array(bins)})
+    return shard
 
 
 def cluster_key(text: Column) -> Column:
@@ -99,7 +101,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, capacity: int = CAPAC
     whole = F.col("size") == capacity               # fills a bin by itself
     rest = (pieces.where(~whole).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(shards)).cast("int"))
             .select("doc_id", "piece", "offset", "size", "source_key", "cluster", "shard"))
-    packed = common.stage_table(spark, rest.groupBy("shard").applyInArrow(_pack_shard, SCHEMA), "op3-bins")
+    packed = common.stage_table(spark, rest.groupBy("shard").applyInArrow(_pack_shard(capacity), SCHEMA), "op3-bins")
     held = F.sum("size").over(Window.partitionBy("shard", "bin"))
     packed = packed.withColumn("bin_size", held).select(
         "doc_id", "piece", "offset", "size", F.concat_ws("-", F.lit("s"), "shard", "bin").alias("bin_id"), "bin_size")
