@@ -73,13 +73,12 @@ def thresholds(scored: DataFrame) -> DataFrame:
         return groups.groupBy(*keys).agg(F.sum("n").alias(f"{prefix}_n"), *named)
 
     by_lang = level("lang", "lang").withColumnRenamed("lang", "__lang")
-    overall = level("all").withColumn("__one", F.lit(1))
-    table = (groups.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")))
-             .withColumn("__one", F.lit(1)).join(overall, "__one"))
+    overall = level("all").select(F.struct(*[f"all_{s}" for s in SIGNALS])).scalar()
+    table = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("overall", overall)
     out = [F.col("lang").alias("__lang"), F.col("source").alias("__source")]
     for s, (two_sided, least) in SIGNALS.items():
         sketch = (F.when(F.col("n") >= MIN_GROUP, F.col(s)).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{s}"))
-                  .otherwise(F.col(f"all_{s}")))
+                  .otherwise(F.col(f"overall.all_{s}")))
         q1 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25))
         q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
         reach = FENCE * F.greatest(q3 - q1, F.lit(least))
