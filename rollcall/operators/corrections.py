@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, js_trim
 from ..functions.timez import (HHMM_RE, ISO_DATE_RE, hhmm_minutes, local_date_time,
                                parse_iso_date)
-from .gate import active_ids, checked_broadcast
+from .gate import active_ids
 
 LIST_LIMIT = 200          # fixed value: newest corrections shown to mentors
-NOTE_MAX = 500            # fixed value: note length kept by the older route
 
 
 def _first_failure(rules):
@@ -30,7 +29,7 @@ def _first_failure(rules):
 
 def _with_active_flag(df: DataFrame, students: DataFrame) -> DataFrame:
     act = active_ids(students).withColumn("_active", F.lit(True))
-    return df.join(checked_broadcast(act), "student_id", "left")
+    return df.join(act, "student_id", "left")
 
 
 def validate_corrections(requests: DataFrame, students: DataFrame):
@@ -171,8 +170,8 @@ def manual_attendance(entries: DataFrame, students: DataFrame, policy: str = "pa
     df = _with_active_flag(entries, students)
     # O-22c: the entry form starts from the roster subteam; an entry that
     # does not name one (NULL, not '') carries that default.
-    roster = checked_broadcast(students.select(
-        "student_id", F.col("subteam").alias("_roster_subteam")))
+    roster = students.select(
+        "student_id", F.col("subteam").alias("_roster_subteam"))
     df = df.join(roster, "student_id", "left")
     in_rule = ((~F.coalesce(tin.rlike(HHMM_RE), F.lit(False))) if policy == "replace"
                else (has_in & ~tin.rlike(HHMM_RE)))

@@ -12,36 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: largest roster side we broadcast (ids and a name: well under
-# a few hundred MB per executor).
-ROSTER_BROADCAST_MAX_ROWS = 5_000_000
-
-
-_COUNTS: dict = {}
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = ROSTER_BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
-    ``df`` unchanged.  The count runs on the (small) dimension side, once
-    per logical plan and session."""
-    key = (id(df.sparkSession), df.semanticHash())
-    n = _COUNTS.get(key)
-    if n is None:
-        n = _COUNTS[key] = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def active_ids(students: DataFrame) -> DataFrame:
     return students.where(F.col("is_active")).select("student_id")
 
 
 def gate_active(events: DataFrame, students: DataFrame) -> DataFrame:
     """Accepted events: those whose student exists and is active (a
-    semi-join against the size-checked roster)."""
-    return events.join(checked_broadcast(active_ids(students)), "student_id", "left_semi")
+    semi-join; Spark picks its form by the roster's size in bytes)."""
+    return events.join(active_ids(students), "student_id", "left_semi")
 
 
 def gate_rejects(events: DataFrame, students: DataFrame) -> DataFrame:
     """Refused events with their reason (missing or inactive student)."""
-    return (events.join(checked_broadcast(active_ids(students)), "student_id", "left_anti")
+    return (events.join(active_ids(students), "student_id", "left_anti")
             .withColumn("reject_reason", F.lit("Student not found")))

@@ -16,7 +16,6 @@ from ..functions.text import blank_to_null, is_blank, js_trim, task_label
 from ..functions.timez import STALE_DAYS, ts_lit
 from ..schemas import TASK_STATUSES
 from ..session import checkpoint_root
-from .gate import checked_broadcast
 from .sessions import last_write
 
 EPOCH = "1970-01-01 00:00:00"
@@ -167,7 +166,7 @@ def _assignee_facts(assignments: DataFrame, students: DataFrame) -> DataFrame:
     roster size, not by the number of assignment rows."""
     pairs = open_assignments(assignments).groupBy("task_id", "student_id").agg(
         F.max("assigned_at").alias("assigned_at"))
-    named = pairs.join(checked_broadcast(students.select("student_id", "full_name")),
+    named = pairs.join(students.select("student_id", "full_name"),
                        "student_id", "left")
     agg = named.groupBy("task_id").agg(
         F.max("assigned_at").alias("last_assigned_at"),
@@ -289,7 +288,7 @@ def comment_attribute(requests: DataFrame, students: DataFrame):
     student, even inactive); otherwise the author is always a mentor with
     the trimmed label or 'Mentor'.  Returns ``(comments, rejects)``."""
     s = students.select("student_id", F.col("full_name").alias("_name"))
-    df = requests.join(checked_broadcast(s), "student_id", "left")
+    df = requests.join(s, "student_id", "left")
     has_student = F.col("student_id").isNotNull()
     reason = (F.when(is_blank("comment"), F.lit("Missing comment"))
               .when(has_student & F.col("_name").isNull(), F.lit("Student not found")))
@@ -322,7 +321,7 @@ def validate_task_events(events: DataFrame, students: DataFrame):
     ``(valid, rejects)``."""
     act = students.where(F.col("is_active")).select(
         "student_id", F.lit(True).alias("_active"))
-    df = events.join(checked_broadcast(act), "student_id", "left")
+    df = events.join(act, "student_id", "left")
     kind = F.col("kind")
     reason = (F.when((kind == "create") & is_blank("title"), F.lit("Missing title"))
               .when((kind == "create") & is_blank("subteam"), F.lit("Missing subteam"))

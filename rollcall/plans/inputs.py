@@ -15,22 +15,15 @@ from ..sources import views
 
 class Inputs:
     """Lazily built DataFrames (logical plans only -- nothing is cached or
-    collected).  ``Inputs.of`` shares one set per session and directory, so
-    queries that start from the same gated punches or corrections do not
-    rebuild and re-analyse those plans."""
-
-    _shared: dict = {}
+    collected).  Each query takes a new set, so that it sees the files there
+    are when it is built."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
-        key = (id(spark), sf_dir.rstrip("/"))
-        hit = cls._shared.get(key)
-        if hit is None or hit.spark is not spark:
-            hit = cls._shared[key] = cls(spark, sf_dir)
-        return hit
+        return cls(spark, sf_dir)
 
     @cached_property
     def students(self) -> DataFrame:

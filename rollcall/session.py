@@ -36,8 +36,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set (a shared filesystem every executor
-    can reach).  Only when it is unset -- local tests -- do we pick a fresh
-    scratch folder and register it."""
+    can reach).  Only when it is unset and the master is local do we pick a
+    fresh scratch folder and register it; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
     try:
@@ -47,6 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if sc is None or sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rollcall-ckpt-")
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

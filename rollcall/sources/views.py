@@ -303,9 +303,10 @@ def punches_from_events(e: DataFrame) -> DataFrame:
 
 
 def punches_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a file stream (a glob naming the one file)."""
+    """The events table read as a file stream (a glob naming the table).  All
+    files there are make one batch: were they dealt to several, a file out of
+    time order would fall behind the watermark and be lost."""
     e = (spark.readStream.schema(EVENTS_SCHEMA)
-         .option("maxFilesPerTrigger", 1)
          .parquet(f"{sf_dir.rstrip('/')}/events.parq[u]et"))
     return punches_from_events(e)
 

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.timez import eastern_date, eastern_day_bounds_utc, ts_lit
-from ..operators.gate import checked_broadcast
 from ..operators.sessions import session_fold
 from ..sources.sinks import overwrite_session_days
 from ..sources.tables import read_parquet
@@ -45,7 +44,7 @@ def punches_on_days(punches: DataFrame, days: DataFrame) -> DataFrame:
         near = F.col("meeting_date").isNotNull() | reduce(lambda a, b: a | b, ranges)
         punches = punches.where(near)
     tagged = punches.withColumn("_md", md)
-    keep = checked_broadcast(days.select(F.col("meeting_date").alias("_md")).distinct())
+    keep = days.select(F.col("meeting_date").alias("_md")).distinct()
     return tagged.join(keep, "_md", "left_semi").drop("_md")
 
 

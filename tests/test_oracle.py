@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from rollcall.plans import catalog
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "scripts"))
 from check_oracle import TABLES, digest  # noqa: E402
@@ -30,11 +31,11 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(catalog.queries()) - set(catalog.oracle_sql())
     assert missing == set()
 
 
-@pytest.mark.parametrize("name", list(E.oracle_sql()))
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from rollcall.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def plan(spark, name):
         df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n != "session_stream"])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n != "session_stream"])
 def test_no_python_udf_or_cartesian(spark, name):
     p = plan(spark, name)
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
@@ -55,7 +56,7 @@ SINGLE_TASK_OK = {"status_tiles": "SinglePartition",
                   "corrections_list": "TakeOrderedAndProject"}
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n != "session_stream"])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n != "session_stream"])
 def test_nothing_whole_through_one_task(spark, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     p = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
