@@ -42,7 +42,8 @@ SLICE_ROWS = 1 << 15
 STEPS = 32.0                    # quantisation: steps per power of ten
 END = int(common.mix64(np.array([7], np.uint64))[0])
 SLICE_SCHEMA = "shard int, base long, contexts binary, repeats binary, words binary, rows binary, lower binary, ids binary, known binary"
-SCORE_SCHEMA = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+SUM_SCHEMA = "base long, rows binary, n binary, known binary, base_sums binary, score_sums binary, ids binary, valid binary"
+SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------
@@ -273,16 +274,31 @@ def _score_rows(shared):
         row = np.repeat(bases, [len(x) for x in pieces["rows"]]) + (marks & 0x7FFF)
         found, (n, known, base, score) = score_shard(
             shared.value, contexts, np.concatenate(pieces["words"]), np.concatenate(pieces["lower"]), row, marks >= 1 << 15)
-        named = np.concatenate([b + np.flatnonzero(k) for b, k in zip(bases, pieces["known"], strict=True)]).astype(np.int64)
-        ids = np.concatenate([i[k] for i, k in zip(pieces["ids"], pieces["known"], strict=True)])
-        zero, none = np.zeros(len(named)), [None] * len(found)
-        return pa.table({
-            "row": pa.array(np.concatenate([found, named])), "doc_id": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(ids, pa.int64())]),
-            **{k: pa.array(np.concatenate([x, zero]).astype(t)) for k, x, t in (
-                ("n_tokens", n, np.int64), ("n_known", known, np.int64), ("base", base, np.float64), ("score", score, np.float64))}})
+        # One packed row per slice again: sums by row, and the ids if this shard holds them.
+        slices = np.unique(bases)
+        cuts = np.searchsorted(found, slices)
+        named = {b: (i, k) for b, i, k in zip(bases, pieces["ids"], pieces["known"], strict=True) if len(k)}
+        none = np.zeros(0, np.int64), np.zeros(0, bool)
+        packed = {"rows": (found - slices[np.searchsorted(slices, found, side="right") - 1]).astype(np.uint16), "n": n.astype(np.uint32),
+                  "known": known.astype(np.uint32), "base_sums": base, "score_sums": score}
+        split = {k: [x.tobytes() for x in np.split(v, cuts[1:])] for k, v in packed.items()}
+        return pa.table({"base": pa.array(slices), **{k: pa.array(v, pa.binary()) for k, v in split.items()},
+                         "ids": pa.array([named.get(b, none)[0].tobytes() for b in slices], pa.binary()),
+                         "valid": pa.array([named.get(b, none)[1].tobytes() for b in slices], pa.binary())})
     return rows
 
 
+def _slice_sums(table):
+    """The rows of one slice with their sums over all shards."""
+    get = lambda k, t: [np.frombuffer(x.as_py(), t) for x in table[k]]
+    ids, valid = np.concatenate(get("ids", "<i8")), np.concatenate(get("valid", "?"))
+    at = np.concatenate(get("rows", "<u2"))
+    total = {k: np.bincount(at, np.concatenate(get(k, t)), len(ids)) for k, t in (
+        ("n", "<u4"), ("known", "<u4"), ("base_sums", "<f8"), ("score_sums", "<f8"))}
+    return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": total["n"].astype(np.int64), "n_known": total["known"].astype(np.int64),
+                     "base": total["base_sums"], "score": total["score_sums"]})
+
+
 def lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of
     (doc_id, text, train boolean)."""
@@ -295,10 +311,10 @@ def lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                                                    best["n"].to_numpy(np.int64), shards))     # at most TOP words
     numbered = docs.select("doc_id", "text", "train", F.monotonically_increasing_id().alias("row"))
     slices = numbered.mapInArrow(_slice_rows(shared), SLICE_SCHEMA)
-    scores = slices.groupBy("shard").applyInArrow(_score_rows(shared), SCORE_SCHEMA)
-    return scores.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(all_["tokens"]).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
+    sums = slices.groupBy("shard").applyInArrow(_score_rows(shared), SUM_SCHEMA)
+    scores = sums.groupBy("base").applyInArrow(_slice_sums, SCORE_SCHEMA)
+    return scores.select("doc_id", "n_tokens", "n_known", F.lit(all_["tokens"]).cast("long").alias("train_tokens"),
+                         F.col("base").alias("base_score"), "score")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
