@@ -96,11 +96,12 @@ def within() -> Column:
 def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` (without need of the text from here on) with counts, signals, limits and ``kept``."""
     scored = common.stage_table(spark, with_signals(docs).drop("text"), "op1-signals")
-    return _judged(scored)
+    return _judged(spark, scored)
 
 
-def _judged(scored: DataFrame) -> DataFrame:
-    limits = thresholds(scored)
+def _judged(spark: SparkSession, scored: DataFrame) -> DataFrame:
+    # Written first: Spark knows the table's size, and sends it to the rows where it is small.
+    limits = common.stage_table(spark, thresholds(scored), "op1-limits")
     joined = scored.join(limits, scored["lang"].eqNullSafe(limits["__lang"])
                          & scored["source"].eqNullSafe(limits["__source"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & within()).drop("__lang", "__source")
@@ -111,7 +112,7 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = docs.columns
     whole = docs.select("lang", "source", "text", F.struct(*names).alias("__row"))
     scored = common.stage_table(spark, with_signals(whole).drop("text"), "op1-documents")
-    return _judged(scored).where("kept").select("__row.*")
+    return _judged(spark, scored).where("kept").select("__row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
