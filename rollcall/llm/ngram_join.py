@@ -37,6 +37,7 @@ from rollcall.llm import common
 SHINGLE = 5
 BUCKETS = 1 << 18               # size of the frequency table, whatever the input
 LAST_ID = (1 << 63) - 1         # stands for a null doc_id
+SEEN_CLASSES = 200_000          # classes that a task remembers, so as not to write copies' prefixes again
 REGIONS = 4                     # hash regions of the suffix filter
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,24 +70,29 @@ def _sets(column):
             yield i + k, shingles(hashes[ends[k] - counts[k]: ends[k]])
 
 
-def _class_rows(batches):
+FACTS_SCHEMA = "doc_id long, n_shingles long, cls long, bucket int, n long"
+
+
+def _fact_rows(batches):
+    """A row (doc_id, n_shingles, cls) per document, and at the task's end a row
+    (bucket, n) per bucket of n-grams met: both from one pass over the texts."""
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
         cls = np.zeros(batch.num_rows, np.int64)
+        held = []
         for row, grams in _sets(batch.column("text")):
             size[row] = len(grams)
             cls[row] = set_hash(grams) if len(grams) else 0
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(size), "cls": pa.array(cls)})
-
-
-def _bucket_rows(batches):
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        held = [grams for _, grams in _sets(batch.column("text"))]
+            held.append((grams % np.uint64(BUCKETS)).astype(np.int64))
         if held:
-            counts += np.bincount((np.concatenate(held) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(size), "cls": pa.array(cls),
+                               "bucket": pa.nulls(batch.num_rows, pa.int32()), "n": pa.nulls(batch.num_rows, pa.int64())})
     some = np.flatnonzero(counts)
-    yield pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
+    none = pa.nulls(len(some), pa.int64())
+    yield pa.record_batch({"doc_id": none, "n_shingles": none, "cls": none,
+                           "bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
 
 
 def prefix_length(n: int) -> int:
@@ -99,13 +105,19 @@ def _prefix_rows(order):
 
     def rows(batches):
         rank = order.value
+        done: set[int] = set()          # classes written lately: their rows would be the same again
         for batch in batches:
+            if len(done) > SEEN_CLASSES:
+                done.clear()
             parts: list[tuple] = []
             for _, grams in _sets(batch.column("text")):
                 n = len(grams)
                 if not n:
                     continue
                 cls = set_hash(grams)
+                if cls in done:
+                    continue
+                done.add(cls)
                 grams = grams[np.argsort(rank[(grams % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")]
                 p = prefix_length(n)
                 region = ((grams >> np.uint64(32)) % np.uint64(REGIONS)).astype(np.int64)
@@ -184,18 +196,18 @@ def candidates(live: DataFrame) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, set hash ``cls``."""
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("row"), "doc_id", "text")
-    classes = common.stage_table(spark, texts.select("doc_id", "text").mapInArrow(
-        _class_rows, "doc_id long, n_shingles long, cls long"), "op2-classes")
-    classes = classes.withColumn("row", F.coalesce("doc_id", F.lit(LAST_ID)))
+    facts = common.stage_table(spark, texts.select("doc_id", "text").mapInArrow(_fact_rows, FACTS_SCHEMA), "op2-classes")
+    classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", F.coalesce("doc_id", F.lit(LAST_ID)).alias("row"))
 
+    met = facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()      # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
-    for r in texts.select("text").mapInArrow(_bucket_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["bucket"]] = r["n"]
+    counts[met["bucket"].to_numpy()] = met["n"].to_numpy()
     # Buckets by count; ties by number.  A fixed 1 MB, so it is safe to broadcast.
     rank = np.empty(BUCKETS, np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
     order = spark.sparkContext.broadcast(rank)
-    prefixes = texts.select("text").mapInArrow(_prefix_rows(order), "token long, cls long, n int, pos int, after long")
+    prefixes = common.stage_table(spark, texts.select("text").mapInArrow(
+        _prefix_rows(order), "token long, cls long, n int, pos int, after long"), "op2-tokens")
 
     hubs = (prefixes.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("most"))
             .where("hub <> most").select("token", "hub"))
