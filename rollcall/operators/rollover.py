@@ -5,11 +5,19 @@ is a directory; the rollover writes the next season with the roster copied
 and every fact table empty (declared schemas), then -- only after all
 writes succeeded -- records it as current.  Nothing is deleted, so the old
 season stays readable and a failed run leaves the current pointer alone.
+
+Each attempt writes to a folder of its own, so a rerun after a crash starts
+clean.  The pointer is a list of versions that only grows: a version counts
+once Spark has committed it, and the newest one names the current season.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 
@@ -23,32 +31,49 @@ FACT_TABLES = {
 }
 
 CONFIRM_WORD = "RESET"     # fixed value: the typed confirmation
+POINTER = "version long, season string, path string"
 
 
 class RolloverRefused(Exception):
-    pass
+    """The guard that refused: ``rollover_not_allowed`` or ``rollover_not_confirmed``."""
+
+
+def _newest(spark: SparkSession, root: str):
+    try:
+        versions = spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/_current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return versions.orderBy(F.desc("version"), "path").first()
 
 
 def season_rollover(spark: SparkSession, students: DataFrame, root: str, season: str,
                     confirm: str | None, allowed: bool) -> str:
-    """Create ``<root>/season=<season>`` and point ``<root>/_current`` at it.
+    """Create ``<root>/season=<season>/<attempt>`` and point ``<root>/_current`` at it.
 
     Both guards of the source are kept: the deployment switch (``allowed``)
-    and the typed confirmation."""
+    and the typed confirmation.  A season that was the current one before is
+    refused (``season_exists``)."""
     if not allowed:
-        raise RolloverRefused("Year reset is disabled (set ALLOW_YEAR_RESET=true).")
+        raise RolloverRefused("rollover_not_allowed")
     if confirm != CONFIRM_WORD:
-        raise RolloverRefused("Confirmation required. Send { confirm: 'RESET' }.")
-    base = f"{root.rstrip('/')}/season={season}"
+        raise RolloverRefused("rollover_not_confirmed")
+    root = root.rstrip("/")
+    last = _newest(spark, root)
+    if last is not None and last["season"] == season:
+        raise RolloverRefused("season_exists")
+    base = f"{root}/season={season}/{uuid.uuid4().hex}"
     roster = schemas.conform(students, schemas.STUDENTS)
     roster.write.mode("errorifexists").parquet(f"{base}/students")
     for name, schema in FACT_TABLES.items():
         spark.createDataFrame([], schema).write.mode("errorifexists").parquet(f"{base}/{name}")
-    pointer = spark.createDataFrame([(season, base)], "season string, path string")
-    pointer.write.mode("overwrite").parquet(f"{root.rstrip('/')}/_current")
+    version = 1 if last is None else last["version"] + 1
+    pointer = spark.createDataFrame([(version, season, base)], POINTER)
+    pointer.write.mode("append").parquet(f"{root}/_current")
     return base
 
 
 def current_season(spark: SparkSession, root: str) -> str | None:
-    rows = spark.read.parquet(f"{root.rstrip('/')}/_current").limit(1).collect()
-    return rows[0]["path"] if rows else None
+    last = _newest(spark, root)
+    return None if last is None else last["path"]
