@@ -14,8 +14,6 @@ their own ``as_of`` (``rollcall.operators.sessions.auto_close``).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,25 +23,20 @@ from ..operators.sessions import session_fold
 from ..sources.sinks import overwrite_session_days
 from ..sources.tables import read_parquet
 
-# Fixed value: most distinct meeting days one micro-batch may name before the
-# refresh falls back to a semi-join instead of per-day scan ranges.
-MAX_PRUNED_DAYS = 400
-
 
 def punches_on_days(punches: DataFrame, days: DataFrame) -> DataFrame:
     """Events that belong to any of ``days`` (a one-column ``meeting_date``
-    frame).  For a bounded number of days the ordinary punches are cut to
-    the days' UTC ranges, which Parquet can prune on."""
-    md = F.coalesce(F.col("meeting_date"), eastern_date("at"))
-    listed = [r["meeting_date"] for r in days.limit(MAX_PRUNED_DAYS + 1).collect()]
-    if listed and len(listed) <= MAX_PRUNED_DAYS:
-        ranges = []
-        for d in listed:
-            lo, hi = eastern_day_bounds_utc(d, d)
-            ranges.append((F.col("at") >= ts_lit(lo)) & (F.col("at") < ts_lit(hi)))
-        near = F.col("meeting_date").isNotNull() | reduce(lambda a, b: a | b, ranges)
-        punches = punches.where(near)
-    tagged = punches.withColumn("_md", md)
+    frame).  The scan is cut to the time between the first and the last of the
+    days (ordinary punches by their UTC range, set-events by the day they
+    name), which Parquet can prune on; a semi-join picks the days."""
+    span = days.agg(F.min("meeting_date").alias("lo"), F.max("meeting_date").alias("hi")).first()
+    if span["lo"] is None:
+        return punches.where(F.lit(False))
+    lo, hi = eastern_day_bounds_utc(span["lo"], span["hi"])
+    named = F.col("meeting_date").between(F.lit(span["lo"]), F.lit(span["hi"]))
+    timed = F.col("meeting_date").isNull() & (F.col("at") >= ts_lit(lo)) & (F.col("at") < ts_lit(hi))
+    tagged = punches.where(named | timed).withColumn(
+        "_md", F.coalesce(F.col("meeting_date"), eastern_date("at")))
     keep = days.select(F.col("meeting_date").alias("_md")).distinct()
     return tagged.join(keep, "_md", "left_semi").drop("_md")
 
