@@ -58,9 +58,12 @@ FOREIGN_KEYS = [
 
 
 def _orphans(child: DataFrame, col: str, parent: DataFrame, key: str) -> DataFrame:
-    keys = parent.select(F.col(key).alias("_k")).distinct()
-    c = child.where(F.col(col).isNotNull())
-    return c.join(keys, c[col] == keys["_k"], "left_anti")
+    """(_v, n_rows): references without a parent.  Counted per value first, so
+    that a value of very many rows is one row when it meets the parent's keys."""
+    counts = (child.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("n_rows")))
+    keys = parent.select(F.col(key).alias("_k"))
+    return counts.join(keys, counts["_v"] == keys["_k"], "left_anti")
 
 
 def audit_fk(tables: dict[str, DataFrame]) -> DataFrame:
@@ -68,8 +71,7 @@ def audit_fk(tables: dict[str, DataFrame]) -> DataFrame:
     out = []
     for child, col, parent, key, policy in FOREIGN_KEYS:
         if child in tables and parent in tables:
-            o = _orphans(tables[child], col, tables[parent], key)
-            out.append(o.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("n_rows"))
+            out.append(_orphans(tables[child], col, tables[parent], key)
                        .select(F.lit(child).alias("table_name"), F.lit(col).alias("fk_column"),
                                F.lit(parent).alias("parent_table"),
                                F.col("_v").alias("fk_value"), F.lit(policy).alias("on_delete"),
