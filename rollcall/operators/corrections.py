@@ -45,15 +45,15 @@ def validate_corrections(requests: DataFrame, students: DataFrame):
     reason_t = js_trim(F.coalesce(F.col("reason"), F.lit("")))
     df = _with_active_flag(requests, students)
     reason = _first_failure([
-        (F.col("student_id").isNull(), "Missing studentId"),
-        (~F.coalesce(d.rlike(ISO_DATE_RE), F.lit(False)), "Invalid meetingDate (YYYY-MM-DD)"),
-        (~F.coalesce(tin.rlike(HHMM_RE), F.lit(False)), "Invalid clockInTime (HH:MM)"),
-        (has_out & ~tout.rlike(HHMM_RE), "Invalid clockOutTime (HH:MM)"),
-        (F.length(reason_t) < 3, "Please provide a short reason"),
-        (F.col("_active").isNull(), "Student not found"),
-        (parse_iso_date(d).isNull(), "date/time field value out of range"),
-        (hhmm_minutes(tin).isNull(), "date/time field value out of range"),
-        (has_out & hhmm_minutes(tout).isNull(), "date/time field value out of range"),
+        (F.col("student_id").isNull(), "student_missing"),
+        (~F.coalesce(d.rlike(ISO_DATE_RE), F.lit(False)), "meeting_date_format"),
+        (~F.coalesce(tin.rlike(HHMM_RE), F.lit(False)), "clock_in_format"),
+        (has_out & ~tout.rlike(HHMM_RE), "clock_out_format"),
+        (F.length(reason_t) < 3, "reason_too_short"),
+        (F.col("_active").isNull(), "student_unknown"),
+        (parse_iso_date(d).isNull(), "value_out_of_range"),
+        (hhmm_minutes(tin).isNull(), "value_out_of_range"),
+        (has_out & hhmm_minutes(tout).isNull(), "value_out_of_range"),
     ])
     df = df.withColumn("reject_reason", reason)
     valid = df.where(F.col("reject_reason").isNull()).select(
@@ -78,21 +78,21 @@ def correction_decide(requests: DataFrame, decisions: DataFrame):
     st = F.lower(F.coalesce(F.col("status"), F.lit("")))
     dec = decisions.withColumn("status", st)
     bad_status = dec.where(~st.isin("approved", "denied")).withColumn(
-        "reject_reason", F.lit("status must be 'approved' or 'denied'"))
+        "reject_reason", F.lit("status_unknown"))
     ok = dec.where(st.isin("approved", "denied"))
     req_keys = requests.select(F.col("id").alias("correction_id"),
                                F.col("created_at").alias("_created_at"))
     matched = ok.join(req_keys, "correction_id", "left")
     found = F.col("_created_at").isNotNull() & (F.col("at") >= F.col("_created_at"))
     not_found = matched.where(~found).drop("_created_at").withColumn(
-        "reject_reason", F.lit("Request not found"))
+        "reject_reason", F.lit("request_unknown"))
     live = matched.where(found).drop("_created_at")
     first = live.groupBy("correction_id").agg(
         F.min(F.struct("at", "seq", "status", "note")).alias("first"))
     later = (live.join(first, "correction_id")
              .where(F.struct("at", "seq") != F.struct("first.at", "first.seq"))
              .withColumn("reject_reason",
-                         F.concat(F.lit("Request already "), F.col("first.status")))
+                         F.concat(F.lit("already_"), F.col("first.status")))
              .drop("first"))
     rejects = bad_status.unionByName(not_found).unionByName(later)
     out = requests.join(first.withColumnRenamed("correction_id", "id"), "id", "left")
@@ -134,7 +134,7 @@ def corrections_list(corrections: DataFrame, students: DataFrame, status: str |
     ``limit`` (a TakeOrderedAndProject, no full sort)."""
     status = (status or "pending").lower()
     if status not in ("pending", "approved", "denied", "all"):
-        raise ValueError("Invalid status")
+        raise ValueError("unknown status")
     df = corrections
     if status != "all":
         df = df.where(F.col("status") == status)
@@ -142,7 +142,7 @@ def corrections_list(corrections: DataFrame, students: DataFrame, status: str |
         parsed = str(date)
         import re
         if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", parsed):
-            raise ValueError("Invalid date (YYYY-MM-DD)")
+            raise ValueError("a date looks like 2024-01-31")
         df = df.where(F.col("meeting_date") == F.lit(parsed).cast("date"))
     s = students.select("student_id", "full_name", F.col("subteam").alias("roster_subteam"))
     out = df.join(s, "student_id", "inner")
@@ -176,14 +176,14 @@ def manual_attendance(entries: DataFrame, students: DataFrame, policy: str = "pa
     in_rule = ((~F.coalesce(tin.rlike(HHMM_RE), F.lit(False))) if policy == "replace"
                else (has_in & ~tin.rlike(HHMM_RE)))
     reason = _first_failure([
-        (F.col("student_id").isNull(), "Missing studentId"),
-        (~F.coalesce(d.rlike(ISO_DATE_RE), F.lit(False)), "Invalid meetingDate (YYYY-MM-DD)"),
-        (in_rule, "Invalid clockInTime (HH:MM)"),
-        (has_out & ~tout.rlike(HHMM_RE), "Invalid clockOutTime (HH:MM)"),
-        (F.col("_active").isNull(), "Student not found"),
-        (parse_iso_date(d).isNull(), "date/time field value out of range"),
-        (has_in & hhmm_minutes(tin).isNull(), "date/time field value out of range"),
-        (has_out & hhmm_minutes(tout).isNull(), "date/time field value out of range"),
+        (F.col("student_id").isNull(), "student_missing"),
+        (~F.coalesce(d.rlike(ISO_DATE_RE), F.lit(False)), "meeting_date_format"),
+        (in_rule, "clock_in_format"),
+        (has_out & ~tout.rlike(HHMM_RE), "clock_out_format"),
+        (F.col("_active").isNull(), "student_unknown"),
+        (parse_iso_date(d).isNull(), "value_out_of_range"),
+        (has_in & hhmm_minutes(tin).isNull(), "value_out_of_range"),
+        (has_out & hhmm_minutes(tout).isNull(), "value_out_of_range"),
     ])
     df = df.withColumn("reject_reason", reason)
     ok = df.where(F.col("reject_reason").isNull()).withColumn("_d", parse_iso_date(d))

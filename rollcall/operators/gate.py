@@ -25,4 +25,4 @@ def gate_active(events: DataFrame, students: DataFrame) -> DataFrame:
 def gate_rejects(events: DataFrame, students: DataFrame) -> DataFrame:
     """Refused events with their reason (missing or inactive student)."""
     return (events.join(active_ids(students), "student_id", "left_anti")
-            .withColumn("reject_reason", F.lit("Student not found")))
+            .withColumn("reject_reason", F.lit("student_unknown")))

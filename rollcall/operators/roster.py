@@ -48,7 +48,7 @@ def roster_upsert(students: DataFrame, requests: DataFrame, reactivate: bool = F
     trimmed ('')."""
     raw = F.col("full_name")
     missing = raw.isNull() | (raw == "")
-    rejects = requests.where(missing).withColumn("reject_reason", F.lit("Missing full_name"))
+    rejects = requests.where(missing).withColumn("reject_reason", F.lit("name_missing"))
     ok = requests.where(~missing).withColumn("full_name", js_trim(raw))
     st = F.col("subteam")
     sub = F.when(st.isNotNull() & (st != ""), js_trim(st))
@@ -82,7 +82,7 @@ def roster_patch(students: DataFrame, patches: DataFrame):
         last_write(F.col("subteam").isNotNull(), F.col("subteam")).alias("_subteam"),
         last_write(F.col("is_active").isNotNull(), F.col("is_active")).alias("_active"))
     rejects = patches.join(students.select("student_id"), "student_id", "left_anti") \
-        .withColumn("reject_reason", F.lit("Student not found"))
+        .withColumn("reject_reason", F.lit("student_unknown"))
     j = students.join(per, "student_id", "left")
     roster = j.select(
         "student_id",

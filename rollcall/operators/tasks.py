@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, is_blank, js_trim, task_label
 from ..functions.timez import STALE_DAYS, ts_lit
 from ..schemas import TASK_STATUSES
-from ..session import checkpoint_root
 from .sessions import last_write
 
 EPOCH = "1970-01-01 00:00:00"
@@ -66,13 +65,7 @@ def assignments_dedup(assignments: DataFrame, as_of) -> DataFrame:
     return fixed.unionByName(closed)
 
 
-# Fixed value: the longest (task, student) log one task folds with a plain
-# window; longer logs take the segmented path.
-HOT_PAIR_ROWS = 2_000_000
-
-
-def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None,
-                         hot_pair_rows: int | None = HOT_PAIR_ROWS) -> DataFrame:
+def assignment_intervals(task_events: DataFrame) -> DataFrame:
     """O-54..O-56: join / assign / clock-in-with-task open an assignment
     unless one is open; leave closes the open one (a no-op otherwise).
 
@@ -80,49 +73,19 @@ def assignment_intervals(task_events: DataFrame, num_ranges: int | None = None,
     change the state (open vs closed, starting closed); the openings are the
     intervals and the following change is their ``unassigned_at``.
 
-    Skew: one pre-aggregated count finds the longest pair log.  When every
-    pair is under ``hot_pair_rows`` a plain window per pair is used.
-    Otherwise (or with ``hot_pair_rows=None``) the segmented path runs: the
-    log is range-partitioned on ``(task, student, at, seq)`` so a hot pair
-    is split into consecutive segments on several tasks, ``lag``/``lead`` run
-    inside each (range, pair) segment, and what crosses a segment boundary
-    is carried by per-segment summaries (one row per range and pair).
+    Skew: a pair's log is cut into segments, one per day.  ``lag``/``lead``
+    run inside each (pair, day) segment, and what crosses a segment boundary
+    is carried by summaries of one row per pair and day, so a pair with very
+    many events is dealt to as many tasks as it has days.
     """
     ev = task_events.where(F.col("kind").isin(*OPENING_KINDS, "leave")
                            & F.col("student_id").isNotNull())
-    ev = ev.select("task_id", "student_id", "at", "seq",
+    ev = ev.select("task_id", "student_id", "at", "seq", F.to_date("at").alias("_day"),
                    (F.col("kind") != "leave").alias("_opens"))
     pair = ["task_id", "student_id"]
-    if hot_pair_rows is not None:
-        longest = (ev.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
-                   .agg(F.max("_n").alias("m")).first()["m"])
-        if longest is None or longest <= hot_pair_rows:
-            return _intervals_by_pair_window(ev)
-    return _intervals_segmented(ev, num_ranges)
-
-
-def _intervals_by_pair_window(ev: DataFrame) -> DataFrame:
-    w = Window.partitionBy("task_id", "student_id").orderBy("at", "seq")
-    changes = (ev.withColumn("_prev", F.coalesce(F.lag("_opens").over(w), F.lit(False)))
-               .where(F.col("_prev") != F.col("_opens")))
-    return (changes.withColumn("_next", F.lead("at").over(w))
-            .where(F.col("_opens"))
-            .select("task_id", "student_id", F.col("at").alias("assigned_at"),
-                    F.col("_next").alias("unassigned_at")))
-
-
-def _intervals_segmented(ev: DataFrame, num_ranges: int | None) -> DataFrame:
-    n = num_ranges or int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pair = ["task_id", "student_id"]
-    seg_key = ["_range"] + pair
-    # Range numbers come from the physical partition, so fix them (and cut
-    # the lineage) with a reliable checkpoint in the shared checkpoint dir.
-    checkpoint_root(ev.sparkSession)
-    ev = (ev.repartitionByRange(n, *pair, "at", "seq")
-          .withColumn("_range", F.spark_partition_id())
-          .checkpoint(eager=True))
+    seg_key = [*pair, "_day"]
     w_seg = Window.partitionBy(*seg_key).orderBy("at", "seq")
-    w_pair = Window.partitionBy(*pair).orderBy("_range")
+    w_pair = Window.partitionBy(*pair).orderBy("_day")
 
     # 1. State before each event: the previous event of its segment, else the
     #    last state of the pair's previous segment, else closed.
@@ -290,8 +253,8 @@ def comment_attribute(requests: DataFrame, students: DataFrame):
     s = students.select("student_id", F.col("full_name").alias("_name"))
     df = requests.join(s, "student_id", "left")
     has_student = F.col("student_id").isNotNull()
-    reason = (F.when(is_blank("comment"), F.lit("Missing comment"))
-              .when(has_student & F.col("_name").isNull(), F.lit("Student not found")))
+    reason = (F.when(is_blank("comment"), F.lit("comment_missing"))
+              .when(has_student & F.col("_name").isNull(), F.lit("student_unknown")))
     df = df.withColumn("reject_reason", reason)
     label = js_trim(F.coalesce(F.col("author_label"), F.lit("")))
     ok = df.where(F.col("reject_reason").isNull()).select(
@@ -316,22 +279,28 @@ def comment_feed(comments: DataFrame, task_id: int | None = None) -> DataFrame:
 # ------------------------------------------------------------ task fold
 
 def validate_task_events(events: DataFrame, students: DataFrame):
-    """O-16: create needs a non-blank title and subteam; comments need
-    text; join / assign / clock-in need an active student.  Returns
-    ``(valid, rejects)``."""
+    """O-16: create needs a non-blank title and subteam; join / assign /
+    clock-in need an active student; every other event needs a task that was
+    created before it (by ``(at, seq)``).  Returns ``(valid, rejects)``.
+
+    The first create per task is a ``min`` over a struct, joined back by
+    task, so a busy task is reduced before the shuffle."""
     act = students.where(F.col("is_active")).select(
         "student_id", F.lit(True).alias("_active"))
-    df = events.join(act, "student_id", "left")
     kind = F.col("kind")
-    reason = (F.when((kind == "create") & is_blank("title"), F.lit("Missing title"))
-              .when((kind == "create") & is_blank("subteam"), F.lit("Missing subteam"))
-              .when(kind.isin(*OPENING_KINDS) & F.col("student_id").isNull(),
-                    F.lit("Missing studentId"))
-              .when(kind.isin(*OPENING_KINDS) & F.col("_active").isNull(),
-                    F.lit("Student not found")))
-    df = df.withColumn("reject_reason", reason)
-    valid = df.where(F.col("reject_reason").isNull()).drop("_active", "reject_reason")
-    rejects = df.where(F.col("reject_reason").isNotNull()).drop("_active")
+    creates = events.where((kind == "create") & ~is_blank("title") & ~is_blank("subteam"))
+    born = creates.groupBy("task_id").agg(F.min(F.struct("at", "seq")).alias("_born"))
+    df = events.join(act, "student_id", "left").join(born, "task_id", "left")
+    opening = kind.isin(*OPENING_KINDS)
+    exists = F.coalesce(F.struct("at", "seq") >= F.col("_born"), F.lit(False))
+    reason = (F.when((kind == "create") & is_blank("title"), F.lit("title_missing"))
+              .when((kind == "create") & is_blank("subteam"), F.lit("subteam_missing"))
+              .when(opening & F.col("student_id").isNull(), F.lit("student_missing"))
+              .when(opening & F.col("_active").isNull(), F.lit("student_unknown"))
+              .when((kind != "create") & ~exists, F.lit("task_unknown")))
+    df = df.withColumn("reject_reason", reason).select(*events.columns, "reject_reason")
+    valid = df.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    rejects = df.where(F.col("reject_reason").isNotNull())
     return valid, rejects
 
 

@@ -58,7 +58,7 @@ def q_gate_active(spark, sf_dir):
 
 
 @query("gate_rejects", O.with_(O.STUDENTS, O.PUNCHES) + """
-SELECT *, 'Student not found' AS reject_reason FROM punches_all
+SELECT *, 'student_unknown' AS reject_reason FROM punches_all
 WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
 def q_gate_rejects(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
@@ -108,18 +108,19 @@ def q_need_state(spark, sf_dir):
 
 _BOARD_SQL = O.with_(*_ATT_BASE, O.session_fold("all_punches", O.BOARD_AS_OF),
                      O.auto_close("sessions_raw", O.BOARD_AS_OF), f"""
+phases(phase, status, badge) AS (
+  VALUES (0, 'not_clocked_in', '—'), (1, 'clocked_in', 'IN'), (2, 'clocked_out', 'OUT')
+),
+that_day AS (
+  SELECT *, CASE WHEN clock_in_at IS NULL THEN 0 ELSE 1 + (clock_out_at IS NOT NULL)::INT END AS phase
+  FROM sessions WHERE meeting_date = {O.BOARD_DAY}
+),
 board AS (
-  SELECT s.student_id, s.full_name, coalesce(ds.subteam, s.subteam) AS subteam,
-         ds.meeting_date, ds.clock_in_at, ds.clock_out_at, ds.working_on,
-         ds.need_help, ds.need_task, ds.need_help_at, ds.need_task_at, ds.updated_at,
-         {_STATE_SQL.replace('clock_', 'ds.clock_')} AS status,
-         CASE WHEN ds.clock_in_at IS NOT NULL AND ds.clock_out_at IS NULL THEN 'IN'
-              WHEN ds.clock_in_at IS NOT NULL AND ds.clock_out_at IS NOT NULL THEN 'OUT'
-              ELSE '—' END AS badge
-  FROM students s
-  CROSS JOIN (SELECT {O.BOARD_DAY} AS d) d
-  LEFT JOIN sessions ds ON ds.student_id = s.student_id AND ds.meeting_date = d.d
-  WHERE s.is_active
+  SELECT r.student_id, r.full_name, coalesce(x.subteam, r.subteam) AS subteam,
+         x.* EXCLUDE (student_id, subteam, task_id, phase), p.status, p.badge
+  FROM (FROM students WHERE is_active) r
+  LEFT JOIN that_day x ON x.student_id = r.student_id
+  JOIN phases p ON p.phase = coalesce(x.phase, 0)
 )""")
 
 
@@ -219,8 +220,7 @@ def q_student_history(spark, sf_dir):
                                ses.daily_sessions(i.all_punches, V.ATTENDANCE_AS_OF))
 
 
-@query("attendance_report", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF),
-                                    O.auto_close("sessions_raw", O.ATT_AS_OF), f"""
+_PER_STUDENT_SQL = f"""
 worked AS (
   SELECT student_id, meeting_date,
          date_diff('microsecond', clock_in_at, coalesce(clock_out_at, clock_in_at)) AS us
@@ -235,7 +235,11 @@ per_student AS (
   FROM (SELECT * FROM students WHERE is_active) r
   LEFT JOIN worked w USING (student_id)
   GROUP BY r.student_id, r.full_name, r.subteam
-)""") + """
+)"""
+
+
+@query("attendance_report", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF),
+                                    O.auto_close("sessions_raw", O.ATT_AS_OF), _PER_STUDENT_SQL) + """
 SELECT student_id, full_name, subteam, days_clocked_in, last_day,
        CAST(sign(us_total) * ((abs(us_total) + 18000000) // 36000000) AS DOUBLE) / 100.0
          AS hours_total
@@ -252,21 +256,10 @@ def _csv_cell_sql(expr):
 
 
 @query("report_csv_lines", O.with_(*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF),
-                                   O.auto_close("sessions_raw", O.ATT_AS_OF), f"""
+                                   O.auto_close("sessions_raw", O.ATT_AS_OF), _PER_STUDENT_SQL, """
 report AS (
-  SELECT s.student_id, s.full_name, s.subteam,
-         count(ds.meeting_date) AS days_clocked_in, max(ds.meeting_date) AS last_day,
-         CAST(sign(coalesce(sum(date_diff('microsecond', ds.clock_in_at,
-                                             coalesce(ds.clock_out_at, ds.clock_in_at))), 0))
-              * ((abs(coalesce(sum(date_diff('microsecond', ds.clock_in_at,
-                                               coalesce(ds.clock_out_at, ds.clock_in_at))), 0))
-                  + 18000000) // 36000000) AS BIGINT) AS hundredths
-  FROM students s
-  LEFT JOIN sessions ds
-    ON ds.student_id = s.student_id AND ds.clock_in_at IS NOT NULL
-   AND ds.meeting_date BETWEEN {O.REPORT_START} AND {O.REPORT_END}
-  WHERE s.is_active
-  GROUP BY s.student_id, s.full_name, s.subteam
+  SELECT *, CAST(sign(us_total) * ((abs(us_total) + 18000000) // 36000000) AS BIGINT) AS hundredths
+  FROM per_student
 )""") + f"""
 SELECT 'student_id,full_name,subteam,days_clocked_in,last_day,hours_total' AS value
 UNION ALL
@@ -295,8 +288,7 @@ def q_correction_requests(spark, sf_dir):
 
 
 @query("correction_rejects", O.with_(*_CORR_BASE) + """
-SELECT *, 'Student not found' AS reject_reason FROM correction_requests
-WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
+SELECT * FROM judged_requests WHERE reject_reason IS NOT NULL""")
 def q_correction_rejects(spark, sf_dir):
     return Inputs.of(spark, sf_dir).validated_corrections[1]
 
@@ -313,9 +305,9 @@ all_dec AS (
   FROM correction_decisions d LEFT JOIN valid_requests r ON r.id = d.correction_id
 )""") + """
 SELECT a.correction_id, a."at", a.seq, a.st AS status, a.note,
-       CASE WHEN a.st NOT IN ('approved', 'denied') THEN 'status must be ''approved'' or ''denied'''
-            WHEN a.rc IS NULL OR a."at" < a.rc THEN 'Request not found'
-            ELSE 'Request already ' || c.status END AS reject_reason
+       CASE WHEN a.st NOT IN ('approved', 'denied') THEN 'status_unknown'
+            WHEN a.rc IS NULL OR a."at" < a.rc THEN 'request_unknown'
+            ELSE 'already_' || c.status END AS reject_reason
 FROM all_dec a LEFT JOIN corrections c ON c.id = a.correction_id
 WHERE a.st NOT IN ('approved', 'denied') OR a.rc IS NULL OR a."at" < a.rc
    OR (a."at", a.seq) <> (c.decided_at, c.decision_seq)""")
@@ -344,27 +336,29 @@ def q_corrections_list(spark, sf_dir):
 
 _TASK_BASE = (O.STUDENTS, O.TASKS, O.ASSIGNMENTS, O.COMMENTS)
 _ASSIGNEES_SQL = """
-assignee_lists AS (
-  SELECT o.task_id, count(*) AS n_assignees,
-         to_json(list({'student_id': r.student_id, 'full_name': r.full_name}
-                      ORDER BY r.full_name)) AS assignees
-  FROM (SELECT task_id, student_id FROM task_assignments
-        WHERE unassigned_at IS NULL GROUP BY task_id, student_id) o
-  JOIN students r ON r.student_id = o.student_id
-  GROUP BY o.task_id
+on_task AS (
+  SELECT DISTINCT task_id, student_id, full_name
+  FROM task_assignments JOIN students USING (student_id)
+  WHERE unassigned_at IS NULL
 ),
-comment_max AS (
-  SELECT task_id, max(created_at) AS last_comment_at FROM task_comments GROUP BY task_id
+on_task_list AS (
+  SELECT task_id, count(*) AS n_assignees,
+         '[' || string_agg(CAST(json_object('student_id', student_id, 'full_name', full_name) AS VARCHAR),
+                           ',' ORDER BY full_name, student_id) || ']' AS assignees
+  FROM on_task GROUP BY task_id
+)"""
+# Whatever happened to a task, as one (task, moment) table.
+_ACTIVITY_SQL = f"""
+moments AS (
+  SELECT id AS task_id, updated_at AS moment FROM tasks
+  UNION ALL SELECT task_id, created_at FROM task_comments
+  UNION ALL SELECT task_id, assigned_at FROM task_assignments WHERE unassigned_at IS NULL
 ),
-open_max AS (
-  SELECT task_id, max(assigned_at) AS last_assigned_at FROM task_assignments
-  WHERE unassigned_at IS NULL GROUP BY task_id
+activity AS (
+  SELECT task_id, max(moment) AS last_activity_at,
+         count_if(moment >= {O.TASK_AS_OF} - INTERVAL 3 DAY) = 0 AS is_stale
+  FROM moments GROUP BY task_id
 )"""
-_LAST_ACTIVITY = """greatest(t.updated_at,
-                coalesce(cm.last_comment_at, TIMESTAMP '1970-01-01 00:00:00'),
-                coalesce(om.last_assigned_at, TIMESTAMP '1970-01-01 00:00:00'))"""
-_RANK_SQL = """CASE t.status WHEN 'todo' THEN 1 WHEN 'in_progress' THEN 2 WHEN 'blocked' THEN 3
-                     WHEN 'done' THEN 4 ELSE 5 END"""
 
 
 @query("assignments_dedup", O.with_(O.ASSIGNMENTS) + f"""
@@ -385,13 +379,40 @@ def q_assignments_dedup(spark, sf_dir):
 
 
 _VALID_TASK_EVENTS = """
-valid_task_events AS (
-  SELECT * FROM task_events
-  WHERE NOT (kind IN ('join', 'assign', 'clock_in')
-             AND (student_id IS NULL
-                  OR student_id NOT IN (SELECT student_id FROM students WHERE is_active)))
-    AND NOT (kind = 'create' AND (coalesce(trim(title), '') = '' OR coalesce(trim(subteam), '') = ''))
-)"""
+numbered AS (
+  SELECT *, coalesce(trim(title), '') <> '' AND coalesce(trim(subteam), '') <> '' AS named,
+         count(*) FILTER (WHERE kind = 'create' AND coalesce(trim(title), '') <> ''
+                          AND coalesce(trim(subteam), '') <> '')
+           OVER (PARTITION BY task_id ORDER BY "at", seq) AS creates_so_far
+  FROM task_events
+),
+judged_task_events AS (
+  SELECT * EXCLUDE (named, creates_so_far),
+         CASE kind WHEN 'create' THEN
+                CASE WHEN named THEN NULL WHEN coalesce(trim(title), '') = '' THEN 'title_missing'
+                     ELSE 'subteam_missing' END
+              ELSE
+                CASE WHEN kind NOT IN ('join', 'assign', 'clock_in') THEN NULL
+                     WHEN student_id IS NULL THEN 'student_missing'
+                     WHEN student_id NOT IN (SELECT student_id FROM students WHERE is_active)
+                       THEN 'student_unknown' END
+         END AS early, creates_so_far
+  FROM numbered
+),
+task_rejects AS (
+  SELECT * EXCLUDE (early, creates_so_far),
+         coalesce(early, CASE WHEN kind <> 'create' AND creates_so_far = 0 THEN 'task_unknown' END)
+           AS reject_reason
+  FROM judged_task_events
+),
+valid_task_events AS (SELECT * EXCLUDE (reject_reason) FROM task_rejects WHERE reject_reason IS NULL)"""
+
+
+@query("task_event_rejects", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS) + """
+SELECT * FROM task_rejects WHERE reject_reason IS NOT NULL""")
+def q_task_event_rejects(spark, sf_dir):
+    i = Inputs.of(spark, sf_dir)
+    return tk.validate_task_events(i.task_events, i.students)[1]
 
 
 @query("assignment_intervals", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, """
@@ -429,35 +450,29 @@ def q_task_last_assignment(spark, sf_dir):
 
 
 @query("task_assignees", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + """
-SELECT task_id, n_assignees, CAST(assignees AS VARCHAR) AS assignees FROM assignee_lists""")
+SELECT task_id, n_assignees, assignees FROM on_task_list""")
 def q_task_assignees(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     a = tk.task_assignees(i.assignments, i.students)
     return a.select("task_id", "n_assignees", tk.assignees_json("assignees").alias("assignees"))
 
 
-@query("task_staleness", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + f"""
-SELECT t.id AS task_id, {_LAST_ACTIVITY} AS last_activity_at,
-       {_LAST_ACTIVITY} < {O.TASK_AS_OF} - INTERVAL 3 DAY AS is_stale
-FROM tasks t
-LEFT JOIN comment_max cm ON cm.task_id = t.id
-LEFT JOIN open_max om ON om.task_id = t.id""")
+@query("task_staleness", O.with_(*_TASK_BASE, _ACTIVITY_SQL) + """
+SELECT task_id, last_activity_at, is_stale FROM activity
+WHERE task_id IN (SELECT id FROM tasks)""")
 def q_task_staleness(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     return tk.task_staleness(i.tasks, i.comments, i.assignments, V.TASK_AS_OF)
 
 
-@query("task_board", O.with_(*_TASK_BASE, _ASSIGNEES_SQL) + f"""
-SELECT t.id, t.title, t.subteam, t.status, t.description, t.archived, t.created_at,
-       t.updated_at, {_LAST_ACTIVITY} AS last_activity_at,
-       {_LAST_ACTIVITY} < {O.TASK_AS_OF} - INTERVAL 3 DAY AS is_stale,
-       coalesce(CAST(a.assignees AS VARCHAR), '[]') AS assignees,
-       {_RANK_SQL} AS status_rank
-FROM tasks t
-LEFT JOIN comment_max cm ON cm.task_id = t.id
-LEFT JOIN open_max om ON om.task_id = t.id
-LEFT JOIN assignee_lists a ON a.task_id = t.id
-WHERE NOT t.archived""")
+@query("task_board", O.with_(*_TASK_BASE, _ASSIGNEES_SQL, _ACTIVITY_SQL, """
+lanes(status, lane) AS (VALUES ('todo', 1), ('in_progress', 2), ('blocked', 3), ('done', 4))""") + """
+SELECT shown.*, last_activity_at, is_stale, coalesce(assignees, '[]') AS assignees,
+       coalesce(lane, 5) AS status_rank
+FROM (FROM tasks WHERE NOT archived) shown
+JOIN activity v ON v.task_id = shown.id
+LEFT JOIN on_task_list m ON m.task_id = shown.id
+LEFT JOIN lanes l ON l.status = shown.status""")
 def q_task_board(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     return tk.task_board(i.tasks, i.assignments, i.comments, i.students, V.TASK_AS_OF)
@@ -509,8 +524,8 @@ comment_requests AS (
 judged AS (
   SELECT r.*, s.full_name,
          CASE WHEN r.comment IS NULL OR regexp_replace(r.comment, '{JS_TRIM_RE}', '', 'g') = ''
-                THEN 'Missing comment'
-              WHEN r.student_id IS NOT NULL AND s.student_id IS NULL THEN 'Student not found'
+                THEN 'comment_missing'
+              WHEN r.student_id IS NOT NULL AND s.student_id IS NULL THEN 'student_unknown'
          END AS reject_reason
   FROM comment_requests r LEFT JOIN students s ON s.student_id = r.student_id
 )"""
@@ -599,7 +614,7 @@ manual_raw AS (
          CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL
               ELSE 'Build' END AS subteam,
          CASE WHEN event_id % 7 = 0 THEN '' ELSE 'paper log' END AS working_on
-  FROM events WHERE event_type = 'purchase' AND event_id % 23 = 0
+  FROM events
 ),
 manual_ok AS (
   SELECT m.* REPLACE (coalesce(m.subteam, s.subteam) AS subteam),
@@ -641,7 +656,7 @@ def q_manual_attendance_replace(spark, sf_dir):
 
 
 @query("manual_rejects", O.with_(O.STUDENTS, _MANUAL_SQL) + """
-SELECT *, 'Student not found' AS reject_reason FROM manual_raw
+SELECT *, 'student_unknown' AS reject_reason FROM manual_raw
 WHERE student_id NOT IN (SELECT student_id FROM students WHERE is_active)""")
 def q_manual_rejects(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
@@ -745,7 +760,7 @@ def q_roster_patch(spark, sf_dir):
 
 
 @query("roster_patch_rejects", O.with_(O.STUDENTS, _PATCH_SQL) + """
-SELECT *, 'Student not found' AS reject_reason FROM roster_patches
+SELECT *, 'student_unknown' AS reject_reason FROM roster_patches
 WHERE student_id NOT IN (SELECT student_id FROM students)""")
 def q_roster_patch_rejects(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)

@@ -61,31 +61,48 @@ punches AS (
 # Correction requests / decisions / final table / set events.
 CORRECTIONS = f"""
 correction_requests AS (
-  SELECT event_id AS id, user_id AS student_id,
-         strftime({eastern_date('ts')}, '%Y-%m-%d') AS meeting_date,
-         '17:00' AS requested_clock_in,
-         CASE WHEN event_id % 2 = 0 THEN NULL ELSE '19:30' END AS requested_clock_out,
-         '  missed punch ' || event_type || ' ' AS reason,
+  SELECT event_id AS id, CASE WHEN event_id % 100 <> 1 THEN user_id END AS student_id,
+         CASE event_id % 100 WHEN 2 THEN 'Jan 9' WHEN 3 THEN '2024-02-30'
+              ELSE strftime({eastern_date('ts')}, '%Y-%m-%d') END AS meeting_date,
+         CASE event_id % 100 WHEN 4 THEN '5 pm' WHEN 5 THEN '99:99' ELSE '17:00' END
+           AS requested_clock_in,
+         CASE event_id % 100 WHEN 6 THEN 'late' WHEN 7 THEN '25:00'
+              ELSE CASE WHEN event_id % 2 = 1 THEN '19:30' END END AS requested_clock_out,
+         CASE event_id % 100 WHEN 8 THEN ' x ' ELSE '  missed punch ' || event_type || ' ' END
+           AS reason,
          ts AS created_at
-  FROM events WHERE event_id % 17 = 0
+  FROM events
+),
+judged_requests AS (
+  SELECT q.*, CASE
+    WHEN student_id IS NULL THEN 'student_missing'
+    WHEN NOT regexp_full_match(meeting_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'meeting_date_format'
+    WHEN NOT regexp_full_match(requested_clock_in, '[0-9]{{2}}:[0-9]{{2}}') THEN 'clock_in_format'
+    WHEN NOT regexp_full_match(coalesce(requested_clock_out, '00:00'), '[0-9]{{2}}:[0-9]{{2}}')
+      THEN 'clock_out_format'
+    WHEN length(trim(reason)) < 3 THEN 'reason_too_short'
+    WHEN student_id NOT IN (SELECT student_id FROM students WHERE is_active) THEN 'student_unknown'
+    WHEN TRY_CAST(meeting_date AS DATE) IS NULL OR TRY_CAST(requested_clock_in AS TIME) IS NULL
+      OR TRY_CAST(coalesce(requested_clock_out, '00:00') AS TIME) IS NULL THEN 'value_out_of_range'
+    END AS reject_reason
+  FROM correction_requests q
 ),
 correction_decisions AS (
-  SELECT event_id AS correction_id, ts + INTERVAL 1 DAY AS "at", event_id * 10 AS seq,
-         CASE WHEN event_id % 3 = 1 THEN 'approved' ELSE 'DENIED' END AS status,
-         CASE WHEN event_id % 3 = 1 THEN '  ok  ' ELSE '' END AS note
-  FROM events WHERE event_id % 17 = 0 AND event_id % 3 <> 0
+  SELECT event_id AS correction_id, ts + to_days(CASE event_type WHEN 'click' THEN -1 ELSE 1 END) AS "at",
+         event_id * 10 AS seq,
+         CASE event_type WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'approved'
+              WHEN 'error' THEN 'maybe' ELSE 'DENIED' END AS status,
+         CASE WHEN event_type IN ('signup', 'purchase') THEN '  ok  ' ELSE '' END AS note
+  FROM events
   UNION ALL
-  SELECT event_id, ts + INTERVAL 2 DAY, event_id * 10 + 1,
-         CASE WHEN event_id % 3 = 1 THEN 'denied' ELSE 'approved' END,
-         'second look'
-  FROM events WHERE event_id % 17 = 0 AND event_id % 3 <> 0 AND event_id % 5 = 0
+  SELECT event_id, ts + INTERVAL 2 DAY, event_id * 10 + 1, 'denied', 'second look'
+  FROM events WHERE event_type = 'purchase'
 ),
 valid_requests AS (
-  SELECT id, student_id, CAST(meeting_date AS DATE) AS meeting_date,
+  SELECT id, student_id, TRY_CAST(meeting_date AS DATE) AS meeting_date,
          requested_clock_in, requested_clock_out, trim(reason) AS reason,
          'pending' AS status, created_at
-  FROM correction_requests
-  WHERE student_id IN (SELECT student_id FROM students WHERE is_active)
+  FROM judged_requests WHERE reject_reason IS NULL
 ),
 ranked_decisions AS (
   SELECT d.correction_id, d."at", d.seq, lower(d.status) AS status, d.note,
@@ -106,9 +123,9 @@ set_events AS (
   SELECT student_id, decided_at AS "at", decision_seq AS seq, 'set_both' AS kind,
          meeting_date, CAST(NULL AS VARCHAR) AS subteam, CAST(NULL AS VARCHAR) AS working_on,
          CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS BOOLEAN) AS value,
-         {local_to_utc("meeting_date + CAST(requested_clock_in AS TIME)")} AS set_in,
+         {local_to_utc("meeting_date + TRY_CAST(requested_clock_in AS TIME)")} AS set_in,
          CASE WHEN requested_clock_out IS NULL THEN NULL ELSE
-         {local_to_utc("meeting_date + CAST(requested_clock_out AS TIME)")} END AS set_out
+         {local_to_utc("meeting_date + TRY_CAST(requested_clock_out AS TIME)")} END AS set_out
   FROM corrections WHERE status = 'approved'
 )"""
 

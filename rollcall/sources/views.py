@@ -56,46 +56,50 @@ def punches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return punches_from_events(read_table(spark, sf_dir, "events"))
 
 
-def _correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
-    return e.where((F.col("event_id") % 17) == 0)
-
-
 def correction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw requests: every 17th event asks to fix its own Eastern day."""
-    e = _correction_events(spark, sf_dir)
+    """Raw requests: every event asks to fix its own Eastern day.  The last two
+    digits of the id decide which request carries which defect."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.col("event_id") % 100
+    none = F.lit(None).cast("string")
     return e.select(
         F.col("event_id").alias("id"),
-        F.col("user_id").alias("student_id"),
-        F.date_format(eastern_date("ts"), "yyyy-MM-dd").alias("meeting_date"),
-        F.lit("17:00").alias("requested_clock_in"),
-        F.when((F.col("event_id") % 2) == 0, F.lit(None).cast("string"))
+        F.when(k == 1, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("student_id"),
+        F.when(k == 2, F.lit("Jan 9")).when(k == 3, F.lit("2024-02-30"))
+         .otherwise(F.date_format(eastern_date("ts"), "yyyy-MM-dd")).alias("meeting_date"),
+        F.when(k == 4, F.lit("5 pm")).when(k == 5, F.lit("99:99"))
+         .otherwise(F.lit("17:00")).alias("requested_clock_in"),
+        F.when(k == 6, F.lit("late")).when(k == 7, F.lit("25:00"))
+         .when((F.col("event_id") % 2) == 0, none)
          .otherwise(F.lit("19:30")).alias("requested_clock_out"),
-        F.concat(F.lit("  missed punch "), F.col("event_type"), F.lit(" ")).alias("reason"),
+        F.when(k == 8, F.lit(" x ")).otherwise(
+            F.concat(F.lit("  missed punch "), F.col("event_type"), F.lit(" "))).alias("reason"),
         F.col("ts").alias("created_at"),
     )
 
 
 def correction_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentor decisions: id % 3 = 1 approved, = 2 denied (a day after the
-    request); ids also divisible by 5 get a second, contrary decision a day
-    later, which must be refused as already decided.  One scan: each event
-    yields one or two decisions."""
-    e = _correction_events(spark, sf_dir)
-    eid, r = F.col("event_id"), F.col("event_id") % 3
+    """Mentor decisions, one for every event, by its type: signup and purchase
+    are approved and view denied a day after the request; click is decided a day
+    before it was made and error with an unknown word, so these stay pending.
+    Purchases get a second, contrary decision a day later, which must be refused.
+    One scan: each event yields one or two decisions."""
+    e = read_table(spark, sf_dir, "events")
+    eid, kind = F.col("event_id"), F.col("event_type")
     first = F.struct(
-        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("at"),
+        (F.when(kind == "click", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+         .otherwise(F.col("ts") + F.expr("INTERVAL 1 DAY"))).alias("at"),
         (eid * 10).alias("seq"),
-        F.when(r == 1, "approved").otherwise("DENIED").alias("status"),
-        F.when(r == 1, F.lit("  ok  ")).otherwise(F.lit("")).alias("note"))
-    second = F.when((eid % 5) == 0, F.struct(
+        F.when(kind.isin("signup", "purchase"), "approved").when(kind == "error", "maybe")
+         .otherwise("DENIED").alias("status"),
+        F.when(kind.isin("signup", "purchase"), F.lit("  ok  ")).otherwise(F.lit("")).alias("note"))
+    second = F.when(kind == "purchase", F.struct(
         (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("at"),
         (eid * 10 + 1).alias("seq"),
-        F.when(r == 1, "denied").otherwise("approved").alias("status"),
+        F.lit("denied").alias("status"),
         F.lit("second look").alias("note")))
     both = F.filter(F.array(first, second), lambda d: d.isNotNull())
-    return (e.where(r != 0)
-            .select(eid.alias("correction_id"), F.explode(both).alias("d"))
+    return (e.select(eid.alias("correction_id"), F.explode(both).alias("d"))
             .select("correction_id", "d.at", "d.seq", "d.status", "d.note"))
 
 
@@ -312,13 +316,12 @@ def punches_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paper-record backfills: every 23rd purchase event becomes a mentor
-    entry for the student's Eastern day, three days later, with a mix of
-    missing times, blank subteams and cleared notes."""
+    """Paper-record backfills: every event becomes a mentor entry for the
+    student's Eastern day, three days later, with a mix of missing times,
+    blank subteams and cleared notes."""
     e = read_table(spark, sf_dir, "events")
     eid = F.col("event_id")
-    pick = e.where((F.col("event_type") == "purchase") & ((eid % 23) == 0))
-    return pick.select(
+    return e.select(
         F.col("user_id").alias("student_id"),
         (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("at"),
         eid.alias("seq"),

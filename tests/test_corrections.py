@@ -32,11 +32,11 @@ def test_validation_rules_in_order(spark):
     ]
     valid, rejects = corr.validate_corrections(requests(spark, rows), st)
     rej = {r["id"]: r["reject_reason"] for r in rejects.collect()}
-    assert rej == {2: "Missing studentId", 3: "Invalid meetingDate (YYYY-MM-DD)",
-                   4: "Invalid clockInTime (HH:MM)", 5: "Invalid clockOutTime (HH:MM)",
-                   6: "Please provide a short reason", 7: "Student not found",
-                   8: "date/time field value out of range",
-                   9: "date/time field value out of range"}
+    assert rej == {2: "student_missing", 3: "meeting_date_format",
+                   4: "clock_in_format", 5: "clock_out_format",
+                   6: "reason_too_short", 7: "student_unknown",
+                   8: "value_out_of_range",
+                   9: "value_out_of_range"}
     ok = by_key(valid, "id")
     assert set(ok) == {(1,), (10,)}
     assert ok[(10,)]["requested_clock_out"] is None and ok[(10,)]["reason"] == "forgot"
@@ -69,9 +69,9 @@ def test_first_decision_wins_and_apply(spark):
     assert f[(2,)]["status"] == "denied" and f[(2,)]["decision_note"] is None
     assert f[(3,)]["status"] == "pending" and f[(3,)]["decided_at"] is None
     rej = {r["seq"]: r["reject_reason"] for r in rejects.collect()}
-    assert rej == {2: "Request already approved",
-                   4: "status must be 'approved' or 'denied'",
-                   5: "Request not found", 6: "Request not found"}
+    assert rej == {2: "already_approved",
+                   4: "status_unknown",
+                   5: "request_unknown", 6: "request_unknown"}
     ev = corr.correction_apply(final).collect()
     assert len(ev) == 1
     e = ev[0]
@@ -127,7 +127,7 @@ def test_manual_rejects(spark):
             (1, T("2024-01-10"), 3, "2024-01-08", "", "", None, None)]
     ev, rej = corr.manual_attendance(manual(spark, rows), st, "patch")
     assert {r["seq"]: r["reject_reason"] for r in rej.collect()} == {
-        1: "Student not found", 2: "Invalid clockInTime (HH:MM)"}
+        1: "student_unknown", 2: "clock_in_format"}
     assert [r["kind"] for r in ev.collect()] == ["update"]
     _, rej_r = corr.manual_attendance(manual(spark, rows), st, "replace")
     assert {r["seq"] for r in rej_r.collect()} == {1, 2, 3}

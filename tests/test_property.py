@@ -133,16 +133,16 @@ def test_assignment_intervals_match_sequential_handlers(spark, seed):
                            kind=rng.choice(["join", "assign", "clock_in", "leave", "leave"])))
     rows = [tuple(e.get(f.name) for f in schemas.TASK_EVENTS.fields) for e in events]
     df = spark.createDataFrame(rows, schemas.TASK_EVENTS).repartition(3)
-    for hot in (tk.HOT_PAIR_ROWS, None):
-        got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
-                      for r in tk.assignment_intervals(df, hot_pair_rows=hot).collect()),
-                     key=lambda x: (x[0], x[1], x[2]))
-        assert got == interpret_intervals(events), hot
+    got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
+                  for r in tk.assignment_intervals(df).collect()),
+                 key=lambda x: (x[0], x[1], x[2]))
+    assert got == interpret_intervals(events)
 
 
-def test_assignment_intervals_hot_pair_split_over_ranges(spark):
-    """One (task, student) pair holding most of the log is split across many
-    range partitions; the carried state must stitch the segments."""
+def test_assignment_intervals_hot_pair_split_over_days(spark):
+    """One (task, student) pair holding most of the log is split into the
+    segments of its days; the carried state must stitch them, also over days
+    without a change of state."""
     rng = random.Random(9)
     base = dt.datetime(2024, 1, 1)
     events = []
@@ -154,10 +154,9 @@ def test_assignment_intervals_hot_pair_split_over_ranges(spark):
                            kind=rng.choice(["join", "join", "leave", "assign", "leave"])))
     rows = [tuple(e.get(f.name) for f in schemas.TASK_EVENTS.fields) for e in events]
     df = spark.createDataFrame(rows, schemas.TASK_EVENTS)
-    for n in (1, 7, 16):
+    for n in (1, 7):
         got = sorted(((r["task_id"], r["student_id"], r["assigned_at"], r["unassigned_at"])
-                      for r in tk.assignment_intervals(df, num_ranges=n,
-                                                       hot_pair_rows=100).collect()),
+                      for r in tk.assignment_intervals(df.repartition(n)).collect()),
                      key=lambda x: (x[0], x[1], x[2]))
         assert got == interpret_intervals(events), n
 

@@ -27,7 +27,7 @@ def test_upsert_by_name(spark):
     assert got[("Cy Moor",)]["subteam"] == "Programming" and got[("Cy Moor",)]["is_new"]
     assert got[("Cy Moor",)]["student_id"] > 0
     assert got[("Ada Quill",)]["subteam"] == "Build"
-    assert [x["reject_reason"] for x in rej.collect()] == ["Missing full_name"] * 2
+    assert [x["reject_reason"] for x in rej.collect()] == ["name_missing"] * 2
     spaced, _ = ro.roster_upsert(st, changes(spark, [(T("2024-02-03"), 6, None, "   ", "", None)]))
     blank = by_key(spaced, "full_name")[("",)]
     assert blank["is_new"] and blank["subteam"] is None

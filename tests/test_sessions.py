@@ -142,7 +142,7 @@ def test_gate_rejects_inactive_and_unknown(spark):
     p = punches_df(spark, rows)
     assert sorted(r["student_id"] for r in gate_active(p, st).collect()) == [1]
     rej = {r["student_id"]: r["reject_reason"] for r in gate_rejects(p, st).collect()}
-    assert rej == {2: "Student not found", 3: "Student not found"}
+    assert rej == {2: "student_unknown", 3: "student_unknown"}
 
 
 def test_dst_gap_and_overlap(spark):

@@ -47,6 +47,11 @@ def test_rollover_guards_and_copy(spark):
     assert rollover.current_season(spark, root) == base
     assert spark.read.parquet(f"{base}/students").count() == 1
     assert spark.read.parquet(f"{base}/daily_sessions").count() == 0
+    with pytest.raises(rollover.RolloverRefused):
+        rollover.season_rollover(spark, st, root, "2025", "RESET", allowed=True)
+    again = rollover.season_rollover(spark, st, root, "2026", "RESET", allowed=True)
+    assert rollover.current_season(spark, root) == again
+    assert spark.read.parquet(f"{base}/students").count() == 1      # the old season stays
 
 
 def test_stream_equals_batch_on_closed_days(spark):

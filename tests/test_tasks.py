@@ -91,7 +91,7 @@ def test_task_fold_patch_archive_and_promotion(spark):
     ])
     valid, rejects = tk.validate_task_events(ev, st)
     assert {r["seq"]: r["reject_reason"] for r in rejects.collect()} == {
-        10: "Missing title", 12: "Student not found"}
+        10: "title_missing", 12: "student_unknown"}
     f = by_key(tk.task_fold(valid, T("2024-02-01")), "id")
     assert set(f) == {(1,), (2,), (3,), (6,)}
     assert f[(6,)]["archived"] is False and f[(6,)]["title"] == "Late"
@@ -120,7 +120,7 @@ def test_comment_attribution_and_feed(spark):
     assert o[(2,)]["author_type"] == "mentor" and o[(2,)]["author_label"] == "Mentor"
     assert o[(3,)]["author_label"] == "Coach K"
     assert {r["id"]: r["reject_reason"] for r in rej.collect()} == {
-        4: "Student not found", 5: "Missing comment"}
+        4: "student_unknown", 5: "comment_missing"}
     feed = [r["id"] for r in tk.comment_feed(ok, task_id=10).collect()]
     assert feed == [2, 1, 3]
 
