@@ -91,7 +91,8 @@ def test_task_fold_patch_archive_and_promotion(spark):
     ])
     valid, rejects = tk.validate_task_events(ev, st)
     assert {r["seq"]: r["reject_reason"] for r in rejects.collect()} == {
-        10: "title_missing", 12: "student_unknown"}
+        10: "title_missing", 12: "student_unknown",
+        11: "task_unknown", 13: "task_unknown", 14: "task_unknown"}     # no create at or before them
     f = by_key(tk.task_fold(valid, T("2024-02-01")), "id")
     assert set(f) == {(1,), (2,), (3,), (6,)}
     assert f[(6,)]["archived"] is False and f[(6,)]["title"] == "Late"
