@@ -94,6 +94,9 @@ _VALUE, _IS_SPACE = _byte_tables()
 #: Powers of the odd multiplier, and of its inverse, for words up to this many bytes at once.
 _POWERS = 1 << 12
 
+#: Bytes of text hashed at once (one text at least).
+_HASH_BYTES = 1 << 19
+
 
 def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -169,6 +172,9 @@ def word_hash_slices(column, limit: int = 2 << 20):
     """For an Arrow string column: ``(first row, last row + 1, hashes, words per row)``."""
     raw, offsets = text_buffers(column)
     for i, j in byte_slices(offsets, limit):
-        part = offsets[i: j + 1]
-        hashes, counts = hash_words(raw[part[0]: part[-1]], part - part[0])
-        yield i, j, hashes, counts
+        # Hashing takes dozens of bytes a byte of text, so a slice is hashed piece by piece.
+        pieces = []
+        for a, b in byte_slices(offsets[i: j + 1], _HASH_BYTES):
+            part = offsets[i + a: i + b + 1]
+            pieces.append(hash_words(raw[part[0]: part[-1]], part - part[0]))
+        yield i, j, *(np.concatenate(x) for x in zip(*pieces, strict=True))

@@ -2,9 +2,9 @@
 
 The model reads a text backwards: it gives each token's probability under the token
 that follows (the end mark follows the last word and is the last to be predicted),
-``p(w | c) = (n(c, w) + MU q(w)) / (n(c) + MU)``, with a smoothed unigram ``q``.  The
-``TOP`` most frequent words have their own q, rounded down to a power of 2^(1/4);
-all others share the rest evenly.
+``p(w | c) = (n(c, w) + MU q(w)) / (n(c) + MU)``, with a smoothed unigram ``q``.  Every
+word of the training texts has its own q, rounded down to a power of 2^(1/4); a word
+they don't have counts once.
 
 The trie is cut by context into shards.  A shard has two levels, each one monotone
 sequence in Elias-Fano code: the contexts' hashes, and the words seen below them
@@ -15,8 +15,11 @@ buffers in a memory-mapped temporary file of the task, closed with it.
 Each input slice sends a shard one packed row with the positions whose context
 belongs to it; the shard's task builds the trie from those of training texts and
 scores all of them.  Contexts frequent enough to fill a shard are spread over all
-shards by the predicted word; their totals come from the table of frequent words.
-Nothing but that table and three totals reaches the driver; word counts stay in Spark.
+shards by the predicted word; their totals come from the table of the ``TOP`` most
+frequent words.  That table also spares frequent words a join: slices write their
+codes of q.  Each other word that a shard predicts is sent, once per slice, to the
+bucket of its count, which returns its code to the shard.  Nothing but the table and
+three totals reaches the driver; word counts stay in Spark.
 
 Null text is empty: one token, the end mark.  Repeated rows are scored alike, and
 each trains.  Without training texts the base and the model give every token
@@ -41,7 +44,9 @@ SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1 << 15
 STEPS = 32.0                    # quantisation: steps per power of ten
 END = int(common.mix64(np.array([7], np.uint64))[0])
-SLICE_SCHEMA = "shard int, base long, contexts binary, repeats binary, words binary, rows binary, lower binary, ids binary, known binary"
+SLICE_SCHEMA = "shard int, base long, contexts binary, repeats binary, words binary, rows binary, lower binary, rest binary, ids binary, known binary"
+KEY_SCHEMA = "bucket int, shards binary, words binary"
+CODE_SCHEMA = "shard int, words binary, codes binary"
 SUM_SCHEMA = "base long, rows binary, n binary, known binary, base_sums binary, score_sums binary, ids binary, valid binary"
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base double, score double"
 
@@ -183,23 +188,94 @@ def _count_rows(batches):
         yield rows()
 
 
+def lower_codes(counts: np.ndarray) -> np.ndarray:
+    """Code of the lower order of words with these counts; 0 is left for words without one."""
+    return np.minimum(1 + np.floor(4 * np.log2(np.maximum(counts, 1)) + 1e-9), 255).astype(np.uint8)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
 class Frequent:
     """The totals and the table of the most frequent words, sorted by hash."""
 
     def __init__(self, tokens: int, distinct: int, words: np.ndarray, counts: np.ndarray, shards: int):
         order = np.argsort(words)
         self.tokens, self.distinct, self.words, self.counts, self.shards = tokens, distinct, words[order], counts[order], shards
-        rest = (tokens - int(counts.sum()) + 1) / ((tokens + 1) * (distinct - len(words) + 1))
-        self.q = np.concatenate([[rest], 2.0 ** (np.arange(255) / 4) / (tokens + 1)])
-        self.codes = np.minimum(1 + np.floor(4 * np.log2(np.maximum(self.counts, 1)) + 1e-9), 255).astype(np.uint8)
+        self.q = np.concatenate([[1.0], 2.0 ** (np.arange(255) / 4)]) / (tokens + 1)
+        self.codes = lower_codes(self.counts)
         self.heavy = self.counts > max(1, tokens // (4 * shards))
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Index in the table, or -1."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+        return _find(self.words, hashes)
+
+    def shard(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        heavy = np.append(self.heavy, False)[self.place(contexts)]
+        spread = np.where(heavy, common.mix64(contexts ^ words), contexts)
+        return (spread % np.uint64(self.shards)).astype(np.int64)
+
+
+def _positions(hashes: np.ndarray, counts: np.ndarray):
+    """(row, context, word) of each position of a slice.  Each row: its words and the
+    end mark are contexts; the end mark and its words are predicted."""
+    n = len(counts)
+    row = np.repeat(np.arange(n), counts + 1)
+    place = np.arange(len(hashes)) + np.repeat(np.arange(n), counts)
+    contexts, words = np.full(len(row), END, np.uint64), np.full(len(row), END, np.uint64)
+    contexts[place] = hashes
+    words[place + 1] = hashes
+    return row, contexts, words
+
+
+def _key_rows(shared):
+    """Task function: the distinct (shard, predicted word) of a slice for words that are
+    not in the table, as one packed row per slice and bucket."""
+
+    def rows(batches):
+        top = shared.value
+        for _, hashes, counts in _texts(batches):
+            _, contexts, words = _positions(hashes, counts)
+            other = top.place(words) < 0
+            words, shard = words[other], top.shard(contexts[other], words[other])
+            bucket = ((words >> np.uint64(33)) % np.uint64(top.shards)).astype(np.int64)     # as many as shards
+            order = np.lexsort((words, shard, bucket))
+            words, shard, bucket = words[order], shard[order], bucket[order]
+            new = np.ones(len(words), bool)
+            new[1:] = (np.diff(words) != 0) | (np.diff(shard) != 0)
+            words, shard, bucket = words[new], shard[new], bucket[new]
+            found, starts = np.unique(bucket, return_index=True)
+            yield pa.record_batch({
+                "bucket": pa.array(found.astype(np.int32)),
+                "shards": pa.array([x.tobytes() for x in np.split(shard.astype(np.uint32), starts[1:])[: len(found)]], pa.binary()),
+                "words": pa.array([x.tobytes() for x in np.split(words, starts[1:])[: len(found)]], pa.binary())})
+    return rows
+
+
+def _unpacked(table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table[name])])
+
+
+def _code_rows(keys, counts):
+    """The codes of a bucket's words, as one packed row per shard that wants some."""
+    shard, words = _unpacked(keys, "shards", "<u4"), _unpacked(keys, "words", "<u8")
+    known, n = counts["w"].to_numpy().astype(np.int64).view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(known)
+    at = _find(known[order], words)
+    shard, words, at = shard[at >= 0], words[at >= 0], at[at >= 0]
+    codes = lower_codes(n[order][at]) if len(at) else np.zeros(0, np.uint8)
+    order = np.lexsort((words, shard))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(words[order]) != 0) | (np.diff(shard[order]) != 0)
+    order = order[new]
+    found, starts = np.unique(shard[order], return_index=True)
+    split = lambda x: pa.array([y.tobytes() for y in np.split(x[order], starts[1:])[: len(found)]], pa.binary())
+    return pa.table({"shard": pa.array(found.astype(np.int32)), "words": split(words), "codes": split(codes)})
 
 
 def _slice_rows(shared):
@@ -208,18 +284,9 @@ def _slice_rows(shared):
     def rows(batches):
         top = shared.value
         for part, hashes, counts in _texts(batches):
-            n = part.num_rows
-            # Each row: its words and the end mark are contexts; the end mark and its words are predicted.
-            row = np.repeat(np.arange(n), counts + 1)
-            place = np.arange(len(hashes)) + np.repeat(np.arange(n), counts)
-            contexts, words = np.full(len(row), END, np.uint64), np.full(len(row), END, np.uint64)
-            contexts[place] = hashes
-            words[place + 1] = hashes
-            at, word_at = top.place(contexts), top.place(words)
-            short = (words >> np.uint64(32)).astype(np.uint32)
-            heavy = (at >= 0) & np.append(top.heavy, False)[at]
-            spread = np.where(heavy, common.mix64(contexts ^ words), contexts)
-            shard = (spread % np.uint64(top.shards)).astype(np.int64)
+            row, contexts, words = _positions(hashes, counts)
+            word_at, shard = top.place(words), top.shard(contexts, words)
+            short, rest = (words >> np.uint64(32)).astype(np.uint32), words.astype(np.uint32)
             lower = np.where(word_at >= 0, np.append(top.codes, 0)[word_at], 0).astype(np.uint8)
             mark = (row | np.where(part.column("train").to_numpy(zero_copy_only=False), 1 << 15, 0)[row]).astype(np.uint16)
             base = int(part.column("row")[0].as_py())
@@ -233,8 +300,9 @@ def _slice_rows(shared):
                     pa.array([int(shard[some[0]])], pa.int32()), pa.array([base], pa.int64()),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (
                         contexts[some][starts], np.diff(np.append(starts, len(some))).astype(np.uint32), short[some], mark[some], lower[some],
+                        rest[some][lower[some] == 0],        # the other half of words that are not in the table
                         ids.fill_null(0).to_numpy().astype(np.int64) if k == 0 else np.zeros(0, np.int64), known))],
-                    names=["shard", "base", "contexts", "repeats", "words", "rows", "lower", "ids", "known"])
+                    names=["shard", "base", "contexts", "repeats", "words", "rows", "lower", "rest", "ids", "known"])
     return rows
 
 
@@ -265,15 +333,20 @@ def score_shard(top: Frequent, contexts, words, lower, rows, train):
 
 
 def _score_rows(shared):
-    def rows(table):
+    def rows(table, codes):
         pieces = {k: [np.frombuffer(x.as_py(), t) for x in table[k]] for k, t in (
             ("contexts", "<u8"), ("repeats", "<u4"), ("words", "<u4"), ("rows", "<u2"), ("lower", "u1"), ("ids", "<i8"), ("known", "?"))}
         bases = table["base"].to_numpy()
         contexts = np.concatenate([np.repeat(c, r) for c, r in zip(pieces["contexts"], pieces["repeats"], strict=True)])
         marks = np.concatenate(pieces["rows"])
         row = np.repeat(bases, [len(x) for x in pieces["rows"]]) + (marks & 0x7FFF)
-        found, (n, known, base, score) = score_shard(
-            shared.value, contexts, np.concatenate(pieces["words"]), np.concatenate(pieces["lower"]), row, marks >= 1 << 15)
+        words, lower = np.concatenate(pieces["words"]), np.concatenate(pieces["lower"])
+        other = np.flatnonzero(lower == 0)
+        own, own_codes = _unpacked(codes, "words", "<u8"), _unpacked(codes, "codes", "u1")
+        order = np.argsort(own)
+        at = _find(own[order], (words[other].astype(np.uint64) << np.uint64(32)) | _unpacked(table, "rest", "<u4"))
+        lower[other] = np.append(own_codes[order], 0)[at]
+        found, (n, known, base, score) = score_shard(shared.value, contexts, words, lower, row, marks >= 1 << 15)
         # One packed row per slice again: sums by row, and the ids if this shard holds them.
         slices = np.unique(bases)
         cuts = np.searchsorted(found, slices)
@@ -311,7 +384,10 @@ def lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                                                    best["n"].to_numpy(np.int64), shards))     # at most TOP words
     numbered = docs.select("doc_id", "text", "train", F.monotonically_increasing_id().alias("row"))
     slices = numbered.mapInArrow(_slice_rows(shared), SLICE_SCHEMA)
-    sums = slices.groupBy("shard").applyInArrow(_score_rows(shared), SUM_SCHEMA)
+    keys = docs.select("text").mapInArrow(_key_rows(shared), KEY_SCHEMA)
+    words = counts.select(F.pmod(F.shiftrightunsigned("w", 33), F.lit(shards)).cast("int").alias("bucket"), "w", "n")
+    codes = keys.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_code_rows, CODE_SCHEMA)
+    sums = slices.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_score_rows(shared), SUM_SCHEMA)
     scores = sums.groupBy("base").applyInArrow(_slice_sums, SCORE_SCHEMA)
     return scores.select("doc_id", "n_tokens", "n_known", F.lit(all_["tokens"]).cast("long").alias("train_tokens"),
                          F.col("base").alias("base_score"), "score")

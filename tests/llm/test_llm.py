@@ -224,6 +224,20 @@ def test_lm_scores(spark, rows):
         assert plain - len(t) / 32 - 1e-6 <= r["score"] <= plain + 1e-6
 
 
+def test_lm_scores_words_beyond_the_table(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(200)), None, None) for i in range(60)]
+    docs = make(spark, rows)
+    docs = docs.withColumn("train", docs["doc_id"] % 3 != 0)
+    whole = {r["doc_id"]: r for r in lm_scoring.lm_score(spark, docs).collect()}
+    monkeypatch.setattr(lm_scoring, "TOP", 5)          # most words now lie outside the table
+    got = {r["doc_id"]: r for r in lm_scoring.lm_score(spark, docs).collect()}
+    assert got.keys() == whole.keys()
+    for k, r in got.items():
+        assert r["n_known"] == whole[k]["n_known"] and r["base_score"] == pytest.approx(whole[k]["base_score"])
+        assert r["score"] == pytest.approx(whole[k]["score"], abs=1e-9)
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (None, "u", big), (2, "again", big)]
