@@ -9,9 +9,8 @@ Documents are dealt to shards by hash, so copies and a hot source spread evenly.
 Within a shard they come by falling size; the open bins are held in order of
 residual space, each with a bitmap of its sources and one of its clusters.  A
 search for the smallest residual that is large enough goes on to the successors
-until a bin has no conflict: the tightest compatible bin.  Bits of the bitmaps
-are hashed: clusters that share a bit are kept apart, which costs some space, and
-sources that share a bit count as one source.
+until a bin has no conflict: the tightest compatible bin.  A shard numbers its
+sources and clusters from 0, so that each has a bit of its own.
 
 Null text and texts without words take no space; each is one piece of size 0, in
 whichever bin is compatible.  Null sources are one source.  Repeated rows are
@@ -32,8 +31,6 @@ from rollcall.llm import common
 
 CAPACITY = 8192
 MAX_SOURCES = 8
-SOURCE_BITS = 256
-CLUSTER_BITS = 4096
 ROWS_PER_SHARD = 4000
 LAST_ID = (1 << 63) - 1         # stands for a null doc_id in the order of placement
 SCHEMA = "doc_id long, piece long, offset long, size long, shard int, bin long"
@@ -46,8 +43,9 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
     source_maps: list[int] = []
     cluster_maps: list[int] = []
     out = []
-    for size, source, cluster in zip(sizes.tolist(), sources.tolist(), clusters.tolist(), strict=True):
-        s, c = 1 << (source % SOURCE_BITS), 1 << (cluster % CLUSTER_BITS)
+    source_bits, cluster_bits = (np.unique(x, return_inverse=True)[1].tolist() for x in (sources, clusters))
+    for size, source, cluster in zip(sizes.tolist(), source_bits, cluster_bits, strict=True):
+        s, c = 1 << source, 1 << cluster
         k = bisect_left(open_bins, (size, -1))
         while k < len(open_bins):
             b = open_bins[k][1]

@@ -147,6 +147,17 @@ def test_packing_is_tightest_fit():
     assert got == list(plain_pack(sizes.tolist(), sources.tolist(), clusters.tolist(), 100, 2))
 
 
+def test_packing_many_sources():
+    rng = np.random.default_rng(6)
+    sizes, sources, clusters = np.sort(rng.integers(0, 30, 3000))[::-1], rng.integers(-2**63, 2**63, 1000)[rng.integers(0, 1000, 3000)], rng.integers(0, 9000, 3000)
+    got = best_fit_packing.pack(sizes, sources, clusters, 400, 8)
+    held = collections.defaultdict(set)
+    for b, s in zip(got, sources.tolist()):
+        held[b].add(s)
+    assert max(map(len, held.values())) == 8
+    assert got == list(plain_pack(sizes.tolist(), sources.tolist(), clusters.tolist(), 400, 8))
+
+
 def test_packing_whole(spark, rows):
     got = best_fit_packing.best_fit_packing(spark, make(spark, rows), 500).collect()
     words = collections.Counter()
