@@ -21,22 +21,23 @@ those of all links.
 
 Null, empty and white-space texts have an empty set and link with nothing.  Rows
 that repeat a doc_id are returned each; null doc_ids come after all others when
-the smallest id is sought.  Set hashes are 64 bits wide: two different sets (or
-n-grams) are taken for one with probability 2^-64 per pair.
+the smallest id is sought.  As ids may be null or repeated, a row is known by a
+hash of its id and text, which any reading of the texts gives alike; rows that
+share it are the same.  Set and row hashes are 64 bits wide: two different sets
+(n-grams, rows) are taken for one with probability 2^-64 per pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import common
 
 SHINGLE = 5
 BUCKETS = 1 << 18               # size of the frequency table, whatever the input
-LAST_ID = (1 << 63) - 1         # stands for a null doc_id
 SEEN_CLASSES = 200_000          # classes that a task remembers, so as not to write copies' prefixes again
 REGIONS = 4                     # hash regions of the suffix filter
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -70,11 +71,11 @@ def _sets(column):
             yield i + k, shingles(hashes[ends[k] - counts[k]: ends[k]])
 
 
-FACTS_SCHEMA = "doc_id long, n_shingles long, cls long, bucket int, n long"
+FACTS_SCHEMA = "row long, doc_id long, n_shingles long, cls long, bucket int, n long"
 
 
 def _fact_rows(batches):
-    """A row (doc_id, n_shingles, cls) per document, and at the task's end a row
+    """A row (row, doc_id, n_shingles, cls) per document, and at the task's end a row
     (bucket, n) per bucket of n-grams met: both from one pass over the texts."""
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -87,11 +88,11 @@ def _fact_rows(batches):
             held.append((grams % np.uint64(BUCKETS)).astype(np.int64))
         if held:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(size), "cls": pa.array(cls),
+        yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_shingles": pa.array(size), "cls": pa.array(cls),
                                "bucket": pa.nulls(batch.num_rows, pa.int32()), "n": pa.nulls(batch.num_rows, pa.int64())})
     some = np.flatnonzero(counts)
     none = pa.nulls(len(some), pa.int64())
-    yield pa.record_batch({"doc_id": none, "n_shingles": none, "cls": none,
+    yield pa.record_batch({"row": none, "doc_id": none, "n_shingles": none, "cls": none,
                            "bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
 
 
@@ -136,8 +137,10 @@ def _gram_arrays(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            grams = [g.view(np.int64) for _, g in _sets(part.column("text"))]
-            yield pa.record_batch({"cls": part.column("cls"), "grams": pa.array(grams, pa.list_(pa.int64()))})
+            wanted = part.column("cls").to_pylist()
+            found = [(wanted[row], g.view(np.int64)) for row, g in _sets(part.column("text")) if set_hash(g) == wanted[row]]
+            yield pa.record_batch({"cls": pa.array([c for c, _ in found], pa.int64()),
+                                   "grams": pa.array([g for _, g in found], pa.list_(pa.int64()))})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _fetch_sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cls, grams) of all classes in ``pairs``, from one document of each."""
+    """(cls, grams) of all classes in ``pairs``, from one row of each."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     one = classes.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("row").alias("row"))
     return (texts.join(one, "row").select("cls", "text")
@@ -193,11 +196,17 @@ def candidates(live: DataFrame) -> DataFrame:
             .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, set hash ``cls``."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("row"), "doc_id", "text")
-    facts = common.stage_table(spark, texts.select("doc_id", "text").mapInArrow(_fact_rows, FACTS_SCHEMA), "op2-classes")
-    classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", F.coalesce("doc_id", F.lit(LAST_ID)).alias("row"))
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, set hash ``cls``,
+    its ``row_key`` as ``row`` and that of its component's first row as ``first_row``
+    (null for an empty set)."""
+    texts = docs.select(row_key().alias("row"), "doc_id", "text")
+    facts = common.stage_table(spark, texts.mapInArrow(_fact_rows, FACTS_SCHEMA), "op2-classes")
+    classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "row")
 
     met = facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()      # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
@@ -225,21 +234,30 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     more = common.stage_table(spark, _verified(rest, _fetch_sets(rest, classes, texts)), "op2-links")
     labels = components(spark, links.union(more), "op2-last")
 
-    # A class, or a component of classes, is named by its smallest doc_id.
-    own = classes.where("n_shingles > 0").groupBy("cls").agg(F.min("row").alias("least"))
+    # A class, or a component of classes, is named by its smallest doc_id; its first row has that id.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    own = classes.where("n_shingles > 0").groupBy("cls").agg(F.min(place).alias("least"))
     named = own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("least").alias("least"))
     names = named.select("cls", "label").join(smallest, "label").select("cls", "least")
     least = F.when(F.col("n_shingles") > 0, F.col("least"))
     return classes.join(names, "cls", "left").select(
-        "doc_id", "n_shingles", F.when(least < LAST_ID, least).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+        "doc_id", "n_shingles", F.coalesce(least["doc_id"], "doc_id").alias("component_id"), "cls", "row",
+        least["row"].alias("first_row"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component, and whatever links with
-    nothing; all columns stay."""
-    gone = (ngram_join(spark, docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each component, of its smallest doc_id, and all rows of
+    empty sets; all columns stay."""
+    rows = common.stage_table(spark, ngram_join(spark, docs).where("n_shingles > 0").select("row", "first_row"), "op2-rows")
+    gone = rows.where("row <> first_row").select(F.col("row").alias("__gone")).distinct()
+    # Rows alike in id and text: any one of them.
+    again = rows.where("row = first_row").groupBy(F.col("row").alias("__again")).count().where("count > 1").select("__again")
+    keyed = docs.withColumn("__row_key", row_key())
+    kept = keyed.join(gone, F.col("__row_key") == F.col("__gone"), "left_anti")
+    same = F.col("__row_key") == F.col("__again")
+    return (kept.join(again, same, "left_anti")
+            .unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__row_key"])).drop("__row_key"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,25 @@ def test_ngram_join_brute_force(spark, rows):
     assert got == want
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    text = {k: sentence(rng, 120) for k in "abcdef"}
+    near = {k: f"{t} more" for k, t in text.items()}
+    lone = [(None, sentence(rng, 80), None, None) for _ in range(40)]
+    same = [(9, text["e"], None, None)] * 2 + [(None, text["f"], None, None)] * 3
+    rows = [(None, text["a"], None, None), (None, near["a"], None, None), (7, text["b"], None, None), (7, near["b"], None, None),
+            (7, text["c"], None, None), (8, near["c"], None, None), (None, text["d"], None, None), (3, near["d"], None, None),
+            (4, "", None, None), (4, "", None, None), (None, None, None, None), *same, *lone]
+    docs = make(spark, rows)
+    want = collections.Counter((r[0], len(grams(r[1])), {text["d"]: 3, near["c"]: 7}.get(r[1], r[0])) for r in rows)
+    assert collections.Counter(map(tuple, ngram_join.ngram_join(spark, docs).select("doc_id", "n_shingles", "component_id").collect())) == want
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(spark, docs).collect())
+    assert sum(kept[None, t] for t in (text["a"], near["a"])) == 1 and sum(kept[7, t] for t in (text["b"], near["b"])) == 1
+    assert kept[7, text["c"]] == 1 and kept[3, near["d"]] == 1 and (8, near["c"]) not in kept and (None, text["d"]) not in kept
+    assert kept[9, text["e"]] == 1 and kept[None, text["f"]] == 1 and kept[4, ""] == 2 and kept[None, None] == 1
+    assert all(kept[r[:2]] == 1 for r in lone) and sum(kept.values()) == 4 + 2 + 3 + 40
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert dict(map(tuple, ngram_join.components(spark, edges, "t").collect())) == {**{i: 0 for i in range(41)}, 100: 90, 90: 90}
