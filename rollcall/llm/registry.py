@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from rollcall.llm import (best_fit_packing, chat_format, exact_dedup, language_id, lm_scoring, ngram_join, quality_classifier,
-                          quality_rules, source_mixing, warc)
+                          quality_rules, source_mixing, warc, whitening)
 
 _MODULES = [quality_rules, ngram_join, best_fit_packing, exact_dedup, chat_format, language_id, lm_scoring, source_mixing, warc,
-            quality_classifier]
+            quality_classifier, whitening]
 
 
 def queries() -> dict:
