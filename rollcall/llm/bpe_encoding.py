@@ -35,6 +35,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,14 +274,16 @@ def _shared_rows(table):
     return rows
 
 
-_TEXTS = pa.schema([("key", pa.binary()), ("text", pa.string())])
+_TEXTS = pa.schema([("key", pa.binary()), ("text", pa.binary())])
 
 
 def _different(batches):
+    """(key, text) of different texts, each text compressed for the way."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     held, size = [], 0
     for key, text in _texts(batches):
-        held.append((key, text))
-        size += len(text)
+        held.append((key, squeeze(text.encode())))
+        size += len(held[-1][1])
         if size > 4 << 20:
             yield _record(held, _TEXTS)
             held, size = [], 0
@@ -337,7 +340,7 @@ def _result_rows(path: str):
     """Task function over rows (key, pos, text, first, ids, last), by key, texts first."""
 
     def rows(batches):
-        encoder = Encoder.of(path)
+        encoder, unsqueeze = Encoder.of(path), zstandard.ZstdDecompressor().decompress
 
         def finished(held):
             jobs, plans = [], []
@@ -365,8 +368,9 @@ def _result_rows(path: str):
                     if size > BATCH_TEXT:
                         yield finished(held)
                         held, size = [], 0
-                    held.append((r["key"], r["text"], {}))
-                    size += len(r["text"])
+                    text = unsqueeze(r["text"]).decode()
+                    held.append((r["key"], text, {}))
+                    size += len(text)
                 elif r["pos"] >= 0:
                     held[-1][2][r["pos"]] = r["first"] if r["ids"] is None else (r["first"], r["ids"], r["last"])
         if held:
@@ -386,9 +390,9 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     places = met.select("d", "key", "pos").distinct().join(encoded, "d")
 
     none = F.lit(None)
-    rows = (texts.mapInArrow(_different, "key binary, text string")
+    rows = (texts.mapInArrow(_different, "key binary, text binary")
             .select("key", F.lit(-1).alias("pos"), "text", none.cast("string").alias("first"), none.cast("binary").alias("ids"), none.cast("string").alias("last"))
-            .unionByName(places.select("key", "pos", none.cast("string").alias("text"), "first", "ids", "last")))
+            .unionByName(places.select("key", "pos", none.cast("binary").alias("text"), "first", "ids", "last")))
     shards = common.n_shards(spark, 12)
     results = rows.repartition(shards, "key").sortWithinPartitions("key", "pos").mapInArrow(
         _result_rows(path), "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
