@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
+from .name_claims import settle_claims
 from .sessions import last_write
 
 
@@ -71,18 +72,35 @@ def roster_upsert(students: DataFrame, requests: DataFrame, reactivate: bool = F
     return roster, rejects
 
 
+def judge_patches(students: DataFrame, patches: DataFrame) -> DataFrame:
+    """The patches with a ``reject_reason``: ``student_unknown``, or ``name_taken`` where
+    another student has the (trimmed) name when the patch comes."""
+    name = js_trim(F.col("full_name"))
+    rows = patches.join(students.select("student_id", F.lit(True).alias("_known")), "student_id", "left")
+    claims = rows.where(F.col("_known") & (F.coalesce(name, F.lit("")) != "")).select("student_id", name.alias("name"), "at", "seq")
+    holders = students.select(F.col("full_name").alias("name"), F.col("student_id").alias("holder"))
+    refused = settle_claims(holders, claims).where(~F.col("granted")).select("student_id", F.col("name").alias("_name"), "at", "seq", F.lit(True).alias("_taken"))
+    return (rows.withColumn("_name", name).join(refused, ["student_id", "_name", "at", "seq"], "left")
+            .withColumn("reject_reason", F.when(F.col("_known").isNull(), F.lit("student_unknown"))
+                        .when(F.col("_taken"), F.lit("name_taken")))
+            .select(*patches.columns, "reject_reason"))
+
+
 def roster_patch(students: DataFrame, patches: DataFrame):
     """O-64/O-65: per student id, the latest non-empty trimmed name, the
     latest non-NULL subteam (an empty string is kept as ''), the latest
-    non-NULL active flag.  Unknown ids are rejected.  Returns
+    non-NULL active flag.  A patch of an unknown id is rejected, and so is one
+    that names a student as another is named at that time: names are unique,
+    and a refused patch changes nothing (``name_claims``).  Returns
     ``(roster, rejects)``."""
+    judged = judge_patches(students, patches)
+    ok = judged.where(F.col("reject_reason").isNull())
     name = js_trim(F.col("full_name"))
-    per = patches.groupBy("student_id").agg(
+    per = ok.groupBy("student_id").agg(
         last_write(F.coalesce(name, F.lit("")) != "", name).alias("_name"),
         last_write(F.col("subteam").isNotNull(), F.col("subteam")).alias("_subteam"),
         last_write(F.col("is_active").isNotNull(), F.col("is_active")).alias("_active"))
-    rejects = patches.join(students.select("student_id"), "student_id", "left_anti") \
-        .withColumn("reject_reason", F.lit("student_unknown"))
+    rejects = judged.where(F.col("reject_reason").isNotNull())
     j = students.join(per, "student_id", "left")
     roster = j.select(
         "student_id",

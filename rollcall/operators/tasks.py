@@ -156,8 +156,22 @@ def assignees_json(col: Column | str = "assignees") -> Column:
     return F.coalesce(F.to_json(c), F.lit("[]"))
 
 
+def assignments_at(assignments: DataFrame, as_of) -> DataFrame:
+    """The assignments as they stood at ``as_of``: later ones are not there yet, and one
+    that is left later is still open."""
+    left = F.when(F.col("unassigned_at") <= ts_lit(as_of), F.col("unassigned_at"))
+    return assignments.where(F.col("assigned_at") <= ts_lit(as_of)).withColumn("unassigned_at", left)
+
+
+def created_by(rows: DataFrame, as_of) -> DataFrame:
+    """Tasks or comments that existed at ``as_of``."""
+    return rows.where(F.col("created_at") <= ts_lit(as_of))
+
+
 def _with_activity(tasks: DataFrame, comments: DataFrame, assignments: DataFrame,
                    students: DataFrame | None, as_of) -> DataFrame:
+    tasks, comments = created_by(tasks, as_of), created_by(comments, as_of)
+    assignments = assignments_at(assignments, as_of)
     lc = task_last_comment(comments).withColumnRenamed("task_id", "id")
     if students is None:
         la = task_last_assignment(assignments).withColumnRenamed("task_id", "id")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import JS_TRIM_RE
 from ..operators import attendance as att
@@ -335,6 +336,7 @@ def q_corrections_list(spark, sf_dir):
 # ---------------------------------------------------------------- tasks
 
 _TASK_BASE = (O.STUDENTS, O.TASKS, O.ASSIGNMENTS, O.COMMENTS)
+_TASK_BASE_AT = (O.STUDENTS, O.TASKS_AT, O.ASSIGNMENTS_AT, O.COMMENTS)
 _ASSIGNEES_SQL = """
 on_task AS (
   SELECT DISTINCT task_id, student_id, full_name
@@ -362,20 +364,15 @@ activity AS (
 
 
 @query("assignments_dedup", O.with_(O.ASSIGNMENTS) + f"""
-SELECT task_id, student_id, assigned_at,
-       CASE WHEN rn > 1 THEN {O.TASK_AS_OF} END AS unassigned_at
-FROM (SELECT *, row_number() OVER (
-        PARTITION BY task_id, student_id
-        ORDER BY assigned_at DESC, l_partkey DESC, l_linenumber DESC, l_quantity DESC,
-                 l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
-                 l_linestatus DESC) AS rn
-      FROM task_assignments WHERE unassigned_at IS NULL)
+SELECT id, task_id, student_id, assigned_at,
+       CASE WHEN (assigned_at, id) <> max((assigned_at, id)) OVER (PARTITION BY task_id, student_id)
+            THEN {O.CLEANUP_AT} END AS unassigned_at
+FROM task_assignments WHERE unassigned_at IS NULL
 UNION ALL
-SELECT task_id, student_id, assigned_at, unassigned_at FROM task_assignments
-WHERE unassigned_at IS NOT NULL""")
+FROM task_assignments WHERE unassigned_at IS NOT NULL""")
 def q_assignments_dedup(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    return tk.assignments_dedup(i.assignments, V.TASK_AS_OF).drop("id")
+    return tk.assignments_dedup(i.assignments, V.CLEANUP_AT)
 
 
 _VALID_TASK_EVENTS = """
@@ -457,7 +454,7 @@ def q_task_assignees(spark, sf_dir):
     return a.select("task_id", "n_assignees", tk.assignees_json("assignees").alias("assignees"))
 
 
-@query("task_staleness", O.with_(*_TASK_BASE, _ACTIVITY_SQL) + """
+@query("task_staleness", O.with_(*_TASK_BASE_AT, _ACTIVITY_SQL) + """
 SELECT task_id, last_activity_at, is_stale FROM activity
 WHERE task_id IN (SELECT id FROM tasks)""")
 def q_task_staleness(spark, sf_dir):
@@ -465,7 +462,7 @@ def q_task_staleness(spark, sf_dir):
     return tk.task_staleness(i.tasks, i.comments, i.assignments, V.TASK_AS_OF)
 
 
-@query("task_board", O.with_(*_TASK_BASE, _ASSIGNEES_SQL, _ACTIVITY_SQL, """
+@query("task_board", O.with_(*_TASK_BASE_AT, _ASSIGNEES_SQL, _ACTIVITY_SQL, """
 lanes(status, lane) AS (VALUES ('todo', 1), ('in_progress', 2), ('blocked', 3), ('done', 4))""") + """
 SELECT shown.*, last_activity_at, is_stale, coalesce(assignees, '[]') AS assignees,
        coalesce(lane, 5) AS status_rank
@@ -576,7 +573,7 @@ first_create AS (
 ),
 live AS (
   SELECT v.* FROM valid_task_events v JOIN first_create f ON f.task_id = v.task_id
-  WHERE v."at" > f.c_at OR (v."at" = f.c_at AND v.seq >= f.c_seq)
+  WHERE (v."at" > f.c_at OR (v."at" = f.c_at AND v.seq >= f.c_seq)) AND v."at" <= """ + O.TASK_AS_OF + """
 )""", f"""
 folded AS (
   SELECT task_id,
@@ -688,9 +685,11 @@ roster_requests AS (
   SELECT TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 2 DAY, s_suppkey, s_name, 'Programming'
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0
   UNION ALL
-  SELECT TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 DAY, c_custkey, c_name,
-         CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE 'Build' END
-  FROM customer WHERE c_nationkey = 0
+  SELECT TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 DAY, c_custkey,
+         CASE WHEN c_nationkey = 3 THEN '' WHEN c_nationkey <> 4 THEN c_name END,
+         CASE WHEN c_nationkey = 1 THEN NULL WHEN c_nationkey = 2 THEN '' WHEN c_custkey % 2 = 1 THEN 'Build'
+              WHEN c_nationkey = 0 THEN '  ' ELSE ' Team ' || c_nationkey END
+  FROM customer
 ),
 req_last AS (
   SELECT trim(full_name) AS full_name,
@@ -707,7 +706,7 @@ students_full AS (
 def _upsert_sql(reactivate):
     active = "true" if reactivate else "s.is_active"
     return f"""
-SELECT coalesce(s.full_name, r.full_name) AS full_name,
+SELECT s.student_id, coalesce(s.full_name, r.full_name) AS full_name,
        CASE WHEN r.full_name IS NOT NULL THEN r.req_subteam ELSE s.subteam END AS subteam,
        CASE WHEN s.student_id IS NULL THEN true
             WHEN r.full_name IS NOT NULL THEN {active} ELSE s.is_active END AS is_active,
@@ -716,52 +715,74 @@ SELECT coalesce(s.full_name, r.full_name) AS full_name,
 FROM students_full s FULL OUTER JOIN req_last r ON r.full_name = s.full_name"""
 
 
+def _known_ids(roster: DataFrame) -> DataFrame:
+    """A new student's id is a hash that only Spark computes; all others are compared."""
+    return roster.withColumn("student_id", F.when(~F.col("is_new"), F.col("student_id")))
+
+
 @query("roster_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(False))
 def q_roster_upsert(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=False)
-    return r.drop("student_id")
+    return _known_ids(ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=False)[0])
 
 
 @query("roster_seed_upsert", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + _upsert_sql(True))
 def q_roster_seed_upsert(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    r, _ = ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=True)
-    return r.drop("student_id")
+    return _known_ids(ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir), reactivate=True)[0])
+
+
+@query("roster_upsert_rejects", O.with_(O.STUDENTS, _ROSTER_REQ_SQL) + """
+SELECT *, 'name_missing' AS reject_reason FROM roster_requests WHERE coalesce(full_name, '') = ''""")
+def q_roster_upsert_rejects(spark, sf_dir):
+    i = Inputs.of(spark, sf_dir)
+    return ro.roster_upsert(i.students, V.roster_requests(spark, sf_dir))[1]
 
 
 _PATCH_SQL = """
-roster_patches AS (
-  SELECT TIMESTAMP '2024-02-01 00:00:00' AS "at", c_custkey AS seq,
+patch_log AS (
+  SELECT TIMESTAMP '2024-02-01 00:00:00' + to_seconds(c_custkey) AS "at", c_custkey AS seq,
          CASE WHEN c_nationkey = 4 THEN c_custkey + 1000000000 ELSE c_custkey END AS student_id,
-         CASE WHEN c_nationkey = 3 THEN '   ' END AS full_name,
-         CASE WHEN c_nationkey = 2 THEN '' END AS subteam,
-         CASE WHEN c_nationkey = 1 AND c_acctbal < 0 THEN true
-              WHEN c_nationkey = 4 THEN false END AS is_active
-  FROM customer WHERE c_nationkey IN (1, 2, 3, 4)
+         CASE WHEN c_nationkey = 0 THEN c_name || ' II' WHEN c_nationkey = 3 THEN '   '
+              WHEN c_nationkey BETWEEN 5 AND 9 THEN ' ' || (SELECT p.c_name FROM customer p WHERE p.c_custkey = customer.c_custkey - 1) || ' '
+              WHEN c_nationkey BETWEEN 10 AND 12 THEN 'Captain' END AS full_name,
+         CASE WHEN c_nationkey = 2 THEN '' WHEN c_nationkey BETWEEN 5 AND 9 OR c_nationkey > 12 THEN 'Programming' END AS subteam,
+         CASE WHEN c_nationkey = 1 AND c_acctbal < 0 THEN true WHEN c_nationkey = 4 THEN false END AS is_active,
+         c_nationkey AS nk
+  FROM customer
+),
+-- Edits come in the order of the keys, one a student.  Whoever claims the name before
+-- theirs gets it if its holder has moved on: that runs along a chain of claims from the
+-- last edit that was no such claim.
+moves AS (
+  SELECT *, CASE WHEN nk = 0 THEN true
+                 WHEN nk BETWEEN 10 AND 12 THEN seq = min(seq) FILTER (WHERE nk BETWEEN 10 AND 12) OVER ()
+                 WHEN nk BETWEEN 5 AND 9 THEN NULL ELSE false END AS moved
+  FROM patch_log
 ),
-per AS (
-  SELECT student_id,
-    struct_extract(arg_max({'v': trim(full_name)}, ("at", seq)) FILTER (WHERE coalesce(trim(full_name), '') <> ''), 'v') AS n,
-    struct_extract(arg_max({'v': subteam}, ("at", seq)) FILTER (WHERE subteam IS NOT NULL), 'v') AS st,
-    struct_extract(arg_max({'v': is_active}, ("at", seq)) FILTER (WHERE is_active IS NOT NULL), 'v') AS act
-  FROM roster_patches GROUP BY student_id
+judged_patches AS (
+  SELECT *, CASE WHEN nk = 4 THEN 'student_unknown'
+                 WHEN nk BETWEEN 10 AND 12 AND NOT moved THEN 'name_taken'
+                 WHEN nk BETWEEN 5 AND 9 AND full_name IS NOT NULL AND NOT coalesce(
+                   last_value(moved IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+                   THEN 'name_taken' END AS reject_reason
+  FROM moves
 )"""
 
 
 @query("roster_patch", O.with_(O.STUDENTS, _PATCH_SQL) + """
-SELECT s.student_id, coalesce(p.n, s.full_name) AS full_name, coalesce(p.st, s.subteam) AS subteam,
-       coalesce(p.act, s.is_active) AS is_active,
+SELECT s.student_id, coalesce(nullif(trim(p.full_name), ''), s.full_name) AS full_name,
+       coalesce(p.subteam, s.subteam) AS subteam, coalesce(p.is_active, s.is_active) AS is_active,
        TIMESTAMP '2023-09-01 00:00:00' AS created_at
-FROM students s LEFT JOIN per p ON p.student_id = s.student_id""")
+FROM students s LEFT JOIN (FROM judged_patches WHERE reject_reason IS NULL) p ON p.student_id = s.student_id""")
 def q_roster_patch(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[0]
 
 
 @query("roster_patch_rejects", O.with_(O.STUDENTS, _PATCH_SQL) + """
-SELECT *, 'student_unknown' AS reject_reason FROM roster_patches
-WHERE student_id NOT IN (SELECT student_id FROM students)""")
+SELECT "at", seq, student_id, full_name, subteam, is_active, reject_reason
+FROM judged_patches WHERE reject_reason IS NOT NULL""")
 def q_roster_patch_rejects(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     return ro.roster_patch(i.students, V.roster_patches(spark, sf_dir))[1]

@@ -15,6 +15,7 @@ BOARD_DAY = "DATE '2024-01-15'"
 REPORT_START = "DATE '2024-01-08'"
 REPORT_END = "DATE '2024-01-21'"
 TASK_AS_OF = "TIMESTAMP '2000-01-01 00:00:00'"
+CLEANUP_AT = "TIMESTAMP '2002-01-01 00:00:00'"
 
 
 def eastern_date(ts: str) -> str:
@@ -179,7 +180,7 @@ all_punches AS (
   SELECT * FROM punches UNION ALL SELECT * FROM set_events
 )"""
 
-TASKS = f"""
+TASKS = """
 tasks AS (
   SELECT o_orderkey AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
          CASE o_custkey % 5 WHEN 0 THEN 'Build' WHEN 1 THEN 'Programming'
@@ -189,16 +190,25 @@ tasks AS (
               WHEN '3' THEN 'blocked' WHEN '4' THEN 'done' WHEN '5' THEN 'done' END AS status,
          '' AS description, o_orderstatus = 'F' AS archived,
          o_orderdate AS created_at, o_orderdate AS updated_at
-  FROM orders WHERE o_orderdate <= {TASK_AS_OF}
+  FROM orders
 )"""
+# What the board sees at its as-of instant.
+TASKS_AT = TASKS.replace("FROM orders", f"FROM orders WHERE o_orderdate <= {TASK_AS_OF}")
 
-ASSIGNMENTS = f"""
+ASSIGNMENTS = """
+task_assignments AS (
+  SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
+            round(l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT,
+            round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))), 1, 15))::BIGINT AS id,
+         l_orderkey AS task_id, l_suppkey AS student_id, l_shipdate AS assigned_at,
+         CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 7 DAY END AS unassigned_at
+  FROM lineitem
+)"""
+ASSIGNMENTS_AT = f"""
 task_assignments AS (
   SELECT l_orderkey AS task_id, l_suppkey AS student_id, l_shipdate AS assigned_at,
          CASE WHEN l_returnflag = 'R' AND l_shipdate + INTERVAL 7 DAY <= {TASK_AS_OF}
-              THEN l_shipdate + INTERVAL 7 DAY END AS unassigned_at,
-         l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
-         l_returnflag, l_linestatus
+              THEN l_shipdate + INTERVAL 7 DAY END AS unassigned_at
   FROM lineitem WHERE l_shipdate <= {TASK_AS_OF}
 )"""
 
@@ -240,5 +250,5 @@ task_events AS (
     UNION ALL
     SELECT conv_id, {COMMENT_TIME}, conv_id * 100 + turn, 'comment', NULL, NULL, NULL, NULL, NULL
     FROM conversations
-  ) WHERE "at" <= {TASK_AS_OF}
+  )
 )"""

@@ -3,7 +3,7 @@
 Each view maps a generic table onto one of the domain tables with plain
 column expressions, so Spark can still prune columns and push filters into
 the Parquet scan.  The same mappings are written in SQL for the DuckDB
-oracle (``rollcall.plans.oracle``).
+oracle (``rollcall.plans.oracle_views``).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ BOARD_AS_OF = dt.datetime(2024, 1, 15, 17, 0, 0)      # noon Eastern
 REPORT_START = dt.date(2024, 1, 8)
 REPORT_END = dt.date(2024, 1, 21)
 TASK_AS_OF = dt.datetime(2000, 1, 1, 0, 0, 0)
+CLEANUP_AT = dt.datetime(2002, 1, 1, 0, 0, 0)        # the assignment cleanup's own time
 ROSTER_CREATED_AT = dt.datetime(2023, 9, 1, 0, 0, 0)
 COMMENT_EPOCH = dt.datetime(1999, 12, 25, 0, 0, 0)
 
@@ -117,9 +118,10 @@ def _subteam_of(custkey):
     return expr
 
 
-def tasks(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a task; an as-of instant is the business of the operators."""
     o = read_table(spark, sf_dir, "orders")
-    return o.where(F.col("o_orderdate") <= ts_lit(as_of)).select(
+    return o.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
         _subteam_of(F.col("o_custkey")).alias("subteam"),
@@ -131,21 +133,24 @@ def tasks(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame:
     )
 
 
-_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-                  "l_linestatus", "l_shipdate"]
+def _lineitem_id():
+    """60 bits of the MD5 of a line's columns (amounts in cents), so that any engine can
+    name the same assignment."""
+    cents = [F.round(F.col(c) * 100).cast("long") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    whole = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *cents, "l_returnflag", "l_linestatus",
+                        F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
-def task_assignments(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame:
+def task_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem as an assignment; returned ones are left after a week."""
     li = read_table(spark, sf_dir, "lineitem")
-    leave = F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS")
-    return li.where(F.col("l_shipdate") <= ts_lit(as_of)).select(
-        F.xxhash64(*_LINEITEM_COLS).alias("id"),
+    return li.select(
+        _lineitem_id().alias("id"),
         F.col("l_orderkey").alias("task_id"),
         F.col("l_suppkey").alias("student_id"),
         F.col("l_shipdate").alias("assigned_at"),
-        F.when((F.col("l_returnflag") == "R") & (leave <= ts_lit(as_of)), leave)
-         .alias("unassigned_at"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS")).alias("unassigned_at"),
     )
 
 
@@ -182,9 +187,9 @@ def comment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def task_events(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame:
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task event log: create + archive from orders, join/leave from lineitem,
-    comments from conversations, all up to ``as_of``."""
+    comments from conversations."""
     o = read_table(spark, sf_dir, "orders")
     li = read_table(spark, sf_dir, "lineitem")
     cv = read_table(spark, sf_dir, "conversations")
@@ -222,8 +227,7 @@ def task_events(spark: SparkSession, sf_dir: str, as_of=TASK_AS_OF) -> DataFrame
         F.lit(None).cast("long").alias("student_id"),
         none_s.alias("title"), none_s.alias("subteam"), none_s.alias("status"),
         none_s.alias("description"))
-    ev = create.unionByName(archive).unionByName(join).unionByName(leave).unionByName(comment)
-    return ev.where(F.col("at") <= ts_lit(as_of))
+    return create.unionByName(archive).unionByName(join).unionByName(leave).unionByName(comment)
 
 
 UPSERT_AT = dt.datetime(2024, 2, 1, 0, 0, 0)
@@ -231,8 +235,9 @@ UPSERT_AT = dt.datetime(2024, 2, 1, 0, 0, 0)
 
 def roster_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roster upload rows: every supplier as a new name (padded with spaces,
-    subteam = its nation), nation-0 customers re-sent (even keys with a blank
-    subteam), and suppliers with a negative balance sent again later."""
+    subteam = its nation), suppliers with a negative balance sent again later, and
+    every customer re-sent with a subteam that its nation decides (missing, empty,
+    blank or named); nations 3 and 4 are sent without a name."""
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation")
     c = read_table(spark, sf_dir, "customer")
@@ -249,32 +254,39 @@ def roster_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("seq"),
         F.col("s_name").alias("full_name"),
         F.lit("Programming").alias("subteam"))
-    old = c.where(F.col("c_nationkey") == 0).select(
+    nk, even = F.col("c_nationkey"), (F.col("c_custkey") % 2) == 0
+    old = c.select(
         (base + F.expr("INTERVAL 1 DAY")).alias("at"),
         F.col("c_custkey").alias("seq"),
-        F.col("c_name").alias("full_name"),
-        F.when((F.col("c_custkey") % 2) == 0, F.lit("  ")).otherwise(F.lit("Build"))
+        F.when(nk == 3, F.lit("")).when(nk != 4, F.col("c_name")).alias("full_name"),
+        F.when(nk == 1, F.lit(None).cast("string")).when(nk == 2, F.lit("")).when((nk == 0) & even, F.lit("  "))
+         .when(even, F.concat(F.lit(" Team "), nk.cast("string"))).otherwise(F.lit("Build"))
          .alias("subteam"))
     return new.unionByName(again).unionByName(old)
 
 
+#: A name that many edits claim.
+SHARED_NAME = "Captain"
+
+
 def roster_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roster edits: nation-1 inactive customers reactivated, nation-2
-    customers given an empty subteam, nation-3 names sent blank (ignored),
-    and nation-4 edits aimed at ids that do not exist."""
+    """Roster edits, one for every customer, a second apart in the order of their keys;
+    the nation says what the edit is: 0 takes a new name of its own, 1 reactivates
+    (negative balances), 2 sends an empty subteam, 3 a blank name, 4 aims at an id that
+    does not exist, 5 to 9 claim the name of the customer before them, 10 to 12 all claim
+    one name; the rest set a subteam."""
     c = read_table(spark, sf_dir, "customer")
-    base = ts_lit(UPSERT_AT)
-    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    nk = F.col("c_nationkey")
-    return c.where(nk.isin(1, 2, 3, 4)).select(
-        base.alias("at"),
-        F.col("c_custkey").alias("seq"),
-        F.when(nk == 4, F.col("c_custkey") + 1000000000).otherwise(F.col("c_custkey"))
-         .alias("student_id"),
-        F.when(nk == 3, F.lit("   ")).otherwise(none_s).alias("full_name"),
-        F.when(nk == 2, F.lit("")).otherwise(none_s).alias("subteam"),
-        F.when((nk == 1) & (F.col("c_acctbal") < 0), F.lit(True))
-         .when(nk == 4, F.lit(False)).otherwise(none_b).alias("is_active"))
+    nk, key = F.col("c_nationkey"), F.col("c_custkey")
+    before = c.select((key + 1).alias("_after"), F.col("c_name").alias("_before"))
+    claim = nk.between(5, 9)
+    return c.join(before, key == F.col("_after"), "left").select(
+        (ts_lit(UPSERT_AT) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), key.cast("int"))).alias("at"),
+        key.alias("seq"),
+        F.when(nk == 4, key + 1000000000).otherwise(key).alias("student_id"),
+        F.when(nk == 0, F.concat("c_name", F.lit(" II"))).when(nk == 3, F.lit("   "))
+         .when(claim, F.concat(F.lit(" "), "_before", F.lit(" "))).when(nk.between(10, 12), F.lit(SHARED_NAME)).alias("full_name"),
+        F.when(nk == 2, F.lit("")).when(claim | (nk > 12), F.lit("Programming")).alias("subteam"),
+        F.when((nk == 1) & (F.col("c_acctbal") < 0), F.lit(True)).when(nk == 4, F.lit(False)).alias("is_active"))
 
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
