@@ -260,15 +260,20 @@ def my_tasks(assignments: DataFrame, tasks: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ comments
 
-def comment_attribute(requests: DataFrame, students: DataFrame):
+def comment_attribute(requests: DataFrame, students: DataFrame, tasks: DataFrame | None = None):
     """O-57: a comment naming a student is signed with the roster name (any
     student, even inactive); otherwise the author is always a mentor with
-    the trimmed label or 'Mentor'.  Returns ``(comments, rejects)``."""
+    the trimmed label or 'Mentor'.  With ``tasks``, comments on tasks that are
+    not among them are refused.  Returns ``(comments, rejects)``."""
     s = students.select("student_id", F.col("full_name").alias("_name"))
     df = requests.join(s, "student_id", "left")
     has_student = F.col("student_id").isNotNull()
     reason = (F.when(is_blank("comment"), F.lit("comment_missing"))
               .when(has_student & F.col("_name").isNull(), F.lit("student_unknown")))
+    if tasks is not None:
+        known = tasks.select(F.col("id").alias("task_id"), F.lit(True).alias("_task"))
+        df = df.join(known, "task_id", "left")
+        reason = reason.when(F.col("_task").isNull(), F.lit("task_unknown"))
     df = df.withColumn("reject_reason", reason)
     label = js_trim(F.coalesce(F.col("author_label"), F.lit("")))
     ok = df.where(F.col("reject_reason").isNull()).select(
@@ -278,7 +283,7 @@ def comment_attribute(requests: DataFrame, students: DataFrame):
          .otherwise(F.coalesce(blank_to_null(label), F.lit("Mentor"))).alias("author_label"),
         js_trim("comment").alias("comment"),
         F.col("at").alias("created_at"))
-    rejects = df.where(F.col("reject_reason").isNotNull()).drop("_name")
+    rejects = df.where(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
     return ok, rejects
 
 

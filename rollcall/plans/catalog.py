@@ -412,7 +412,7 @@ def q_task_event_rejects(spark, sf_dir):
     return tk.validate_task_events(i.task_events, i.students)[1]
 
 
-@query("assignment_intervals", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, """
+_INTERVALS_SQL = """
 ev AS (
   SELECT task_id, student_id, "at", seq, kind <> 'leave' AS opens FROM valid_task_events
   WHERE kind IN ('join', 'assign', 'clock_in', 'leave') AND student_id IS NOT NULL
@@ -425,7 +425,10 @@ ch AS (
 c2 AS (
   SELECT *, lead("at") OVER (PARTITION BY task_id, student_id ORDER BY "at", seq) AS nxt
   FROM ch WHERE prev_open <> opens
-)""") + """
+)"""
+
+
+@query("assignment_intervals", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, _INTERVALS_SQL) + """
 SELECT task_id, student_id, "at" AS assigned_at, nxt AS unassigned_at FROM c2 WHERE opens""")
 def q_assignment_intervals(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
@@ -510,12 +513,13 @@ def q_my_tasks(spark, sf_dir):
 
 _COMMENT_REQUESTS = f"""
 comment_requests AS (
-  SELECT conv_id * 100 + turn AS id, conv_id AS task_id, {O.COMMENT_TIME} AS "at",
-         CASE WHEN role = 'user' THEN conv_id * 10 + turn END AS student_id,
+  SELECT conv_id * 100 + turn AS id, CASE WHEN turn = 7 THEN conv_id + 1000000000 ELSE conv_id END AS task_id,
+         {O.COMMENT_TIME} AS "at",
+         CASE WHEN role = 'user' THEN conv_id + CASE WHEN turn = 4 THEN 1000000000 ELSE 0 END END AS student_id,
          role AS author_type,
          CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '   ' END
            AS author_label,
-         text AS comment
+         CASE WHEN turn = 6 THEN ' ' || chr(9) || ' ' ELSE text END AS comment
   FROM conversations
 ),
 judged AS (
@@ -523,12 +527,13 @@ judged AS (
          CASE WHEN r.comment IS NULL OR regexp_replace(r.comment, '{JS_TRIM_RE}', '', 'g') = ''
                 THEN 'comment_missing'
               WHEN r.student_id IS NOT NULL AND s.student_id IS NULL THEN 'student_unknown'
+              WHEN r.task_id NOT IN (SELECT id FROM tasks) THEN 'task_unknown'
          END AS reject_reason
   FROM comment_requests r LEFT JOIN students s ON s.student_id = r.student_id
 )"""
 
 
-@query("comment_attribute", O.with_(O.STUDENTS, _COMMENT_REQUESTS) + f"""
+@query("comment_attribute", O.with_(O.STUDENTS, O.TASKS, _COMMENT_REQUESTS) + f"""
 SELECT id, task_id,
        CASE WHEN student_id IS NOT NULL THEN 'student' ELSE 'mentor' END AS author_type,
        CASE WHEN student_id IS NOT NULL THEN full_name
@@ -539,15 +544,15 @@ SELECT id, task_id,
 FROM judged WHERE reject_reason IS NULL""")
 def q_comment_attribute(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[0]
+    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students, i.tasks)[0]
 
 
-@query("comment_rejects", O.with_(O.STUDENTS, _COMMENT_REQUESTS) + """
+@query("comment_rejects", O.with_(O.STUDENTS, O.TASKS, _COMMENT_REQUESTS) + """
 SELECT id, task_id, "at", student_id, author_type, author_label, comment, reject_reason
 FROM judged WHERE reject_reason IS NOT NULL""")
 def q_comment_rejects(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students)[1]
+    return tk.comment_attribute(V.comment_requests(spark, sf_dir), i.students, i.tasks)[1]
 
 
 @query("comment_feed", O.with_(O.COMMENTS) + """
@@ -556,44 +561,40 @@ def q_comment_feed(spark, sf_dir):
     return tk.comment_feed(Inputs.of(spark, sf_dir).comments)
 
 
-def _last(cond, value):
-    return (f"struct_extract(arg_max({{'v': {value}}}, (\"at\", seq)) "
-            f"FILTER (WHERE {cond}), 'v')")
+# The task table by ordered windows over the valid log: every column is the last value
+# written so far; a clock-in since the last status makes a todo task one in progress.
+def _task_fold_sql(as_of: str) -> str:
+    return f"""
+born AS (SELECT task_id, min(("at", seq)) AS b FROM valid_task_events WHERE kind = 'create' GROUP BY task_id),
+written AS (
+  SELECT v.*, kind = 'create' OR (kind = 'patch' AND coalesce(status IN ('todo', 'in_progress', 'blocked', 'done'), false)) AS sets_status
+  FROM valid_task_events v JOIN born USING (task_id) WHERE ("at", seq) >= b AND "at" <= {as_of}
+),
+so_far AS (
+  SELECT task_id AS id,
+    last_value(nullif(trim(title), '') IGNORE NULLS) OVER log AS title,
+    last_value(nullif(trim(subteam), '') IGNORE NULLS) OVER log AS subteam,
+    last_value(CASE WHEN kind = 'create' THEN trim(coalesce(description, '')) ELSE description END IGNORE NULLS) OVER log AS description,
+    last_value(CASE WHEN sets_status THEN CASE WHEN status IN ('in_progress', 'blocked', 'done') THEN status ELSE 'todo' END END IGNORE NULLS) OVER log AS lane,
+    last_value(CASE kind WHEN 'create' THEN false WHEN 'archive' THEN true WHEN 'unarchive' THEN false END IGNORE NULLS) OVER log AS archived,
+    count_if(sets_status) OVER log AS n_status,
+    max(CASE WHEN sets_status THEN ("at", seq) END) OVER log AS status_at,
+    max(CASE WHEN kind = 'clock_in' THEN ("at", seq) END) OVER log AS clock_in_at,
+    min(CASE WHEN kind = 'create' THEN "at" END) OVER log AS created_at,
+    "at" AS updated_at,
+    row_number() OVER (PARTITION BY task_id ORDER BY "at" DESC, seq DESC) AS from_end
+  FROM written
+  WINDOW log AS (PARTITION BY task_id ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
 
 
-_VALID_ST = "status IN ('todo', 'in_progress', 'blocked', 'done')"
-_ST_WRITE = f"(kind = 'create' OR (kind = 'patch' AND {_VALID_ST}))"
+_TASK_FOLD_COLUMNS = """
+SELECT id, title, subteam, CASE WHEN lane = 'todo' AND clock_in_at > status_at THEN 'in_progress' ELSE lane END AS status,
+       description, archived, created_at, updated_at
+FROM so_far WHERE from_end = 1"""
 
 
-@query("task_fold", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, """
-first_create AS (
-  SELECT task_id, "at" AS c_at, seq AS c_seq FROM (
-    SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY "at", seq) AS rn
-    FROM valid_task_events WHERE kind = 'create') WHERE rn = 1
-),
-live AS (
-  SELECT v.* FROM valid_task_events v JOIN first_create f ON f.task_id = v.task_id
-  WHERE (v."at" > f.c_at OR (v."at" = f.c_at AND v.seq >= f.c_seq)) AND v."at" <= """ + O.TASK_AS_OF + """
-)""", f"""
-folded AS (
-  SELECT task_id,
-    min("at") FILTER (WHERE kind = 'create') AS created_at,
-    {_last("kind = 'create' OR (kind = 'patch' AND coalesce(trim(title), '') <> '')", "trim(title)")} AS title,
-    {_last("kind = 'create' OR (kind = 'patch' AND coalesce(trim(subteam), '') <> '')", "trim(subteam)")} AS subteam,
-    {_last("kind = 'create' OR (kind = 'patch' AND description IS NOT NULL)",
-           "CASE WHEN kind = 'create' THEN trim(coalesce(description, '')) ELSE description END")} AS description,
-    {_last(_ST_WRITE, f"CASE WHEN {_VALID_ST} THEN status ELSE 'todo' END")} AS st,
-    max(("at", seq)) FILTER (WHERE {_ST_WRITE}) AS st_at,
-    max(("at", seq)) FILTER (WHERE kind = 'clock_in') AS promote_at,
-    coalesce({_last("kind IN ('archive', 'unarchive')", "kind = 'archive'")}, false) AS archived,
-    max("at") AS updated_at
-  FROM live GROUP BY task_id
-)""") + """
-SELECT task_id AS id, title, subteam,
-       CASE WHEN st = 'todo' AND promote_at IS NOT NULL AND promote_at > st_at
-            THEN 'in_progress' ELSE st END AS status,
-       description, archived, created_at, updated_at
-FROM folded""")
+@query("task_fold", O.with_(O.STUDENTS, O.TASK_EVENTS, _VALID_TASK_EVENTS, _task_fold_sql(O.TASK_AS_OF)) + _TASK_FOLD_COLUMNS)
 def q_task_fold(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
     valid, _ = tk.validate_task_events(i.task_events, i.students)
@@ -793,21 +794,34 @@ def q_roster_patch_rejects(spark, sf_dir):
 
 def _audit_tables(spark, sf_dir):
     i = Inputs.of(spark, sf_dir)
-    return {"students": i.students, "tasks": i.tasks, "task_assignments": i.assignments,
-            "task_comments": i.comments,
+    return {"students": i.students, "tasks": V.restored_tasks(spark, sf_dir), "task_assignments": i.assignments,
+            "task_comments": V.restored_comments(spark, sf_dir),
             "daily_sessions": ses.session_fold(i.all_punches, V.ATTENDANCE_AS_OF),
             "attendance_corrections": i.corrections}
 
 
+_RESTORED = """
+restored_tasks AS (
+  SELECT t.* REPLACE (CASE WHEN o_orderpriority LIKE '5%' THEN 'finished' ELSE status END AS status,
+                      CASE WHEN o_custkey % 10 <> 3 THEN title END AS title,
+                      CASE WHEN o_custkey % 10 <> 4 THEN subteam END AS subteam)
+  FROM tasks t JOIN orders ON o_orderkey = t.id WHERE o_orderstatus <> 'P'
+),
+restored_comments AS (
+  SELECT c.* REPLACE (CASE author_label WHEN 'user' THEN 'student' WHEN 'assistant' THEN 'bot' END AS author_type,
+                      CASE WHEN author_label <> 'system' THEN author_label END AS author_label)
+  FROM task_comments c
+)"""
 _AUDIT_BASE = (*_ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF), O.TASKS, O.ASSIGNMENTS,
-               O.COMMENTS)
+               O.COMMENTS, _RESTORED)
+_AUDITED = {"tasks": "restored_tasks", "task_comments": "restored_comments"}
 
 
 def _dup_sql(table, cols, where=""):
     key = " || ',' || ".join(f"coalesce(CAST({c} AS VARCHAR), '∅')" for c in cols)
     return f"""SELECT '{table}' AS table_name, '{",".join(cols)}' AS key_columns,
        {key} AS key_value, count(*) AS n_rows
-FROM {table} {where} GROUP BY {", ".join(cols)} HAVING count(*) > 1"""
+FROM {_AUDITED.get(table, table)} {where} GROUP BY {", ".join(cols)} HAVING count(*) > 1"""
 
 
 @query("audit_unique", O.with_(*_AUDIT_BASE, "\ndaily_sessions AS (SELECT * FROM sessions_raw)",
@@ -825,7 +839,7 @@ def q_audit_unique(spark, sf_dir):
 def _fk_sql(child, col, parent, key, policy):
     return f"""SELECT '{child}' AS table_name, '{col}' AS fk_column, '{parent}' AS parent_table,
        c.{col} AS fk_value, '{policy}' AS on_delete, count(*) AS n_rows
-FROM {child} c WHERE c.{col} IS NOT NULL AND c.{col} NOT IN (SELECT {key} FROM {parent})
+FROM {_AUDITED.get(child, child)} c WHERE c.{col} IS NOT NULL AND c.{col} NOT IN (SELECT {key} FROM {_AUDITED.get(parent, parent)})
 GROUP BY c.{col}"""
 
 
@@ -844,7 +858,7 @@ def _domain_sql(table, col, allowed):
         bad, rule = f"{col} IS NULL OR {col} NOT IN ({vals})", "check"
     return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, '{rule}' AS rule,
        CAST({col} AS VARCHAR) AS bad_value, count(*) AS n_rows
-FROM {table} WHERE {bad} GROUP BY {col}"""
+FROM {_AUDITED.get(table, table)} WHERE {bad} GROUP BY {col}"""
 
 
 @query("audit_domain", O.with_(*_AUDIT_BASE, "\nattendance_corrections AS (SELECT * FROM corrections)")
@@ -879,6 +893,9 @@ def q_session_stream(spark, sf_dir):
     return spark.read.parquet(f"{run}/sink")
 
 
+from . import lifecycle  # noqa: E402,F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

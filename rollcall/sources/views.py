@@ -172,21 +172,80 @@ def task_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comment posts as submitted: user turns name a student (some of whom do
-    not exist), system turns carry a blank label."""
+    """Comment posts as submitted: user turns name a student (the fifth turn one that
+    does not exist), system turns carry a blank label, the seventh turn a blank comment,
+    the eighth a task that does not exist."""
     c = read_table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
-        F.col("conv_id").alias("task_id"),
+        (F.col("conv_id") * 100 + turn).alias("id"),
+        F.when(turn == 7, F.col("conv_id") + 1000000000).otherwise(F.col("conv_id")).alias("task_id"),
         _comment_time().alias("at"),
-        F.when(F.col("role") == "user", F.col("conv_id") * 10 + F.col("turn")).alias("student_id"),
+        F.when((F.col("role") == "user") & (turn == 4), F.col("conv_id") + 1000000000)
+         .when(F.col("role") == "user", F.col("conv_id")).alias("student_id"),
         F.col("role").alias("author_type"),
         F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant")
          .otherwise(F.lit("   ")).alias("author_label"),
-        F.col("text").alias("comment"),
+        F.when(turn == 6, F.lit(" \t ")).otherwise(F.col("text")).alias("comment"),
     )
 
 
+def _task_rows(df: DataFrame, **given) -> DataFrame:
+    from ..schemas import TASK_EVENTS
+    return df.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TASK_EVENTS.fields])
+
+
+def task_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further events of the task log.  Every order is patched a day after it was made
+    (the customer's key decides the title, the status what else) and closed ones of high
+    priority are unarchived a day later; lineitems of linestatus O are assigned again
+    three days after they were shipped; every part is a task of its own, whose size
+    decides whether the create lacks its title or subteam and whether the join that
+    follows lacks a student."""
+    o, li, p = (read_table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    day = F.expr("INTERVAL 1 DAY")
+    title = F.concat(F.lit(" Order "), F.col("o_orderkey").cast("string"), F.lit(" rev "))
+    patch = _task_rows(
+        o, task_id=F.col("o_orderkey"), at=F.col("o_orderdate") + day, seq=F.lit(2), kind=F.lit("patch"),
+        title=F.when(F.col("o_custkey") % 3 == 0, title).when(F.col("o_custkey") % 3 == 1, F.lit("  ")),
+        subteam=F.when(F.col("o_orderstatus") == "P", F.lit("Build")).when(F.col("o_orderstatus") == "O", F.lit("")),
+        status=F.when(F.col("o_orderpriority").startswith("1"), F.lit("blocked")).when(F.col("o_orderpriority").startswith("2"), F.lit("paused"))
+                .when(F.col("o_orderpriority").startswith("4"), F.lit("todo")),
+        description=F.when(F.col("o_orderstatus") == "P", F.lit("")).when(F.col("o_orderstatus") == "O", F.lit(" see notes ")))
+    unarchive = _task_rows(o.where((F.col("o_orderstatus") == "F") & F.substring("o_orderpriority", 1, 1).isin("1", "2")),
+                           task_id=F.col("o_orderkey"), at=F.col("o_orderdate") + day + day, seq=F.lit(3), kind=F.lit("unarchive"))
+    assign = _task_rows(li.where(F.col("l_linestatus") == "O"), task_id=F.col("l_orderkey"), at=F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS"),
+                        seq=F.col("l_linenumber") * 2 + 100, kind=F.lit("assign"), student_id=F.col("l_suppkey"))
+    key, size, made = F.col("p_partkey") + 1000000000, F.col("p_size"), ts_lit(COMMENT_EPOCH)
+    create = _task_rows(p, task_id=key, at=made, seq=F.lit(0), kind=F.lit("create"),
+                        title=F.when(size % 5 != 0, F.concat(F.lit(" "), "p_name")).otherwise(F.lit("   ")),
+                        subteam=F.when(size % 5 != 1, F.col("p_brand")), status=F.col("p_type"))
+    join = _task_rows(p, task_id=key, at=made + day, seq=F.lit(1), kind=F.lit("join"), student_id=F.when(size % 2 == 0, F.col("p_partkey")))
+    return patch.unionByName(unarchive).unionByName(assign).unionByName(create).unionByName(join)
+
+
+def restored_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks as a faulty restore left them, for the audits: pending orders are gone,
+    low priorities have a status nobody knows, and some customers' tasks lost their title
+    or subteam."""
+    t = tasks(spark, sf_dir)
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_orderpriority")
+    return (t.join(o, "id").where(F.col("o_orderstatus") != "P")
+            .withColumn("status", F.when(F.col("o_orderpriority").startswith("5"), F.lit("finished")).otherwise(F.col("status")))
+            .withColumn("title", F.when(F.col("o_custkey") % 10 != 3, F.col("title")))
+            .withColumn("subteam", F.when(F.col("o_custkey") % 10 != 4, F.col("subteam")))
+            .select(*t.columns))
+
+
+def restored_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments of the same restore: the role stands where the author's type should,
+    and a system turn has no label."""
+    c = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role")
+    t = task_comments(spark, sf_dir)
+    return (t.join(c, "id").withColumn("author_type", F.when(F.col("role") == "user", F.lit("student")).when(F.col("role") == "assistant", F.lit("bot")))
+            .withColumn("author_label", F.when(F.col("role") != "system", F.col("author_label"))).select(*t.columns))
+
+
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task event log: create + archive from orders, join/leave from lineitem,
     comments from conversations."""
