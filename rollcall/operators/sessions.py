@@ -85,6 +85,7 @@ def last_write_sql(cond: str, value: str) -> str:
     return f"max_by(struct({value} AS v), CASE WHEN {cond} THEN struct(`at`, seq) END).v"
 
 
+_IS_IN = "kind = 'clock_in'"
 _SET_IN = "kind IN ('set_in', 'set_both')"
 _WRITES_OUT = "kind IN ('clock_in', 'clock_out', 'set_out', 'set_both')"
 _OUT_VALUE = ("CASE WHEN kind = 'clock_out' THEN `at` "
@@ -93,25 +94,31 @@ _HELP, _TASK = "kind = 'need_help'", "kind = 'need_task'"
 _FLAG = "coalesce(value, false)"
 _FLAG_AT = "CASE WHEN coalesce(value, false) THEN `at` END"
 
-_FOLD_SQL = [
-    ("clock_in_at", f"coalesce({last_write_sql(_SET_IN, 'set_in')}, "
-                    "min(CASE WHEN kind = 'clock_in' THEN `at` END))"),
-    ("clock_out_at", last_write_sql(_WRITES_OUT, _OUT_VALUE)),
-    ("subteam", last_write_sql("coalesce(subteam, '') <> ''", "subteam")),
-    ("working_on", f"coalesce({last_write_sql('working_on IS NOT NULL', 'working_on')}, '')"),
-    ("need_help", f"coalesce({last_write_sql(_HELP, _FLAG)}, false)"),
-    ("need_help_at", last_write_sql(_HELP, _FLAG_AT)),
-    ("need_task", f"coalesce({last_write_sql(_TASK, _FLAG)}, false)"),
-    ("need_task_at", last_write_sql(_TASK, _FLAG_AT)),
-    ("task_id", last_write_sql("kind = 'clock_in' AND task_id IS NOT NULL", "task_id")),
-    ("updated_at", "max(`at`)"),
-]
+def fold_sql(where: str = "true") -> list[tuple[str, str]]:
+    """The C-1 aggregates, over the events for which ``where`` holds."""
+    def last(cond, value):
+        return last_write_sql(cond if where == "true" else f"({where}) AND ({cond})", value)
+
+    def when(cond, value):
+        return value if where == cond == "true" else f"CASE WHEN ({where}) AND ({cond}) THEN {value} END"
+    return [
+        ("clock_in_at", f"coalesce({last(_SET_IN, 'set_in')}, min({when(_IS_IN, '`at`')}))"),
+        ("clock_out_at", last(_WRITES_OUT, _OUT_VALUE)),
+        ("subteam", last("coalesce(subteam, '') <> ''", "subteam")),
+        ("working_on", f"coalesce({last('working_on IS NOT NULL', 'working_on')}, '')"),
+        ("need_help", f"coalesce({last(_HELP, _FLAG)}, false)"),
+        ("need_help_at", last(_HELP, _FLAG_AT)),
+        ("need_task", f"coalesce({last(_TASK, _FLAG)}, false)"),
+        ("need_task_at", last(_TASK, _FLAG_AT)),
+        ("task_id", last(f"{_IS_IN} AND task_id IS NOT NULL", "task_id")),
+        ("updated_at", f"max({when('true', '`at`')})"),
+    ]
 
 
 def fold_aggregates() -> list[Column]:
     """The C-1 aggregates over one session's events (shared by the batch
     fold and the streaming fold)."""
-    return [F.expr(sql).alias(name) for name, sql in _FOLD_SQL]
+    return [F.expr(sql).alias(name) for name, sql in fold_sql()]
 
 
 def auto_close(sessions: DataFrame, as_of) -> DataFrame:

@@ -6,13 +6,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import attendance as att
 from ..operators import bridge
 from ..operators import corrections as corr
 from ..operators import positions as pos
 from ..operators import roster as ro
+from ..operators import sessions as ses
 from ..operators import tasks as tk
+from ..operators.gate import gate_active
+from ..operators.replay import replayed_sessions
+from ..operators.session_changes import apply_changes, session_changes
 from ..sources import views as V
+from ..sources.day_table import DayTable
+from ..sources.staging import scratch_path, staged
+from ..sources.tables import read_table
+from ..streaming.corrections_stream import punches_on_days
+from ..streaming.session_days import SessionDays
 from . import catalog as C
 from . import oracle_views as O
 from .catalog import query
@@ -176,3 +186,138 @@ def q_status_board_past_day(spark, sf_dir):
     import datetime as dt
     i = Inputs.of(spark, sf_dir)
     return att.status_board(i.students, i.all_punches, V.BOARD_AS_OF, day=dt.date(2024, 1, 10))
+
+
+# ---------------------------------------------------------------- stored sessions, streams
+
+
+@query("sessions_stored", C.ORACLE["auto_close"])
+def q_sessions_stored(spark, sf_dir):
+    """C-4: sessions stored by day, the days of approved corrections replaced in one
+    commit, read back at the attendance instant."""
+    return ses.auto_close(_stored(spark, sf_dir).read(), V.ATTENDANCE_AS_OF)
+
+
+@query("attendance_report_stored", C.ORACLE["attendance_report"])
+def q_attendance_report_stored(spark, sf_dir):
+    """The report from stored sessions: only the range's days are read."""
+    days = _stored(spark, sf_dir).read(V.REPORT_START, V.REPORT_END)
+    return att.attendance_report(Inputs.of(spark, sf_dir).students, ses.auto_close(days, V.ATTENDANCE_AS_OF), V.REPORT_START, V.REPORT_END)
+
+
+def _stored(spark, sf_dir) -> DayTable:
+    i = Inputs.of(spark, sf_dir)
+    table = DayTable(spark, scratch_path(spark, "sessions-stored"), schemas.DAILY_SESSIONS)
+    table.replace(ses.session_fold(i.punches, V.ATTENDANCE_AS_OF))
+    late = staged(ses.punches_until(i.set_events, V.ATTENDANCE_AS_OF), "set-events")
+    days = late.select("meeting_date").distinct()
+    log = i.punches.unionByName(late)
+    table.replace(ses.session_fold(punches_on_days(log, days), V.ATTENDANCE_AS_OF), {r[0] for r in days.collect()})
+    return table
+
+
+#: How the events reach the stream: three deliveries, each with all days, by what the devices send first.
+DELIVERIES = [["signup", "purchase"], ["view"], ["click", "error"]]
+
+
+def _streamed(spark, sf_dir) -> SessionDays:
+    i = Inputs.of(spark, sf_dir)
+    root = scratch_path(spark, "session-days")
+    events = read_table(spark, sf_dir, "events")
+    for kinds in DELIVERIES:
+        events.where(F.col("event_type").isin(*kinds)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(V.EVENTS_SCHEMA).option("maxBytesPerTrigger", str(64 << 30)).parquet(f"{root}/in")
+        days = SessionDays(spark, f"{root}/tables")        # a restart each time
+        days.drain(gate_active(V.punches_from_events(stream), i.students))
+    return days
+
+
+@query("session_days_stream", O.with_(O.STUDENTS, O.PUNCHES, O.session_fold("punches", "TIMESTAMP '9999-12-31 00:00:00'")) + "SELECT * FROM sessions_raw")
+def q_session_days_stream(spark, sf_dir):
+    """§2.9: the session table after three deliveries in any order; nothing is dropped."""
+    return _streamed(spark, sf_dir).sessions.read()
+
+
+@query("session_late_punches", O.with_(O.STUDENTS, O.PUNCHES, f"""
+delivered AS (
+  SELECT *, CASE WHEN kind IN ('clock_in', 'clock_out') THEN 0 WHEN kind = 'update' THEN 1 ELSE 2 END AS epoch,
+         timezone('America/New_York', timezone('UTC', "at")) AS wall
+  FROM punches
+),
+latest AS (SELECT epoch, max(max(wall)) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_until FROM delivered GROUP BY epoch)""") + """
+SELECT d.* EXCLUDE (wall, epoch), d.epoch::BIGINT AS epoch, seen_until FROM delivered d JOIN latest l ON l.epoch = d.epoch
+WHERE CAST(CAST(wall AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= seen_until - INTERVAL 25 HOUR""")
+def q_session_late_punches(spark, sf_dir):
+    """§2.9: the audited log of punches that came after their day was closed."""
+    return _streamed(spark, sf_dir).late()
+
+
+_FOLDS = O.with_(*C._ATT_BASE, O.session_fold("all_punches", O.BOARD_AS_OF, "before"), O.session_fold("all_punches", O.ATT_AS_OF, "after"))
+
+
+@query("session_changes", _FOLDS + """
+SELECT 'out' AS op, * FROM (FROM before EXCEPT FROM after) UNION ALL SELECT 'in', * FROM (FROM after EXCEPT FROM before)""")
+def q_session_changes(spark, sf_dir):
+    """O-46/O-47: what the log between two instants did to the session table."""
+    return session_changes(Inputs.of(spark, sf_dir).all_punches, V.BOARD_AS_OF, V.ATTENDANCE_AS_OF)
+
+
+@query("session_changes_applied", _FOLDS + "FROM after")
+def q_session_changes_applied(spark, sf_dir):
+    """The stored table of the first instant after those changes: that of the second."""
+    log = Inputs.of(spark, sf_dir).all_punches
+    changes = staged(session_changes(log, V.BOARD_AS_OF, V.ATTENDANCE_AS_OF), "session-changes")
+    return apply_changes(ses.session_fold(log, V.BOARD_AS_OF), changes)
+
+
+# The state machine row by row: a close is taken when the session is open and a sweep falls
+# between this event and the next.
+_REPLAY = f"""
+manual_in AS (
+  SELECT student_id, "at", seq, 'set_in' AS kind, d AS meeting_date, NULL::VARCHAR AS subteam, NULL::VARCHAR AS working_on,
+         NULL::BIGINT AS task_id, NULL::BOOLEAN AS value, {O.local_to_utc("d + CAST(clock_in_time AS TIME)")} AS set_in, NULL::TIMESTAMP AS set_out
+  FROM manual_ok WHERE clock_in_time <> ''
+),
+replay_log AS (FROM all_punches UNION ALL FROM manual_in),
+sweep AS (
+  SELECT DISTINCT t FROM (SELECT "at" AS t FROM replay_log WHERE kind = 'clock_in' UNION ALL
+                          SELECT ts + INTERVAL 90 MINUTE FROM events WHERE event_type = 'view')
+  WHERE t <= {O.ATT_AS_OF}
+),
+ev AS (
+  SELECT student_id, coalesce(meeting_date, {O.eastern_date('"at"')}) AS md, "at", seq, kind, set_in, set_out
+  FROM replay_log WHERE "at" <= {O.ATT_AS_OF} AND kind IN ('clock_in', 'clock_out', 'set_in', 'set_out', 'set_both')
+),
+numbered_ev AS (
+  SELECT *, row_number() OVER o AS n, coalesce(lead("at") OVER o, {O.ATT_AS_OF}) AS until,
+         coalesce(struct_extract(last_value(CASE WHEN kind IN ('set_in', 'set_both') THEN {{'v': set_in}} END IGNORE NULLS) OVER o, 'v'),
+                  min(CASE WHEN kind = 'clock_in' THEN "at" END) OVER o) AS cin
+  FROM ev WINDOW o AS (PARTITION BY student_id, md ORDER BY "at", seq)
+),
+timed AS MATERIALIZED (
+  SELECT e.*, s.t AS swept FROM (SELECT *, greatest("at", cin + INTERVAL 4 HOUR) AS due FROM numbered_ev) e ASOF LEFT JOIN sweep s ON s.t > e.due
+),
+machine AS (
+  SELECT student_id, md, 0::BIGINT AS n, NULL::TIMESTAMP AS cout, NULL::TIMESTAMP AS closed FROM (SELECT DISTINCT student_id, md FROM ev)
+  UNION ALL
+  SELECT student_id, md, n, CASE WHEN written IS NULL AND closes THEN cin + INTERVAL 4 HOUR ELSE written END,
+         CASE WHEN written IS NULL AND closes THEN swept END
+  FROM (SELECT t.*, t.cin IS NOT NULL AND t.swept <= t.until AS closes,
+               CASE t.kind WHEN 'clock_in' THEN NULL WHEN 'clock_out' THEN t."at" WHEN 'set_in' THEN m.cout ELSE t.set_out END AS written
+        FROM machine m JOIN timed t ON t.student_id = m.student_id AND t.md = m.md AND t.n = m.n + 1)
+),
+at_end AS (SELECT student_id, md, arg_max({{'o': cout}}, n).o AS cout, max(closed) AS closed FROM machine GROUP BY ALL)"""
+
+
+@query("sessions_replayed", (O.with_(*C._ATT_BASE, C._MANUAL_SQL, _REPLAY, O.session_fold("replay_log", O.ATT_AS_OF)) + """
+SELECT s.* REPLACE (CASE WHEN e.md IS NULL THEN s.clock_out_at ELSE e.cout END AS clock_out_at, greatest(s.updated_at, e.closed) AS updated_at)
+FROM sessions_raw s LEFT JOIN at_end e ON e.student_id = s.student_id AND e.md = s.meeting_date""").replace("WITH ", "WITH RECURSIVE ", 1))
+def q_sessions_replayed(spark, sf_dir):
+    """C-2: the table with every sweep of clock-ins and dashboard reads played; clock-in
+    times are also corrected by manual entries long after they were swept."""
+    i = Inputs.of(spark, sf_dir)
+    entries = V.manual_entries(spark, sf_dir).where(F.col("clock_in_time") != "").select(
+        "student_id", "at", "seq", "meeting_date", "clock_in_time", F.lit("").alias("clock_out_time"), F.lit("").alias("subteam"),
+        F.lit(None).cast("string").alias("working_on"))
+    manual, _ = corr.manual_attendance(entries, i.students, "patch")
+    return replayed_sessions(i.all_punches.unionByName(manual), V.dashboard_reads(spark, sf_dir), V.ATTENDANCE_AS_OF)

@@ -402,3 +402,9 @@ def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((eid % 5) == 0, F.lit("")).when((eid % 11) == 0, F.lit(None).cast("string"))
          .otherwise(F.lit("Build")).alias("subteam"),
         F.when((eid % 7) == 0, F.lit("")).otherwise(F.lit("paper log")).alias("working_on"))
+
+
+def dashboard_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When somebody looked at a dashboard: an hour and a half after every view."""
+    e = read_table(spark, sf_dir, "events")
+    return e.where(F.col("event_type") == "view").select((F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("at"))
