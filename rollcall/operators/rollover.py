@@ -77,3 +77,33 @@ def season_rollover(spark: SparkSession, students: DataFrame, root: str, season:
 def current_season(spark: SparkSession, root: str) -> str | None:
     last = _newest(spark, root)
     return None if last is None else last["path"]
+
+
+def seasons(spark: SparkSession, root: str) -> DataFrame:
+    """The chain of seasons (version, season, path), oldest first by version."""
+    try:
+        return spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/_current").select("version", "season", "path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def read_season(spark: SparkSession, root: str, table: str, season: str | None = None) -> DataFrame:
+    """A table as of a season, by its latest rollover; None for the current one."""
+    chain = seasons(spark, root)
+    if season is not None:
+        chain = chain.where(F.col("season") == season)
+    last = chain.orderBy(F.desc("version"), "path").first()
+    if last is None:
+        raise ValueError("season_unknown")
+    schema = schemas.STUDENTS if table == "students" else FACT_TABLES[table]
+    return spark.read.schema(schema).parquet(f"{last['path']}/{table}").select(*schema.fieldNames())
+
+
+def append_facts(df: DataFrame, root: str, table: str) -> None:
+    """Add rows to a fact table of the current season."""
+    path = current_season(df.sparkSession, root)
+    if path is None:
+        raise ValueError("season_unknown")
+    schemas.conform(df, FACT_TABLES[table]).write.mode("append").parquet(f"{path}/{table}")

@@ -14,11 +14,15 @@ from ..operators import positions as pos
 from ..operators import roster as ro
 from ..operators import sessions as ses
 from ..operators import tasks as tk
+from ..operators.audits import repair_fk
 from ..operators.gate import gate_active
+from ..operators.lists import assignee_chunks
 from ..operators.replay import replayed_sessions
+from ..operators.rollover import append_facts, read_season, season_rollover, seasons
 from ..operators.session_changes import apply_changes, session_changes
 from ..sources import views as V
 from ..sources.day_table import DayTable
+from ..sources.generations import read_generations, write_generation
 from ..sources.staging import scratch_path, staged
 from ..sources.tables import read_table
 from ..streaming.corrections_stream import punches_on_days
@@ -321,3 +325,114 @@ def q_sessions_replayed(spark, sf_dir):
         F.lit(None).cast("string").alias("working_on"))
     manual, _ = corr.manual_attendance(entries, i.students, "patch")
     return replayed_sessions(i.all_punches.unionByName(manual), V.dashboard_reads(spark, sf_dir), V.ATTENDANCE_AS_OF)
+
+
+# ---------------------------------------------------------------- generations, seasons, repairs, chunks
+
+
+def _generations(spark, table, old, new):
+    root = scratch_path(spark, f"generations-{table}")
+    write_generation(old, root, table, 1)
+    write_generation(new, root, table, 2)
+    return read_generations(spark, root, table)
+
+
+@query("tasks_generations", O.with_(O.TASKS) + """
+SELECT * REPLACE (archived AND created_at >= TIMESTAMP '1998-01-01' AS archived) FROM tasks""")
+def q_tasks_generations(spark, sf_dir):
+    """O-04: tasks made before 1998 lie in files without ``archived`` and ``description``."""
+    t, young = Inputs.of(spark, sf_dir).tasks, F.col("created_at") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    return _generations(spark, "tasks", t.where(~young), t.where(young))
+
+
+@query("sessions_generations", O.with_(*C._ATT_BASE, O.session_fold("all_punches", O.ATT_AS_OF)) + f"""
+SELECT * REPLACE (CASE WHEN meeting_date >= {O.REPORT_START} THEN task_id END AS task_id) FROM sessions_raw""")
+def q_sessions_generations(spark, sf_dir):
+    """O-04: sessions before the report's first day lie in files without ``task_id``."""
+    s = staged(ses.session_fold(Inputs.of(spark, sf_dir).all_punches, V.ATTENDANCE_AS_OF), "sessions")
+    young = F.col("meeting_date") >= F.lit(V.REPORT_START)
+    return _generations(spark, "daily_sessions", s.where(~young), s.where(young))
+
+
+def _seasons(spark, sf_dir) -> str:
+    """Three seasons: the roster as it was, after the edits, and after the upload; the
+    second one also has that year's assignments."""
+    i = Inputs.of(spark, sf_dir)
+    root = scratch_path(spark, "seasons")
+    season_rollover(spark, i.students, root, "2023", "RESET", True)
+    season_rollover(spark, ro.roster_patch(read_season(spark, root, "students"), V.roster_patches(spark, sf_dir))[0], root, "2024", "RESET", True)
+    append_facts(i.assignments, root, "task_assignments")
+    season_rollover(spark, ro.roster_upsert(read_season(spark, root, "students", "2023"), V.roster_requests(spark, sf_dir), reactivate=True)[0].where(~F.col("is_new")),
+                    root, "2025", "RESET", True)
+    return root
+
+
+_SEASON_SQL = O.with_(O.STUDENTS, C._PATCH_SQL, C._ROSTER_REQ_SQL) + """
+SELECT '2023' AS season, * FROM students_full
+UNION ALL
+SELECT '2024', s.student_id, coalesce(nullif(trim(p.full_name), ''), s.full_name), coalesce(p.subteam, s.subteam),
+       coalesce(p.is_active, s.is_active), s.created_at
+FROM students_full s LEFT JOIN (FROM judged_patches WHERE reject_reason IS NULL) p ON p.student_id = s.student_id
+UNION ALL
+SELECT '2025', s.student_id, s.full_name, CASE WHEN r.full_name IS NULL THEN s.subteam ELSE r.req_subteam END,
+       s.is_active OR r.full_name IS NOT NULL, s.created_at
+FROM students_full s LEFT JOIN req_last r ON r.full_name = s.full_name"""
+
+
+@query("season_rosters", _SEASON_SQL)
+def q_season_rosters(spark, sf_dir):
+    """O-67: every season's roster, read as of that season."""
+    root = _seasons(spark, sf_dir)
+    parts = [read_season(spark, root, "students", s).select(F.lit(s).alias("season"), "*") for s in ("2023", "2024", "2025")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("season_current", O.with_(O.STUDENTS, O.ASSIGNMENTS) + """
+SELECT * FROM (VALUES (1::BIGINT, '2023', false), (2, '2024', false), (3, '2025', true)) v(version, season, is_current)
+JOIN (SELECT count(*) AS n_students FROM students) ON true
+JOIN (SELECT count(*) AS n FROM task_assignments) ON true
+""".replace("SELECT * FROM (VALUES", "SELECT version, season, is_current, n_students, CASE season WHEN '2024' THEN n ELSE 0 END AS n_assignments FROM (VALUES"))
+def q_season_current(spark, sf_dir):
+    """O-67: the chain of seasons, which one is current, and what each holds when read."""
+    root = _seasons(spark, sf_dir)
+    chain = seasons(spark, root)
+    now = chain.orderBy(F.desc("version")).limit(1).select("version", F.lit(True).alias("is_current"))
+    held = None
+    for s in ("2023", "2024", "2025"):
+        counts = [read_season(spark, root, t, s).groupBy(F.lit(s).alias("season")).agg(F.count(F.lit(1)).alias(c))
+                  for t, c in (("students", "n_students"), ("task_assignments", "n_assignments"))]
+        row = counts[0].join(counts[1], "season", "left")
+        held = row if held is None else held.unionByName(row)
+    return (chain.join(now, "version", "left").join(held, "season")
+            .select("version", "season", F.coalesce("is_current", F.lit(False)).alias("is_current"), "n_students",
+                    F.coalesce("n_assignments", F.lit(0).cast("long")).alias("n_assignments")))
+
+
+@query("fk_repaired", O.with_(*C._AUDIT_BASE) + """
+SELECT 'task_assignments' AS table_name, id::VARCHAR AS row_key, task_id, student_id FROM task_assignments
+WHERE task_id IN (SELECT id FROM restored_tasks) AND student_id IN (SELECT student_id FROM students)
+UNION ALL SELECT 'task_comments', id::VARCHAR, task_id, NULL FROM restored_comments WHERE task_id IN (SELECT id FROM restored_tasks)
+UNION ALL SELECT 'daily_sessions', student_id || ' ' || meeting_date, CASE WHEN task_id IN (SELECT id FROM restored_tasks) THEN task_id END, student_id
+FROM sessions_raw WHERE student_id IN (SELECT student_id FROM students)""")
+def q_fk_repaired(spark, sf_dir):
+    """O-62: the tables after their foreign keys' policies, written and read back."""
+    i = Inputs.of(spark, sf_dir)
+    fixed = repair_fk({"students": i.students, "tasks": V.restored_tasks(spark, sf_dir), "task_assignments": i.assignments,
+                       "task_comments": V.restored_comments(spark, sf_dir), "daily_sessions": ses.session_fold(i.all_punches, V.ATTENDANCE_AS_OF)})
+    keys = {"task_assignments": F.col("id").cast("string"), "task_comments": F.col("id").cast("string"),
+            "daily_sessions": F.concat_ws(" ", F.col("student_id"), F.col("meeting_date").cast("string"))}
+    parts = [staged(fixed[t], t).withColumn("student_id", F.col("student_id") if t != "task_comments" else F.lit(None).cast("long"))
+             .select(F.lit(t).alias("table_name"), key.alias("row_key"), "task_id", "student_id") for t, key in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("task_assignee_chunks", O.with_(*C._TASK_BASE) + """
+SELECT task_id, chunk, 3 * chunk AS n_before,
+       '[' || string_agg(CAST(json_object('student_id', student_id, 'full_name', full_name) AS VARCHAR), ',' ORDER BY full_name, student_id) || ']' AS assignees
+FROM (SELECT *, (row_number() OVER (PARTITION BY task_id ORDER BY full_name, student_id) - 1) // 3 AS chunk
+      FROM (SELECT DISTINCT task_id, student_id, full_name FROM task_assignments JOIN students USING (student_id) WHERE unassigned_at IS NULL))
+GROUP BY task_id, chunk""")
+def q_task_assignee_chunks(spark, sf_dir):
+    """O-22/O-30: ordered assignee lists in chunks (of three, so that tasks have several)."""
+    i = Inputs.of(spark, sf_dir)
+    return assignee_chunks(i.assignments, i.students, 3).withColumn("assignees", tk.assignees_json("assignees"))

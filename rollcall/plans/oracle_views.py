@@ -132,29 +132,36 @@ set_events AS (
 
 
 def session_fold(src: str, as_of: str, name: str = "sessions_raw") -> str:
-    """C-1 in SQL: one GROUP BY with arg_max over ("at", seq)."""
-    def last(cond, value):
-        return (f"struct_extract(arg_max({{'v': {value}}}, (\"at\", seq)) "
-                f"FILTER (WHERE {cond}), 'v')")
+    """C-1 played forward: after every event of a student's day, each column shows the last
+    thing written so far; the day's last event has the session.  A written NULL is kept
+    apart from nothing written by a list of one."""
+    def shown(written):
+        return f"last_value({written} IGNORE NULLS) OVER day"
     return f"""
 {name}_ev AS (
   SELECT *, coalesce(meeting_date, {eastern_date('"at"')}) AS md FROM {src} WHERE "at" <= {as_of}
 ),
-{name} AS (
+{name}_played AS (
   SELECT student_id, md AS meeting_date,
-    coalesce({last("kind IN ('set_in', 'set_both')", "set_in")},
-             min("at") FILTER (WHERE kind = 'clock_in')) AS clock_in_at,
-    {last("kind IN ('clock_in', 'clock_out', 'set_out', 'set_both')",
-          "CASE WHEN kind = 'clock_out' THEN \"at\" WHEN kind IN ('set_out', 'set_both') THEN set_out END")} AS clock_out_at,
-    {last("coalesce(subteam, '') <> ''", "subteam")} AS subteam,
-    coalesce({last("working_on IS NOT NULL", "working_on")}, '') AS working_on,
-    coalesce({last("kind = 'need_help'", "coalesce(value, false)")}, false) AS need_help,
-    {last("kind = 'need_help'", "CASE WHEN coalesce(value, false) THEN \"at\" END")} AS need_help_at,
-    coalesce({last("kind = 'need_task'", "coalesce(value, false)")}, false) AS need_task,
-    {last("kind = 'need_task'", "CASE WHEN coalesce(value, false) THEN \"at\" END")} AS need_task_at,
-    {last("kind = 'clock_in' AND task_id IS NOT NULL", "task_id")} AS task_id,
-    max("at") AS updated_at
-  FROM {name}_ev GROUP BY student_id, md
+    {shown("CASE kind WHEN 'set_in' THEN [set_in] WHEN 'set_both' THEN [set_in] END")} AS said_in,
+    first_value(CASE WHEN kind = 'clock_in' THEN "at" END IGNORE NULLS) OVER day AS came,
+    {shown("""CASE kind WHEN 'clock_in' THEN [NULL::TIMESTAMP] WHEN 'clock_out' THEN ["at"]
+              WHEN 'set_out' THEN [set_out] WHEN 'set_both' THEN [set_out] END""")} AS went,
+    {shown("nullif(subteam, '')")} AS subteam,
+    {shown("working_on")} AS working_on,
+    {shown("CASE WHEN kind = 'need_help' THEN [CASE WHEN value THEN \"at\" END] END")} AS help,
+    {shown("CASE WHEN kind = 'need_task' THEN [CASE WHEN value THEN \"at\" END] END")} AS task,
+    {shown("CASE WHEN kind = 'clock_in' THEN task_id END")} AS task_id,
+    "at" AS updated_at,
+    row_number() OVER (PARTITION BY student_id, md ORDER BY "at" DESC, seq DESC) AS from_end
+  FROM {name}_ev
+  WINDOW day AS (PARTITION BY student_id, md ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+{name} AS (
+  SELECT student_id, meeting_date, coalesce(said_in[1], came) AS clock_in_at, went[1] AS clock_out_at, subteam,
+         coalesce(working_on, '') AS working_on, help[1] IS NOT NULL AS need_help, help[1] AS need_help_at,
+         task[1] IS NOT NULL AS need_task, task[1] AS need_task_at, task_id, updated_at
+  FROM {name}_played WHERE from_end = 1
 )"""
 
 

@@ -179,6 +179,13 @@ DEFAULTS: dict[str, dict[str, object]] = {
 }
 
 
+# What each file generation added to a table, with the defaults that older files get.
+GENERATIONS: dict[str, dict] = {
+    "tasks": {"schema": TASKS, "added": {2: DEFAULTS["tasks"]}},
+    "daily_sessions": {"schema": DAILY_SESSIONS, "added": {2: DEFAULTS["daily_sessions"]}},
+}
+
+
 def conform(df: DataFrame, schema: T.StructType,
             defaults: dict[str, object] | None = None) -> DataFrame:
     """Project ``df`` onto ``schema``: cast present columns, add missing ones
@@ -201,6 +208,3 @@ def conform(df: DataFrame, schema: T.StructType,
         cols.append(c.cast(field.dataType).alias(field.name))
     return df.select(*cols)
 
-
-def empty(spark, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
