@@ -55,7 +55,7 @@ def status_tiles(board: DataFrame, by_subteam: bool = False) -> DataFrame:
 
 
 def needs_queue(board: DataFrame) -> DataFrame:
-    """O-10b: the help and the task queues as one table, oldest request first."""
+    """O-10b: the help and the task queues as one table (``positions`` puts them in order)."""
     cols = ["student_id", "full_name", "subteam", "working_on"]
     help_ = board.where(F.col("need_help")).select(
         F.lit("help").alias("kind"), *cols, F.col("need_help_at").alias("requested_at"))
@@ -64,11 +64,6 @@ def needs_queue(board: DataFrame) -> DataFrame:
     return help_.unionByName(task)
 
 
-def order_needs_queue(queue: DataFrame) -> DataFrame:
-    return queue.orderBy(F.col("kind"), F.col("requested_at").asc_nulls_last(),
-                         F.col("student_id"))
-
-
 def student_today(students: DataFrame, punches: DataFrame, as_of) -> DataFrame:
     """O-11 in batch form: each active student's state for the Eastern day
     of ``as_of``; no session -> not_clocked_in."""
@@ -125,11 +120,6 @@ def attendance_report(students: DataFrame, sessions: DataFrame, start, end) -> D
                     (hundredths.cast("double") / F.lit(100.0)).alias("hours_total")))
 
 
-def order_by_name(df: DataFrame) -> DataFrame:
-    """O-33: the sink order used by every roster-shaped result."""
-    return df.orderBy(F.col("full_name").asc_nulls_last(), F.col("student_id"))
-
-
 def board_display(board: DataFrame) -> DataFrame:
     """O-38n/O-38o/O-09: the board cards as text -- ``name (subteam)``, the
     badge, Eastern in/out times (an em dash when missing), the meeting day

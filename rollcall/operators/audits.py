@@ -25,8 +25,9 @@ def duplicate_keys(df: DataFrame, table: str, cols: list[str], where=None) -> Da
 
 
 def audit_unique(tables: dict[str, DataFrame]) -> DataFrame:
-    """O-61: primary keys, unique names, one session per student and day,
-    at most one open assignment per (task, student)."""
+    """O-61: primary keys, unique names, one session per student and day (for stored
+    tables; the fold itself can't repeat a key), at most one open assignment per (task,
+    student)."""
     checks = []
     t = tables
     if "students" in t:
@@ -57,26 +58,36 @@ FOREIGN_KEYS = [
 ]
 
 
-def _orphans(child: DataFrame, col: str, parent: DataFrame, key: str) -> DataFrame:
-    """(_v, n_rows): references without a parent.  Counted per value first, so
-    that a value of very many rows is one row when it meets the parent's keys."""
-    counts = (child.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("n_rows")))
-    keys = parent.select(F.col(key).alias("_k"))
-    return counts.join(keys, counts["_v"] == keys["_k"], "left_anti")
+def _long(tables, rows) -> DataFrame:
+    """One (k, v) table of several columns: ``rows`` gives for each table its (k, column)
+    pairs, all read in one scan of the table."""
+    parts = []
+    for name, cols in rows.items():
+        pairs = F.array(*[F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in cols])
+        parts.append(tables[name].select(F.explode(pairs).alias("p")).select("p.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _named(index, values):
+    """The value of a short fixed list at ``index``."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(index) + 1)
 
 
 def audit_fk(tables: dict[str, DataFrame]) -> DataFrame:
-    """O-62: orphaned references, counted per missing key."""
-    out = []
-    for child, col, parent, key, policy in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            out.append(_orphans(tables[child], col, tables[parent], key)
-                       .select(F.lit(child).alias("table_name"), F.lit(col).alias("fk_column"),
-                               F.lit(parent).alias("parent_table"),
-                               F.col("_v").alias("fk_value"), F.lit(policy).alias("on_delete"),
-                               "n_rows"))
-    return reduce(DataFrame.unionByName, out)
+    """O-62: orphaned references, counted per missing key.  Every table is read once per
+    side; references are counted per value first, so that a value of very many rows is one
+    row when it meets the parents' keys."""
+    keys = [(k, fk) for k, fk in enumerate(FOREIGN_KEYS) if fk[0] in tables and fk[2] in tables]
+    children: dict[str, list] = {}
+    parents: dict[str, list] = {}
+    for k, (child, col, parent, key, _) in keys:
+        children.setdefault(child, []).append((k, F.col(col).cast("long")))
+        parents.setdefault(parent, []).append((k, F.col(key).cast("long")))
+    counts = _long(tables, children).where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n_rows"))
+    orphans = counts.join(_long(tables, parents), ["k", "v"], "left_anti")
+    label = lambda at: _named("k", [fk[at] for fk in FOREIGN_KEYS])
+    return orphans.select(label(0).alias("table_name"), label(1).alias("fk_column"), label(2).alias("parent_table"),
+                          F.col("v").alias("fk_value"), label(4).alias("on_delete"), "n_rows")
 
 
 def repair_fk(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -112,16 +123,15 @@ DOMAIN_CHECKS = [
 
 
 def audit_domain(tables: dict[str, DataFrame]) -> DataFrame:
-    """O-63: CHECK lists and NOT NULL columns; one row per offending value."""
-    out = []
-    for table, col, allowed in DOMAIN_CHECKS:
-        if table not in tables:
-            continue
-        c = F.col(col)
-        bad = c.isNull() if allowed is None else (c.isNull() | ~c.isin(*allowed))
-        out.append(tables[table].where(bad).groupBy(c.cast("string").alias("bad_value"))
-                   .agg(F.count(F.lit(1)).alias("n_rows"))
-                   .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                           F.lit("not null" if allowed is None else "check").alias("rule"),
-                           "bad_value", "n_rows"))
-    return reduce(DataFrame.unionByName, out)
+    """O-63: CHECK lists and NOT NULL columns; one row per offending value.  A table is
+    read once for all its checks."""
+    checks: dict[str, list] = {}
+    for k, (table, col, allowed) in enumerate(DOMAIN_CHECKS):
+        if table in tables:
+            c = F.col(col)
+            bad = c.isNull() if allowed is None else (c.isNull() | ~c.isin(*allowed))
+            checks.setdefault(table, []).append((k, F.struct(bad.alias("bad"), c.cast("string").alias("value"))))
+    rules = ["not null" if allowed is None else "check" for _, _, allowed in DOMAIN_CHECKS]
+    counts = _long(tables, checks).where("v.bad").groupBy("k", F.col("v.value").alias("bad_value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    label = lambda at: _named("k", [check[at] for check in DOMAIN_CHECKS])
+    return counts.select(label(0).alias("table_name"), label(1).alias("column_name"), _named("k", rules).alias("rule"), "bad_value", "n_rows")

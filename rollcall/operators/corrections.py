@@ -8,7 +8,7 @@ meeting day they name, so the one session fold applies them in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, js_trim
@@ -32,42 +32,58 @@ def _with_active_flag(df: DataFrame, students: DataFrame) -> DataFrame:
     return df.join(act, "student_id", "left")
 
 
-def validate_corrections(requests: DataFrame, students: DataFrame):
-    """O-15 + O-07 + O-45.  Returns ``(valid, rejects)``.
-
-    Shape rules run first (as the request handler does), then the active
-    check, then the value checks the database's casts would make (a date
-    like 2026-02-30 or a time like 99:99 passes the shape test but cannot
-    be stored)."""
+def _judged_requests(df: DataFrame, students: DataFrame) -> DataFrame:
+    """Requests with the ``reject_reason`` of the first rule they break."""
     d = F.col("meeting_date")
     tin, tout = F.col("requested_clock_in"), F.col("requested_clock_out")
     has_out = tout.isNotNull() & (tout != "")
-    reason_t = js_trim(F.coalesce(F.col("reason"), F.lit("")))
-    df = _with_active_flag(requests, students)
     reason = _first_failure([
         (F.col("student_id").isNull(), "student_missing"),
         (~F.coalesce(d.rlike(ISO_DATE_RE), F.lit(False)), "meeting_date_format"),
         (~F.coalesce(tin.rlike(HHMM_RE), F.lit(False)), "clock_in_format"),
         (has_out & ~tout.rlike(HHMM_RE), "clock_out_format"),
-        (F.length(reason_t) < 3, "reason_too_short"),
+        (F.length(js_trim(F.coalesce(F.col("reason"), F.lit("")))) < 3, "reason_too_short"),
         (F.col("_active").isNull(), "student_unknown"),
         (parse_iso_date(d).isNull(), "value_out_of_range"),
         (hhmm_minutes(tin).isNull(), "value_out_of_range"),
         (has_out & hhmm_minutes(tout).isNull(), "value_out_of_range"),
     ])
-    df = df.withColumn("reject_reason", reason)
-    valid = df.where(F.col("reject_reason").isNull()).select(
-        "id", "student_id",
-        parse_iso_date(d).alias("meeting_date"),
-        tin.alias("requested_clock_in"),
-        F.when(has_out, tout).alias("requested_clock_out"),
-        reason_t.alias("reason"),
-        F.lit("pending").alias("status"),
-        "created_at")
-    rejects = df.where(F.col("reject_reason").isNotNull()).drop("_active")
+    # Rows without a student are spread by their id; they find no one, or are refused
+    # before that is asked.
+    act = active_ids(students).select(F.col("student_id").alias("_who"), F.lit(True).alias("_active"))
+    return (df.withColumn("_who", F.coalesce("student_id", "id")).join(act, "_who", "left")
+            .withColumn("reject_reason", reason).drop("_who", "_active"))
+
+
+def _request_values() -> list[Column]:
+    """The columns of a stored request, from one that passed."""
+    tout = F.col("requested_clock_out")
+    return [F.col("student_id"), parse_iso_date(F.col("meeting_date")).alias("meeting_date"), F.col("requested_clock_in"),
+            F.when(tout.isNotNull() & (tout != ""), tout).alias("requested_clock_out"),
+            js_trim(F.coalesce(F.col("reason"), F.lit(""))).alias("reason")]
+
+
+def validate_corrections(requests: DataFrame, students: DataFrame):
+    """O-15 + O-07 + O-45.  Returns ``(valid, rejects)``.
+
+    Shape rules run first (as the request handler does), then the active
+    check, then the value checks the database's casts would make (a date
+    like 2026-02-30 or a time like 99:99 passes the shape test but cannot
+    be stored)."""
+    df = _judged_requests(requests, students)
+    valid = df.where(F.col("reject_reason").isNull()).select("id", *_request_values(), F.lit("pending").alias("status"), "created_at")
+    rejects = df.where(F.col("reject_reason").isNotNull())
     return valid, rejects
 
 
+def _decision_values() -> list[Column]:
+    """What the first decision (``first``, or null) makes of a request."""
+    at = F.col("first.at")
+    return [F.coalesce(F.col("first.status"), F.lit("pending")).alias("status"), F.col("created_at"), at.alias("decided_at"),
+            F.when(at.isNotNull(), F.lit("mentor")).alias("decided_by"), blank_to_null(js_trim(F.col("first.note"))).alias("decision_note"),
+            F.col("first.seq").alias("decision_seq")]
+
+
 def correction_decide(requests: DataFrame, decisions: DataFrame):
     """O-46: apply decisions; the first valid one per request (by
     ``(at, seq)``) wins.  Returns ``(corrections, rejects)``.
@@ -96,18 +112,27 @@ def correction_decide(requests: DataFrame, decisions: DataFrame):
              .drop("first"))
     rejects = bad_status.unionByName(not_found).unionByName(later)
     out = requests.join(first.withColumnRenamed("correction_id", "id"), "id", "left")
-    corrections = out.select(
-        "id", "student_id", "meeting_date", "requested_clock_in", "requested_clock_out",
-        "reason",
-        F.coalesce(F.col("first.status"), F.lit("pending")).alias("status"),
-        "created_at",
-        F.col("first.at").alias("decided_at"),
-        F.when(F.col("first.at").isNotNull(), F.lit("mentor")).alias("decided_by"),
-        blank_to_null(js_trim(F.col("first.note"))).alias("decision_note"),
-        F.col("first.seq").alias("decision_seq"))
+    corrections = out.select("id", "student_id", "meeting_date", "requested_clock_in", "requested_clock_out", "reason",
+                             *_decision_values())
     return corrections, rejects
 
 
+def settle_corrections(log: DataFrame, students: DataFrame) -> DataFrame:
+    """O-45/O-46 from one log of requests and decisions (``id``, ``is_request``, and the
+    columns of both): the table that ``validate_corrections`` and ``correction_decide``
+    give, in one pass and one shuffle, by request.  For logs in which a request has few
+    decisions; they meet in one task."""
+    same = Window.partitionBy("id")
+    ok = _judged_requests(log.withColumnRenamed("at", "created_at"), students)
+    valid = F.col("is_request") & F.col("reject_reason").isNull()
+    st = F.lower(F.coalesce(F.col("status"), F.lit("")))
+    rows = ok.withColumn("_asked", F.max(F.when(valid, F.col("created_at"))).over(same))
+    counts = ~F.col("is_request") & st.isin("approved", "denied") & (F.col("created_at") >= F.col("_asked"))
+    d = F.struct(F.col("created_at").alias("at"), "seq", st.alias("status"), "note")
+    rows = rows.withColumn("first", F.min(F.when(counts, d)).over(same)).where(valid)
+    return rows.select("id", *_request_values(), *_decision_values())
+
+
 def correction_apply(corrections: DataFrame) -> DataFrame:
     """O-47: each approved correction becomes a ``set_both`` event at its
     decision time: in := requested in, out := requested out *or NULL*."""

@@ -1,10 +1,8 @@
 """O-07: only events of existing, active students take effect.
 
-The roster is a dimension.  Joining it to an event log by shuffle would
-hash-partition the whole log by student, putting a hot student in one
-task before any pre-aggregation.  So the roster side is broadcast after
-an explicit size check (a count of the dimension), and left to Spark's
-own planning (sort-merge join, AQE skew split) beyond the bound.
+The roster is a dimension: a semi-join, whose form Spark picks by the roster's size in
+bytes (a broadcast below the threshold, else a sort-merge join, which AQE splits where a
+student has very many events).
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def active_ids(students: DataFrame) -> DataFrame:
     return students.where(F.col("is_active")).select("student_id")
 

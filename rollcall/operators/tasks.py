@@ -52,17 +52,12 @@ def assignments_dedup(assignments: DataFrame, as_of) -> DataFrame:
     The newest row per pair is found with a mergeable ``max`` aggregate and
     joined back, so a pair with very many duplicates is reduced inside each
     input partition before any shuffle (AQE splits the skewed join side)."""
-    open_ = open_assignments(assignments)
-    newest = open_.groupBy("task_id", "student_id").agg(
+    newest = open_assignments(assignments).groupBy("task_id", "student_id").agg(
         F.max(F.struct("assigned_at", "id")).alias("_newest"))
-    marked = open_.join(newest, ["task_id", "student_id"], "inner")
-    dup = F.struct("assigned_at", "id") != F.col("_newest")
-    fixed = marked.select(
+    dup = F.col("unassigned_at").isNull() & (F.struct("assigned_at", "id") != F.col("_newest"))
+    return assignments.join(newest, ["task_id", "student_id"], "left").select(
         "id", "task_id", "student_id", "assigned_at",
-        F.when(dup, ts_lit(as_of)).alias("unassigned_at"))
-    closed = assignments.where(F.col("unassigned_at").isNotNull()).select(
-        "id", "task_id", "student_id", "assigned_at", "unassigned_at")
-    return fixed.unionByName(closed)
+        F.when(dup, ts_lit(as_of)).otherwise(F.col("unassigned_at")).alias("unassigned_at"))
 
 
 def assignment_intervals(task_events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import JS_TRIM_RE
+from ..functions.timez import eastern_date_of
 from ..operators import attendance as att
 from ..operators import audits as au
 from ..operators import corrections as corr
@@ -125,8 +126,11 @@ board AS (
 )""")
 
 
+_BOARD_DAYS = (eastern_date_of(V.BOARD_AS_OF),) * 2
+
+
 def _board(spark, sf_dir):
-    i = Inputs.of(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir, _BOARD_DAYS)
     return att.status_board(i.students, i.all_punches, V.BOARD_AS_OF)
 
 
@@ -200,7 +204,7 @@ FROM students s
 LEFT JOIN sessions ds ON ds.student_id = s.student_id AND ds.meeting_date = {O.BOARD_DAY}
 WHERE s.is_active""")
 def q_student_today(spark, sf_dir):
-    i = Inputs.of(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir, _BOARD_DAYS)
     return att.student_today(i.students, i.all_punches, V.BOARD_AS_OF)
 
 
@@ -246,7 +250,7 @@ SELECT student_id, full_name, subteam, days_clocked_in, last_day,
          AS hours_total
 FROM per_student""")
 def q_attendance_report(spark, sf_dir):
-    i = Inputs.of(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir, (V.REPORT_START, V.REPORT_END))
     sessions = ses.sessions_for_days(i.all_punches, V.REPORT_START, V.REPORT_END,
                                      V.ATTENDANCE_AS_OF)
     return att.attendance_report(i.students, sessions, V.REPORT_START, V.REPORT_END)
@@ -797,7 +801,7 @@ def _audit_tables(spark, sf_dir):
     return {"students": i.students, "tasks": V.restored_tasks(spark, sf_dir), "task_assignments": i.assignments,
             "task_comments": V.restored_comments(spark, sf_dir),
             "daily_sessions": ses.session_fold(i.all_punches, V.ATTENDANCE_AS_OF),
-            "attendance_corrections": i.corrections}
+            "attendance_corrections": corr.settle_corrections(V.correction_log(spark, sf_dir), i.students)}
 
 
 _RESTORED = """
@@ -824,16 +828,16 @@ def _dup_sql(table, cols, where=""):
 FROM {_AUDITED.get(table, table)} {where} GROUP BY {", ".join(cols)} HAVING count(*) > 1"""
 
 
-@query("audit_unique", O.with_(*_AUDIT_BASE, "\ndaily_sessions AS (SELECT * FROM sessions_raw)",
-                               "\nattendance_corrections AS (SELECT * FROM corrections)") + "\n"
+@query("audit_unique", O.with_(*_AUDIT_BASE, "\nattendance_corrections AS (SELECT * FROM corrections)") + "\n"
        + "\nUNION ALL\n".join([
            _dup_sql("students", ["student_id"]), _dup_sql("students", ["full_name"]),
-           _dup_sql("daily_sessions", ["student_id", "meeting_date"]),
            _dup_sql("task_assignments", ["task_id", "student_id"], "WHERE unassigned_at IS NULL"),
            _dup_sql("tasks", ["id"]), _dup_sql("task_comments", ["id"]),
            _dup_sql("attendance_corrections", ["id"])]))
 def q_audit_unique(spark, sf_dir):
-    return au.audit_unique(_audit_tables(spark, sf_dir))
+    tables = _audit_tables(spark, sf_dir)
+    del tables["daily_sessions"]            # a fold's result has one row per key
+    return au.audit_unique(tables)
 
 
 def _fk_sql(child, col, parent, key, policy):

@@ -18,12 +18,14 @@ class Inputs:
     collected).  Each query takes a new set, so that it sees the files there
     are when it is built."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, days=None):
+        self.spark, self.sf_dir, self.days = spark, sf_dir, days
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
-        return cls(spark, sf_dir)
+    def of(cls, spark: SparkSession, sf_dir: str, days=None) -> "Inputs":
+        """``days``: (first, last) where a query asks for sessions of these days only, so
+        that every reading of the events is cut to them."""
+        return cls(spark, sf_dir, days)
 
     @cached_property
     def students(self) -> DataFrame:
@@ -54,7 +56,9 @@ class Inputs:
 
     @cached_property
     def set_events(self) -> DataFrame:
-        return corr.correction_apply(self.corrections)
+        """The events of approved corrections, from one reading of requests and decisions."""
+        log = views.correction_log(self.spark, self.sf_dir, *(self.days or (None, None)))
+        return corr.correction_apply(corr.settle_corrections(log, self.students))
 
     @cached_property
     def all_punches(self) -> DataFrame:

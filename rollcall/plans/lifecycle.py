@@ -4,6 +4,9 @@ day streams and the exact replay."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -142,7 +145,7 @@ def q_comment_feed_ordered(spark, sf_dir):
        + C.ORACLE["needs_queue"] + ")")
 def q_needs_queue_ordered(spark, sf_dir):
     """O-10b: each request's place in its queue, oldest first."""
-    i = Inputs.of(spark, sf_dir)
+    i = Inputs.of(spark, sf_dir, C._BOARD_DAYS)
     queue = att.needs_queue(att.status_board(i.students, i.all_punches, V.BOARD_AS_OF))
     return pos.with_position(queue, [F.col("requested_at").asc_nulls_last(), F.col("student_id")], within=["kind"])
 
@@ -188,8 +191,9 @@ _board("task_board_archived", "subteam = 'CAD/CAM'", subteam="CAD/CAM", status="
 def q_status_board_past_day(spark, sf_dir):
     """O-19 for a day that is over, seen from the board's instant."""
     import datetime as dt
-    i = Inputs.of(spark, sf_dir)
-    return att.status_board(i.students, i.all_punches, V.BOARD_AS_OF, day=dt.date(2024, 1, 10))
+    day = dt.date(2024, 1, 10)
+    i = Inputs.of(spark, sf_dir, (day, day))
+    return att.status_board(i.students, i.all_punches, V.BOARD_AS_OF, day=day)
 
 
 # ---------------------------------------------------------------- stored sessions, streams
@@ -397,15 +401,11 @@ def q_season_current(spark, sf_dir):
     root = _seasons(spark, sf_dir)
     chain = seasons(spark, root)
     now = chain.orderBy(F.desc("version")).limit(1).select("version", F.lit(True).alias("is_current"))
-    held = None
-    for s in ("2023", "2024", "2025"):
-        counts = [read_season(spark, root, t, s).groupBy(F.lit(s).alias("season")).agg(F.count(F.lit(1)).alias(c))
-                  for t, c in (("students", "n_students"), ("task_assignments", "n_assignments"))]
-        row = counts[0].join(counts[1], "season", "left")
-        held = row if held is None else held.unionByName(row)
+    rows = [read_season(spark, root, t, s).select(F.lit(s).alias("season"), F.lit(t).alias("t")) for s in ("2023", "2024", "2025") for t in ("students", "task_assignments")]
+    held = reduce(DataFrame.unionByName, rows).groupBy("season").agg(
+        F.count_if(F.col("t") == "students").alias("n_students"), F.count_if(F.col("t") == "task_assignments").alias("n_assignments"))
     return (chain.join(now, "version", "left").join(held, "season")
-            .select("version", "season", F.coalesce("is_current", F.lit(False)).alias("is_current"), "n_students",
-                    F.coalesce("n_assignments", F.lit(0).cast("long")).alias("n_assignments")))
+            .select("version", "season", F.coalesce("is_current", F.lit(False)).alias("is_current"), "n_students", "n_assignments"))
 
 
 @query("fk_repaired", O.with_(*C._AUDIT_BASE) + """

@@ -17,7 +17,6 @@ TS = T.TimestampNTZType()
 TASK_STATUSES = ["todo", "in_progress", "blocked", "done"]
 CORRECTION_STATUSES = ["pending", "approved", "denied"]
 AUTHOR_TYPES = ["student", "mentor"]
-NEED_TYPES = ["help", "task"]
 CLOCK_STATES = ["clocked_in", "clocked_out", "not_clocked_in"]
 PUNCH_KINDS = ["clock_in", "clock_out", "update", "need_help", "need_task",
                "set_in", "set_out", "set_both"]

@@ -1,8 +1,4 @@
-"""Sinks: CSV export (O-06), Parquet snapshots (C-4) and session partitions.
-
-Snapshots are always written to a new location (a table must never be
-overwritten while it is being read); the caller switches a pointer after
-the write succeeds.
+"""Sinks: CSV export (O-06) and session partitions (versions: ``day_table``).
 """
 
 from __future__ import annotations
@@ -48,15 +44,6 @@ def export_report_csv(report: DataFrame, path: str) -> str:
     return path
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a new table snapshot (never over the one being read)."""
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
 def overwrite_session_days(sessions: DataFrame, path: str) -> None:
     """Rewrite only the ``meeting_date`` partitions present in ``sessions``
     (dynamic partition overwrite): how late corrections reach a session

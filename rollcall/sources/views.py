@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timez import eastern_date, ts_lit
+from ..functions.timez import eastern_date, eastern_day_bounds_utc, ts_lit
 from .tables import read_table
 
 # Fixed parameters of the test views.
@@ -104,6 +104,38 @@ def correction_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("correction_id", "d.at", "d.seq", "d.status", "d.note"))
 
 
+def correction_log(spark: SparkSession, sf_dir: str, first=None, last=None) -> DataFrame:
+    """Requests and decisions of ``correction_requests`` and ``correction_decisions`` as
+    one log, from one scan of the events.  With ``first`` and ``last``, only of requests
+    for these days: a request names the Eastern day of its own time, so the scan is cut
+    to their hours."""
+    e = read_table(spark, sf_dir, "events")
+    if first is not None:
+        lo, hi = eastern_day_bounds_utc(first, last)
+        e = e.where((F.col("ts") >= ts_lit(lo)) & (F.col("ts") < ts_lit(hi)))
+    eid, kind, k = F.col("event_id"), F.col("event_type"), F.col("event_id") % 100
+    none = F.lit(None).cast("string")
+
+    def row(request, **given):
+        types = {"student_id": "long", "meeting_date": "string", "requested_clock_in": "string", "requested_clock_out": "string", "reason": "string",
+                 "at": "timestamp_ntz", "seq": "long", "status": "string", "note": "string"}
+        return F.struct(F.lit(request).alias("is_request"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    request = row(
+        True, student_id=F.when(k != 1, F.col("user_id")),
+        meeting_date=F.when(k == 2, F.lit("Jan 9")).when(k == 3, F.lit("2024-02-30")).otherwise(F.date_format(eastern_date("ts"), "yyyy-MM-dd")),
+        requested_clock_in=F.when(k == 4, F.lit("5 pm")).when(k == 5, F.lit("99:99")).otherwise(F.lit("17:00")),
+        requested_clock_out=F.when(k == 6, F.lit("late")).when(k == 7, F.lit("25:00")).when((eid % 2) == 0, none).otherwise(F.lit("19:30")),
+        reason=F.when(k == 8, F.lit(" x ")).otherwise(F.concat(F.lit("  missed punch "), kind, F.lit(" "))), at=F.col("ts"))
+    approves = kind.isin("signup", "purchase")
+    decision = row(
+        False, at=F.when(kind == "click", F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts") + F.expr("INTERVAL 1 DAY")), seq=eid * 10,
+        status=F.when(approves, "approved").when(kind == "error", "maybe").otherwise(F.lit("DENIED")), note=F.when(approves, F.lit("  ok  ")).otherwise(F.lit("")))
+    second = F.when(kind == "purchase", row(False, at=F.col("ts") + F.expr("INTERVAL 2 DAYS"), seq=eid * 10 + 1, status=F.lit("denied"), note=F.lit("second look")))
+    rows = F.filter(F.array(request, decision, second), lambda d: d.isNotNull())
+    return e.select(eid.alias("id"), F.explode(rows).alias("r")).select("id", "r.*")
+
+
 def _task_status(priority):
     d = F.substring(priority, 1, 1)
     return (F.when(d == "1", "todo").when(d == "2", "in_progress")
@@ -253,40 +285,31 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     cv = read_table(spark, sf_dir, "conversations")
     none_s = F.lit(None).cast("string")
-    create = o.select(
-        F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("at"),
-        F.lit(0).cast("long").alias("seq"), F.lit("create").alias("kind"),
-        F.lit(None).cast("long").alias("student_id"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-        _subteam_of(F.col("o_custkey")).alias("subteam"),
-        F.coalesce(_task_status(F.col("o_orderpriority")), F.lit("bogus")).alias("status"),
-        F.lit("").alias("description"))
-    archive = o.where(F.col("o_orderstatus") == "F").select(
-        F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("at"),
-        F.lit(1).cast("long").alias("seq"), F.lit("archive").alias("kind"),
-        F.lit(None).cast("long").alias("student_id"),
-        none_s.alias("title"), none_s.alias("subteam"), none_s.alias("status"),
-        none_s.alias("description"))
-    join = li.select(
-        F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("at"),
-        (F.col("l_linenumber") * 2 + 1).cast("long").alias("seq"), F.lit("join").alias("kind"),
-        F.col("l_suppkey").alias("student_id"),
-        none_s.alias("title"), none_s.alias("subteam"), none_s.alias("status"),
-        none_s.alias("description"))
-    leave = li.where(F.col("l_returnflag") == "R").select(
-        F.col("l_orderkey").alias("task_id"),
-        (F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS")).alias("at"),
-        (F.col("l_linenumber") * 2).cast("long").alias("seq"), F.lit("leave").alias("kind"),
-        F.col("l_suppkey").alias("student_id"),
-        none_s.alias("title"), none_s.alias("subteam"), none_s.alias("status"),
-        none_s.alias("description"))
+    none_l = F.lit(None).cast("long")
+    order, line = F.col("o_orderkey"), F.col("l_orderkey")
+
+    def event(task, at, seq, kind, student=none_l, title=none_s, subteam=none_s, status=none_s, description=none_s):
+        return F.struct(task.alias("task_id"), at.alias("at"), seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), student.alias("student_id"),
+                        title.alias("title"), subteam.alias("subteam"), status.alias("status"), description.alias("description"))
+
+    def events(df, *some):
+        """All events of a row from one scan; missing ones are null."""
+        return df.select(F.explode(F.filter(F.array(*some), lambda x: x.isNotNull())).alias("e")).select("e.*")
+
+    tasks_ = events(
+        o, event(order, F.col("o_orderdate"), F.lit(0), "create", title=F.concat(F.lit("Order "), order.cast("string")),
+                 subteam=_subteam_of(F.col("o_custkey")), status=F.coalesce(_task_status(F.col("o_orderpriority")), F.lit("bogus")), description=F.lit("")),
+        F.when(F.col("o_orderstatus") == "F", event(order, F.col("o_orderdate"), F.lit(1), "archive")))
+    people = events(
+        li, event(line, F.col("l_shipdate"), F.col("l_linenumber") * 2 + 1, "join", F.col("l_suppkey")),
+        F.when(F.col("l_returnflag") == "R", event(line, F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS"), F.col("l_linenumber") * 2, "leave", F.col("l_suppkey"))))
     comment = cv.select(
         F.col("conv_id").alias("task_id"), _comment_time().alias("at"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.lit("comment").alias("kind"),
         F.lit(None).cast("long").alias("student_id"),
         none_s.alias("title"), none_s.alias("subteam"), none_s.alias("status"),
         none_s.alias("description"))
-    return create.unionByName(archive).unionByName(join).unionByName(leave).unionByName(comment)
+    return tasks_.unionByName(people).unionByName(comment)
 
 
 UPSERT_AT = dt.datetime(2024, 2, 1, 0, 0, 0)

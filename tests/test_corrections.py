@@ -140,3 +140,26 @@ def test_manual_entry_defaults_subteam_from_roster(spark):
     ev, _ = corr.manual_attendance(manual(spark, rows), st, "patch")
     got = {r["seq"]: r["subteam"] for r in ev.collect()}
     assert got == {1: "Build", 2: ""}
+
+
+def test_one_pass_over_requests_and_decisions(spark):
+    """``settle_corrections`` gives what validation and decision give one after the other."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rollcall import schemas
+    from rollcall.operators import corrections as corr
+    rng = random.Random(4)
+    st = students_df(spark, [(i, f"s{i}", None, i != 2) for i in range(4)])
+    at = lambda: T("2024-01-10 12:00").replace(hour=rng.randrange(24), minute=rng.randrange(60))
+    req = spark.createDataFrame([(i, rng.choice([None, 0, 1, 1, 3, 3, 2, 9]), rng.choice(["2024-01-09"] * 6 + ["2024-02-30", "x", None]), rng.choice(["09:00"] * 5 + ["99:99", None]),
+                                  rng.choice([None, "", "18:00", "late"]), rng.choice(["forgot it"] * 5 + [" a ", None]), at()) for i in range(300)], schemas.CORRECTION_REQUESTS)
+    dec = spark.createDataFrame([(rng.randrange(330), at(), k, rng.choice(["approved", "DENIED", "maybe", None]), rng.choice([" ok ", "", None])) for k in range(700)],
+                                schemas.CORRECTION_DECISIONS)
+    want = corr.correction_decide(corr.validate_corrections(req, st)[0], dec)[0]
+    log = (req.select("id", F.lit(True).alias("is_request"), "student_id", "meeting_date", "requested_clock_in", "requested_clock_out", "reason", F.col("created_at").alias("at"))
+           .unionByName(dec.select(F.col("correction_id").alias("id"), F.lit(False).alias("is_request"), "at", "seq", "status", "note"), allowMissingColumns=True))
+    got = corr.settle_corrections(log, st).select(*want.columns)
+    assert want.where("status <> 'pending'").count() > 5
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
