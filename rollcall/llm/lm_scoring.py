@@ -53,45 +53,91 @@ SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base double, score dou
 
 # --- Elias-Fano -----------------------------------------------------------------------------
 
+SAMPLED = 8                     # one zero in so many has its place in a directory
+_WORD = 56                      # bits read at once from any place
+
+
+def _windows(raw: np.ndarray) -> np.ndarray:
+    """The 64 bits that begin at each byte, without a copy; ``raw`` ends with 8 spare bytes."""
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", buffer=raw, strides=(1,))
+
+
+def _bits_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At least 57 bits from each bit place on, the first one lowest."""
+    return _windows(raw)[at >> 3] >> (at & 7).astype(np.uint64)
+
+
 class Monotone:
-    """A sorted sequence of distinct 64-bit numbers: low bits in whole bytes, high
-    parts as a unary bit string."""
+    """A sorted sequence of distinct 64-bit numbers in Elias-Fano code: the low bits at
+    their exact width, the high parts as a unary bit string, and the places of every
+    eighth zero of it as 32-bit numbers.  All three stay on the mapped bytes."""
 
-    def __init__(self, n: int, low_bits: int, high: np.ndarray, low: np.ndarray):
-        self.n, self.low_bits, self.high, self.low = n, low_bits, high, low
-        bits = np.unpackbits(high)
-        self.zeros = np.flatnonzero(bits == 0)
+    def __init__(self, n: int, low_bits: int, high: np.ndarray, low: np.ndarray, zeros: np.ndarray, n_zeros: int):
+        self.n, self.low_bits, self.high, self.low, self.zeros, self.n_zeros = n, low_bits, high, low, zeros, n_zeros
 
     @staticmethod
-    def encode(values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    def encode(values: np.ndarray) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+        """(shape, parts) of a sequence; the parts may be written and mapped again."""
         n = len(values)
         universe = int(values[-1]) + 1 if n else 1
-        low_bits = min(56, max(0, (universe // max(n, 1)).bit_length() - 1)) // 8 * 8
+        low_bits = min(_WORD, max(0, (universe // max(n, 1)).bit_length() - 1))
         top = (values >> np.uint64(low_bits)).astype(np.int64) if n else np.zeros(0, np.int64)
         bits = np.zeros((int(top[-1]) if n else 0) + n + 1, np.uint8)
         bits[top + np.arange(n)] = 1
-        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : low_bits // 8]
-        pad = np.ones(-len(bits) % 8, np.uint8)       # no zero beyond the end
-        return low_bits, np.packbits(np.concatenate([bits, pad])), np.ascontiguousarray(low).ravel()
+        zeros = np.flatnonzero(bits == 0)
+        high = np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(8, np.uint8)])
+        parts = []
+        step = 1 << 16                  # a multiple of 8, so that pieces end on whole bytes
+        for k in range(0, n, step):
+            each = np.unpackbits(values[k: k + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            parts.append(np.packbits(each[:, :low_bits].ravel(), bitorder="little"))
+        low = np.concatenate([*parts, np.zeros(8, np.uint8)])
+        return ({"n": n, "low_bits": low_bits, "n_zeros": len(zeros)},
+                {"high": high, "low": low, "zeros": zeros[::SAMPLED].astype("<u8" if len(bits) >> 32 else "<u4")})
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Monotone:
+        shape, parts = cls.encode(values)
+        return cls(**shape, **parts)
+
+    @property
+    def nbytes(self) -> int:
+        return self.high.nbytes + self.low.nbytes + self.zeros.nbytes
 
     def _low(self, at: np.ndarray) -> np.ndarray:
-        width = self.low_bits // 8
-        out = np.zeros((len(at), 8), np.uint8)
-        out[:, :width] = self.low.reshape(self.n, width)[at]
-        return out.view("<u8").ravel()
+        return _bits_at(self.low, at * self.low_bits) & np.uint64((1 << self.low_bits) - 1)
+
+    def _zero(self, t: np.ndarray) -> np.ndarray:
+        """The place of the t-th zero of the high part: from the directory's zero before it
+        on, word by word."""
+        place = self.zeros[t // SAMPLED].astype(np.int64)
+        more = t % SAMPLED
+        left = np.flatnonzero(more > 0)
+        start, want = place[left] + 1, more[left]
+        while len(left):
+            open_ = ~_bits_at(self.high, start) & np.uint64((1 << _WORD) - 1)       # its zeros as ones
+            have = np.bitwise_count(open_).astype(np.int64)
+            hit = have >= want
+            word, skip = open_[hit], want[hit] - 1
+            for k in range(SAMPLED - 2):                                            # drop those before it
+                word = np.where(skip > k, word & (word - np.uint64(1)), word)
+            first = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            place[left[hit]] = start[hit] + first
+            left, start, want = left[~hit], start[~hit] + _WORD, (want - have)[~hit]
+        return place
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each key, or -1: the successor within the key's run of equal high parts."""
         out = np.full(len(keys), -1, np.int64)
         if not self.n:
             return out
-        top = (keys >> np.uint64(self.low_bits)).astype(np.int64)
+        top = keys >> np.uint64(self.low_bits)
         low = keys & np.uint64((1 << self.low_bits) - 1)
-        left = np.flatnonzero(top < len(self.zeros))
-        t = top[left]
+        left = np.flatnonzero(top < np.uint64(self.n_zeros))
+        t = top[left].astype(np.int64)
         # Before the run of t lie as many ones as its first place less t.
-        at = np.where(t > 0, self.zeros[np.maximum(t - 1, 0)] + 1 - t, 0)
-        end = self.zeros[t] - t
+        at = np.where(t > 0, self._zero(np.maximum(t - 1, 0)) + 1 - t, 0)
+        end = self._zero(t) - t
         while True:
             open_ = at < end
             left, at, end = left[open_], at[open_], end[open_]
@@ -108,30 +154,31 @@ class Trie:
     """Contexts and the words below them, with the context's total and the quantised
     probability of each word."""
 
-    def __init__(self, levels: dict[str, np.ndarray], shape: dict[str, int]):
+    def __init__(self, levels: dict[str, np.ndarray], shape: dict[str, dict[str, int]]):
         self.file = tempfile.TemporaryFile()
         place, at = {}, 0
         for name, data in levels.items():
             raw = data.tobytes()
             self.file.write(raw)
             place[name] = (at, len(raw), data.dtype)
-            at += len(raw)
+            pad = -len(raw) % 8             # the next part begins at a multiple of 8
+            self.file.write(bytes(pad))
+            at += len(raw) + pad
         self.file.write(b"\0")
         self.file.flush()
         mapped = np.memmap(self.file, np.uint8, "r")
         view = {name: mapped[a: a + size].view(kind) if size else np.zeros(0, kind) for name, (a, size, kind) in place.items()}
-        self.contexts = Monotone(shape["contexts"], shape["context_bits"], view["context_high"], view["context_low"])
-        self.words = Monotone(shape["words"], shape["word_bits"], view["word_high"], view["word_low"])
+        level = lambda name: Monotone(**shape[name], **{k: view[f"{name}_{k}"] for k in ("high", "low", "zeros")})
+        self.contexts, self.words = level("contexts"), level("words")
         self.totals, self.codes = view["totals"], view["codes"]
 
     @classmethod
     def build(cls, contexts, totals, pair_context, pair_word, log_p) -> Trie:
-        keys = (pair_context.astype(np.uint64) << np.uint64(32)) | pair_word
-        c_bits, c_high, c_low = Monotone.encode(contexts)
-        w_bits, w_high, w_low = Monotone.encode(keys)
-        return cls({"totals": totals.astype("<f8"), "context_high": c_high, "context_low": c_low, "word_high": w_high, "word_low": w_low,
-                    "codes": quantised(log_p)},
-                   {"contexts": len(contexts), "context_bits": c_bits, "words": len(keys), "word_bits": w_bits})
+        shape, levels = {}, {"totals": totals.astype("<f8"), "codes": quantised(log_p)}
+        for name, keys in (("contexts", contexts), ("words", (pair_context.astype(np.uint64) << np.uint64(32)) | pair_word)):
+            shape[name], parts = Monotone.encode(keys)
+            levels |= {f"{name}_{k}": v for k, v in parts.items()}
+        return cls(levels, shape)
 
     def log_p(self, contexts: np.ndarray, words: np.ndarray, lower: np.ndarray, totals: np.ndarray) -> np.ndarray:
         """log10 p of each word under its context; ``totals`` has the contexts' counts."""

@@ -227,8 +227,7 @@ def test_elias_fano():
     rng = np.random.default_rng(4)
     for values in (np.array([], np.uint64), np.array([0, 5, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)),
                    np.arange(900, dtype=np.uint64)):
-        low_bits, high, low = lm_scoring.Monotone.encode(values)
-        code = lm_scoring.Monotone(len(values), low_bits, high, low)
+        code = lm_scoring.Monotone.of(values)
         assert code.find(values).tolist() == list(range(len(values)))
         other = np.setdiff1d(rng.integers(0, 2**63, 500).astype(np.uint64), values)
         assert (code.find(other) == -1).all()
@@ -328,3 +327,22 @@ def test_oracle(spark, name):
     want = con.execute(registry.oracle_sql()[name]).df()
     key = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
     assert key(got) == key(want)
+
+
+@pytest.mark.parametrize("n,universe", [(200_000, 64), (200_000, 50), (300_000, 40), (1, 64), (5, 3), (60_000, 17)])
+def test_elias_fano_is_compact_and_exact(n, universe):
+    rng = np.random.default_rng(n)
+    values = np.unique(rng.integers(0, 2**universe - 1, n, dtype=np.uint64, endpoint=True))
+    code = lm_scoring.Monotone.of(values)
+    assert n < 1000 or code.nbytes < 8 * len(values)
+    ask = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64, endpoint=True), np.array([0, 2**64 - 1], np.uint64)])
+    place = np.minimum(np.searchsorted(values, ask), len(values) - 1)
+    assert np.array_equal(code.find(ask), np.where(values[place] == ask, place, -1))
+
+
+def test_elias_fano_of_runs():
+    """Long runs of ones and of zeros in the high part."""
+    values = np.concatenate([np.arange(5000, dtype=np.uint64), np.uint64(1 << 40) + np.arange(3000, dtype=np.uint64) * np.uint64(3), np.array([2**63], np.uint64)])
+    code = lm_scoring.Monotone.of(values)
+    assert np.array_equal(code.find(values), np.arange(len(values)))
+    assert (code.find(np.array([5000, 7000, (1 << 40) + 1, 2**63 - 1, 2**63 + 1], np.uint64)) == -1).all()
