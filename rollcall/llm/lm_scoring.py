@@ -138,16 +138,19 @@ class Monotone:
         # Before the run of t lie as many ones as its first place less t.
         at = np.where(t > 0, self._zero(np.maximum(t - 1, 0)) + 1 - t, 0)
         end = self._zero(t) - t
-        while True:
-            open_ = at < end
-            left, at, end = left[open_], at[open_], end[open_]
-            if not len(left):
-                return out
-            here = self._low(at)
-            hit = here == low[left]
-            out[left[hit]] = at[hit]
-            go = here < low[left]
-            left, at, end = left[go], at[go] + 1, end[go]
+        # The successor by halving: a frequent context's words may all share one high part.
+        key, lo, hi = low[left], at, end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < key[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        inside = np.flatnonzero(lo < end)
+        hit = inside[self._low(lo[inside]) == key[inside]]
+        out[left[hit]] = lo[hit]
+        return out
 
 
 class Trie:
