@@ -39,7 +39,7 @@ from rollcall.llm import common
 
 TOP = 65_536
 MU = 20.0
-TOKENS_PER_SHARD = 2_000_000
+TOKENS_PER_SHARD = 1_000_000
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1 << 15
 STEPS = 32.0                    # quantisation: steps per power of ten
