@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import common
 
-LAST_ID = (1 << 63) - 1          # stands for a null doc_id inside the index
 BITS_PER_KEY = 2.0               # first guess for a level's bits; more levels take the rest
 ROWS_PER_SHARD = 50_000
 INDEX_SCHEMA = ("shard int, n_keys long, level_bits array<long>, bits binary, digests binary, "
-                "locators binary, counts binary")
+                "locators binary, known binary, counts binary")
 FOUND_SCHEMA = "digest binary, keep long, n long"
 
 
@@ -85,6 +84,12 @@ def _bytes_of(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), width)
 
 
+def _locators(table) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest doc_ids, and which of them there are (a group of null ids has none)."""
+    keep = table["keep"].combine_chunks()
+    return keep.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), keep.is_valid().to_numpy(zero_copy_only=False)
+
+
 def _build_shard(key, table):
     digests = _bytes_of(table["digest"], 32)
     keys = _keys(digests)
@@ -92,16 +97,17 @@ def _build_shard(key, table):
     slots = mphf_slots(keys, sizes, bits)
     order = np.empty(len(keys), np.int64)
     order[slots] = np.arange(len(keys))
-    take = lambda name: table[name].to_numpy().astype("<i8")[order].tobytes()
+    keep, known = _locators(table)
     return pa.table({
         "shard": pa.array([key[0].as_py()], pa.int32()), "n_keys": pa.array([len(keys)], pa.int64()),
         "level_bits": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
         "digests": pa.array([digests[order].tobytes()], pa.binary()),
-        "locators": pa.array([take("keep")], pa.binary()), "counts": pa.array([take("n")], pa.binary())})
+        "locators": pa.array([keep[order].tobytes()], pa.binary()), "known": pa.array([known[order].tobytes()], pa.binary()),
+        "counts": pa.array([table["n"].to_numpy().astype("<i8")[order].tobytes()], pa.binary())})
 
 
 def _lookup_shard(incoming, index):
-    keep = incoming["keep"].to_numpy().astype(np.int64, copy=True)
+    keep, known = (x.copy() for x in _locators(incoming))
     n = incoming["n"].to_numpy().astype(np.int64, copy=True)
     if incoming.num_rows and index.num_rows:
         row = index.to_pylist()[0]
@@ -111,9 +117,11 @@ def _lookup_shard(incoming, index):
         stored = np.frombuffer(row["digests"], np.uint8).reshape(row["n_keys"], 32)
         hit = np.flatnonzero(slots >= 0)
         hit = hit[(stored[slots[hit]] == digests[hit]).all(axis=1)]      # the byte check
-        keep[hit] = np.minimum(keep[hit], np.frombuffer(row["locators"], "<i8")[slots[hit]])
+        old, old_known = np.frombuffer(row["locators"], "<i8")[slots[hit]], np.frombuffer(row["known"], bool)[slots[hit]]
+        keep[hit] = np.where(known[hit] & old_known, np.minimum(keep[hit], old), np.where(old_known, old, keep[hit]))
+        known[hit] |= old_known
         n[hit] += np.frombuffer(row["counts"], "<i8")[slots[hit]]
-    return pa.table({"digest": incoming["digest"].combine_chunks().cast(pa.binary()), "keep": keep, "n": n})
+    return pa.table({"digest": incoming["digest"].combine_chunks().cast(pa.binary()), "keep": pa.array(keep, pa.int64(), mask=~known), "n": n})
 
 
 # --- the operator ---------------------------------------------------------------------------
@@ -122,7 +130,7 @@ def _grouped(rows: DataFrame, shards: int) -> DataFrame:
     """Distinct digests with the smallest doc_id and the number of rows.  Counted
     inside each input partition first, so a digest of very many rows moves once per partition."""
     grouped = rows.groupBy("digest").agg(
-        F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("keep"), F.count(F.lit(1)).alias("n"))
+        F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
     return grouped.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
 
 
@@ -149,7 +157,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, historical: Column) -> Dat
     index = common.stage_table(spark, build_index(old, shards), "op4-index")
     groups = (lookup(new, index, shards).unionByName(_grouped(old, shards).drop("shard"))
               .groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n")))
-    keep = F.when(F.col("keep") != LAST_ID, F.col("keep"))
+    keep = F.col("keep")
     return rows.join(groups, "digest").select(
         "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

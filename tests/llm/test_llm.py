@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rollcall.llm import (best_fit_packing, chat_format, exact_dedup, language_id, lm_scoring, ngram_join, quality_classifier,
@@ -346,3 +347,15 @@ def test_elias_fano_of_runs():
     code = lm_scoring.Monotone.of(values)
     assert np.array_equal(code.find(values), np.arange(len(values)))
     assert (code.find(np.array([5000, 7000, (1 << 40) + 1, 2**63 - 1, 2**63 + 1], np.uint64)) == -1).all()
+
+
+def test_exact_dedup_of_the_outermost_ids(spark):
+    """The largest and the smallest id are ids like others; null ids come after both."""
+    top, low = 2**63 - 1, -(2**63)
+    ids = [(top, "only"), (None, "only null"), (top, "a b"), (None, "a  b"), (low, "c"), (top, "c"), (None, "d"), (None, "d"), (top, "e"), (3, "e")]
+    docs = make(spark, [(i, t, "en", "a") for i, t in ids])
+    for historical in (F.lit(False), F.lit(True), exact_dedup.older_half(F.col("doc_id")), F.col("doc_id").isNull()):
+        got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, docs, historical).collect())
+        assert got == collections.Counter([(top, top, 1, True), (None, None, 1, True), (top, top, 2, True), (None, top, 2, False), (low, low, 2, True),
+                                           (top, low, 2, False), (None, None, 2, True), (None, None, 2, True), (top, 3, 2, False), (3, 3, 2, True)])
+    assert sorted(r.text for r in exact_dedup.keep_first(spark, docs).collect()) == ["a b", "c", "d", "e", "only", "only null"]
