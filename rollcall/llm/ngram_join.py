@@ -1,23 +1,30 @@
 """Operator 2, n-gram Jaccard join: rare-first prefix filtering.
 
 A document's set holds its distinct word 5-grams as 64-bit hashes.  Documents
-with equal sets form one class, which the join treats as one record.  All sets
-are put in one order, rare n-grams first: by the count of the n-gram's bucket in
-a table of fixed size, then by hash.  (Any common order gives right results; the
-counts only make collisions of prefixes rare.)  Two sets of Jaccard similarity
-0.8 or more share an n-gram among the first ``n - ceil(0.8 n) + 1`` of each.
+with equal sets form one class, which the join treats as one record.  The n-grams
+of all classes are dealt by hash to shards of about ``SHARD`` entries, which count
+in how many classes each occurs; n-grams of one class only are dropped there, as
+they link nothing.  The others go back to their classes and are put in order of
+that exact count, then of hash; the dropped ones, whose number is known, come
+before them.  Two sets of Jaccard similarity 0.8 or more share an n-gram among
+the first ``n - ceil(0.8 n) + 1`` of each.
 
 Joining on prefix n-grams takes two passes, so that a large group of near copies
 is not spelled out as all its pairs:
 
-1. each prefix n-gram links its classes to its smallest class only; verified
-   links give first components;
+1. in rounds, each prefix n-gram names the smallest class of its smallest component
+   as its hub, and every other component proposes one link, to the hub that it
+   shares most n-grams with; verified links join components;
 2. n-grams whose classes lie in different components are joined with each other,
    pairs of one component left out; length, positional and suffix filters cut the
    candidates, each pair is verified once against the whole sets.
 
 A pair skipped in pass 2 lies in one component already, so the components are
-those of all links.
+those of all links, however many rounds pass 1 takes.
+
+An n-gram that could fill a shard by itself (its bucket of a small count table is
+above ``HOT``) is counted and joined by Spark's own aggregation instead, which
+combines before the shuffle and splits skewed keys.
 
 Null, empty and white-space texts have an empty set and link with nothing.  Rows
 that repeat a doc_id are returned each; null doc_ids come after all others when
@@ -37,8 +44,12 @@ from pyspark.sql import functions as F
 from rollcall.llm import common
 
 SHINGLE = 5
-BUCKETS = 1 << 18               # size of the frequency table, whatever the input
-SEEN_CLASSES = 200_000          # classes that a task remembers, so as not to write copies' prefixes again
+SHARD = 1 << 20                 # n-grams counted in one task
+BLOCK = 1 << 20                 # n-grams that a task holds before it deals them out
+BUCKETS = 1 << 16               # size of the table that finds very frequent n-grams
+HOT = 1 << 20                   # bucket count from which n-grams are counted apart
+SEEN_CLASSES = 200_000          # classes that a task remembers, so as not to deal out copies' n-grams again
+ROUNDS = 3                      # rounds of hub links before all pairs of different components
 REGIONS = 4                     # hash regions of the suffix filter
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,64 +111,136 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _prefix_rows(order):
-    """Task function: rows (token, cls, n, pos, after) of each set's prefix.  ``after``:
-    how many n-grams follow in each hash region, modulo 256."""
+def _class_sets(batches):
+    """(cls, n-grams) of each class that the task meets."""
+    done: set[int] = set()
+    for batch in batches:
+        if len(done) > SEEN_CLASSES:
+            done.clear()
+        for _, grams in _sets(batch.column("text")):
+            if not len(grams):
+                continue
+            cls = set_hash(grams)
+            if cls not in done:
+                done.add(cls)
+                yield cls, grams
+
+
+def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin((grams % np.uint64(BUCKETS)).astype(np.int64), hot)
+
+
+def _dealt(held: list[tuple[int, np.ndarray]], shards: int):
+    """Rows (shard, grams, cls): equally long blocks of 8-byte numbers."""
+    grams = np.concatenate([g for _, g in held])
+    cls = np.repeat(np.array([c for c, _ in held], np.int64), [len(g) for _, g in held])
+    shard = ((grams >> np.uint64(34)) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    grams, cls, shard = grams[order], cls[order], shard[order]
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+    ends = np.append(cuts[1:], len(shard))
+    return pa.record_batch({"shard": pa.array(shard[cuts]),
+                            "grams": pa.array([grams[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                            "cls": pa.array([cls[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())})
+
+
+def _block_rows(shards: int, hot: np.ndarray):
+    """Task function: the n-grams of all classes, dealt to shards by hash; without hot ones."""
 
     def rows(batches):
-        rank = order.value
-        done: set[int] = set()          # classes written lately: their rows would be the same again
-        for batch in batches:
-            if len(done) > SEEN_CLASSES:
-                done.clear()
-            parts: list[tuple] = []
-            for _, grams in _sets(batch.column("text")):
-                n = len(grams)
-                if not n:
-                    continue
-                cls = set_hash(grams)
-                if cls in done:
-                    continue
-                done.add(cls)
-                grams = grams[np.argsort(rank[(grams % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")]
-                p = prefix_length(n)
-                region = ((grams >> np.uint64(32)) % np.uint64(REGIONS)).astype(np.int64)
-                total = np.bincount(region, minlength=REGIONS)
-                seen = np.cumsum(region[:p, None] == np.arange(REGIONS), axis=0)
-                after = ((total - seen) % 256 << (8 * np.arange(REGIONS))).sum(axis=1)
-                parts.append((grams[:p].view(np.int64), np.full(p, cls), np.full(p, n, np.int32),
-                              np.arange(p, dtype=np.int32), after.astype(np.int64)))
-            if parts:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
-                                      names=["token", "cls", "n", "pos", "after"])
+        held, size = [], 0
+        for cls, grams in _class_sets(batches):
+            if len(hot):
+                grams = grams[~_is_hot(grams, hot)]
+            if not len(grams):
+                continue
+            held.append((cls, grams))
+            size += len(grams)
+            if size >= BLOCK:
+                yield _dealt(held, shards)
+                held, size = [], 0
+        if held:
+            yield _dealt(held, shards)
+    return rows
+
+
+def _hot_rows(hot: np.ndarray):
+    def rows(batches):
+        for cls, grams in _class_sets(batches):
+            found = grams[_is_hot(grams, hot)].view(np.int64)
+            yield pa.record_batch({"cls": pa.array(np.full(len(found), cls)), "gram": pa.array(found)})
     return rows
 
 
-def _gram_arrays(batches):
+SHARED_SCHEMA = "cls long, gram long, df int"
+
+
+def _shared_rows(key, table):
+    """(cls, gram, df) of a shard's n-grams that occur in ``df`` >= 2 classes."""
+    grams, cls = (np.frombuffer(b"".join(table[name].to_pylist()), np.int64) for name in ("grams", "cls"))
+    order = np.lexsort((cls, grams))
+    grams, cls = grams[order], cls[order]
+    new = np.ones(len(grams), bool)                 # several tasks may have dealt out one class
+    new[1:] = (grams[1:] != grams[:-1]) | (cls[1:] != cls[:-1])
+    grams, cls = grams[new], cls[new]
+    starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    df = np.diff(np.append(starts, len(grams)))
+    df = np.repeat(df, df)
+    many = df >= 2
+    return pa.table({"cls": cls[many], "gram": grams[many], "df": df[many].astype(np.int32)})
+
+
+def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, grams) of each class with n-grams that other classes have too: those, by
+    falling rarity; ``n`` is the size of its whole set."""
+    total = facts.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    shards = -(-total // SHARD) or 1
+    # At most BUCKETS rows.
+    hot = np.array([r["bucket"] for r in facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n"))
+                    .where(F.col("n") > HOT).collect()], np.int64)
+    blocks = texts.select("text").mapInArrow(_block_rows(shards, hot), "shard int, grams binary, cls binary")
+    shared = blocks.groupBy("shard").applyInArrow(_shared_rows, SHARED_SCHEMA)
+    if len(hot):
+        pairs = texts.select("text").mapInArrow(_hot_rows(hot), "cls long, gram long").distinct()
+        counts = pairs.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df >= 2")
+        shared = shared.unionByName(pairs.join(counts, "gram"))
+    sizes = classes.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))["gram"]      # one text's n-grams at most
+    return shared.groupBy("cls").agg(ordered.alias("grams")).join(sizes, "cls").select("cls", "n", "grams")
+
+
+PREFIX_SCHEMA = "token long, cls long, n int, pos int, after long"
+
+
+def _prefix_rows(batches):
+    """Rows (token, cls, n, pos, after) of the shared n-grams in each set's prefix.  ``after``:
+    how many n-grams follow in each hash region, modulo 256."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            wanted = part.column("cls").to_pylist()
-            found = [(wanted[row], g.view(np.int64)) for row, g in _sets(part.column("text")) if set_hash(g) == wanted[row]]
-            yield pa.record_batch({"cls": pa.array([c for c, _ in found], pa.int64()),
-                                   "grams": pa.array([g for _, g in found], pa.list_(pa.int64()))})
+        parts: list[tuple] = []
+        for cls, n, grams in zip(batch.column("cls").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), strict=True):
+            grams = grams.values.to_numpy(zero_copy_only=False)
+            first = n - len(grams)                  # so many n-grams of this class alone come before
+            p = prefix_length(n) - first
+            if p <= 0:
+                continue
+            region = (grams.view(np.uint64) >> np.uint64(32)) % np.uint64(REGIONS)
+            total = np.bincount(region.astype(np.int64), minlength=REGIONS)
+            seen = np.cumsum(region[:p, None] == np.arange(REGIONS, dtype=np.uint64), axis=0)
+            after = ((total - seen) % 256 << (8 * np.arange(REGIONS))).sum(axis=1)
+            parts.append((grams[:p], np.full(p, cls), np.full(p, n, np.int32), np.arange(first, first + p, dtype=np.int32), after.astype(np.int64)))
+        if parts:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
+                                  names=["token", "cls", "n", "pos", "after"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have similarity 0.8 or more."""
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) of classes whose sets have similarity 0.8 or more; n-grams of one
+    class alone count in the sizes only."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     return (pairs.join(left, "a").join(right, "b").withColumn("i", both)
-            .where("100 * i >= 80 * (size(ga) + size(gb) - i)").select("a", "b"))
-
-
-def _fetch_sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cls, grams) of all classes in ``pairs``, from one row of each."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    one = classes.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("row").alias("row"))
-    return (texts.join(one, "row").select("cls", "text")
-            .mapInArrow(_gram_arrays, "cls long, grams array<long>").dropDuplicates(["cls"]))
+            .where("100 * i >= 80 * (na + nb - i)").select("a", "b"))
 
 
 def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
@@ -179,20 +262,44 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _near(a: str, b: str) -> str:
+    """SQL: the length, positional and suffix filters on two prefix rows of one n-gram."""
+    need = f"ceil(4 * ({a}.n + {b}.n) / 9)"
+    gap = [f"abs((shiftright({a}.after, {8 * k}) & 255) - (shiftright({b}.after, {8 * k}) & 255))" for k in range(REGIONS)]
+    differ = " + ".join(f"least({g}, 256 - {g})" for g in gap)
+    return f"""5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n
+        AND 1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {need}
+        AND {a}.pos + {b}.pos + {differ} <= {a}.n + {b}.n - 2 * {need}"""
+
+
+def _spread(live: DataFrame) -> DataFrame:
+    """The rows of n-grams that lie in several components."""
+    tokens = (live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+              .where("lo <> hi").select("token"))
+    return live.join(tokens, "token")
+
+
+def hub_pairs(live: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """One pair (a, b) for each component at most: the hub ``a`` that its members share
+    most prefix n-grams with.  Pairs in ``seen`` are left out."""
+    entry = F.struct("cls", "n", "pos", "after")
+    each = live.groupBy("token", "comp").agg(F.min(entry).alias("m"))
+    hubs = (each.groupBy("token").agg(F.min(F.struct("comp", "m")).alias("h"), F.max("comp").alias("most"))
+            .where("h.comp <> most").select("token", F.col("h.comp").alias("hub_comp"), F.col("h.m").alias("h")))
+    near = (each.join(hubs, "token").where("comp <> hub_comp").where(_near("h", "m"))
+            .groupBy("comp", F.col("h.cls").alias("a"), F.col("m.cls").alias("b")).agg(F.count(F.lit(1)).alias("k")))
+    if seen is not None:
+        near = near.join(seen, ["a", "b"], "left_anti")
+    best = near.groupBy("comp").agg(F.min(F.struct((-F.col("k")).alias("k"), "a", "b")).alias("x"))
+    return best.select("x.a", "x.b")
+
+
 def candidates(live: DataFrame) -> DataFrame:
     """Distinct pairs a < b from different components (``comp``) that share a prefix
     n-gram and pass the filters.  ``live``: (token, cls, n, pos, after, comp)."""
-    spread = (live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-              .where("lo <> hi").select("token"))
-    rows = live.join(spread, "token")
+    rows = _spread(live)
     a, b = rows.alias("a"), rows.alias("b")
-    need = "ceil(4 * (a.n + b.n) / 9)"
-    gap = [f"abs((shiftright(a.after, {8 * k}) & 255) - (shiftright(b.after, {8 * k}) & 255))" for k in range(REGIONS)]
-    differ = " + ".join(f"least({g}, 256 - {g})" for g in gap)
-    return (a.join(b, F.expr(f"""a.token = b.token AND a.cls < b.cls AND a.comp <> b.comp
-                AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
-                AND 1 + least(a.n - a.pos - 1, b.n - b.pos - 1) >= {need}
-                AND a.pos + b.pos + {differ} <= a.n + b.n - 2 * {need}"""))
+    return (a.join(b, F.expr(f"a.token = b.token AND a.cls < b.cls AND a.comp <> b.comp AND {_near('a', 'b')}"))
             .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
 
 
@@ -200,6 +307,14 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _marked(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``live`` with each class's component so far (``comp``)."""
+    if labels is None:
+        return live.withColumn("comp", F.col("cls"))
+    return (live.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+            .withColumn("comp", F.coalesce("label", "cls")).drop("label"))
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, set hash ``cls``,
     its ``row_key`` as ``row`` and that of its component's first row as ``first_row``
@@ -208,30 +323,22 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     facts = common.stage_table(spark, texts.mapInArrow(_fact_rows, FACTS_SCHEMA), "op2-classes")
     classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "row")
 
-    met = facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()      # at most BUCKETS rows
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[met["bucket"].to_numpy()] = met["n"].to_numpy()
-    # Buckets by count; ties by number.  A fixed 1 MB, so it is safe to broadcast.
-    rank = np.empty(BUCKETS, np.int32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
-    order = spark.sparkContext.broadcast(rank)
-    prefixes = common.stage_table(spark, texts.select("text").mapInArrow(
-        _prefix_rows(order), "token long, cls long, n int, pos int, after long"), "op2-tokens")
-
-    hubs = (prefixes.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("most"))
-            .where("hub <> most").select("token", "hub"))
-    live = common.stage_table(spark, prefixes.join(hubs, "token").dropDuplicates(["token", "cls"]), "op2-prefixes")
-    sizes = live.groupBy("cls").agg(F.first("n").alias("n"))
-    star = (live.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-            .join(sizes.toDF("a", "na"), "a").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b"))
-    star = common.stage_table(spark, star, "op2-star")
-    links = common.stage_table(spark, _verified(star, _fetch_sets(star, classes, texts)), "op2-links")
-    first = components(spark, links, "op2-first")
-
-    marked = live.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
-    seen = star.union(star.select("b", "a"))
-    rest = common.stage_table(spark, candidates(marked).join(seen.toDF("a", "b"), ["a", "b"], "left_anti"), "op2-pairs")
-    more = common.stage_table(spark, _verified(rest, _fetch_sets(rest, classes, texts)), "op2-links")
+    sets = common.stage_table(spark, shared_sets(texts, facts, classes), "op2-sets")
+    live = common.stage_table(spark, sets.mapInArrow(_prefix_rows, PREFIX_SCHEMA), "op2-prefixes")
+
+    links = seen = labels = None
+    for _ in range(ROUNDS):
+        tried = common.stage_table(spark, hub_pairs(_marked(live, labels), seen), "op2-hubs")
+        found = common.stage_table(spark, _verified(tried, sets), "op2-links")
+        both_ways = tried.union(tried.select("b", "a"))
+        seen = both_ways if seen is None else seen.union(both_ways)
+        links = found if links is None else links.union(found)
+        if not found.limit(1).count():
+            break
+        labels = components(spark, links, "op2-first")
+
+    rest = common.stage_table(spark, candidates(_marked(live, labels)).join(seen, ["a", "b"], "left_anti"), "op2-pairs")
+    more = common.stage_table(spark, _verified(rest, sets), "op2-links")
     labels = components(spark, links.union(more), "op2-last")
 
     # A class, or a component of classes, is named by its smallest doc_id; its first row has that id.

@@ -52,7 +52,10 @@ def grams(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_ngram_join_brute_force(spark, rows):
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 500, "HOT": 20}, {"ROUNDS": 1, "HOT": 0}])
+def test_ngram_join_brute_force(spark, rows, limits, monkeypatch):
+    for name, value in limits.items():             # many shards; n-grams counted apart: some, all
+        monkeypatch.setattr(ngram_join, name, value)
     got = collections.Counter(tuple(r) for r in ngram_join.ngram_join(spark, make(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
     sets = [grams(r[1]) for r in rows]
     group = list(range(len(rows)))
@@ -86,6 +89,20 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert all(kept[r[:2]] == 1 for r in lone) and sum(kept.values()) == 4 + 2 + 3 + 40
 
 
+def test_ngram_join_prefixes_are_rare_first(spark):
+    """Texts that share a passage of most of their words, but no rare n-grams, are no candidates."""
+    rng = random.Random(3)
+    passage = sentence(rng, 120)
+    docs = make(spark, [(k, f"{passage} " + " ".join(f"own{k}x{i}" for i in range(60)), "en", "a") for k in range(40)])
+    texts = docs.select(ngram_join.row_key().alias("row"), "doc_id", "text")
+    facts = texts.mapInArrow(ngram_join._fact_rows, ngram_join.FACTS_SCHEMA)
+    classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "row")
+    sets = ngram_join.shared_sets(texts, facts, classes).collect()
+    assert len(sets) == 40 and all((r["n"], len(r["grams"])) == (176, 116) for r in sets)
+    prefixes = ngram_join.shared_sets(texts, facts, classes).mapInArrow(ngram_join._prefix_rows, ngram_join.PREFIX_SCHEMA)
+    assert prefixes.count() == 0
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert dict(map(tuple, ngram_join.components(spark, edges, "t").collect())) == {**{i: 0 for i in range(41)}, 100: 90, 90: 90}
