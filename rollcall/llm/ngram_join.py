@@ -12,9 +12,10 @@ the first ``n - ceil(0.8 n) + 1`` of each.
 Joining on prefix n-grams takes two passes, so that a large group of near copies
 is not spelled out as all its pairs:
 
-1. in rounds, each prefix n-gram names the smallest class of its smallest component
-   as its hub, and every other component proposes one link, to the hub that it
-   shares most n-grams with; verified links join components;
+1. in rounds, each prefix n-gram names the most central of its classes as its hub
+   (whose n-grams occur in most classes on average), and every other component
+   proposes one link, to the hub that it shares most n-grams with; verified links
+   join components;
 2. n-grams whose classes lie in different components are joined with each other,
    pairs of one component left out; length, positional and suffix filters cut the
    candidates, each pair is verified once against the whole sets.
@@ -191,8 +192,9 @@ def _shared_rows(key, table):
 
 
 def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, grams) of each class with n-grams that other classes have too: those, by
-    falling rarity; ``n`` is the size of its whole set."""
+    """(cls, n, place, grams) of each class with n-grams that other classes have too: those,
+    by falling rarity; ``n`` is the size of its whole set, ``place`` falls as its n-grams'
+    mean count of classes grows."""
     total = facts.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     shards = -(-total // SHARD) or 1
     # At most BUCKETS rows.
@@ -206,18 +208,20 @@ def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataF
         shared = shared.unionByName(pairs.join(counts, "gram"))
     sizes = classes.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))["gram"]      # one text's n-grams at most
-    return shared.groupBy("cls").agg(ordered.alias("grams")).join(sizes, "cls").select("cls", "n", "grams")
+    return (shared.groupBy("cls").agg(ordered.alias("grams"), F.sum("df").alias("met")).join(sizes, "cls")
+            .select("cls", "n", (-F.col("met") / F.col("n")).alias("place"), "grams"))
 
 
-PREFIX_SCHEMA = "token long, cls long, n int, pos int, after long"
+PREFIX_SCHEMA = "token long, cls long, n int, place double, pos int, after long"
 
 
 def _prefix_rows(batches):
-    """Rows (token, cls, n, pos, after) of the shared n-grams in each set's prefix.  ``after``:
-    how many n-grams follow in each hash region, modulo 256."""
+    """Rows (token, cls, n, place, pos, after) of the shared n-grams in each set's prefix.
+    ``after``: how many n-grams follow in each hash region, modulo 256."""
     for batch in batches:
         parts: list[tuple] = []
-        for cls, n, grams in zip(batch.column("cls").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), strict=True):
+        numbers = (batch.column(name).to_pylist() for name in ("cls", "n", "place"))
+        for cls, n, place, grams in zip(*numbers, batch.column("grams"), strict=True):
             grams = grams.values.to_numpy(zero_copy_only=False)
             first = n - len(grams)                  # so many n-grams of this class alone come before
             p = prefix_length(n) - first
@@ -227,10 +231,11 @@ def _prefix_rows(batches):
             total = np.bincount(region.astype(np.int64), minlength=REGIONS)
             seen = np.cumsum(region[:p, None] == np.arange(REGIONS, dtype=np.uint64), axis=0)
             after = ((total - seen) % 256 << (8 * np.arange(REGIONS))).sum(axis=1)
-            parts.append((grams[:p], np.full(p, cls), np.full(p, n, np.int32), np.arange(first, first + p, dtype=np.int32), after.astype(np.int64)))
+            parts.append((grams[:p], np.full(p, cls), np.full(p, n, np.int32), np.full(p, place),
+                          np.arange(first, first + p, dtype=np.int32), after.astype(np.int64)))
         if parts:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
-                                  names=["token", "cls", "n", "pos", "after"])
+                                  names=["token", "cls", "n", "place", "pos", "after"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -282,10 +287,10 @@ def _spread(live: DataFrame) -> DataFrame:
 def hub_pairs(live: DataFrame, seen: DataFrame | None) -> DataFrame:
     """One pair (a, b) for each component at most: the hub ``a`` that its members share
     most prefix n-grams with.  Pairs in ``seen`` are left out."""
-    entry = F.struct("cls", "n", "pos", "after")
+    entry = F.struct("place", "cls", "n", "pos", "after")
     each = live.groupBy("token", "comp").agg(F.min(entry).alias("m"))
-    hubs = (each.groupBy("token").agg(F.min(F.struct("comp", "m")).alias("h"), F.max("comp").alias("most"))
-            .where("h.comp <> most").select("token", F.col("h.comp").alias("hub_comp"), F.col("h.m").alias("h")))
+    hubs = (each.groupBy("token").agg(F.min(F.struct("m", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo <> hi").select("token", F.col("h.comp").alias("hub_comp"), F.col("h.m").alias("h")))
     near = (each.join(hubs, "token").where("comp <> hub_comp").where(_near("h", "m"))
             .groupBy("comp", F.col("h.cls").alias("a"), F.col("m.cls").alias("b")).agg(F.count(F.lit(1)).alias("k")))
     if seen is not None:
@@ -296,7 +301,7 @@ def hub_pairs(live: DataFrame, seen: DataFrame | None) -> DataFrame:
 
 def candidates(live: DataFrame) -> DataFrame:
     """Distinct pairs a < b from different components (``comp``) that share a prefix
-    n-gram and pass the filters.  ``live``: (token, cls, n, pos, after, comp)."""
+    n-gram and pass the filters.  ``live``: (token, cls, n, place, pos, after, comp)."""
     rows = _spread(live)
     a, b = rows.alias("a"), rows.alias("b")
     return (a.join(b, F.expr(f"a.token = b.token AND a.cls < b.cls AND a.comp <> b.comp AND {_near('a', 'b')}"))
