@@ -12,10 +12,13 @@ search for the smallest residual that is large enough goes on to the successors
 until a bin has no conflict: the tightest compatible bin.  A shard numbers its
 sources and clusters from 0, so that each has a bit of its own.
 
-Null text and texts without words take no space; each is one piece of size 0, in
-whichever bin is compatible.  Null sources are one source.  Repeated rows are
-separate documents of one cluster and go to different bins.  An empty table gives
-no bins.
+Null text and texts without words take no space; each is one piece of size 0.  They
+hold no text that could repeat, so they are of no cluster: they go to the tightest
+bin that has or can take their source.  Null sources are one source.  Repeated rows
+are separate documents of one cluster and go to different bins.  Pieces of equal size
+come by cluster, id (null ids last) and piece; of bins with equal space the one opened
+first is taken.  A text of any length is counted whole and split.  An empty table
+gives no bins.
 """
 
 from __future__ import annotations
@@ -32,20 +35,20 @@ from rollcall.llm import common
 CAPACITY = 8192
 MAX_SOURCES = 8
 ROWS_PER_SHARD = 4000
-LAST_ID = (1 << 63) - 1         # stands for a null doc_id in the order of placement
 SCHEMA = "doc_id long, piece long, offset long, size long, shard int, bin long"
 
 
 def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY,
          max_sources: int = MAX_SOURCES) -> list[int]:
-    """The bin of each item; no size is above the capacity.  Items come in the order given."""
+    """The bin of each item; no size is above the capacity.  Items come in the order given.
+    Items of size 0 are of no cluster."""
     open_bins: list[tuple[int, int]] = []           # (residual, bin), sorted
     source_maps: list[int] = []
     cluster_maps: list[int] = []
     out = []
     source_bits, cluster_bits = (np.unique(x, return_inverse=True)[1].tolist() for x in (sources, clusters))
     for size, source, cluster in zip(sizes.tolist(), source_bits, cluster_bits, strict=True):
-        s, c = 1 << source, 1 << cluster
+        s, c = 1 << source, 1 << cluster if size else 0
         k = bisect_left(open_bins, (size, -1))
         while k < len(open_bins):
             b = open_bins[k][1]
@@ -69,8 +72,8 @@ def _pack_shard(capacity: int):
     def shard(key, table):
         size = table["size"].to_numpy()
         source, cluster = table["source_key"].to_numpy(), table["cluster"].to_numpy()
-        ids = table["doc_id"].fill_null(LAST_ID).to_numpy()
-        order = np.lexsort((table["piece"].to_numpy(), ids, cluster, -size))
+        unknown, ids = table["doc_id"].is_null().to_numpy(), table["doc_id"].fill_null(0).to_numpy()
+        order = np.lexsort((table["piece"].to_numpy(), ids, unknown, cluster, -size))
         bins = np.empty(len(order), np.int64)
         bins[order] = pack(size[order], source[order], cluster[order], capacity)
         return pa.table({"doc_id": table["doc_id"].combine_chunks(), "piece": table["piece"].combine_chunks(),
