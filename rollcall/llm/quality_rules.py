@@ -3,15 +3,23 @@
 Each text gets a few signals.  Per language and source, KLL sketches of the
 signals are built in one aggregation (partial sketches per input partition, then
 merged), and merged on into sketches per language and over everything.  A
-group's thresholds are Tukey fences around its quartiles; a group with too few
-documents takes its language's, and a language with too few the overall ones.
-The thresholds are joined back to the signals and the documents filtered.
+group's limit of a signal is a fence: an outer quantile plus ``FENCE`` times its
+distance to the median, with no least width.  A group with too few documents takes
+its language's, and a language with too few the overall ones.  The limits are
+joined back to the signals and the documents filtered.
+
+All signals are rates of counted things, and a short text's rate scatters more: one
+repeated line of three is a third.  Beyond the limit r a document of n words or
+lines is allowed ``FENCE`` standard deviations of such a count, sqrt((r + u) * u)
+with u = unit / n, where unit is how many are counted at once (a three-word window
+found twice covers three words).
 
 DataFrame and SQL functions only.
 
 Null text has no words, like the empty text: ``n_words`` is 0 and ``base_failed``
 true.  Null languages and sources are groups of their own.  Repeated rows are
-judged alike.  Without any document that passes the base rules there are no
+judged alike, and so are ties: a signal equal to its limit is within it.  Texts of any
+length are counted whole.  Without any document that passes the base rules there are no
 thresholds and nothing is kept.
 """
 
@@ -27,9 +35,11 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SKETCH_K = 4096
 MIN_GROUP = 200                 # documents that a group needs for thresholds of its own
-FENCE = 4.0                     # quartile distances beyond the quartiles
-#: signal -> (two-sided, least quartile distance)
-SIGNALS = {"word_length": (True, 0.5), "symbol_rate": (False, 0.05), "dup_line_rate": (False, 0.1), "repeat_rate": (False, 0.1)}
+FENCE = 4.0                     # distances beyond the outer quantile, and deviations of a document's own count
+#: signal -> (two-sided, outer quantile, what its rate is over, counted at once).  Lines and phrases that repeat are
+#: frequent in good texts too, so their limits come from the tail.
+SIGNALS = {"word_length": (True, 0.75, "n_words", 1.0), "symbol_rate": (False, 0.75, "n_words", 1.0),
+           "dup_line_rate": (False, 0.9375, "n_lines", 1.0), "repeat_rate": (False, 0.9375, "n_words", 3.0)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -76,20 +86,22 @@ def thresholds(scored: DataFrame) -> DataFrame:
     overall = level("all").select(F.struct(*[f"all_{s}" for s in SIGNALS])).scalar()
     table = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("overall", overall)
     out = [F.col("lang").alias("__lang"), F.col("source").alias("__source")]
-    for s, (two_sided, least) in SIGNALS.items():
+    for s, (two_sided, outer, _, _) in SIGNALS.items():
         sketch = (F.when(F.col("n") >= MIN_GROUP, F.col(s)).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{s}"))
                   .otherwise(F.col(f"overall.all_{s}")))
-        q1 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25))
-        q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-        reach = FENCE * F.greatest(q3 - q1, F.lit(least))
-        out += [(q1 - reach if two_sided else F.lit(float("-inf"))).alias(f"{s}_low"), (q3 + reach).alias(f"{s}_high")]
+        low, middle, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (1 - outer, 0.5, outer))
+        below = F.greatest(low - FENCE * (middle - low), F.lit(0.0)) if two_sided else F.lit(0.0)
+        out += [below.alias(f"{s}_low"), (high + FENCE * (high - middle)).alias(f"{s}_high")]
     return table.select(*out)
 
 
 def within() -> Column:
     verdict = F.lit(True)
-    for s in SIGNALS:
-        verdict = verdict & F.col(s).between(F.col(f"{s}_low"), F.col(f"{s}_high"))
+    for s, (_, _, over, unit) in SIGNALS.items():
+        u = F.when(F.col(over) > 0, F.lit(unit) / F.col(over))
+        scatter = lambda limit: FENCE * F.sqrt((limit + u) * u)
+        low, high = F.col(f"{s}_low"), F.col(f"{s}_high")
+        verdict = verdict & F.col(s).between(low - scatter(low), high + scatter(high))
     return F.coalesce(verdict, F.lit(False))
 
 
@@ -141,19 +153,22 @@ s AS (SELECT *, n_lines - n_kinds AS n_dup_lines, n_words < 50 OR 100 * n_repeat
 p AS (SELECT * FROM s WHERE NOT base_failed),
 l AS (
   SELECT grouping(lang) AS gl, grouping(source) AS gs, lang, source, count(*) AS n,
-         [quantile_disc(m1, 0.25), quantile_disc(m1, 0.75)] AS q1, [quantile_disc(m2, 0.25), quantile_disc(m2, 0.75)] AS q2,
-         [quantile_disc(m3, 0.25), quantile_disc(m3, 0.75)] AS q3, [quantile_disc(m4, 0.25), quantile_disc(m4, 0.75)] AS q4
+         quantile_disc(m1, [0.25, 0.5, 0.75]) AS q1, quantile_disc(m2, [0.5, 0.75]) AS q2,
+         quantile_disc(m3, [0.5, 0.9375]) AS q3, quantile_disc(m4, [0.5, 0.9375]) AS q4
   FROM p GROUP BY GROUPING SETS ((lang, source), (lang), ())),
 pick AS (SELECT a.lang, a.source, CASE WHEN a.n >= 200 THEN a ELSE CASE WHEN b.n >= 200 THEN b ELSE c END END AS f
          FROM l a JOIN l b ON b.gl = 0 AND b.gs = 1 AND b.lang IS NOT DISTINCT FROM a.lang JOIN l c ON c.gl = 1
-         WHERE a.gl = 0 AND a.gs = 0)
-SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         WHERE a.gl = 0 AND a.gs = 0),
+lim AS (SELECT lang, source, greatest(f.q1[1] - 4e0 * (f.q1[2] - f.q1[1]), 0e0) AS low, f.q1[3] + 4e0 * (f.q1[3] - f.q1[2]) AS h1,
+               f.q2[2] + 4e0 * (f.q2[2] - f.q2[1]) AS h2, f.q3[2] + 4e0 * (f.q3[2] - f.q3[1]) AS h3,
+               f.q4[2] + 4e0 * (f.q4[2] - f.q4[1]) AS h4 FROM pick),
+u AS (SELECT *, 1e0 / nullif(n_words, 0) AS uw, 1e0 / nullif(n_lines, 0) AS ul, 3e0 / nullif(n_words, 0) AS ur FROM s)
+SELECT u.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(NOT base_failed
-         AND m1 BETWEEN f.q1[1] - 4.0 * greatest(f.q1[2] - f.q1[1], 0.5) AND f.q1[2] + 4.0 * greatest(f.q1[2] - f.q1[1], 0.5)
-         AND m2 <= f.q2[2] + 4.0 * greatest(f.q2[2] - f.q2[1], 0.05)
-         AND m3 <= f.q3[2] + 4.0 * greatest(f.q3[2] - f.q3[1], 0.1)
-         AND m4 <= f.q4[2] + 4.0 * greatest(f.q4[2] - f.q4[1], 0.1), false) AS kept
-FROM s LEFT JOIN pick ON pick.lang IS NOT DISTINCT FROM s.lang AND pick.source IS NOT DISTINCT FROM s.source
+         AND m1 >= low - 4e0 * sqrt((low + uw) * uw) AND m1 <= h1 + 4e0 * sqrt((h1 + uw) * uw)
+         AND m2 <= h2 + 4e0 * sqrt((h2 + uw) * uw) AND m3 <= h3 + 4e0 * sqrt((h3 + ul) * ul)
+         AND m4 <= h4 + 4e0 * sqrt((h4 + ur) * ur), false) AS kept
+FROM u LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM u.lang AND lim.source IS NOT DISTINCT FROM u.source
 """
 QUERIES = {"op1_quality_rules": op1_quality_rules}
 SQL = {"op1_quality_rules": OP1_SQL}

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollcall.llm import (best_fit_packing, chat_format, exact_dedup, language_id, lm_scoring, ngram_join, quality_classifier,
+from rollcall.llm import (best_fit_packing, chat_format, common, exact_dedup, language_id, lm_scoring, ngram_join, quality_classifier,
                           quality_rules, registry, source_mixing, warc)
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +135,34 @@ def test_quality_rules_cases(spark, rows):
     assert kept.columns == make(spark, rows).columns and kept.count() == sum(r["kept"] for r in got) > 50
 
 
+def test_quality_rules_follow_the_data(spark):
+    """A signal that is common in one source is an outlier in another."""
+    rng = random.Random(14)
+    rows = [(k, f"{sentence(rng, 100)} {'# ' * rng.randrange(30, 50)}", "en", "code") for k in range(300)]
+    rows += [(1000 + k, sentence(rng, 100), "en", "prose") for k in range(300)]
+    rows += [(2000, f"{sentence(rng, 100)} {'# ' * 40}", "en", "prose"), (2001, f"{sentence(rng, 100)} {'# ' * 40}", "en", "code")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark, make(spark, rows)).collect()}
+    assert all(got[k]["kept"] for k in got if k != 2000) and not got[2000]["kept"]
+    assert {r["symbol_rate_high"] for r in got.values() if r["source"] == "prose"} == {0.0}
+    assert min(r["symbol_rate_high"] for r in got.values() if r["source"] == "code") > 0.3
+
+
+def test_quality_rules_limits_differ_by_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "source", "text")
+    scored = common.stage_table(spark, quality_rules.with_signals(docs).drop("text"), "test-signals")
+    limits = quality_rules.thresholds(scored).toPandas()
+    assert min(limits[f"{s}_high"].nunique() for s in ("word_length", "dup_line_rate", "repeat_rate")) >= 3
+
+
+def test_quality_rules_sketch_of_a_large_group(spark):
+    n = 150_000
+    scored = spark.range(n).select(F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(False).alias("base_failed"),
+                                   *[(F.pmod(F.col("id") * 77_773, F.lit(n)) / n).alias(s) for s in quality_rules.SIGNALS])
+    (limit,) = quality_rules.thresholds(scored.repartition(16)).collect()
+    for s, (_, outer, _, _) in quality_rules.SIGNALS.items():
+        assert limit[f"{s}_high"] == pytest.approx(outer + 4 * (outer - 0.5), abs=9 * 0.002), s
+
+
 def test_mixing_targets_and_bounds(spark, rows):
     got = [r.asDict() for r in source_mixing.mix(spark, make(spark, rows)).collect()]
     assert len(got) == len(rows)
@@ -167,13 +195,15 @@ def test_mixing_targets_and_bounds(spark, rows):
 def plain_pack(sizes, sources, clusters, capacity, most):
     bins = []
     for size, s, c in zip(sizes, sources, clusters):
-        fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= size and c not in b[2] and (s in b[1] or len(b[1]) < most)]
+        fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= size and not (size and c in b[2]) and (s in b[1] or len(b[1]) < most)]
         if fits:
             b = bins[min(fits)[1]]
         else:
             bins.append(b := [capacity, set(), set()])
         b[0] -= size
-        b[1].add(s), b[2].add(c)
+        b[1].add(s)
+        if size:
+            b[2].add(c)
         yield next(k for k, x in enumerate(bins) if x is b)
 
 
@@ -195,6 +225,14 @@ def test_packing_many_sources():
     assert got == list(plain_pack(sizes.tolist(), sources.tolist(), clusters.tolist(), 400, 8))
 
 
+def test_packing_without_words_or_ids(spark):
+    top = 2**63 - 1
+    docs = make(spark, [(k, None, None, "a") for k in range(300)] + [(None, "x", "en", "a"), (top, "x", "en", "a"), (None, "x", "en", "a")])
+    got = best_fit_packing.best_fit_packing(spark, docs, 5).collect()
+    assert len(got) == 303 and len({r["bin_id"] for r in got}) == 3
+    assert collections.Counter(r["doc_id"] for r in got if r["size"]) == {None: 2, top: 1}
+
+
 def test_packing_whole(spark, rows):
     got = best_fit_packing.best_fit_packing(spark, make(spark, rows), 500).collect()
     words = collections.Counter()
