@@ -6,9 +6,11 @@ difference of the two sizes, divided by the size without a dictionary, is the
 signal.  A logistic curve fitted on labelled rows that the dictionaries did not
 see turns it into a score between 0 and 1, the likelihood of label 1.
 
-The fit takes a bounded sample: per label, the ``SAMPLE`` rows of lowest hash for the
-dictionaries and the next ``CALIBRATION`` for the curve, at most ``SAMPLE_CHARS`` from each
-text.  All rows are scored, over their whole texts.
+The fit takes a bounded sample of rows: per label, the ``SAMPLE`` rows of lowest hash,
+a third of them for the curve.  Their texts are taken whole: the curve's signals are
+computed in tasks over whole texts, and a dictionary is made from ``PIECES`` pieces at
+most, those of lowest hash among all pieces of all its texts.  All rows are scored, over
+their whole texts.
 
 Null and empty texts have signal 0 and so the score of an undecided text.  Labels
 that disagree about one doc_id are each taken.  Without rows of both labels every
@@ -27,22 +29,37 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import common
 
-SAMPLE = 800
-CALIBRATION = 400
-SAMPLE_CHARS = 16_384
+SAMPLE = 1200
+HELD_EVERY = 3                  # one in so many sampled rows is for the curve
+PIECE_CHARS = 4096
+PIECES = 2000                   # per label
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 THRESHOLD = 0.7
 
 
-def training_sample(spark: SparkSession, rows: DataFrame) -> dict[int, list[str]]:
-    """Per label (0 and 1) the first texts by hash, from (doc_id, text, quality) rows."""
-    out = {}
-    for label in (0, 1):
-        part = rows.where((F.col("quality") == label) & (F.length("text") > 0)).select(
-            F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
-        out[label] = [r["t"] for r in part.orderBy("h", "t").limit(SAMPLE + CALIBRATION).collect()]
-    return out
+def training_sample(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(quality, text, held): per label the first rows by hash, from (doc_id, text, quality) rows."""
+    parts = [rows.where((F.col("quality") == label) & (F.length("text") > 0)).select(
+        F.lit(label).alias("quality"), "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE) for label in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).select("quality", "text", (F.pmod("h", F.lit(HELD_EVERY)) == 0).alias("held"))
+    return common.stage_table(spark, chosen, "op10-sample")
+
+
+def _piece_rows(batches):
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            yield pa.record_batch({"piece": [text[k:k + PIECE_CHARS] for k in range(0, len(text), PIECE_CHARS)]})
+
+
+def dictionary(texts: DataFrame) -> bytes:
+    """A zstandard dictionary from the pieces of (text) rows."""
+    pieces = texts.select("text").mapInArrow(_piece_rows, "piece string")
+    raw = [r["piece"].encode("utf-8", "surrogatepass") for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
+    except zstandard.ZstdError:                       # too little text to choose from: all of it
+        return b"".join(raw)[-DICTIONARY_BYTES:]
 
 
 class Model:
@@ -93,22 +110,31 @@ def fit_curve(signals: np.ndarray, labels: np.ndarray, weights: tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def train(sample: dict[int, list[str]], good_share: float = 0.5) -> Model | None:
-    """None where a label has no rows.  ``good_share``: how much of the labelled rows has label 1."""
-    if not sample[0] or not sample[1]:
-        return None
-    dictionaries = {}
-    for label, texts in sample.items():
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts[:SAMPLE]]
-        joined = b"".join(raw)
-        try:
-            dictionaries[label] = zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
-        except zstandard.ZstdError:                   # too little text to choose from: all of it
-            dictionaries[label] = joined[-DICTIONARY_BYTES:]
+def _signal_rows(shared):
+    def rows(batches):
+        for batch in batches:
+            signals = [shared.value.signal(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"quality": batch.column("quality"), "signal": pa.array(signals, pa.float64())})
+    return rows
+
+
+def train(spark: SparkSession, rows: DataFrame, good_share: float = 0.5) -> Model | None:
+    """The model of (doc_id, text, quality) rows; None where a label has no text.
+    ``good_share``: how much of the labelled rows has label 1."""
+    sample = training_sample(spark, rows)
+    n = {(r["quality"], r["held"]): r["n"] for r in sample.groupBy("quality", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dictionaries, held = [], []
+    for label in (0, 1):
+        if not any(n.get((label, x)) for x in (False, True)):
+            return None
+        part = sample.where(F.col("quality") == label)
+        dictionaries.append(dictionary(part.where("NOT held") if n.get((label, False)) else part))
+        held.append(part.where("held") if n.get((label, True)) else part)
     model = Model(dictionaries[1], dictionaries[0], 1.0, 0.0)
-    held = {label: texts[SAMPLE:] or texts for label, texts in sample.items()}
-    signals = np.array([model.signal(t) for label in (0, 1) for t in held[label]])
-    labels = np.array([label for label in (0, 1) for _ in held[label]])
+    shared = spark.sparkContext.broadcast(model)      # two dictionaries of fixed size
+    found = held[0].unionByName(held[1]).select("quality", "text").mapInArrow(_signal_rows(shared), "quality int, signal double")
+    fitted = found.orderBy("quality", "signal").collect()
+    signals, labels = (np.array([r[k] for r in fitted]) for k in ("signal", "quality"))
     model.slope, model.offset = fit_curve(signals, labels, (1 - good_share, good_share))
     return model
 
@@ -134,10 +160,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = (labels.where(common.doc_fold(F.col("doc_id"), 4) != 2).where("quality IN (0, 1)")
               .withColumn("k", F.xxhash64("doc_id")))
     # Ids first, so that only the sampled rows' texts are joined.
-    ids = [chosen.where(F.col("quality") == q).orderBy("k", "doc_id").limit(SAMPLE + CALIBRATION) for q in (0, 1)]
+    ids = [chosen.where(F.col("quality") == q).orderBy("k", "doc_id").limit(SAMPLE) for q in (0, 1)]
     wanted = F.broadcast(ids[0].unionByName(ids[1]).select("doc_id", "quality"))
     share = chosen.agg(F.avg(F.col("quality").cast("double")).alias("m")).first()["m"]
-    model = train(training_sample(spark, docs.join(wanted, "doc_id")), 0.5 if share is None else share)
+    model = train(spark, docs.join(wanted, "doc_id"), 0.5 if share is None else share)
     return classify(spark, docs, model).select(
         "doc_id", (common.doc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
