@@ -279,6 +279,33 @@ def test_language_profiles(spark):
     assert sorted(language_id.gram_counts("The, house")[1].tolist()) == sorted(plain.values())
 
 
+@pytest.mark.parametrize("block", [1000, 2, 1])
+def test_language_id_brute_force(spark, rows, block, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = random.Random(16)
+    docs = rows + rows[:7] + [(3000 + k, " ".join("".join(rng.choices("abcdeéß", k=rng.randrange(1, 9))) for _ in range(40)), lang, None)
+                              for k, lang in enumerate(["fr", "it", "nl", "pl", None] * 4)] + [(4000, "xyz " * 200_000, "xx", None)]
+    counts = collections.defaultdict(collections.Counter)
+    for _, text, lang, _ in docs:
+        if text is not None and lang is not None:
+            for g, n in zip(*(x.tolist() for x in language_id.gram_counts(text))):
+                counts[lang][g] += n
+    first = lambda c: {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:language_id.PROFILE])}
+    profiles = {lang: first(c) for lang, c in counts.items()}
+    made = make(spark, docs)
+    learned = language_id.learn(made)
+    assert {(r["lang"], r["gram"], r["rank"]) for r in learned.collect()} == {(x, g, k) for x, p in profiles.items() for g, k in p.items()}
+    assert "WindowGroupLimit" in learned._jdf.queryExecution().executedPlan().toString()
+    want = collections.Counter()
+    for doc_id, text, _, _ in docs:
+        own = first(collections.Counter(dict(zip(*(x.tolist() for x in language_id.gram_counts(text or ""))))))
+        far = lambda p: sum(abs(p[g] - k) if g in p else language_id.PROFILE for g, k in own.items())
+        best = min((far(p), lang) for lang, p in profiles.items()) if own else None
+        want[doc_id, *((best[1], round(1 - best[0] / (language_id.PROFILE * len(own)), 9)) if best else ("und", 0.0))] += 1
+    got = collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(spark, made, learned).collect())
+    assert got == want
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for values in (np.array([], np.uint64), np.array([0, 5, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)),
@@ -345,11 +372,31 @@ def test_classifier(spark):
     rng = random.Random(9)
     good = [sentence(rng, 80) for _ in range(120)]
     bad = [" ".join(rng.choice(["WIN!!", "$$$", "BUY", "CLICK!!"]) for _ in range(80)) for _ in range(120)]
-    model = quality_classifier.train({1: good[:100], 0: bad[:100]})
+    labelled = [(k, t, 1) for k, t in enumerate(good[:100])] + [(k, t, 0) for k, t in enumerate(bad[:100])]
+    labelled += labelled[:3] + [(500, None, 1), (501, "", 0)]
+    train = lambda rows: quality_classifier.train(spark, spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    model = train(labelled)
+    assert train([]) is None and train(labelled[:100]) is None and train(labelled[:1] + labelled[100:101]) is not None
     rows = [(i, t, None, None) for i, t in enumerate(good[100:] + bad[100:] + [None, ""])]
     got = {r[0]: r[1] for r in quality_classifier.classify(spark, make(spark, rows), model).collect()}
     assert min(got[i] for i in range(20)) > 0.7 > max(got[i] for i in range(20, 40)) and got[40] == got[41]
     assert {r[1] for r in quality_classifier.classify(spark, make(spark, rows), None).collect()} == {0.5}
+    assert quality_classifier.classify(spark, make(spark, []), model).count() == 0
+    plain = [1 / (1 + math.exp(-(model.slope * model.signal(r[1]) + model.offset))) for r in rows]
+    assert [got[r[0]] for r in rows] == pytest.approx(plain)
+
+
+def test_classifier_takes_whole_texts(spark):
+    """What tells the labels apart comes late in long texts, beyond any prefix."""
+    rng = random.Random(10)
+    own = [["".join(rng.choices("abcdefghij", k=10)) for _ in range(600)] for _ in (0, 1)]
+    rows = [(2 * k + q, f"{sentence(rng, 3000)} {' '.join(rng.choices(own[q], k=900))}", q) for k in range(40) for q in (0, 1)]
+    model = quality_classifier.train(spark, spark.createDataFrame(rows[:60], "doc_id long, text string, quality int"))
+    found = [[sum(w.encode() in d for w in own[q]) for d in (model.bad, model.good)] for q in (0, 1)]
+    assert found[0][0] > 100 and found[0][1] == 0 and found[1][1] > 100 and found[1][0] == 0
+    docs = make(spark, [(k, t, None, None) for k, t, _ in rows[60:]])
+    got = dict(map(tuple, quality_classifier.classify(spark, docs, model).collect()))
+    assert all((got[k] > 0.5) == (q == 1) for k, _, q in rows[60:])
 
 
 def test_empty_tables(spark):
