@@ -13,15 +13,25 @@ can read and write them, and a lost task is simply run again.
 Of records with equal payloads of at least ``LEAST`` bytes, those of the largest
 page_id are responses and the others revisits of it, without a payload.
 
-Null html is an empty payload; null urls are empty.  Null page_ids never win over
-others; where a payload has none but them, all its rows are responses.  Rows that
-repeat the winning page_id are responses each.  Control characters and spaces in
-urls are percent-encoded.  A stream that ends within a record raises an error.
+Records carry the format's mandatory headers.  Their ids are made of the page_id and
+the row's number, so rows that share a page_id differ; their date is a parameter, so a
+rerun writes the same bytes.  The normaliser and the reader take archives of others too:
+versions 1.0 and 1.1, header names in any case, any space around values, folded values,
+digests in base 32.  What isn't one of our pages has a null page_id, and a record
+without a payload digest or length gets those of its block.
+
+Null html is an empty payload; null urls are empty.  A row with a null page_id is
+always a response.  Rows that repeat the winning page_id are responses each; revisits
+refer to the last of them.  Control characters and spaces in urls are percent-encoded.
+Payloads of any length are written whole.  A stream that ends within a record raises an
+error.  An empty table gives no archives.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
@@ -35,6 +45,9 @@ ARCHIVE_BYTES = 8 << 20         # payload after which an archive is closed
 CHUNK = 1 << 20
 #: The format's marks and header names.
 VERSION = b"WARC/1.1\r\n"
+VERSIONS = ("WARC/1.0", "WARC/1.1")
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "2024-01-01T00:00:00Z"
 BREAK = b"\r\n\r\n"
 ARCHIVE_SCHEMA = "archive string, content binary"
 NORMAL_SCHEMA = "archive string, content binary, index array<struct<offset: long, length: long, record_id: string, record_type: string>>"
@@ -45,38 +58,48 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+def _urn(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
+def record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, int] | None, date: str = DATE) -> bytes:
+    """``refers_to``: page_id and row of the response that a revisit repeats."""
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, row)}", f"WARC-Date: {date}",
             f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head += [f"WARC-Refers-To: {_urn(*refers_to)}", f"WARC-Profile: {PROFILE}"]
         payload = b""
-    head.append(f"Content-Length: {len(payload)}")
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return VERSION + "\r\n".join(head).encode() + BREAK + payload + BREAK
 
 
 def headers(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
-    if lines[0].encode() + b"\r\n" != VERSION:
+    """Values by header name in lower case."""
+    version, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    if version.strip().upper() not in VERSIONS:
         raise ValueError("not a WARC record")
-    return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    pairs = (x.partition(":") for x in lines)
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
 
 
-def _archives(batches):
+def _archives(date: str):
     """One gzip stream over the records of each few MB of payload."""
-    name, gz, parts, held = "", None, [], 0
-    for batch in batches:
-        for page_id, url, html, digest, refers_to, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if gz is None:
-                name, gz, parts, held = f"pages-{row}", zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
-            payload = (html or "").encode()
-            parts.append(gz.compress(record(page_id, url, payload, digest, refers_to)))
-            held += len(payload)
-            if held >= ARCHIVE_BYTES:
-                yield _archive(name, parts, gz)
-                gz = None
-    if gz is not None:
-        yield _archive(name, parts, gz)
+    def rows(batches):
+        name, gz, parts, held = "", None, [], 0
+        for batch in batches:
+            for page_id, url, html, digest, winner, winner_row, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gz is None:
+                    name, gz, parts, held = f"pages-{row}", zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
+                payload = (html or "").encode()
+                refers_to = None if winner is None else (winner, winner_row)
+                parts.append(gz.compress(record(page_id, row, url, payload, digest, refers_to, date)))
+                held += len(payload)
+                if held >= ARCHIVE_BYTES:
+                    yield _archive(name, parts, gz)
+                    gz = None
+        if gz is not None:
+            yield _archive(name, parts, gz)
+    return rows
 
 
 def _archive(name, parts, gz):
@@ -114,7 +137,7 @@ def records(content: bytes):
                 if at < 0:
                     break
                 head = headers(bytes(held[:at]))
-                end = at + len(BREAK) + int(head["Content-Length"]) + len(BREAK)
+                end = at + len(BREAK) + int(head["content-length"]) + len(BREAK)
             if len(held) < end:
                 break
             yield head, bytes(held[:end])
@@ -130,7 +153,7 @@ def normalise(content: bytes) -> tuple[bytes, list[dict]]:
     for head, whole in records(content):
         gz = zlib.compressobj(6, zlib.DEFLATED, 31)
         member = gz.compress(whole) + gz.flush()
-        index.append({"offset": len(out), "length": len(member), "record_id": head["WARC-Record-ID"], "record_type": head["WARC-Type"]})
+        index.append({"offset": len(out), "length": len(member), "record_id": head["warc-record-id"], "record_type": head["warc-type"]})
         out += member
     return bytes(out), index
 
@@ -144,8 +167,16 @@ def _normal_rows(batches):
 
 
 def _page(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    ours = re.fullmatch(r"<urn:page:(-?\d+):\d+>", urn)
+    return int(ours[1]) if ours else None
+
+
+def _hex_digest(value: str) -> str:
+    """The SHA-1 of a digest header as lower-case hex; its value may be hex or base 32."""
+    name, _, digest = value.partition(":")
+    if name.strip().lower() != "sha1":
+        return value
+    return digest.strip().lower() if len(digest.strip()) == 40 else base64.b32decode(digest.strip().upper()).hex()
 
 
 def read_member(member: bytes) -> dict:
@@ -153,12 +184,15 @@ def read_member(member: bytes) -> dict:
     at = whole.find(BREAK)
     head = headers(whole[:at])
     payload = whole[at + len(BREAK): -len(BREAK)]
-    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-    if head["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError(f"{head['WARC-Record-ID']}: the payload doesn't match its digest")
-    return {"page_id": _page(head["WARC-Record-ID"]), "payload_bytes": int(head["WARC-Payload-Length"]), "payload_digest": digest,
-            "record_type": head["WARC-Type"], "refers_to": _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None,
-            "url": head["WARC-Target-URI"], "payload": payload}
+    own = hashlib.sha1(payload).hexdigest()
+    digest = _hex_digest(head["warc-payload-digest"]) if "warc-payload-digest" in head else own
+    ours = _page(head["warc-record-id"]) is not None or head["warc-record-id"].startswith("<urn:page::")
+    # A foreign response's block has the HTTP headers before its payload, so only ours can be compared as a whole.
+    if ours and head["warc-type"] == "response" and own != digest:
+        raise ValueError(f"{head['warc-record-id']}: the payload doesn't match its digest")
+    return {"page_id": _page(head["warc-record-id"]), "payload_bytes": int(head.get("warc-payload-length", len(payload))), "payload_digest": digest,
+            "record_type": head["warc-type"], "refers_to": _page(head.get("warc-refers-to", "")),
+            "url": head.get("warc-target-uri", ""), "payload": payload}
 
 
 def _read_rows(batches):
@@ -171,17 +205,19 @@ def _read_rows(batches):
             yield pa.RecordBatch.from_pylist(found, schema=schema)
 
 
-def write_archives(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def write_archives(spark: SparkSession, pages: DataFrame, date: str = DATE) -> DataFrame:
     """(archive, content): monolithic gzip archives of (page_id, url, html) rows."""
-    marked = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    long = F.octet_length("html") >= LEAST
-    winners = (marked.where(long).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    marked = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"),
+                          F.monotonically_increasing_id().alias("row"))
+    long = (F.octet_length("html") >= LEAST) & F.col("page_id").isNotNull()
+    winners = (marked.where(long).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("winner"), F.count(F.lit(1)).alias("n"))
                .where("n > 1").select("digest", "winner"))
     # A short payload has no winner: its digest is that of a text below the bound.
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
-    rows = marked.join(winners, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"),
-                                                         F.monotonically_increasing_id().alias("row"))
-    return common.stage_table(spark, rows.mapInArrow(_archives, ARCHIVE_SCHEMA), "op9-archives")
+    repeats = F.col("page_id") != F.col("winner.page_id")
+    rows = marked.join(winners, "digest", "left").select(
+        "page_id", "url", "html", "digest", F.when(repeats, F.col("winner.page_id")).alias("winner"),
+        F.when(repeats, F.col("winner.row")).alias("winner_row"), "row")
+    return common.stage_table(spark, rows.mapInArrow(_archives(date), ARCHIVE_SCHEMA), "op9-archives")
 
 
 def normalise_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
