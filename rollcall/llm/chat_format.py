@@ -15,7 +15,9 @@ of each assistant text.
 
 Null texts and roles count as empty.  Messages that repeat a turn come in order of
 role and text.  A message whose parent is missing is a root; a conversation of one
-message is a path of one.  Equal scores: the smaller leaf id wins.  Empty tables
+message is a path of one.  Messages that answer each other in a circle have no root:
+the circle is cut at its smallest message, which becomes one.  Null tree ids are one
+tree of their own.  Texts of any length are formatted whole.  Equal scores: the smaller leaf id wins.  Empty tables
 give empty results.
 """
 
@@ -31,7 +33,6 @@ START = "<|im_start|>"
 END = "<|im_end|>"
 EXTRA_TEXT = "<|im_end|><|im_start|>assistant ok"
 EXTRA_CONVERSATION = -1
-NO_TREE = -(1 << 63)            # stands for a null tree id in the joins
 
 
 def escape(text: Column) -> Column:
@@ -52,27 +53,46 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.translate(F.replace(marked, F.lit("\\n"), F.lit("\x00")), "\n", "\\"), F.lit("\x00"), F.lit("\n"))
 
 
-def ancestor_tables(spark: SparkSession, messages: DataFrame) -> list[DataFrame]:
-    """Tables (tree_id, msg_id, up, gain): ``up`` is the 2^k-th ancestor, ``gain`` the
-    score of the message and those passed on the way, without ``up``'s."""
-    known = messages.select("tree_id", F.col("msg_id").alias("parent_id"))
-    step = messages.join(known, ["tree_id", "parent_id"]).select("tree_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("gain"))
-    tables = []
-    while True:
-        step = common.stage_table(spark, step, f"op5-up{len(tables)}")
-        if not step.limit(1).count():
-            return tables
-        tables.append(step)
-        far = step.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("gain").alias("more"))
-        step = step.join(far, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("next").alias("up"), (F.col("gain") + F.col("more")).alias("gain"))
+def ancestor_tables(spark: SparkSession, messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree_id, msg_id, up, gain, least): ``up`` is the 2^k-th ancestor, ``gain`` and
+    ``least`` are the score and the smallest id of the message and those passed on the
+    way, without ``up``'s.  Also the messages, with circles cut."""
+    n = messages.count()
+
+    def doubled(messages: DataFrame):
+        known = messages.select("tree_id", F.col("msg_id").alias("parent_id"))
+        step = messages.join(known, ["tree_id", "parent_id"]).select(
+            "tree_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("gain"), F.col("msg_id").alias("least"))
+        tables = []
+        while True:
+            step = common.stage_table(spark, step, f"op5-up{len(tables)}")
+            if not step.limit(1).count():
+                return tables, None
+            if 1 << len(tables) > n:                  # no path is as long
+                return tables, step
+            tables.append(step)
+            far = step.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("gain").alias("more"),
+                              F.col("least").alias("beyond"))
+            step = step.join(far, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("next").alias("up"),
+                                                            (F.col("gain") + F.col("more")).alias("gain"), F.least("least", "beyond").alias("least"))
+
+    tables, endless = doubled(messages)
+    if endless is not None:
+        # So many steps end on a circle, and from a message on it they pass all of it.
+        on_circle = endless.select("tree_id", F.col("up").alias("msg_id")).distinct()
+        heads = endless.join(on_circle, ["tree_id", "msg_id"]).where("least = msg_id").select("tree_id", "msg_id", F.lit(True).alias("__head"))
+        cut = messages.join(heads, ["tree_id", "msg_id"], "left").withColumn("parent_id", F.when(F.col("__head").isNull(), F.col("parent_id")))
+        messages = common.stage_table(spark, cut.drop("__head"), "op5-cut")
+        tables, _ = doubled(messages)
+    return tables, messages
 
 
 def best_paths(spark: SparkSession, messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree_id, leaf, msg_id, above): the messages on the best ``top`` root-to-leaf
     paths of each tree; ``above`` counts from the leaf (0) to the root.
 
-    ``messages``: (tree_id, msg_id, parent_id, score), (tree_id, msg_id) unique and no cycles."""
-    tables = ancestor_tables(spark, messages)
+    ``messages``: (tree_id, msg_id, parent_id, score), (tree_id, msg_id) unique."""
+    tables, messages = ancestor_tables(spark, messages)
     parents = messages.select("tree_id", F.col("parent_id").alias("msg_id")).distinct()
     leaves = messages.join(parents, ["tree_id", "msg_id"], "left_anti")
     at = leaves.select("tree_id", F.col("msg_id").alias("leaf"), F.col("msg_id").alias("node"), F.lit(0.0).alias("sum"))
@@ -122,9 +142,11 @@ def linear_messages(turns: DataFrame) -> DataFrame:
 
 def chat_format(spark: SparkSession, messages: DataFrame, top: int = 1) -> DataFrame:
     """One row per chosen path: tree_id, leaf, formatted, loss_spans.  Null tree ids are one tree."""
-    messages = common.stage_table(spark, messages.fillna(NO_TREE, ["tree_id"]), "op5-messages")
+    kind = messages.schema["tree_id"].dataType
+    key = F.coalesce(F.concat(F.lit("="), F.col("tree_id").cast("string")), F.lit(""))          # a null equals itself in joins
+    messages = common.stage_table(spark, messages.withColumn("tree_id", key), "op5-messages")
     out = format_paths(best_paths(spark, messages.drop("role", "text"), top), messages)
-    return out.withColumn("tree_id", F.when(F.col("tree_id") != NO_TREE, F.col("tree_id")))
+    return out.withColumn("tree_id", F.when(F.col("tree_id") != "", F.substring("tree_id", 2, (1 << 31) - 1).cast(kind)))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

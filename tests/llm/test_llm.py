@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows,
 empty tables, clashing column names; brute force where SQL has no say."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -260,6 +261,18 @@ def test_chat_tree_and_round_trip(spark):
     assert chat_format.chat_format(spark, messages, 2).count() == 4
 
 
+def test_chat_circles_and_outermost_trees(spark):
+    low = -(2**63)
+    rows = [(low, 1, None, "user", "a", 1.0), (low, 2, 1, "assistant", "b", 1.0), (None, 1, None, "user", "c", 1.0),
+            (7, 5, 9, "user", "five", 1.0), (7, 9, 6, "user", "nine", 1.0), (7, 6, 5, "assistant", "six", 1.0), (7, 3, 9, "assistant", "three", 1.0),
+            (8, 4, 4, "user", "self", 1.0)]
+    out = chat_format.chat_format(spark, spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double"), 9)
+    got = collections.Counter((r["tree_id"], r["leaf"], "".join(t["text"] + " " for t in r["turns"]))
+                              for r in out.select("tree_id", "leaf", chat_format.read_turns(out["formatted"]).alias("turns")).collect())
+    assert got == {(low, 2, "a b "): 1, (None, 1, "c "): 1, (7, 3, "five six nine three "): 1, (8, 4, "self "): 1}
+    assert chat_format.chat_format(spark, out.sparkSession.createDataFrame([], "tree_id long, msg_id long, parent_id long, role string, text string, score double")).count() == 0
+
+
 def test_language_profiles(spark):
     rng = random.Random(2)
     vocabulary = {"aa": ["the", "house", "with", "three"], "bb": ["und", "zwei", "Haus", "mit"]}
@@ -357,9 +370,16 @@ def test_warc_round_trip(spark):
     got = warc.read_archives(warc.normalise_archives(spark, warc.write_archives(spark, df))).collect()
     assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got) == sorted([
         ("1", "revisit", "2"), ("2", "response", "None"), ("3", "response", "None"), ("4", "response", "None"), ("5", "response", "None"),
-        ("None", "revisit", "2"), ("2", "response", "None")])
+        ("None", "response", "None"), ("2", "response", "None")])
     assert {r["payload_bytes"] for r in got if r["page_id"] == 1} == {1200}
-    long = warc.record(1, "u", b"a" * 5_000_000, hashlib.sha1(b"a" * 5_000_000).hexdigest(), None)
+    archives = warc.write_archives(spark, df).collect()
+    heads = [h for a in archives for h, _ in warc.records(bytes(a["content"]))]
+    assert len({h["warc-record-id"] for h in heads}) == len(pages)
+    assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() for h in heads)
+    assert all(h.keys() >= {"warc-profile", "warc-refers-to"} and h["warc-refers-to"] in {x["warc-record-id"] for x in heads}
+               for h in heads if h["warc-type"] == "revisit")
+    assert warc.write_archives(spark, df.limit(0)).count() == 0
+    long = warc.record(1, 0, "u", b"a" * 5_000_000, hashlib.sha1(b"a" * 5_000_000).hexdigest(), None)
     packed = zlib.compressobj(6, zlib.DEFLATED, 31)
     whole = packed.compress(long + long) + packed.flush()
     out, index = warc.normalise(whole)
@@ -368,6 +388,23 @@ def test_warc_round_trip(spark):
         warc.normalise(whole[:-20])
 
 
+def test_warc_of_others():
+    """Versions, header spelling and digests that other writers use."""
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>"
+    ours = base64.b32encode(hashlib.sha1(b"<html>").digest()).decode()
+    one = (b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID:\t<urn:uuid:1>\r\nContent-length:%d\r\nWARC-Target-URI: http://a/\r\n  b\r\n"
+           b"WARC-Payload-Digest: sha1:%s\r\n\r\n%s\r\n\r\n" % (len(body), ours.encode(), body))
+    two = b"WARC/1.1\r\nWARC-Type:   warcinfo\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out, index = warc.normalise(gz.compress(one + two) + gz.flush())
+    read = [warc.read_member(out[x["offset"]: x["offset"] + x["length"]]) for x in index]
+    assert [(x["record_id"], x["record_type"]) for x in index] == [("<urn:uuid:1>", "response"), ("<urn:uuid:2>", "warcinfo")]
+    assert (read[0]["page_id"], read[0]["payload"], read[0]["url"], read[0]["payload_digest"]) == (None, body, "http://a/ b", hashlib.sha1(b"<html>").hexdigest())
+    assert (read[1]["payload"], read[1]["payload_bytes"], read[1]["refers_to"]) == (b"", 0, None)
+    with pytest.raises(ValueError):
+        warc.headers(b"HTTP/1.1 200 OK")
+
+
 def test_classifier(spark):
     rng = random.Random(9)
     good = [sentence(rng, 80) for _ in range(120)]
