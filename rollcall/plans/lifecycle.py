@@ -30,6 +30,7 @@ from ..sources.staging import scratch_path, staged
 from ..sources.tables import read_table
 from ..streaming.corrections_stream import punches_on_days
 from ..streaming.session_days import SessionDays
+from ..streaming.task_tables import INTERVALS, TASKS, TaskTables
 from . import catalog as C
 from . import oracle_views as O
 from .catalog import query
@@ -106,6 +107,34 @@ def q_task_log_intervals(spark, sf_dir):
     return tk.assignment_intervals(_task_log(spark, sf_dir)[0])
 
 
+def _task_stream(spark, sf_dir, *folds) -> TaskTables:
+    """The whole log in three deliveries: two spans of time, then the rest with all assignments, most of them late."""
+    root = scratch_path(spark, "task-tables")
+    log = staged(_task_log(spark, sf_dir)[0].select(*schemas.TASK_EVENTS.fieldNames()), "task-log")
+    last = (F.col("at") >= F.lit("1997-01-01").cast("timestamp_ntz")) | (F.col("kind") == "assign")
+    early = F.col("at") < F.lit("1995-01-01").cast("timestamp_ntz")
+    tables = None
+    for part in (~last & early, ~last & ~early, last):
+        log.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schemas.TASK_EVENTS).option("maxBytesPerTrigger", str(64 << 30)).parquet(f"{root}/in")
+        tables = TaskTables(spark, f"{root}/tables", folds)      # a restart each time
+        tables.drain(stream)
+    return tables
+
+
+@query("task_intervals_stream", O.with_(*_LOG, C._INTERVALS_SQL) + """
+SELECT task_id, student_id, "at" AS assigned_at, nxt AS unassigned_at FROM c2 WHERE opens""")
+def q_task_intervals_stream(spark, sf_dir):
+    """§2.9, O-54..O-56: the interval table after three deliveries; open intervals are carried across batches."""
+    return _task_stream(spark, sf_dir, INTERVALS).read(INTERVALS)
+
+
+@query("task_fold_stream", O.with_(*_LOG, C._task_fold_sql("TIMESTAMP '9999-12-31 00:00:00'")) + C._TASK_FOLD_COLUMNS)
+def q_task_fold_stream(spark, sf_dir):
+    """§2.9, O-50..O-53, O-58: the task table after three deliveries."""
+    return _task_stream(spark, sf_dir, TASKS).read(TASKS).withColumnRenamed("task_id", "id")
+
+
 # ---------------------------------------------------------------- positions
 
 
