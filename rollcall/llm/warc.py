@@ -43,6 +43,7 @@ from rollcall.llm import common
 LEAST = 1000
 ARCHIVE_BYTES = 8 << 20         # payload after which an archive is closed
 CHUNK = 1 << 20
+ROWS = 1 << 63                  # above every row number
 #: The format's marks and header names.
 VERSION = b"WARC/1.1\r\n"
 VERSIONS = ("WARC/1.0", "WARC/1.1")
@@ -210,13 +211,15 @@ def write_archives(spark: SparkSession, pages: DataFrame, date: str = DATE) -> D
     marked = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"),
                           F.monotonically_increasing_id().alias("row"))
     long = (F.octet_length("html") >= LEAST) & F.col("page_id").isNotNull()
-    winners = (marked.where(long).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("winner"), F.count(F.lit(1)).alias("n"))
-               .where("n > 1").select("digest", "winner"))
+    # Page and row in one number, page first: its maximum is kept by a hash aggregate, a struct's would be by a sort.
+    both = F.expr(f"CAST(page_id AS DECIMAL(19, 0)) * {ROWS} + row")
+    winners = (marked.where(long).groupBy("digest").agg(F.max(both).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+               .selectExpr("digest", f"CAST(pmod(top, {ROWS}) AS LONG) AS top_row", f"(top - pmod(top, {ROWS})) div {ROWS} AS top_page"))
     # A short payload has no winner: its digest is that of a text below the bound.
-    repeats = F.col("page_id") != F.col("winner.page_id")
+    repeats = F.col("page_id") != F.col("top_page")
     rows = marked.join(winners, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(repeats, F.col("winner.page_id")).alias("winner"),
-        F.when(repeats, F.col("winner.row")).alias("winner_row"), "row")
+        "page_id", "url", "html", "digest", F.when(repeats, F.col("top_page")).alias("winner"),
+        F.when(repeats, F.col("top_row")).alias("winner_row"), "row")
     return common.stage_table(spark, rows.mapInArrow(_archives(date), ARCHIVE_SCHEMA), "op9-archives")
 
 

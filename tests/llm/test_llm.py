@@ -388,6 +388,14 @@ def test_warc_round_trip(spark):
         warc.normalise(whole[:-20])
 
 
+def test_warc_outermost_page_ids(spark):
+    top, low = 2**63 - 1, -(2**63)
+    df = spark.createDataFrame([(top, "u", "a" * 1000), (low, "u", "a" * 1000), (low, "u", "b" * 1000), (low, "u", "b" * 1000), (-5, "u", "c" * 1000), (-7, "u", "c" * 1000)],
+                               "page_id long, url string, html string")
+    got = warc.read_archives(warc.normalise_archives(spark, warc.write_archives(spark, df))).collect()
+    assert collections.Counter((r["page_id"], r["refers_to"]) for r in got) == {(top, None): 1, (low, top): 1, (low, None): 2, (-5, None): 1, (-7, -5): 1}
+
+
 def test_warc_of_others():
     """Versions, header spelling and digests that other writers use."""
     body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>"
