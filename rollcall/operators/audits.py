@@ -12,24 +12,48 @@ from pyspark.sql import functions as F
 from ..schemas import AUTHOR_TYPES, CORRECTION_STATUSES, TASK_STATUSES
 
 
+KEYS = 1 << 19                  # keys that one task counts
+BUCKETS = 1 << 16               # hash buckets that find very frequent keys
+HOT = 1 << 20                   # rows of a bucket from which its keys are combined before the shuffle
+
+
 def _key_text(cols):
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols])
 
 
-def duplicate_keys(df: DataFrame, table: str, cols: list[str], where=None) -> DataFrame:
+def _key_counts(d: DataFrame, cols: list[str], whole: DataFrame) -> DataFrame:
+    """Rows per key (``n_rows``).  Up to ``KEYS`` rows Spark deals them out by itself.  More
+    are dealt by key into as many parts as they need, since merging parts by their packed
+    bytes may give one task any number of keys; the keys of buckets with very many rows
+    are combined before the shuffle instead.  ``whole`` has all keys of ``d`` at least."""
+    n_rows = F.count(F.lit(1)).alias("n_rows")
+    bucket = F.pmod(F.xxhash64(*cols), F.lit(BUCKETS))
+    found = (whole.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > HOT, F.col("b"))).alias("hot")).first())
+    parts = -(-(found["n"] or 0) // KEYS)
+    if parts < 2:
+        return d.groupBy(*cols).agg(n_rows)
+    hot = bucket.isin(found["hot"])
+    dealt = d.where(~hot).select(*cols).repartition(parts, *cols).groupBy(*cols).agg(n_rows)
+    return dealt.unionByName(d.where(hot).groupBy(*cols).agg(n_rows)) if found["hot"] else dealt
+
+
+def duplicate_keys(df: DataFrame, table: str, cols: list[str], where=None, whole: DataFrame | None = None) -> DataFrame:
     d = df if where is None else df.where(where)
-    return (d.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows"))
+    return (_key_counts(d, cols, df if whole is None else whole)
             .where(F.col("n_rows") > 1)
             .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
                     _key_text(cols).alias("key_value"), "n_rows"))
 
 
-def audit_unique(tables: dict[str, DataFrame]) -> DataFrame:
+def audit_unique(tables: dict[str, DataFrame], sources: dict[str, DataFrame] | None = None) -> DataFrame:
     """O-61: primary keys, unique names, one session per student and day (for stored
     tables; the fold itself can't repeat a key), at most one open assignment per (task,
-    student)."""
+    student).  ``sources`` may name, for a table that is costly to derive, one with the same
+    key columns and all its keys, from which the parts of the count are planned."""
     checks = []
     t = tables
+    sources = sources or {}
     if "students" in t:
         checks += [duplicate_keys(t["students"], "students", ["student_id"]),
                    duplicate_keys(t["students"], "students", ["full_name"])]
@@ -43,7 +67,7 @@ def audit_unique(tables: dict[str, DataFrame]) -> DataFrame:
     for name, key in (("tasks", "id"), ("task_comments", "id"),
                       ("attendance_corrections", "id")):
         if name in t:
-            checks.append(duplicate_keys(t[name], name, [key]))
+            checks.append(duplicate_keys(t[name], name, [key], whole=sources.get(name)))
     return reduce(DataFrame.unionByName, checks)
 
 

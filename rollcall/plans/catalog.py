@@ -837,7 +837,8 @@ FROM {_AUDITED.get(table, table)} {where} GROUP BY {", ".join(cols)} HAVING coun
 def q_audit_unique(spark, sf_dir):
     tables = _audit_tables(spark, sf_dir)
     del tables["daily_sessions"]            # a fold's result has one row per key
-    return au.audit_unique(tables)
+    sources = {"tasks": V.tasks(spark, sf_dir), "task_comments": V.task_comments(spark, sf_dir), "attendance_corrections": V.correction_requests(spark, sf_dir)}
+    return au.audit_unique(tables, sources)
 
 
 def _fk_sql(child, col, parent, key, policy):

@@ -1,6 +1,7 @@
 """Roster maintenance (O-05, O-64..O-66) and audits (O-61..O-63)."""
 
 from conftest import T, by_key, students_df
+from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.operators import audits as au
@@ -63,3 +64,17 @@ def test_audits(spark):
     assert dom == [("status", "weird")]
     fixed = au.repair_fk(tables)
     assert sorted(r["id"] for r in fixed["task_assignments"].collect()) == [1, 2]
+
+
+def test_many_keys_are_counted_in_parts(spark, monkeypatch):
+    """No task counts more than about ``KEYS`` keys, however few bytes they pack into."""
+    monkeypatch.setattr(au, "KEYS", 1 << 10)
+    monkeypatch.setattr(au, "HOT", 1 << 11)
+    n, often = 20_000, 5_000
+    ids = (spark.range(n).union(spark.range(7)).union(spark.range(often).selectExpr("9L as id"))
+           .union(spark.range(3).selectExpr("cast(null as long) as id")))
+    counts = au._key_counts(ids, ["id"], ids)
+    held = [r["k"] for r in counts.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("k")).collect()]
+    assert sum(held) == n + 1 and max(held) < 2 << 10
+    got = {(r["key_value"], r["n_rows"]) for r in au.duplicate_keys(ids, "t", ["id"]).collect()}
+    assert got == {(str(k), 2) for k in range(7)} | {("9", often + 1), ("∅", 3)}
