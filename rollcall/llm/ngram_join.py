@@ -212,6 +212,12 @@ def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataF
             .select("cls", "n", (-F.col("met") / F.col("n")).alias("place"), "grams"))
 
 
+def linkable(sets: DataFrame) -> DataFrame:
+    """The sets that may link with another: two linked sets have 0.8 of the n-grams of each
+    in common, so one of which fewer are shared has none in its prefix."""
+    return sets.where("5 * size(grams) >= 4 * n")
+
+
 PREFIX_SCHEMA = "token long, cls long, n int, place double, pos int, after long"
 
 
@@ -328,7 +334,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     facts = common.stage_table(spark, texts.mapInArrow(_fact_rows, FACTS_SCHEMA), "op2-classes")
     classes = facts.where("bucket IS NULL").select("doc_id", "n_shingles", "cls", "row")
 
-    sets = common.stage_table(spark, shared_sets(texts, facts, classes), "op2-sets")
+    sets = common.stage_table(spark, linkable(shared_sets(texts, facts, classes)), "op2-sets")
     live = common.stage_table(spark, sets.mapInArrow(_prefix_rows, PREFIX_SCHEMA), "op2-prefixes")
 
     links = seen = labels = None
