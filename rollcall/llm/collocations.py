@@ -42,6 +42,7 @@ LEAST = 100
 BEST = 2000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 SLICE_BYTES = 1 << 19           # bytes of text parsed at once (one text at least)
+PHRASES = 500_000               # n-grams that a task holds before it adds up equal ones
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,10 +205,17 @@ def _chunk_slices(batch):
 
 
 def _summed(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, inverse = np.unique(h, return_inverse=True)
-    out = np.zeros(len(h), np.int64)
-    np.add.at(out, inverse, weight)
-    return h, out
+    at, total = _first_of_each(h, weight)
+    return h[at], total
+
+
+def _first_of_each(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one entry, sum of weights) of each distinct hash."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(h)
+    first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+    return order[first], np.add.reduceat(weight[order].astype(np.int64), first)
 
 
 def _hash_rows(n: int, tables):
@@ -245,36 +253,60 @@ def _bit_table(spark: SparkSession, hashes: DataFrame, name: str) -> np.ndarray:
     return table.view(np.uint8)
 
 
+def _spaced(words: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each word begins there."""
+    size = words.end - words.start
+    first = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(first[-1], 32, np.uint8)
+    out[_ranges(first[:-1], size)] = raw[_ranges(words.start, size)]
+    return out, first
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of every range of ``size`` numbers, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(first - before, size) + np.arange(size.sum())
+
+
 def _phrase_rows(tables):
     """Task function: (lang, phrase, n) of all n-grams that may be frequent, by their words."""
 
     def rows(batches):
         known = {k: b.value for k, b in tables.items()}
-        found: Counter = Counter()
+        held, texts, size, found = [], [], 0, 0
         for batch in batches:
             for chunks, raw, langs, weight in _chunk_slices(batch):
-                data, w = raw.tobytes(), chunks.words
+                w = chunks.words
+                data, first = _spaced(w, raw)
+                names = np.array(langs, object)
                 for n in range(1, LONGEST + 1):
                     at, h = chunks.frequent(n, known)
-                    if not len(at):
-                        continue
-                    _, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    total = np.zeros(len(where), np.int64)
-                    np.add.at(total, inverse, weight[w.text[at]])
-                    for p, c in zip(at[where].tolist(), total.tolist(), strict=True):
-                        words = b" ".join([data[a:b] for a, b in zip(w.start[p: p + n].tolist(), w.end[p: p + n].tolist(), strict=True)])
-                        found[langs[w.text[p]], words] += c
-                if len(found) > 200_000:
-                    yield _phrase_batch(found)
-                    found = Counter()
+                    one, total = _first_of_each(h, weight[w.text[at]])
+                    at = at[one]
+                    held.append((h[one], total, size + first[at], first[at + n] - first[at] - 1, names[w.text[at]]))
+                    found += len(one)
+                texts.append(data)
+                size += len(data)
+                if found > PHRASES or size > 16 * SLICE_BYTES:
+                    yield from _phrase_batches(held, texts)
+                    held, texts, size, found = [], [], 0, 0
         if found:
-            yield _phrase_batch(found)
+            yield from _phrase_batches(held, texts)
     return rows
 
 
-def _phrase_batch(found: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()).cast(pa.string()),
-                            pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "n"])
+def _phrase_batches(held: list[tuple], texts: list[np.ndarray]):
+    """Equal n-grams of several slices together; ``held``: (hash, count, place and length in
+    ``texts``, language) of each slice."""
+    h, n, first, size, lang = (np.concatenate(x) for x in zip(*held, strict=True))
+    one, n = _first_of_each(h, n)
+    first, size, lang = first[one], size[one], lang[one]
+    data = np.concatenate(texts)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for i, j in common.byte_slices(ends, SLICE_BYTES):
+        part = pa.py_buffer((ends[i: j + 1] - ends[i]).astype(np.int64)), pa.py_buffer(data[_ranges(first[i:j], size[i:j])])
+        phrase = pa.LargeStringArray.from_buffers(j - i, *part).cast(pa.string())
+        yield pa.record_batch([pa.array(lang[i:j], pa.string()), phrase, pa.array(n[i:j])], names=["lang", "phrase", "n"])
 
 
 def phrase_counts(spark: SparkSession, chunks: DataFrame, least: int = LEAST) -> DataFrame:

@@ -90,3 +90,28 @@ def test_every_word_is_owned_once(rows):
     want = sum(len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t or "")) for t in texts)
     assert int(np.dot(got["own"].to_numpy(), got["n"].to_numpy())) == want
     assert got.num_rows < got["n"].to_numpy().sum()
+
+
+def test_slices_of_a_task_are_added_up(rows, monkeypatch):
+    """A phrase met in several slices is sent once, however the texts are sliced."""
+    monkeypatch.setattr(c, "SLICE_BYTES", 256)
+    monkeypatch.setattr(c, "PHRASES", 10**9)
+    small = rows[:60]
+    chunks = pa.Table.from_batches(c._chunk_rows([pa.record_batch([pa.array([t for t, _ in small], pa.string()), pa.array([x or "und" for _, x in small])], names=["text", "lang"])]))
+    monkeypatch.setattr(c, "SLICE_BYTES", 1 << 12)
+    everything = type("Bits", (), {"value": np.full(8, 255, np.uint8)})
+    got = pa.Table.from_batches(c._phrase_rows({n: everything for n in range(1, c.LONGEST)})(chunks.combine_chunks().to_batches())).to_pylist()
+    want = collections.Counter()
+    for text, lang in small:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate({k: k + 32 for k in range(65, 91)})):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for n in range(1, 6):
+                for i in range(len(w) - n + 1):
+                    want[lang or "und", " ".join(w[i: i + n])] += 1
+    blocks = collections.Counter((r["lang"], r["phrase"]) for r in got)
+    total = collections.Counter()
+    for r in got:
+        total[r["lang"], r["phrase"]] += r["n"]
+    assert total == want
+    texts = sum(len(t or "") for t in chunks["text"].to_pylist())
+    assert texts > 4 * (1 << 12) and max(blocks.values()) <= -(-texts // (16 * (1 << 12))) + 1
