@@ -1,13 +1,19 @@
 """Operator 2, n-gram Jaccard join: rare-first prefix filtering.
 
 A document's set holds its distinct word 5-grams as 64-bit hashes.  Documents
-with equal sets form one class, which the join treats as one record.  The n-grams
-of all classes are dealt by hash to shards of about ``SHARD`` entries, which count
-in how many classes each occurs; n-grams of one class only are dropped there, as
-they link nothing.  The others go back to their classes and are put in order of
-that exact count, then of hash; the dropped ones, whose number is known, come
-before them.  Two sets of Jaccard similarity 0.8 or more share an n-gram among
-the first ``n - ceil(0.8 n) + 1`` of each.
+with equal sets form one class, which the join treats as one record.  N-grams are
+dealt by hash to shards of about ``SHARD`` entries, which count in how many classes
+each occurs; n-grams of one class only are dropped there, as they link nothing.
+That takes two steps, as shuffling all n-grams takes twice the texts' room: first
+those below ``FIRST``, of all classes; then the others, of the classes that may
+still link.  A class may not once more than a fifth of its set is known to occur
+nowhere else.  The rows to read again are kept in a bit table of at most 64 MB;
+where it is too small, or marks a row in vain, more n-grams are dealt out, with the
+same links.  The counts are exact, over all classes below ``FIRST`` and over those
+read again above.  The n-grams go back to their classes and are put in order of
+that count, then of hash; the dropped ones, whose number is known, come before
+them.  Two sets of Jaccard similarity 0.8 or more share an n-gram among the first
+``n - ceil(0.8 n) + 1`` of each.
 
 Joining on prefix n-grams takes two passes, so that a large group of near copies
 is not spelled out as all its pairs:
@@ -42,13 +48,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import common
+from rollcall.llm import collocations, common
 
 SHINGLE = 5
 SHARD = 1 << 20                 # n-grams counted in one task
 BLOCK = 1 << 20                 # n-grams that a task holds before it deals them out
 BUCKETS = 1 << 16               # size of the table that finds very frequent n-grams
 HOT = 1 << 20                   # bucket count from which n-grams are counted apart
+FIRST = 3 * (1 << 64) // 10      # n-grams below, as unsigned numbers, are dealt out first
 SEEN_CLASSES = 200_000          # classes that a task remembers, so as not to deal out copies' n-grams again
 ROUNDS = 3                      # rounds of hub links before all pairs of different components
 REGIONS = 4                     # hash regions of the suffix filter
@@ -83,28 +90,30 @@ def _sets(column):
             yield i + k, shingles(hashes[ends[k] - counts[k]: ends[k]])
 
 
-FACTS_SCHEMA = "row long, doc_id long, n_shingles long, cls long, bucket int, n long"
+FACTS_SCHEMA = "row long, doc_id long, n_shingles long, n_first long, cls long, bucket int, n long"
 
 
 def _fact_rows(batches):
-    """A row (row, doc_id, n_shingles, cls) per document, and at the task's end a row
-    (bucket, n) per bucket of n-grams met: both from one pass over the texts."""
+    """A row (row, doc_id, n_shingles, n_first, cls) per document, and at the task's end a
+    row (bucket, n) per bucket of n-grams met: both from one pass over the texts."""
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
+        first = np.zeros(batch.num_rows, np.int64)
         cls = np.zeros(batch.num_rows, np.int64)
         held = []
         for row, grams in _sets(batch.column("text")):
             size[row] = len(grams)
+            first[row] = _cut(grams)
             cls[row] = set_hash(grams) if len(grams) else 0
             held.append((grams % np.uint64(BUCKETS)).astype(np.int64))
         if held:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_shingles": pa.array(size), "cls": pa.array(cls),
-                               "bucket": pa.nulls(batch.num_rows, pa.int32()), "n": pa.nulls(batch.num_rows, pa.int64())})
+        yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_shingles": pa.array(size),
+                               "n_first": pa.array(first), "cls": pa.array(cls), "bucket": pa.nulls(batch.num_rows, pa.int32()), "n": pa.nulls(batch.num_rows, pa.int64())})
     some = np.flatnonzero(counts)
     none = pa.nulls(len(some), pa.int64())
-    yield pa.record_batch({"row": none, "doc_id": none, "n_shingles": none, "cls": none,
+    yield pa.record_batch({"row": none, "doc_id": none, "n_shingles": none, "n_first": none, "cls": none,
                            "bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
 
 
@@ -127,6 +136,31 @@ def _class_sets(batches):
                 yield cls, grams
 
 
+def _cut(grams: np.ndarray) -> int:
+    """How many of the sorted n-grams are dealt out first."""
+    return int(np.searchsorted(grams, np.uint64(FIRST)))
+
+
+def _first_sets(batches):
+    """(cls, n-grams below ``FIRST``) of each class that the task meets."""
+    for cls, grams in _class_sets(batches):
+        yield cls, grams[:_cut(grams)]
+
+
+def _other_sets(again):
+    """(cls, other n-grams) of each class among the rows marked in the bit table ``again``."""
+
+    def marked(batches):
+        for batch in batches:
+            rows = batch.column("row").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(collocations._looked_up(again.value, rows)))
+
+    def sets(batches):
+        for cls, grams in _class_sets(marked(batches)):
+            yield cls, grams[_cut(grams):]
+    return sets
+
+
 def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.isin((grams % np.uint64(BUCKETS)).astype(np.int64), hot)
 
@@ -145,12 +179,12 @@ def _dealt(held: list[tuple[int, np.ndarray]], shards: int):
                             "cls": pa.array([cls[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())})
 
 
-def _block_rows(shards: int, hot: np.ndarray):
-    """Task function: the n-grams of all classes, dealt to shards by hash; without hot ones."""
+def _block_rows(sets, shards: int, hot: np.ndarray):
+    """Task function: the n-grams that ``sets`` takes, dealt to shards by hash; without hot ones."""
 
     def rows(batches):
         held, size = [], 0
-        for cls, grams in _class_sets(batches):
+        for cls, grams in sets(batches):
             if len(hot):
                 grams = grams[~_is_hot(grams, hot)]
             if not len(grams):
@@ -165,9 +199,9 @@ def _block_rows(shards: int, hot: np.ndarray):
     return rows
 
 
-def _hot_rows(hot: np.ndarray):
+def _hot_rows(sets, hot: np.ndarray):
     def rows(batches):
-        for cls, grams in _class_sets(batches):
+        for cls, grams in sets(batches):
             found = grams[_is_hot(grams, hot)].view(np.int64)
             yield pa.record_batch({"cls": pa.array(np.full(len(found), cls)), "gram": pa.array(found)})
     return rows
@@ -191,24 +225,42 @@ def _shared_rows(key, table):
     return pa.table({"cls": cls[many], "gram": grams[many], "df": df[many].astype(np.int32)})
 
 
-def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, place, grams) of each class with n-grams that other classes have too: those,
-    by falling rarity; ``n`` is the size of its whole set, ``place`` falls as its n-grams'
-    mean count of classes grows."""
-    total = facts.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    shards = -(-total // SHARD) or 1
-    # At most BUCKETS rows.
-    hot = np.array([r["bucket"] for r in facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n"))
-                    .where(F.col("n") > HOT).collect()], np.int64)
-    blocks = texts.select("text").mapInArrow(_block_rows(shards, hot), "shard int, grams binary, cls binary")
+def _shared(texts: DataFrame, sets, total: int, hot: np.ndarray) -> DataFrame:
+    """(cls, gram, df) of those of the about ``total`` n-grams taken by ``sets`` that occur in
+    ``df`` >= 2 classes."""
+    blocks = texts.mapInArrow(_block_rows(sets, -(-total // SHARD) or 1, hot), "shard int, grams binary, cls binary")
     shared = blocks.groupBy("shard").applyInArrow(_shared_rows, SHARED_SCHEMA)
     if len(hot):
-        pairs = texts.select("text").mapInArrow(_hot_rows(hot), "cls long, gram long").distinct()
+        pairs = texts.mapInArrow(_hot_rows(sets, hot), "cls long, gram long").distinct()
         counts = pairs.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df >= 2")
         shared = shared.unionByName(pairs.join(counts, "gram"))
+    return shared
+
+
+def shared_sets(texts: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, place, grams) of the classes that may link, and of others in part: their n-grams
+    that other classes have too, by falling rarity; ``n`` is the size of the whole set,
+    ``place`` falls as its n-grams' mean count of classes grows."""
+    spark = texts.sparkSession
+    total = facts.agg(F.sum("n_first").alias("n")).first()["n"] or 0
+    # At most BUCKETS rows.
+    hot = np.array([r["bucket"] for r in facts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n"))
+                    .where(F.col("n") > HOT).collect()], np.int64)
+    first = common.stage_table(spark, _shared(texts.select("text"), _first_sets, total, hot), "op2-first-grams")
+
+    each = facts.where("n_shingles > 0").groupBy("cls").agg(
+        F.first("n_shingles").alias("n"), F.first("n_first").alias("n_first"), F.min("row").alias("h"))
+    met = first.groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
+    alone = F.col("n_first") - F.coalesce("k", F.lit(0))
+    again = common.stage_table(spark, each.join(met, "cls", "left").where(5 * alone <= F.col("n"))
+                               .select("h", (F.col("n") - F.col("n_first")).alias("n")), "op2-again")
+    total = again.agg(F.sum("n").alias("n")).first()["n"] or 0
+    table = spark.sparkContext.broadcast(collocations._bit_table(spark, again.select("h"), "op2-again-rows"))   # 64 MB at most
+    others = _shared(texts.select("row", "text"), _other_sets(table), total, hot)
+
     sizes = classes.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))["gram"]      # one text's n-grams at most
-    return (shared.groupBy("cls").agg(ordered.alias("grams"), F.sum("df").alias("met")).join(sizes, "cls")
+    return (first.unionByName(others).groupBy("cls").agg(ordered.alias("grams"), F.sum("df").alias("met")).join(sizes, "cls")
             .select("cls", "n", (-F.col("met") / F.col("n")).alias("place"), "grams"))
 
 
