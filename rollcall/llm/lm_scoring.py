@@ -14,7 +14,11 @@ buffers in a memory-mapped temporary file of the task, closed with it.
 
 Each input slice sends a shard one packed row with the positions whose context
 belongs to it; the shard's task builds the trie from those of training texts and
-scores all of them.  Contexts frequent enough to fill a shard are spread over all
+looks up all of them.  It handles the distinct pairs of a slice with their numbers,
+so that a very common pair, all of whose positions meet in one shard, costs memory
+once per slice.  What goes back to the slice is a byte per position and the contexts'
+totals, from which the slice's rows are summed: sums by row and shard would grow with
+the number of shards.  Contexts frequent enough to fill a shard are spread over all
 shards by the predicted word; their totals come from the table of the ``TOP`` most
 frequent words.  That table also spares frequent words a join: slices write their
 codes of q.  Each other word that a shard predicts is sent, once per slice, to the
@@ -36,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import common
+from rollcall.session import shuffles_dropped
 
 TOP = 65_536
 MU = 20.0
@@ -44,10 +49,12 @@ SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1 << 15
 STEPS = 32.0                    # quantisation: steps per power of ten
 END = int(common.mix64(np.array([7], np.uint64))[0])
-SLICE_SCHEMA = "shard int, base long, contexts binary, repeats binary, words binary, rows binary, lower binary, rest binary, ids binary, known binary"
+RUN = 255                       # positions of one context that a byte counts
+CHUNK = 1 << 18                 # pairs looked up at once
+SLICE_SCHEMA = "shard int, base long, tops binary, contexts binary, repeats binary, held binary, top_words binary, words binary, rows binary, ids binary, known binary"
 KEY_SCHEMA = "bucket int, shards binary, words binary"
 CODE_SCHEMA = "shard int, words binary, codes binary"
-SUM_SCHEMA = "base long, rows binary, n binary, known binary, base_sums binary, score_sums binary, ids binary, valid binary"
+FOUND_SCHEMA = "base long, tops binary, totals binary, repeats binary, rows binary, seen binary, codes binary, ids binary, known binary"
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
@@ -183,15 +190,11 @@ class Trie:
             levels |= {f"{name}_{k}": v for k, v in parts.items()}
         return cls(levels, shape)
 
-    def log_p(self, contexts: np.ndarray, words: np.ndarray, lower: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        """log10 p of each word under its context; ``totals`` has the contexts' counts."""
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Rank of each word under its context, or -1."""
         context = self.contexts.find(contexts)
         keys = (np.maximum(context, 0).astype(np.uint64) << np.uint64(32)) | words
-        word = np.where(context >= 0, self.words.find(keys), -1)
-        out = np.log10(MU * lower / (totals + MU))
-        seen = word >= 0
-        out[seen] = self.codes[word[seen]] / -STEPS
-        return out
+        return np.where(context >= 0, self.words.find(keys), -1)
 
     def close(self) -> None:
         self.file.close()
@@ -265,8 +268,8 @@ class Frequent:
         """Index in the table, or -1."""
         return _find(self.words, hashes)
 
-    def shard(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        heavy = np.append(self.heavy, False)[self.place(contexts)]
+    def shard(self, contexts: np.ndarray, words: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        heavy = np.append(self.heavy, False)[self.place(contexts) if at is None else at]
         spread = np.where(heavy, common.mix64(contexts ^ words), contexts)
         return (spread % np.uint64(self.shards)).astype(np.int64)
 
@@ -329,104 +332,130 @@ def _code_rows(keys, counts):
 
 
 def _slice_rows(shared):
-    """Task function: one packed row per slice and shard.  Bit 15 of ``rows`` marks training texts."""
+    """Task function: one packed row per slice and shard.  Bit 15 of ``rows`` marks training
+    texts.  Contexts come with the lengths of their runs, first those in the table as indices
+    (``tops``), then the others as hashes; words likewise, ``held`` has a bit for each."""
 
     def rows(batches):
         top = shared.value
         for part, hashes, counts in _texts(batches):
             row, contexts, words = _positions(hashes, counts)
-            word_at, shard = top.place(words), top.shard(contexts, words)
-            short, rest = (words >> np.uint64(32)).astype(np.uint32), words.astype(np.uint32)
-            lower = np.where(word_at >= 0, np.append(top.codes, 0)[word_at], 0).astype(np.uint8)
             mark = (row | np.where(part.column("train").to_numpy(zero_copy_only=False), 1 << 15, 0)[row]).astype(np.uint16)
+            word_at, context_at = top.place(words).astype(np.int32), top.place(contexts).astype(np.int32)
+            shard = top.shard(contexts, words, context_at)
+            order = np.lexsort((words, contexts, 2 * shard + (context_at < 0)))
+            shard, contexts, words, word_at, context_at, mark = (x[order] for x in (shard, contexts, words, word_at, context_at, mark))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(contexts) != 0) | (np.diff(shard) != 0)
+            starts = np.flatnonzero(new)
+            new |= (np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))) % RUN == 0
             base = int(part.column("row")[0].as_py())
             ids = part.column("doc_id")
-            order = np.lexsort((words, contexts, shard))
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for k, some in enumerate(np.split(order, cuts)):
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(contexts[some]) != 0]))
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(order)]
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                starts = np.flatnonzero(new[i:j])
+                lead, word = context_at[i:j][starts], word_at[i:j]
                 known = ids.is_valid().to_numpy(zero_copy_only=False) if k == 0 else np.zeros(0, bool)
                 yield pa.record_batch([
-                    pa.array([int(shard[some[0]])], pa.int32()), pa.array([base], pa.int64()),
+                    pa.array([int(shard[i])], pa.int32()), pa.array([base], pa.int64()),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (
-                        contexts[some][starts], np.diff(np.append(starts, len(some))).astype(np.uint32), short[some], mark[some], lower[some],
-                        rest[some][lower[some] == 0],        # the other half of words that are not in the table
+                        lead[lead >= 0].astype(np.uint16), contexts[i:j][starts[lead < 0]], np.diff(np.append(starts, j - i)).astype(np.uint8),
+                        np.packbits(word >= 0), word[word >= 0].astype(np.uint16), words[i:j][word < 0], mark[i:j],
                         ids.fill_null(0).to_numpy().astype(np.int64) if k == 0 else np.zeros(0, np.int64), known))],
-                    names=["shard", "base", "contexts", "repeats", "words", "rows", "lower", "rest", "ids", "known"])
+                    names=["shard", "base", "tops", "contexts", "repeats", "held", "top_words", "words", "rows", "ids", "known"])
     return rows
 
 
-def _grouped_sums(keys: np.ndarray, *values: np.ndarray):
-    found, at = np.unique(keys, return_inverse=True)
-    return found, [np.bincount(at, v, len(found)) for v in values]
+def _pieces(table, name: str, kind: str) -> list[np.ndarray]:
+    """A binary column's values where they lie, row by row."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
 
 
-def score_shard(top: Frequent, contexts, words, lower, rows, train):
-    """Build a shard's trie from its training positions, score all positions and sum by row."""
-    known = top.place(contexts)
-    own, back, n_own = np.unique(contexts[train], return_inverse=True, return_counts=True)
+def trained(top: Frequent, contexts, words, lower, n) -> Trie:
+    """The trie of pairs that come ``n`` times in training texts; pairs may repeat, or come 0 times."""
+    seen = np.flatnonzero(n)
+    n = n[seen]
+    own, back = np.unique(contexts[seen], return_inverse=True)
     place = top.place(own)
-    totals = np.where(place >= 0, np.append(top.counts, 0)[place], n_own).astype(np.float64)
-    keys, first, n = np.unique((back.astype(np.uint64) << np.uint64(32)) | words[train], return_index=True, return_counts=True)
+    totals = np.where(place >= 0, np.append(top.counts, 0)[place], np.bincount(back, n, len(own))).astype(np.float64)
+    keys, first, at = np.unique((back.astype(np.uint64) << np.uint64(32)) | words[seen], return_index=True, return_inverse=True)
     pair_context = (keys >> np.uint64(32)).astype(np.int64)
-    log_p = np.log10((n + MU * top.q[lower[train][first]]) / (totals[pair_context] + MU))
-    trie = Trie.build(own, totals, pair_context, keys & np.uint64(0xFFFFFFFF), log_p)
-    try:
-        found = trie.contexts.find(contexts)
-        total = np.where(known >= 0, np.append(top.counts, 0)[known],
-                         np.where(found >= 0, np.append(trie.totals, 0)[found], 0)).astype(np.float64)
-        log_p = trie.log_p(contexts, words.astype(np.uint64), top.q[lower], total) if top.tokens else np.zeros(len(contexts))
-    finally:
-        trie.close()
-    base = np.log10((total + 0.1) / (top.tokens + 0.1 * (top.distinct + 1)))
-    return _grouped_sums(rows, np.ones(len(rows)), total > 0, base, log_p)
-
-
-def _score_rows(shared):
+    log_p = np.log10((np.bincount(at, n, len(keys)) + MU * top.q[lower[seen][first]]) / (totals[pair_context] + MU))
+    return Trie.build(own, totals, pair_context, keys & np.uint64(0xFFFFFFFF), log_p)
+
+
+def _found_rows(shared):
+    """Task function: builds a shard's trie and looks up its positions.  One row per slice again:
+    a byte per position (the pair's code if it is ``seen``, else the word's lower order), and the
+    totals of the contexts outside the table."""
+
     def rows(table, codes):
-        pieces = {k: [np.frombuffer(x.as_py(), t) for x in table[k]] for k, t in (
-            ("contexts", "<u8"), ("repeats", "<u4"), ("words", "<u4"), ("rows", "<u2"), ("lower", "u1"), ("ids", "<i8"), ("known", "?"))}
-        bases = table["base"].to_numpy()
-        contexts = np.concatenate([np.repeat(c, r) for c, r in zip(pieces["contexts"], pieces["repeats"], strict=True)])
-        marks = np.concatenate(pieces["rows"])
-        row = np.repeat(bases, [len(x) for x in pieces["rows"]]) + (marks & 0x7FFF)
-        words, lower = np.concatenate(pieces["words"]), np.concatenate(pieces["lower"])
-        other = np.flatnonzero(lower == 0)
+        top = shared.value
+        tops, others = _pieces(table, "tops", "<u2"), _pieces(table, "contexts", "<u8")
+        each = np.concatenate([x for t, c in zip(tops, others, strict=True) for x in (top.words[t], c)])
+        marks, repeats = (np.concatenate(_pieces(table, k, t)) for k, t in (("rows", "<u2"), ("repeats", "u1")))
+        sizes = [x.as_buffer().size // 2 for x in table["rows"]]
+        held = np.concatenate([np.unpackbits(x, count=n) for x, n in zip(_pieces(table, "held", "u1"), sizes, strict=True)]).astype(bool)
+        at, other = np.concatenate(_pieces(table, "top_words", "<u2")), np.concatenate(_pieces(table, "words", "<u8"))
+        words, lower = np.empty(len(held), np.uint32), np.empty(len(held), np.uint8)
+        words[held], lower[held] = (top.words >> np.uint64(32)).astype(np.uint32)[at], top.codes[at]
         own, own_codes = _unpacked(codes, "words", "<u8"), _unpacked(codes, "codes", "u1")
         order = np.argsort(own)
-        at = _find(own[order], (words[other].astype(np.uint64) << np.uint64(32)) | _unpacked(table, "rest", "<u4"))
-        lower[other] = np.append(own_codes[order], 0)[at]
-        found, (n, known, base, score) = score_shard(shared.value, contexts, words, lower, row, marks >= 1 << 15)
-        # One packed row per slice again: sums by row, and the ids if this shard holds them.
-        slices = np.unique(bases)
-        cuts = np.searchsorted(found, slices)
-        named = {b: (i, k) for b, i, k in zip(bases, pieces["ids"], pieces["known"], strict=True) if len(k)}
-        none = np.zeros(0, np.int64), np.zeros(0, bool)
-        packed = {"rows": (found - slices[np.searchsorted(slices, found, side="right") - 1]).astype(np.uint16), "n": n.astype(np.uint32),
-                  "known": known.astype(np.uint32), "base_sums": base, "score_sums": score}
-        split = {k: [x.tobytes() for x in np.split(v, cuts[1:])] for k, v in packed.items()}
-        return pa.table({"base": pa.array(slices), **{k: pa.array(v, pa.binary()) for k, v in split.items()},
-                         "ids": pa.array([named.get(b, none)[0].tobytes() for b in slices], pa.binary()),
-                         "valid": pa.array([named.get(b, none)[1].tobytes() for b in slices], pa.binary())})
+        words[~held], lower[~held] = other >> np.uint64(32), np.append(own_codes[order], 0)[_find(own[order], other)]
+        # A slice's positions of one pair are neighbours: from here on they are one entry.
+        run = np.zeros(len(words), bool)
+        run[np.cumsum(repeats, dtype=np.int64) - repeats] = True
+        new = run.copy()
+        new[1:] |= (words[1:] != words[:-1]) | (lower[1:] != lower[:-1])
+        begin = np.flatnonzero(new)
+        times = np.diff(np.append(begin, len(words)))
+        contexts = each[np.cumsum(run[begin]) - 1]
+        trie = trained(top, contexts, words[begin], lower[begin], np.add.reduceat(marks >> 15, begin, dtype=np.int64))
+        try:
+            seen, code = np.zeros(len(begin), bool), lower[begin]
+            for k in range(0, len(begin), CHUNK):
+                at = trie.find(contexts[k: k + CHUNK], words[begin[k: k + CHUNK]].astype(np.uint64))
+                hit = np.flatnonzero(at >= 0)
+                seen[k + hit], code[k + hit] = True, trie.codes[at[hit]]
+            totals = np.append(trie.totals, 0)
+            totals = [totals[trie.contexts.find(c)].astype("<f8") for c in others]
+        finally:
+            trie.close()
+        ends = np.cumsum(sizes)[:-1]
+        return pa.table({
+            "base": table["base"], "tops": table["tops"], "totals": pa.array([x.tobytes() for x in totals], pa.binary()),
+            "repeats": table["repeats"], "rows": table["rows"],
+            "seen": pa.array([np.packbits(x).tobytes() for x in np.split(np.repeat(seen, times), ends)], pa.binary()),
+            "codes": pa.array([x.tobytes() for x in np.split(np.repeat(code, times), ends)], pa.binary()),
+            "ids": table["ids"], "known": table["known"]})
     return rows
 
 
-def _slice_sums(table):
-    """The rows of one slice with their sums over all shards."""
-    get = lambda k, t: [np.frombuffer(x.as_py(), t) for x in table[k]]
-    ids, valid = np.concatenate(get("ids", "<i8")), np.concatenate(get("valid", "?"))
-    at = np.concatenate(get("rows", "<u2"))
-    total = {k: np.bincount(at, np.concatenate(get(k, t)), len(ids)) for k, t in (
-        ("n", "<u4"), ("known", "<u4"), ("base_sums", "<f8"), ("score_sums", "<f8"))}
-    return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": total["n"].astype(np.int64), "n_known": total["known"].astype(np.int64),
-                     "base": total["base_sums"], "score": total["score_sums"]})
+def _slice_sums(shared):
+    """Task function: the rows of one slice with their sums over all shards."""
+
+    def rows(table):
+        top = shared.value
+        ids, valid = np.concatenate(_pieces(table, "ids", "<i8")), np.concatenate(_pieces(table, "known", "?"))
+        codes = _pieces(table, "codes", "u1")
+        total = np.concatenate([x for t, n in zip(_pieces(table, "tops", "<u2"), _pieces(table, "totals", "<f8"), strict=True) for x in (top.counts[t], n)])
+        total = np.repeat(total.astype(np.float64), np.concatenate(_pieces(table, "repeats", "u1")))
+        seen = np.concatenate([np.unpackbits(b, count=len(c)) for b, c in zip(_pieces(table, "seen", "u1"), codes, strict=True)]).astype(bool)
+        codes, at = np.concatenate(codes), np.concatenate(_pieces(table, "rows", "<u2")) & 0x7FFF
+        base = np.log10((total + 0.1) / (top.tokens + 0.1 * (top.distinct + 1)))
+        score = np.where(seen, codes / -STEPS, np.log10(MU * top.q[codes] / (total + MU))) if top.tokens else np.zeros(len(at))
+        add = lambda v: np.bincount(at, v, len(ids))
+        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": np.bincount(at, minlength=len(ids)).astype(np.int64),
+                         "n_known": add(total > 0).astype(np.int64), "base": add(base), "score": add(score)})
+    return rows
 
 
 def lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of
     (doc_id, text, train boolean)."""
-    counts = common.stage_table(spark, docs.where("train").select("text").mapInArrow(_count_rows, "w long, n long")
-                                .groupBy("w").agg(F.sum("n").alias("n")), "op7-words")
+    with shuffles_dropped(spark):
+        counts = common.stage_table(spark, docs.where("train").select("text").mapInArrow(_count_rows, "w long, n long")
+                                    .groupBy("w").agg(F.sum("n").alias("n")), "op7-words")
     all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     best = counts.orderBy(F.desc("n"), "w").limit(TOP).toPandas()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_["tokens"] // TOKENS_PER_SHARD))
@@ -436,9 +465,10 @@ def lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     slices = numbered.mapInArrow(_slice_rows(shared), SLICE_SCHEMA)
     keys = docs.select("text").mapInArrow(_key_rows(shared), KEY_SCHEMA)
     words = counts.select(F.pmod(F.shiftrightunsigned("w", 33), F.lit(shards)).cast("int").alias("bucket"), "w", "n")
-    codes = keys.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_code_rows, CODE_SCHEMA)
-    sums = slices.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_score_rows(shared), SUM_SCHEMA)
-    scores = sums.groupBy("base").applyInArrow(_slice_sums, SCORE_SCHEMA)
+    with shuffles_dropped(spark):
+        codes = common.stage_table(spark, keys.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_code_rows, CODE_SCHEMA), "op7-codes")
+    found = slices.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_found_rows(shared), FOUND_SCHEMA)
+    scores = found.groupBy("base").applyInArrow(_slice_sums(shared), SCORE_SCHEMA)
     return scores.select("doc_id", "n_tokens", "n_known", F.lit(all_["tokens"]).cast("long").alias("train_tokens"),
                          F.col("base").alias("base_score"), "score")
 

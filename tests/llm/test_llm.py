@@ -7,10 +7,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +367,41 @@ def test_lm_scores_words_beyond_the_table(spark, monkeypatch):
         assert r["score"] == pytest.approx(whole[k]["score"], abs=1e-9)
 
 
+def test_lm_common_pair_costs_little_memory():
+    """All positions of one pair meet in a shard; the shard's task holds them as one pair per slice."""
+    texts = ["the " * n for n in (200_000, 255, 256, 0, 1)] + ["the other the", None, "the cat"]
+    train = [True] * 6 + [False] * 2
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string()), "train": pa.array(train), "row": pa.array(range(len(texts)))})
+    counts = pa.Table.from_batches(lm_scoring._count_rows([batch.slice(0, 6)])).to_pydict()
+    words, n = np.array(counts["w"], np.int64).view(np.uint64), np.array(counts["n"])
+    top = lm_scoring.Frequent(int(n.sum()), len(n), words[n > 1], n[n > 1], 3)      # "other" and "cat" lie outside the table
+    shared = types.SimpleNamespace(value=top)
+    slices = pa.Table.from_batches(lm_scoring._slice_rows(shared)([batch]))
+    keys = pa.Table.from_batches(lm_scoring._key_rows(shared)([batch]))
+    codes = lm_scoring._code_rows(keys, pa.table(counts))
+    found = []
+    for k in sorted(set(slices["shard"].to_pylist())):
+        mine, own = (t.filter(pc.equal(t["shard"], k)).combine_chunks() for t in (slices, codes))
+        tracemalloc.start()
+        found.append(lm_scoring._found_rows(shared)(mine, own))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        positions = sum(len(x.as_py()) for x in mine["rows"]) // 2
+        assert peak < 1_000_000 + 32 * positions
+    got = lm_scoring._slice_sums(shared)(pa.concat_tables(found)).to_pydict()
+    own = [[*(t or "").split(), "\n"] for t in texts]
+    c = collections.Counter(w for t, use in zip(own, train) for w in t if use)
+    pairs = collections.Counter(p for t, use in zip(own, train) for p in zip(t, ["\n", *t[:-1]]) if use)
+    total = sum(c.values())
+    q = lambda w: 2 ** (math.floor(4 * math.log2(c[w]) + 1e-9) / 4) / (total + 1) if c[w] else 1 / (total + 1)
+    assert got["doc_id"] == list(range(len(texts)))
+    for k, t in enumerate(own):
+        assert (got["n_tokens"][k], got["n_known"][k]) == (len(t), sum(c[w] > 0 for w in t))
+        assert got["base"][k] == pytest.approx(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (len(c) + 1))) for w in t))
+        plain = sum(math.log10((pairs[p, w] + 20 * q(w)) / (c[p] + 20)) for p, w in zip(t, ["\n", *t[:-1]]))
+        assert plain - len(t) / 32 - 1e-6 <= got["score"][k] <= plain + 1e-6
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (None, "u", big), (2, "again", big)]
