@@ -9,6 +9,8 @@ reuse the ``task_id`` hash partitioning of the aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def assignments_dedup(assignments: DataFrame, as_of) -> DataFrame:
         F.when(dup, ts_lit(as_of)).otherwise(F.col("unassigned_at")).alias("unassigned_at"))
 
 
-def assignment_intervals(task_events: DataFrame) -> DataFrame:
+def assignment_intervals(task_events: DataFrame, between: Callable = lambda df: df) -> DataFrame:
     """O-54..O-56: join / assign / clock-in-with-task open an assignment
     unless one is open; leave closes the open one (a no-op otherwise).
 
@@ -71,14 +73,15 @@ def assignment_intervals(task_events: DataFrame) -> DataFrame:
     Skew: a pair's log is cut into segments, one per day.  ``lag``/``lead``
     run inside each (pair, day) segment, and what crosses a segment boundary
     is carried by summaries of one row per pair and day, so a pair with very
-    many events is dealt to as many tasks as it has days.
+    many events is dealt to as many tasks as it has days.  ``between`` may write
+    the changes out before they are read twice, and return what it wrote.
     """
     ev = task_events.where(F.col("kind").isin(*OPENING_KINDS, "leave")
                            & F.col("student_id").isNotNull())
-    ev = ev.select("task_id", "student_id", "at", "seq", F.to_date("at").alias("_day"),
-                   (F.col("kind") != "leave").alias("_opens"))
     pair = ["task_id", "student_id"]
     seg_key = [*pair, "_day"]
+    ev = ev.select("task_id", "student_id", "at", "seq", F.to_date("at").alias("_day"),
+                   (F.col("kind") != "leave").alias("_opens"))
     w_seg = Window.partitionBy(*seg_key).orderBy("at", "seq")
     w_pair = Window.partitionBy(*pair).orderBy("_day")
 
@@ -87,17 +90,17 @@ def assignment_intervals(task_events: DataFrame) -> DataFrame:
     ev = ev.withColumn("_prev_local", F.lag("_opens").over(w_seg))
     seg = (ev.groupBy(*seg_key).agg(F.max(F.struct("at", "seq", "_opens")).alias("_last"))
            .withColumn("_carry", F.lag(F.col("_last._opens")).over(w_pair))
-           .select(*seg_key, "_carry"))
+           .where("_carry").select(*seg_key, "_carry"))         # others start closed
     ev = ev.join(seg, seg_key, "left")
     prev = F.coalesce(F.col("_prev_local"), F.col("_carry"), F.lit(False))
-    changes = ev.where(prev != F.col("_opens")).select(*seg_key, "at", "seq", "_opens")
+    changes = between(ev.where(prev != F.col("_opens")).select(*seg_key, "at", "seq", "_opens"))
 
     # 2. Changes alternate open/close: an opening ends at the next change --
     #    in its segment, else the first change of the next segment that has one.
     changes = changes.withColumn("_next_local", F.lead("at").over(w_seg))
     cseg = (changes.groupBy(*seg_key).agg(F.min(F.struct("at", "seq")).alias("_first"))
             .withColumn("_carry_next", F.lead(F.col("_first.at")).over(w_pair))
-            .select(*seg_key, "_carry_next"))
+            .where(F.col("_carry_next").isNotNull()).select(*seg_key, "_carry_next"))
     return (changes.where(F.col("_opens")).join(cseg, seg_key, "left")
             .select("task_id", "student_id", F.col("at").alias("assigned_at"),
                     F.coalesce("_next_local", "_carry_next").alias("unassigned_at")))
@@ -292,27 +295,28 @@ def comment_feed(comments: DataFrame, task_id: int | None = None) -> DataFrame:
 
 # ------------------------------------------------------------ task fold
 
-def validate_task_events(events: DataFrame, students: DataFrame):
+def validate_task_events(events: DataFrame, students: DataFrame, between: Callable = lambda df: df):
     """O-16: create needs a non-blank title and subteam; join / assign /
     clock-in need an active student; every other event needs a task that was
     created before it (by ``(at, seq)``).  Returns ``(valid, rejects)``.
 
     The first create per task is a ``min`` over a struct, joined back by
-    task, so a busy task is reduced before the shuffle."""
+    task, so a busy task is reduced before the shuffle.  ``between`` may write
+    the events out between the two joins, and return what it wrote."""
     act = students.where(F.col("is_active")).select(
         "student_id", F.lit(True).alias("_active"))
     kind = F.col("kind")
     creates = events.where((kind == "create") & ~is_blank("title") & ~is_blank("subteam"))
     born = creates.groupBy("task_id").agg(F.min(F.struct("at", "seq")).alias("_born"))
-    df = events.join(act, "student_id", "left").join(born, "task_id", "left")
     opening = kind.isin(*OPENING_KINDS)
-    exists = F.coalesce(F.struct("at", "seq") >= F.col("_born"), F.lit(False))
     reason = (F.when((kind == "create") & is_blank("title"), F.lit("title_missing"))
               .when((kind == "create") & is_blank("subteam"), F.lit("subteam_missing"))
               .when(opening & F.col("student_id").isNull(), F.lit("student_missing"))
-              .when(opening & F.col("_active").isNull(), F.lit("student_unknown"))
-              .when((kind != "create") & ~exists, F.lit("task_unknown")))
-    df = df.withColumn("reject_reason", reason).select(*events.columns, "reject_reason")
+              .when(opening & F.col("_active").isNull(), F.lit("student_unknown")))
+    df = between(events.join(act, "student_id", "left").withColumn("reject_reason", reason).select(*events.columns, "reject_reason"))
+    exists = F.coalesce(F.struct("at", "seq") >= F.col("_born"), F.lit(False))
+    unborn = F.when((kind != "create") & ~exists, F.lit("task_unknown"))
+    df = df.join(born, "task_id", "left").withColumn("reject_reason", F.coalesce("reject_reason", unborn)).select(*events.columns, "reject_reason")
     valid = df.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejects = df.where(F.col("reject_reason").isNotNull())
     return valid, rejects

@@ -22,3 +22,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that is not needed any more, if it is there."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def hand_over(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a written folder, whole or not at all; False if there is none."""
+    (place, files), (target, _) = _place(spark, path), _place(spark, to)
+    if not files.exists(place):
+        return False
+    files.mkdirs(target.getParent())
+    if not files.rename(place, target):
+        raise OSError(f"{path} could not be moved to {to}")
+    return True

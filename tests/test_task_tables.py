@@ -2,7 +2,9 @@
 
 import collections
 import datetime as dt
+import os
 import random
+import time
 
 import pytest
 
@@ -78,3 +80,24 @@ def test_failed_repeated_and_empty_epochs(spark, monkeypatch):
     tables.merge(df(log[60:]), 2)
     tables.merge(df(log[60:]), 2)                       # committed already
     same(spark, tables, log)
+
+
+def test_a_merge_leaves_no_shuffles_and_no_steps(spark):
+    log = random_log(random.Random(9), 8, 200)
+    root = scratch_path(spark, "test-task-tables")
+    tables = TaskTables(spark, root)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    for epoch, part in enumerate((log[:100], log[100:])):
+        before = shuffles()
+        tables.merge(spark.createDataFrame(part, schemas.TASK_EVENTS), epoch)
+        until = time.time() + 20                        # Spark deletes them in the background
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffles() - before
+    assert sorted(os.listdir(f"{root}/intervals")) == sorted(os.listdir(f"{root}/tasks")) == ["heads", "rows"]
+    same(spark, tables, log)
